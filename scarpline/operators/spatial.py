@@ -308,19 +308,10 @@ def zone_crossings(waypoints: DataFrame, zones: DataFrame, cell_deg: float = 0.0
 
 
 def crossings_per_trip(waypoints: DataFrame, zones: DataFrame) -> DataFrame:
-    """Sorted list of crossed zones per trip; trips without any are kept.
-
-    The list is the result itself, one entry per distinct zone of the trip.
-    """
-    pairs = zone_crossings(waypoints, zones)
-    lists = pairs.groupBy("trip_id").agg(F.sort_array(F.collect_list("zone_id")).alias("zones"))
+    """Number of zones each trip crosses; trips without any are kept."""
+    counts = zone_crossings(waypoints, zones).groupBy("trip_id").agg(F.count(F.lit(1)).alias("zones_crossed"))
     trips = waypoints.select("trip_id").distinct()
-    joined = trips.join(lists, "trip_id", "left")
-    return joined.select(
-        "trip_id",
-        F.coalesce(F.size("zones"), F.lit(0)).alias("zones_crossed"),
-        F.coalesce(F.col("zones"), F.array().cast("array<string>")).alias("hazard_zones_crossed"),
-    )
+    return trips.join(counts, "trip_id", "left").select("trip_id", F.coalesce("zones_crossed", F.lit(0)).alias("zones_crossed"))
 
 
 def polygon_hits(waypoints: DataFrame, polygons: DataFrame, cell_deg: float = 0.05) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from scarpline.operators import spatial
+from scarpline.operators import cleaning, spatial
 from scarpline.plans import flagship
 from scarpline.plans.registry import check_view, query
 from scarpline.sources import catalog, geojson
@@ -13,7 +13,7 @@ _REASON = f"""CASE WHEN latitude IS NULL OR trim(latitude) = '' THEN 'missing_la
   WHEN {_LAT} IS NULL OR {_LON} IS NULL THEN 'non_numeric' WHEN {_LAT} NOT BETWEEN -90 AND 90 THEN 'invalid_latitude'
   WHEN {_LON} NOT BETWEEN -180 AND 180 THEN 'invalid_longitude' END"""
 
-check_view("points", "incidents", f"SELECT * REPLACE ({_LAT} AS latitude, {_LON} AS longitude) FROM incidents WHERE {_REASON} IS NULL")
+check_view("points", "incidents", f"SELECT * REPLACE ({_LAT} AS latitude, {_LON} AS longitude, trim(landslide_id) AS landslide_id) FROM incidents WHERE {_REASON} IS NULL")
 check_view(
     "cells_wide", "raster_cells",
     "SELECT row, col, " + ", ".join(f"max(value) FILTER (WHERE layer = '{x}') AS {x}" for x in spatial.LAYER_COLUMNS) + " FROM raster_cells GROUP BY row, col",
@@ -50,7 +50,7 @@ FROM sampled
 
 
 def points(v):
-    return spatial.point_layer(v("incidents"))
+    return spatial.point_layer(cleaning.trim_ids(v("incidents")).drop("id_changed"))
 
 
 def features(v):
@@ -250,12 +250,10 @@ def _(v):
 @query(
     "zone_crossings_per_trip", "G18", "waypoints risk_zones",
     f"""+x AS (SELECT DISTINCT w.trip_id, z.zone_id FROM waypoints w, risk_zones z WHERE {_DIST} <= z.radius_meters)
-SELECT t.trip_id, CAST(count(x.zone_id) AS INT) AS zones_crossed, coalesce(string_agg(x.zone_id, ',' ORDER BY x.zone_id), '') AS hazard_zones_crossed
-FROM (SELECT DISTINCT trip_id FROM waypoints) t LEFT JOIN x ON t.trip_id = x.trip_id GROUP BY t.trip_id""",
+SELECT t.trip_id, count(x.zone_id) AS zones_crossed FROM (SELECT DISTINCT trip_id FROM waypoints) t LEFT JOIN x ON t.trip_id = x.trip_id GROUP BY t.trip_id""",
 )
 def _(v):
-    out = spatial.crossings_per_trip(v("waypoints"), v("risk_zones"))
-    return out.withColumn("hazard_zones_crossed", F.array_join("hazard_zones_crossed", ","))
+    return spatial.crossings_per_trip(v("waypoints"), v("risk_zones"))
 
 
 @query(
