@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
+from scarpline.functions.rounding import round_exact
+
 EARTH_RADIUS_M = 6371000.0
 METRES_PER_DEGREE = 111000.0
 
@@ -71,4 +73,5 @@ def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
 
 
 def rounded_key(lat: Column, lon: Column, digits: int = 4) -> list[Column]:
-    return [F.round(lat, digits).alias("lat_key"), F.round(lon, digits).alias("lon_key")]
+    """Grid key of a coordinate: both values rounded to a few decimals."""
+    return [round_exact(lat, digits).alias("lat_key"), round_exact(lon, digits).alias("lon_key")]

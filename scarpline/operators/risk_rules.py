@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scarpline.functions.geo import rounded_key
-from scarpline.functions.levels import PROBABILITY_CUTS, choose, highest, normal_level
+from scarpline.functions.levels import choose, highest, normal_level
+from scarpline.functions.rounding import round_exact
 from scarpline.operators.skew import skew_join
 
 # Texts and tables that results must carry verbatim.
@@ -267,7 +268,8 @@ def heuristic_probability(df: DataFrame) -> DataFrame:
     rain = F.coalesce("rainfall", F.lit(FEATURE_DEFAULTS["rainfall"]))
     slope = F.coalesce("slope", F.lit(FEATURE_DEFAULTS["slope"]))
     score = rain / 200.0 * 0.6 + slope / 60.0 * 0.4
-    return df.withColumn("risk_probability", F.least(F.greatest(F.bround(score, 2), F.lit(0.05)), F.lit(0.98)))
+    staged = df.withColumn("_score", score)
+    return staged.withColumn("risk_probability", F.least(F.greatest(round_exact(F.col("_score"), 2), F.lit(0.05)), F.lit(0.98))).drop("_score")
 
 
 def feature_factors(df: DataFrame) -> DataFrame:

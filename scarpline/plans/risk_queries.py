@@ -185,7 +185,7 @@ def _(v):
 
 @query(
     "batch_coordinate_scores", "R16", "coordinates",
-    f"""+k AS (SELECT *, round(latitude, 4) AS lat_key, round(longitude, 4) AS lon_key FROM coordinates),
+    f"""+k AS (SELECT *, CAST(printf('%.4f', latitude) AS DOUBLE) AS lat_key, CAST(printf('%.4f', longitude) AS DOUBLE) AS lon_key FROM coordinates),
 f AS (SELECT lat_key, lon_key, arg_min(latitude, ordinal) AS latitude, arg_min(longitude, ordinal) AS longitude FROM k GROUP BY 1, 2),
 s AS (SELECT lat_key, lon_key, {_RISK_COLS}, {FACTORS} FROM (SELECT *, {DISTANCE} AS d FROM f) x)
 SELECT k.ordinal, k.request_id, s.* FROM k JOIN s ON k.lat_key = s.lat_key AND k.lon_key = s.lon_key""",
@@ -224,7 +224,7 @@ def _(v):
     return rules.confidence_band(v("predictions"), level="actual").select("env_id", "status", "action", "confidence_level")
 
 
-_PROB = "least(greatest(round_even(coalesce(rainfall, 100) / CAST(200 AS DOUBLE) * CAST(0.6 AS DOUBLE) + coalesce(slope, 25) / CAST(60 AS DOUBLE) * CAST(0.4 AS DOUBLE), 2), CAST(0.05 AS DOUBLE)), CAST(0.98 AS DOUBLE))"
+_PROB = "least(greatest(CAST(printf('%.2f', coalesce(rainfall, 100) / CAST(200 AS DOUBLE) * CAST(0.6 AS DOUBLE) + coalesce(slope, 25) / CAST(60 AS DOUBLE) * CAST(0.4 AS DOUBLE)) AS DOUBLE), CAST(0.05 AS DOUBLE)), CAST(0.98 AS DOUBLE))"
 
 
 @query(

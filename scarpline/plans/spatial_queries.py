@@ -229,7 +229,7 @@ def _(v):
 
 @query(
     "distinct_grid_keys", "G17", "coordinates",
-    "SELECT lat_key, lon_key, count(*) AS n FROM (SELECT round(latitude, 4) AS lat_key, round(longitude, 4) AS lon_key FROM coordinates) t GROUP BY 1, 2",
+    "SELECT lat_key, lon_key, count(*) AS n FROM (SELECT CAST(printf('%.4f', latitude) AS DOUBLE) AS lat_key, CAST(printf('%.4f', longitude) AS DOUBLE) AS lon_key FROM coordinates) t GROUP BY 1, 2",
 )
 def _(v):
     return spatial.grid_keys(v("coordinates"))
