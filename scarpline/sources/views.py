@@ -256,7 +256,7 @@ SELECT event_id AS ordinal, latitude, longitude, CASE WHEN event_id % 7 = 0 THEN
   CASE event_id % 3 WHEN 0 THEN 'Landslide' WHEN 1 THEN 'Rockfall' ELSE 'Road crack' END AS hazard_type,
   CASE WHEN event_id % 31 = 0 THEN 'bad' ELSE concat('Observation of ', event_type) END AS description,
   CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'HIGH' END AS severity,
-  CASE WHEN event_id % 10 = 0 THEN concat('/uploads/', CAST(event_id AS STRING), '.jpg') END AS image_path, ts AS created_at
+  CASE WHEN event_id % 10 = 0 THEN concat('uploads/', CAST(event_id AS STRING), '.jpg') END AS image_path, ts AS created_at
 FROM (SELECT event_id, event_type, ts, CAST(1120000 + (event_id * 7919) % 40000 AS DOUBLE) / CAST(100000 AS DOUBLE) + CASE WHEN event_id % 41 = 0 THEN 90 ELSE 0 END AS latitude,
         CAST(7640000 + (event_id * 6007) % 50000 AS DOUBLE) / CAST(100000 AS DOUBLE) AS longitude FROM {events}) e
 """
