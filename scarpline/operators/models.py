@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.evaluation import Evaluator
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scarpline.operators.preparation import FEATURES, LABELS, SEED, TARGET
@@ -58,97 +58,110 @@ def balanced_weights(df: DataFrame, label: str = TARGET) -> DataFrame:
     return df.join(F.broadcast(weights), label)
 
 
-def _stages(classifier, indexer, scaled: bool) -> list:
-    assembled = "raw_features" if scaled else "features"
-    stages = [indexer, VectorAssembler(inputCols=list(FEATURES), outputCol=assembled)]
-    if scaled:
-        stages.append(StandardScaler(withMean=True, withStd=True, inputCol=assembled, outputCol="features"))
-    back = IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels)
-    return [*stages, classifier, back]
-
-
-def forest(trees: int = FOREST_TREES, seed: int = SEED) -> RandomForestClassifier:
-    return RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, seed=seed, weightCol="weight")
-
-
-def boosted(rounds: int = BOOST_ROUNDS, depth: int = BOOST_DEPTH, rate: float = BOOST_RATE, seed: int = SEED, parallelism: int = 3) -> OneVsRest:
-    """One boosted binary model per class, trained side by side."""
-    binary = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)
-    return OneVsRest(classifier=binary, labelCol="label", featuresCol="features", parallelism=parallelism)
+def _assembler(output: str = "features") -> VectorAssembler:
+    return VectorAssembler(inputCols=list(FEATURES), outputCol=output)
 
 
 def train_forest(train: DataFrame, trees: int = FOREST_TREES, seed: int = SEED) -> PipelineModel:
     """Scaled random forest with balanced class weights."""
-    stages = _stages(forest(trees, seed), label_indexer(train), scaled=True)
+    indexer = label_indexer(train)
+    stages = [
+        indexer,
+        _assembler("raw_features"),
+        StandardScaler(withMean=True, withStd=True, inputCol="raw_features", outputCol="features"),
+        RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, seed=seed, weightCol="weight"),
+        IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels),
+    ]
     return Pipeline(stages=stages).fit(balanced_weights(train))
 
 
-def train_boosted(train: DataFrame, rounds: int = BOOST_ROUNDS, **settings) -> PipelineModel:
-    stages = _stages(boosted(rounds, **settings), label_indexer(train), scaled=False)
-    return Pipeline(stages=stages).fit(train)
-
-
-class MacroF1(Evaluator):
-    """Unweighted mean of the per-class F1 scores."""
-
-    def __init__(self, label: str = "label", prediction: str = "prediction"):
-        super().__init__()
-        self.label, self.prediction = label, prediction
-
-    def _evaluate(self, dataset: DataFrame) -> float:
-        pairs = dataset.select(F.col(self.label).cast("string").alias("a"), F.col(self.prediction).cast("string").alias("p"))
-        counts = pairs.groupBy("a", "p").agg(F.count(F.lit(1)).alias("n")).collect()  # k * k rows
-        classes = {r["a"] for r in counts} | {r["p"] for r in counts}
-        scores = []
-        for c in classes:
-            tp = sum(r["n"] for r in counts if r["a"] == c and r["p"] == c)
-            size = sum(r["n"] for r in counts if r["a"] == c) + sum(r["n"] for r in counts if r["p"] == c)
-            scores.append(2.0 * tp / size if size else 0.0)
-        return sum(scores) / len(scores) if scores else 0.0
+@dataclass(frozen=True)
+class BoostedModel:
+    """One binary boosted model per class, scored side by side.
 
-    def isLargerBetter(self) -> bool:
-        return True
-
-
-def grid_search(folded: DataFrame, grid=None, fold_col: str = "fold", folds: int = FOLDS, parallelism: int = 4) -> tuple[CrossValidatorModel, DataFrame]:
-    """Cross-validated boosted-tree grid on given folds, refit on all rows.
+    The library's own one-vs-rest wrapper scores through row-at-a-time Python
+    functions; here each binary model adds its raw score inside the JVM and
+    column expressions turn the scores into probabilities and a label.
+    """
 
-    Returns the fitted search and its table of settings and mean scores. The
-    grid belongs to the binary learner inside the one-vs-rest stage.
+    labels: tuple[str, ...]
+    members: tuple[GBTClassificationModel, ...]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = _assembler().transform(df)
+        for i, member in enumerate(self.members):
+            copy = member.copy().setRawPredictionCol(f"_raw{i}").setProbabilityCol("").setPredictionCol("")
+            out = copy.transform(out)
+        raw = F.array(*[F.exp(vector_to_array(f"_raw{i}")[1]) for i in range(len(self.members))])
+        staged = out.withColumn("_exp", raw)
+        total = F.aggregate("_exp", F.lit(0.0), lambda a, b: a + b)
+        shares = staged.withColumn("class_probability", F.transform("_exp", lambda x: x / total))
+        best = F.array_position("class_probability", F.array_max("class_probability")).cast("int")
+        named = shares.withColumn("predicted", F.element_at(F.array(*[F.lit(x) for x in self.labels]), best))
+        return named.drop("_exp", *[f"_raw{i}" for i in range(len(self.members))])
+
+
+def train_boosted(
+    train: DataFrame, maxIter: int = BOOST_ROUNDS, maxDepth: int = BOOST_DEPTH, stepSize: float = BOOST_RATE, seed: int = SEED,
+    labels=LABELS,
+) -> BoostedModel:
+    """Boosted trees per class in alphabetical order; the classes train side by side."""
+    ordered = tuple(sorted(labels))
+    prepared = _assembler().transform(train)
+
+    def fit(name: str) -> GBTClassificationModel:
+        target = prepared.select("features", (F.col(TARGET) == name).cast("double").alias("label"))
+        return GBTClassifier(maxIter=maxIter, maxDepth=maxDepth, stepSize=stepSize, seed=seed).fit(target)
+
+    with ThreadPoolExecutor(len(ordered)) as pool:
+        return BoostedModel(ordered, tuple(pool.map(fit, ordered)))
+
+
+def macro_f1(df: DataFrame, actual: str = TARGET, predicted: str = "predicted", labels=LABELS) -> float:
+    """Unweighted mean of the per-class F1 scores (one row to the driver)."""
+    row = confusion_counts(df, actual, predicted, labels).first()
+    scores = []
+    for c in labels:
+        size = sum(row[f"{c}|{p}"] for p in labels) + sum(row[f"{a}|{c}"] for a in labels)
+        scores.append(2.0 * row[f"{c}|{c}"] / size if size else 0.0)
+    return sum(scores) / len(scores)
+
+
+def grid_search(folded: DataFrame, grid=None, folds: int = FOLDS, parallelism: int = 2) -> tuple[BoostedModel, DataFrame]:
+    """Cross-validated boosted-tree grid on the ``fold`` column, refit on all rows.
+
+    Returns the refitted best model and one row per setting with its mean
+    macro F1. Each fit is a distributed job; ``parallelism`` of them overlap.
     """
-    grid = grid or GRID
-    indexer = label_indexer(folded)
-    learner = boosted()
-    binary = learner.getClassifier()
-    stages = _stages(learner, indexer, scaled=False)
     candidates = [{}]
-    for name, values in grid.items():
+    for name, values in (grid or GRID).items():
         candidates = [{**c, name: x} for c in candidates for x in values]
-    builder = ParamGridBuilder().addGrid(learner.classifier, [binary.copy({binary.getParam(k): x for k, x in c.items()}) for c in candidates])
-    search = CrossValidator(
-        estimator=Pipeline(stages=stages), estimatorParamMaps=builder.build(), evaluator=MacroF1(),
-        numFolds=folds, foldCol=fold_col, parallelism=parallelism, seed=SEED,
-    )
-    model = search.fit(folded)
-    rows = [(i, str(c), float(score)) for i, (c, score) in enumerate(zip(candidates, model.avgMetrics))]
-    return model, folded.sparkSession.createDataFrame(rows, "candidate int, settings string, macro_f1 double")
 
+    def one(task: tuple[int, int]) -> float:
+        setting, fold = candidates[task[0]], task[1]
+        model = train_boosted(folded.filter(F.col("fold") != fold), **setting)
+        return macro_f1(model.transform(folded.filter(F.col("fold") == fold)))
+
+    tasks = [(i, fold) for i in range(len(candidates)) for fold in range(folds)]
+    with ThreadPoolExecutor(parallelism) as pool:
+        scores = list(pool.map(one, tasks))
+    means = [sum(scores[i * folds : (i + 1) * folds]) / folds for i in range(len(candidates))]
+    rows = [(i, *c.values(), m) for i, (c, m) in enumerate(zip(candidates, means))]
+    schema = "candidate int, maxIter int, maxDepth int, stepSize double, macro_f1 double"
+    best = candidates[means.index(max(means))]
+    return train_boosted(folded, **best), folded.sparkSession.createDataFrame(rows, schema)
 
-# --- scoring ---------------------------------------------------------------------------
 
+# --- scoring ---------------------------------------------------------------------------
 
-def score(model: PipelineModel, df: DataFrame, keep=("env_id",)) -> DataFrame:
-    """Label, probability per label and confidence of the predicted label.
 
-    A model without probabilities (one-vs-rest) gets a softmax of its raw scores.
-    """
-    labels = model.stages[-1].getLabels()
+def score(model: PipelineModel | BoostedModel, df: DataFrame, keep=("env_id",)) -> DataFrame:
+    """Label, probability per label and confidence of the predicted label."""
     scored = model.transform(df)
-    if "probability" in scored.columns:
-        p = vector_to_array("probability")
+    if isinstance(model, BoostedModel):
+        labels, p = model.labels, F.col("class_probability")
     else:
-        raw = F.transform(vector_to_array("rawPrediction"), lambda x: F.exp(x))
-        p = F.transform(raw, lambda x: x / F.aggregate(raw, F.lit(0.0), lambda a, b: a + b))
+        labels, p = model.stages[-1].getLabels(), vector_to_array("probability")
     staged = scored.withColumn("probabilities", F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), p))
     confidence = F.element_at("probabilities", F.col("predicted"))
     return staged.select(*keep, F.col("predicted").alias("risk_level"), "probabilities", confidence.alias("confidence"))
