@@ -13,11 +13,10 @@ NULL_TOKENS = (
     "n/a", "nan", "null",
 )
 
-# Accepted date layouts; month-first is tried before day-first.
-YEAR_FIRST = {"-": ("yyyy-M-d",), "/": ("yyyy/M/d",)}
-YEAR_LAST = {"-": ("d-M-yyyy",), "/": ("M/d/yyyy", "d/M/yyyy")}
-YEAR_FIRST_SHAPE = r"^\d{4}([-/])\d{1,2}\1\d{1,2}$"
-YEAR_LAST_SHAPE = r"^\d{1,2}([-/])\d{1,2}\1\d{4}$"
+# Accepted date shapes. Year-first and day-month-year with
+# dashes; with slashes month-first is tried before day-first.
+YEAR_FIRST = r"^\d{4}([-/])\d{1,2}\1\d{1,2}$"
+YEAR_LAST = r"^\d{1,2}([-/])\d{1,2}\1\d{4}$"
 
 # Every character that counts as whitespace when text is stripped.
 WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
@@ -44,10 +43,14 @@ def null_token(c: Column) -> Column:
 
 
 def to_number(c: Column) -> Column:
-    """Parse text as a double; NULL when it is not a plain decimal number."""
+    """Parse text as a double; NULL when it is not a plain decimal number.
+
+    The cast alone would also read Java literals such as 1.5d or 0x1p3.
+    """
     text = strip(c.cast("string"))
-    rest = F.lower(F.translate(text, "0123456789+-.eE", ""))
-    return F.when(rest.isin("", "inf", "infinity"), text.try_cast("double"))
+    literal = text.rlike("[dDfFxX]") & ~text.rlike("(?i)^[+-]?inf")
+    number = text.try_cast("double")
+    return F.when(~literal & ~F.isnan(number), number)
 
 
 def is_bad_number(c: Column) -> Column:
@@ -67,25 +70,21 @@ def outside(c: Column, low: float | None, high: float | None) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, checks), F.lit(False))
 
 
-def _date_in(text: Column, shape: str, layouts: dict[str, tuple[str, ...]]) -> Column:
-    """Read text of one shape; the separator picks the layouts to try."""
-    by_separator = None
-    for separator, patterns in layouts.items():
-        read = F.coalesce(*[F.try_to_date(text, p) for p in patterns])
-        cond = F.contains(text, F.lit(separator))
-        by_separator = F.when(cond, read) if by_separator is None else by_separator.when(cond, read)
-    return F.when(text.rlike(shape), by_separator)
-
-
 def to_iso_date(c: Column) -> Column:
     """The strict year-month-day reading of a text column."""
-    return _date_in(strip(c), YEAR_FIRST_SHAPE, {"-": YEAR_FIRST["-"]})
+    text = strip(c)
+    return F.when(text.rlike(YEAR_FIRST) & ~F.contains(text, F.lit("/")), text.try_cast("date"))
 
 
 def to_any_date(c: Column) -> Column:
     """The first accepted layout that reads the text."""
     text = strip(c)
-    return F.coalesce(_date_in(text, YEAR_FIRST_SHAPE, YEAR_FIRST), _date_in(text, YEAR_LAST_SHAPE, YEAR_LAST))
+    dashed = F.translate(text, "/", "-")
+    part = lambda i: F.split_part(dashed, F.lit("-"), F.lit(i))
+    month_first = F.concat_ws("-", part(3), part(1), part(2)).try_cast("date")
+    day_first = F.concat_ws("-", part(3), part(2), part(1)).try_cast("date")
+    year_last = F.when(F.contains(text, F.lit("-")), day_first).otherwise(F.coalesce(month_first, day_first))
+    return F.when(text.rlike(YEAR_FIRST), dashed.try_cast("date")).when(text.rlike(YEAR_LAST), year_last)
 
 
 def count_true(c: Column) -> Column:

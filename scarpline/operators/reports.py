@@ -211,9 +211,9 @@ def latest_facts(updates: DataFrame, order: str = "update_id") -> DataFrame:
     """
     keys = ["owner", "category", "fact_key"]
     kept = updates.filter(~is_missing(F.col("value"))).withColumn("value", shorten(F.col("value")))
-    now = add_totals(kept, keys, [F.max_by("value", order).alias("_now")], base=kept)
+    now = add_totals(kept, keys, [F.max_by("value", order).alias("_now")], row_id=[order])
     other = F.when(F.col("value") != F.col("_now"), F.col(order))
-    since = add_totals(now, keys, [F.max(other).alias("_other")], base=now)
+    since = add_totals(now, keys, [F.max(other).alias("_other")], row_id=[order])
     run = F.when(F.col("_other").isNull() | (F.col(order) > F.col("_other")), F.col(order))
     return since.groupBy(*keys).agg(F.any_value("_now").alias("value"), F.min(run).alias("updated"))
 

@@ -253,7 +253,7 @@ def score_coordinates(requests: DataFrame, scorer=risk_at, ordinal: str = "ordin
     keyed = requests.select("*", *rounded_key(F.col("latitude"), F.col("longitude")))
     first = keyed.groupBy(*keys).agg(F.min_by(F.struct("latitude", "longitude"), F.col(ordinal)).alias("p"))
     scored = scorer(first.select(*keys, "p.latitude", "p.longitude")).drop("latitude", "longitude")
-    return skew_join(keyed, scored, keys)
+    return skew_join(keyed, scored, keys, row_id=[ordinal])
 
 
 def request_check(requests: DataFrame, low: int = 1, high: int = 100) -> DataFrame:

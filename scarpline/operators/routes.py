@@ -102,7 +102,7 @@ def alternatives(routes: DataFrame) -> DataFrame:
         F.max(F.when(F.col("is_current"), F.col("route"))).alias("current_route"),
         F.min(F.when(~F.col("is_current"), order)).alias("_best"),
     ]
-    lower = add_totals(routes, ["trip_id"], facts).filter(~F.col("is_current") & (F.col("risk") < F.col("current_risk")))
+    lower = add_totals(routes, ["trip_id"], facts, row_id=["ordinal", "route"]).filter(~F.col("is_current") & (F.col("risk") < F.col("current_risk")))
     return lower.select(
         "trip_id", "current_route", "current_risk", F.col("route").alias("alternative_route"), "risk",
         (F.col("ordinal") == F.col("_best.ordinal")).alias("is_safest"),
@@ -139,7 +139,7 @@ def reroute(routes: DataFrame, ruleset: str, risk: str = "risk") -> DataFrame:
 def comparison(routes: DataFrame) -> DataFrame:
     """Safest route against the shortest other one: extra length, less exposure."""
     route = F.struct("route", "risk", "distance", "ordinal")
-    tagged = add_totals(routes, ["trip_id"], [_first(route, F.col("risk")).alias("r")])
+    tagged = add_totals(routes, ["trip_id"], [_first(route, F.col("risk")).alias("r")], row_id=["ordinal", "route"])
     other = F.when(F.col("ordinal") != F.col("r.ordinal"), F.struct("distance", "ordinal"))
     s = tagged.groupBy("trip_id").agg(F.any_value("r").alias("r"), F.min_by(route, other).alias("o"))
     longer = (F.col("r.distance") - F.col("o.distance")) / F.col("o.distance") * 100.0

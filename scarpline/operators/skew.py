@@ -29,6 +29,11 @@ def heavy_keys(df: DataFrame, keys: list[str], share: float = HEAVY_SHARE) -> Da
     return counts.filter(F.col("_n") > total.scalar() * F.lit(share)).select(*keys)
 
 
+def _spread(columns: list[str], salts: int) -> Column:
+    """A salt from the row's content: a re-run task gives every row the same."""
+    return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.lit(salts)).cast("int")
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,
@@ -36,12 +41,14 @@ def skew_join(
     how: str = "left",
     share: float = HEAVY_SHARE,
     salts: int = SALTS,
+    row_id: list[str] | None = None,
 ) -> DataFrame:
     """Equi-join whose left side may hold a few very frequent keys.
 
     Rows of heavy keys get a random-looking salt taken from their content and
     the matching right rows are repeated once per salt. Other keys carry salt 0
-    on both sides, so nothing is repeated for them.
+    on both sides, so nothing is repeated for them. ``row_id`` names columns
+    that tell rows apart; by default all columns feed the salt.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"join type {how!r} would repeat the salted side")
@@ -52,7 +59,7 @@ def skew_join(
         same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(heavy[f"_h_{k}"]) for k in keys])
         return df.join(heavy, same, "left").drop(*[f"_h_{k}" for k in keys])
 
-    salt_of_row = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int")
+    salt_of_row = _spread(row_id or left.columns, salts)
     salted_left = tag(left).withColumn("_salt", F.when(F.col("_heavy"), salt_of_row).otherwise(F.lit(0))).drop("_heavy")
     copies = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     salted_right = tag(right).withColumn("_salt", F.explode(copies)).drop("_heavy")
@@ -60,7 +67,12 @@ def skew_join(
 
 
 def add_totals(
-    df: DataFrame, keys: list[str], aggs: list[Column], base: DataFrame | None = None, share: float = HEAVY_SHARE
+    df: DataFrame,
+    keys: list[str],
+    aggs: list[Column],
+    base: DataFrame | None = None,
+    share: float = HEAVY_SHARE,
+    row_id: list[str] | None = None,
 ) -> DataFrame:
     """Attach per-key aggregates to every row; rows with a NULL key get NULLs.
 
@@ -68,7 +80,7 @@ def add_totals(
     ``1 / share`` rows) reach their rows by broadcast, and those rows are then
     spread by a salt that matches nothing, so the shuffle join only meets keys
     that are small enough for one task. ``base`` may name a cheaper frame with
-    the same rows to aggregate.
+    the same rows to aggregate, ``row_id`` the columns that tell rows apart.
     """
     rows = df if base is None else base
     totals = rows.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("_n"))
@@ -81,7 +93,7 @@ def add_totals(
         F.lit(True).alias("_heavy"),
     )
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys])
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SALTS)).cast("int") + 1
+    spread = _spread(row_id or df.columns, SALTS) + 1
     tagged = df.join(F.broadcast(heavy), same, "left").withColumn("_salt", F.when(F.col("_heavy"), spread).otherwise(F.lit(0)))
     tagged = tagged.drop(*[f"_h_{k}" for k in keys], "_heavy")
     light = totals.select(*keys, *[F.col(n).alias(f"_l_{n}") for n in names], F.lit(0).alias("_salt"))

@@ -101,7 +101,7 @@ def sample_layers(
     if grid.cells <= BROADCAST_CELLS:
         joined = keyed.join(F.broadcast(wide), ["_r", "_c"], "left")
     else:
-        joined = skew_join(keyed, wide, ["_r", "_c"], "left")
+        joined = skew_join(keyed, wide, ["_r", "_c"], "left", row_id=["longitude", "latitude"])
     inside = grid.contains(F.col("_r"), F.col("_c"))
     out = {}
     for name, column in layers.items():

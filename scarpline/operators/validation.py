@@ -48,7 +48,7 @@ def with_duplicate_flag(df: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     so an id that fills a third of the table stays spread over all tasks.
     """
     keyed = df.withColumn("_id_key", strip(F.col("landslide_id")))
-    first = add_totals(keyed, ["_id_key"], [F.min(ordinal).alias("_first")])
+    first = add_totals(keyed, ["_id_key"], [F.min(ordinal).alias("_first")], row_id=[ordinal])
     return first.withColumn("is_repeat", F.coalesce(F.col(ordinal) > F.col("_first"), F.lit(False))).drop("_first", "_id_key")
 
 

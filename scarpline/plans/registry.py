@@ -35,7 +35,11 @@ class Inputs:
         if name in STAGED_VIEWS:
             key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
             if key not in _STAGED:
-                _STAGED[key] = shared.store(views.view(self.spark, self.sf_dir, name), name)
+                raw = views.view(self.spark, self.sf_dir, name)
+                tasks = self.spark.sparkContext.defaultParallelism
+                if raw.rdd.getNumPartitions() < tasks:  # a small single file would keep all scans in one task
+                    raw = raw.repartition(tasks)
+                _STAGED[key] = shared.store(raw, name)
             return _STAGED[key]
         if name in views.VIEWS:
             return views.view(self.spark, self.sf_dir, name)

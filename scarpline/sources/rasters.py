@@ -41,7 +41,7 @@ def pair_by_position(images: DataFrame, masks: DataFrame) -> DataFrame:
 
     def numbered(df: DataFrame, name: str) -> DataFrame:
         placed = positions(df.select("split", "file_name"), [F.col("split"), F.col("file_name")])
-        based = add_totals(placed, ["split"], [F.min("position").alias("_first")])
+        based = add_totals(placed, ["split"], [F.min("position").alias("_first")], row_id=["position"])
         return based.select("split", (F.col("position") - F.col("_first") + 1).alias("pair_no"), F.col("file_name").alias(name))
 
     return numbered(images, "image").join(numbered(masks, "mask"), ["split", "pair_no"], "full")

@@ -12,9 +12,9 @@ The rule is sequential along a key, so a batch is solved in time blocks:
 2. per key over its blocks: which instant does open each block;
 3. per (key, block): replay with the known opening instant.
 
-Groups hold the distinct instants of one key in one block, and step 2 only
-those of the first ``gap`` seconds of each block, so a key with very many
-events is cut by time instead of filling one task.
+A key with few instants is one block. A key with many is cut by time: groups
+then hold its distinct instants of one block, and step 2 only those of the
+first ``gap`` seconds of each block, so no task receives a whole busy key.
 """
 
 from __future__ import annotations
@@ -26,8 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from scarpline.operators.skew import add_totals
+
 GAP_S = 300.0
 BLOCK_S = 3600.0
+BUSY_KEY = 200_000  # distinct instants above which a key is cut into blocks
+WHOLE = -1
 
 
 def chain(ts: np.ndarray, first: int, gap: float) -> list[int]:
@@ -51,18 +55,23 @@ def exits(ts: np.ndarray, gap: float) -> np.ndarray:
         nxt = further
 
 
-def keep_spaced(events: DataFrame, key: str, gap_s: float = GAP_S, block_s: float = BLOCK_S, ts: str = "ts") -> DataFrame:
+def keep_spaced(
+    events: DataFrame, key: str, gap_s: float = GAP_S, block_s: float = BLOCK_S, ts: str = "ts", busy: int = BUSY_KEY
+) -> DataFrame:
     """(key, at) for each kept instant, ``at`` in epoch seconds."""
     if block_s < gap_s:
         raise ValueError("a block must be at least as long as the gap")
     at = F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6)
     instants = events.select(F.col(key).cast("string").alias("k"), at.alias("at")).distinct()
-    instants = instants.withColumn("block", F.floor(F.col("at") / block_s).cast("bigint"))
+    counted = add_totals(instants, ["k"], [F.count(F.lit(1)).alias("instants")], row_id=["at"])
+    cut = F.when(F.col("instants") > busy, F.floor(F.col("at") / block_s)).otherwise(F.lit(WHOLE))
+    instants = counted.select("k", "at", cut.cast("bigint").alias("block"))
 
     def openings(pdf: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(pdf["at"].to_numpy())
-        base = float(pdf["block"].iloc[0]) * block_s
-        count = min(len(t), int(np.searchsorted(t, base + gap_s, side="left")) + 1)
+        block = int(pdf["block"].iloc[0])
+        reach = t[0] if block == WHOLE else block * block_s + gap_s
+        count = min(len(t), int(np.searchsorted(t, reach, side="left")) + 1)
         return pd.DataFrame({"k": pdf["k"].iloc[0], "block": pdf["block"].iloc[0], "opening": t[:count], "leaving": exits(t, gap_s)[:count]})
 
     def connect(pdf: pd.DataFrame) -> pd.DataFrame:
