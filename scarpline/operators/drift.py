@@ -43,10 +43,13 @@ def last_values(bands: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def bin_of(value: Column, bins: int = BINS) -> Column:
-    """1..bins; the last bin includes its upper edge; NULL outside the range."""
-    b = F.width_bucket(value, F.lit(LOW), F.lit(HIGH), F.lit(bins)).cast("int")
-    closed = F.when(value == HIGH, F.lit(bins)).otherwise(b)
-    return F.when(value.between(LOW, HIGH), closed)
+    """1..bins; the last bin includes its upper edge; NULL outside the range.
+
+    Compares with the edges themselves: an arithmetic bucket would put values
+    such as 1.2 on the other side of an edge that is 1.2000000000000002.
+    """
+    reached = [(value >= F.lit(e)).cast("int") for e in edges(bins)[:-1]]
+    return F.when(value.between(LOW, HIGH), sum(reached[1:], reached[0]))
 
 
 def histogram(bands: DataFrame, bins: int = BINS) -> DataFrame:

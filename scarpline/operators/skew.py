@@ -108,8 +108,8 @@ def hash_rank(
 
     The key must identify a row. The leading hex digits cut every label into
     16^digits even buckets; bucket counts give each bucket its offset, so no
-    task ever sorts a whole label. Also adds ``label_total``. Labels are a
-    small fixed set, which bounds the broadcast offset table.
+    task ever sorts a whole label. Also adds ``label_total``. The offset join
+    reuses the partitioning of the ranking window.
     """
     h = F.md5(F.concat(key.cast("string"), F.lit(f"-{seed}")))
     rows = df.withColumn("_h", h).withColumn("_bucket", F.substring("_h", 1, digits))
@@ -125,7 +125,7 @@ def hash_rank(
     in_bucket = Window.partitionBy(label, "_bucket").orderBy("_h")
     ranked = rows.withColumn("_rn", F.row_number().over(in_bucket))
     joined = ranked.join(
-        F.broadcast(offsets), ranked[label].eqNullSafe(offsets["_label"]) & (ranked["_bucket"] == offsets["_b"])
+        offsets, ranked[label].eqNullSafe(offsets["_label"]) & (ranked["_bucket"] == offsets["_b"])
     )
     return joined.withColumn(name, F.col("_rn") + F.col("_offset")).drop("_h", "_bucket", "_rn", "_offset", "_label", "_b")
 
