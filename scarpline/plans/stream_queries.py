@@ -36,7 +36,6 @@ def _(v):
     return rounded(monitors.drift_report(monitors.drift_state(bands)), "psi", "mean", "std")
 
 
-_SECONDS = "CAST(epoch_us(ts) AS DOUBLE) / CAST(1000000 AS DOUBLE)"
 _CHAIN = """ev AS (SELECT DISTINCT {key} AS k, epoch_us(ts) AS us FROM {src}),
 ch AS (SELECT k, min(us) AS us FROM ev GROUP BY k UNION ALL SELECT e.k, min(e.us) FROM ch JOIN ev e ON e.k = ch.k AND e.us >= ch.us + {gap} GROUP BY e.k, ch.us)"""
 
@@ -48,8 +47,9 @@ ch AS (SELECT k, min(us) AS us FROM ev GROUP BY k UNION ALL SELECT e.k, min(e.us
 )
 def _(v):
     kept = runner.run_append(spacing.keep_spaced_stream(_events(v), "event_type"), "cooldown")
-    us = F.round(F.col("at") * 1e6).cast("bigint")
-    return kept.groupBy(F.col("k").alias("alert_key")).agg(F.count(F.lit(1)).alias("emitted"), F.min(us).alias("first_us"), F.max(us).alias("last_us"))
+    return kept.groupBy(F.col("k").alias("alert_key")).agg(
+        F.count(F.lit(1)).alias("emitted"), F.min("at_us").alias("first_us"), F.max("at_us").alias("last_us")
+    )
 
 
 @query(
@@ -58,8 +58,7 @@ def _(v):
     recursive=True,
 )
 def _(v):
-    kept = spacing.keep_spaced(v("events"), "user_id", gap_s=21600.0, block_s=86400.0)
-    return kept.select("k", F.round(F.col("at") * 1e6).cast("bigint").alias("at_us"))
+    return spacing.keep_spaced(v("events"), "user_id", gap_s=21600.0, block_s=86400.0)
 
 
 _RECENT = f"SELECT event_id, user_id, event_type, {stamp('ts')} FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS recency FROM events) e WHERE recency <= 20"

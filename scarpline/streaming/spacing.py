@@ -5,25 +5,28 @@ The first event of a key is kept; a later one is kept when it comes at least
 alerts, and also a cache entry that lives ``gap`` seconds after being set:
 kept events are the misses.
 
-The rule is sequential along a key, so a batch is solved in time blocks:
+The rule is sequential along a key. Keys with few instants are solved in one
+pass over partitions sorted by key and time, with one number of state and no
+group in memory. A key with many instants is cut into time blocks instead:
 
 1. per (key, block): for every instant that could open the block's chain, the
    last kept instant on leaving the block;
 2. per key over its blocks: which instant does open each block;
 3. per (key, block): replay with the known opening instant.
 
-A key with few instants is one block. A key with many is cut by time: groups
-then hold its distinct instants of one block, and step 2 only those of the
-first ``gap`` seconds of each block, so no task receives a whole busy key.
+Those groups hold the distinct instants of one key in one block, and step 2
+only those of the first ``gap`` seconds of each block, so no task receives a
+whole busy key. All times are integer microseconds.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from scarpline.operators.skew import add_totals
@@ -31,68 +34,97 @@ from scarpline.operators.skew import add_totals
 GAP_S = 300.0
 BLOCK_S = 3600.0
 BUSY_KEY = 200_000  # distinct instants above which a key is cut into blocks
-WHOLE = -1
+_EVER = -(1 << 62)
 
 
-def chain(ts: np.ndarray, first: int, gap: float) -> list[int]:
-    """Positions kept from ``first`` on in a sorted array of instants."""
-    kept, i = [], first
-    while i < len(ts):
-        kept.append(i)
-        i = int(np.searchsorted(ts, ts[i] + gap, side="left"))
+def micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+def chain(times: list[int], free: int, gap: int, low: int = 0, high: int | None = None) -> list[int]:
+    """Times kept from a sorted stretch when nothing before ``free`` may be kept."""
+    end = len(times) if high is None else high
+    kept, i = [], bisect_left(times, free, low, end)
+    while i < end:
+        kept.append(times[i])
+        i = bisect_left(times, times[i] + gap, i, end)
     return kept
 
 
-def exits(ts: np.ndarray, gap: float) -> np.ndarray:
-    """For every start position, the last instant its chain keeps."""
-    nxt = np.append(np.searchsorted(ts, ts + gap, side="left"), len(ts))
-    last = np.arange(len(ts) + 1)
-    nxt = np.where(nxt >= len(ts), last, nxt)
-    while True:
-        further = nxt[nxt]
-        if np.array_equal(further, nxt):
-            return ts[nxt[: len(ts)]]
-        nxt = further
+def exits(times: np.ndarray, gap: int) -> np.ndarray:
+    """For every start, the last time its chain keeps, by pointer doubling."""
+    n = len(times)
+    nxt = np.searchsorted(times, times + gap, side="left")
+    nxt = np.where(nxt >= n, np.arange(n), nxt)
+    while not np.array_equal(nxt[nxt], nxt):
+        nxt = nxt[nxt]
+    return times[nxt]
 
 
 def keep_spaced(
     events: DataFrame, key: str, gap_s: float = GAP_S, block_s: float = BLOCK_S, ts: str = "ts", busy: int = BUSY_KEY
 ) -> DataFrame:
-    """(key, at) for each kept instant, ``at`` in epoch seconds."""
+    """(k, at_us) for each kept instant."""
     if block_s < gap_s:
         raise ValueError("a block must be at least as long as the gap")
-    at = F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6)
-    instants = events.select(F.col(key).cast("string").alias("k"), at.alias("at")).distinct()
-    counted = add_totals(instants, ["k"], [F.count(F.lit(1)).alias("instants")], row_id=["at"])
-    cut = F.when(F.col("instants") > busy, F.floor(F.col("at") / block_s)).otherwise(F.lit(WHOLE))
-    instants = counted.select("k", "at", cut.cast("bigint").alias("block"))
+    gap, block_us = int(gap_s * 1e6), int(block_s * 1e6)
+    instants = events.select(F.col(key).cast("string").alias("k"), micros(ts).alias("at_us")).distinct()
+    counted = add_totals(instants, ["k"], [F.count(F.lit(1)).alias("instants")], row_id=["at_us"])
+    calm = counted.filter(F.col("instants") <= busy).select("k", "at_us")
+    crowded = counted.filter(F.col("instants") > busy)
+    return _calm_keys(calm, gap).unionByName(_busy_keys(crowded, gap, block_us))
+
+
+def _calm_keys(instants: DataFrame, gap: int) -> DataFrame:
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last_key, free = None, _EVER
+        for pdf in batches:
+            keys, times = pdf["k"].to_numpy(), pdf["at_us"].to_list()
+            starts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(times)]
+            out_keys, out_times = [], []
+            for low, high in zip(starts, starts[1:]):
+                if low == high:
+                    continue
+                if keys[low] != last_key:
+                    last_key, free = keys[low], _EVER
+                kept = chain(times, free, gap, low, high)
+                if kept:
+                    free = kept[-1] + gap
+                    out_keys += [last_key] * len(kept)
+                    out_times += kept
+            yield pd.DataFrame({"k": out_keys, "at_us": out_times})
+
+    placed = instants.repartition("k").sortWithinPartitions("k", "at_us")
+    return placed.mapInPandas(walk, "k string, at_us bigint")
+
+
+def _busy_keys(counted: DataFrame, gap: int, block_us: int) -> DataFrame:
+    instants = counted.select("k", "at_us", F.floor(F.col("at_us") / F.lit(block_us)).cast("bigint").alias("block"))
 
     def openings(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["at"].to_numpy())
-        block = int(pdf["block"].iloc[0])
-        reach = t[0] if block == WHOLE else block * block_s + gap_s
+        t = np.sort(pdf["at_us"].to_numpy())
+        reach = int(pdf["block"].iloc[0]) * block_us + gap
         count = min(len(t), int(np.searchsorted(t, reach, side="left")) + 1)
-        return pd.DataFrame({"k": pdf["k"].iloc[0], "block": pdf["block"].iloc[0], "opening": t[:count], "leaving": exits(t, gap_s)[:count]})
+        return pd.DataFrame({"k": pdf["k"].iloc[0], "block": pdf["block"].iloc[0], "opening": t[:count], "leaving": exits(t, gap)[:count]})
 
     def connect(pdf: pd.DataFrame) -> pd.DataFrame:
-        blocks, opened, free = [], [], -np.inf
+        blocks, opened, free = [], [], _EVER
         for block, rows in pdf.sort_values(["block", "opening"]).groupby("block", sort=True):
             i = int(np.searchsorted(rows["opening"].to_numpy(), free, side="left"))
             if i < len(rows):
                 blocks.append(block)
-                opened.append(float(rows["opening"].iloc[i]))
-                free = float(rows["leaving"].iloc[i]) + gap_s
+                opened.append(int(rows["opening"].iloc[i]))
+                free = int(rows["leaving"].iloc[i]) + gap
         return pd.DataFrame({"k": pdf["k"].iloc[0], "block": blocks, "opened": opened})
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["at"].to_numpy())
-        first = int(np.searchsorted(t, pdf["opened"].iloc[0], side="left"))
-        return pd.DataFrame({"k": pdf["k"].iloc[0], "at": t[chain(t, first, gap_s)]})
+        times = sorted(pdf["at_us"].to_list())
+        return pd.DataFrame({"k": pdf["k"].iloc[0], "at_us": chain(times, int(pdf["opened"].iloc[0]), gap)})
 
-    candidates = instants.groupBy("k", "block").applyInPandas(openings, "k string, block bigint, opening double, leaving double")
-    opened = candidates.groupBy("k").applyInPandas(connect, "k string, block bigint, opened double")
+    candidates = instants.groupBy("k", "block").applyInPandas(openings, "k string, block bigint, opening bigint, leaving bigint")
+    opened = candidates.groupBy("k").applyInPandas(connect, "k string, block bigint, opened bigint")
     known = instants.join(opened, ["k", "block"])
-    return known.groupBy("k", "block").applyInPandas(replay, "k string, at double")
+    return known.groupBy("k", "block").applyInPandas(replay, "k string, at_us bigint")
 
 
 def hit_rates(events: DataFrame, key: str, by: str, ttl_s: float = GAP_S, ts: str = "ts") -> DataFrame:
@@ -110,30 +142,32 @@ def hit_rates(events: DataFrame, key: str, by: str, ttl_s: float = GAP_S, ts: st
 
 
 def keep_spaced_stream(events: DataFrame, key: str, gap_s: float = GAP_S, lateness: str = "10 minutes", ts: str = "ts") -> DataFrame:
-    """Stream form: one double of state per key, dropped once it cannot matter.
+    """Stream form: one number of state per key, dropped once it cannot matter.
 
     A micro-batch is bounded by the source (files per trigger). Its events
     arrive in chunks; only the distinct instants of a key are held for sorting.
     """
 
+    gap = int(gap_s * 1e6)
+
     def step(k: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        instants = np.unique(np.concatenate([np.unique(c["at"].to_numpy()) for c in chunks]))
-        free = state.get[0] + gap_s if state.exists else -np.inf
-        kept = instants[chain(instants, int(np.searchsorted(instants, free, side="left")), gap_s)]
-        if len(kept):
-            state.update((float(kept[-1]),))
-        expiry_ms = int((state.get[0] + gap_s) * 1000) + 1
+        times = np.unique(np.concatenate([np.unique(c["at_us"].to_numpy()) for c in chunks])).tolist()
+        free = state.get[0] + gap if state.exists else _EVER
+        kept = chain(times, free, gap)
+        if kept:
+            state.update((kept[-1],))
+        expiry_ms = (state.get[0] + gap) // 1000 + 1
         if expiry_ms > state.getCurrentWatermarkMs():
             state.setTimeoutTimestamp(expiry_ms)
         else:
             state.remove()
-        yield pd.DataFrame({"k": k[0], "at": kept})
+        if kept:
+            yield pd.DataFrame({"k": k[0], "at_us": kept})
 
-    at = F.unix_micros(ts) / F.lit(1e6)
-    rows = events.withWatermark(ts, lateness).select(F.col(key).cast("string").alias("k"), ts, at.alias("at"))
+    rows = events.withWatermark(ts, lateness).select(F.col(key).cast("string").alias("k"), ts, micros(ts).alias("at_us"))
     return rows.groupBy("k").applyInPandasWithState(
-        step, "k string, at double", "last double", "append", GroupStateTimeout.EventTimeTimeout
+        step, "k string, at_us bigint", "last bigint", "append", GroupStateTimeout.EventTimeTimeout
     )
