@@ -47,10 +47,10 @@ def to_number(c: Column) -> Column:
 
     The cast alone would also read Java literals such as 1.5d or 0x1p3.
     """
-    text = strip(c.cast("string"))
-    literal = text.rlike("[dDfFxX]") & ~text.rlike("(?i)^[+-]?inf")
-    number = text.try_cast("double")
-    return F.when(~literal & ~F.isnan(number), number)
+    text = c.cast("string")
+    literal = text.rlike("(?i)^[^i]*[dfx]")  # "inf" has its i first
+    number = strip(text).try_cast("double")
+    return F.when(~literal, F.nanvl(number, F.lit(None).cast("double")))
 
 
 def is_bad_number(c: Column) -> Column:

@@ -45,7 +45,9 @@ def exclusion_reason() -> Column:
 
 def point_layer(df: DataFrame) -> DataFrame:
     """Records with usable coordinates, plus a Point(lon, lat) geometry."""
-    kept = df.filter(exclusion_reason().isNull())
+    # Missing and unreadable text is NULL here, so two comparisons decide, and
+    # the pushed-down filter stays short.
+    kept = df.filter((F.abs(to_number(F.col("latitude"))) <= 90) & (F.abs(to_number(F.col("longitude"))) <= 180))
     numeric = kept.withColumns({"latitude": to_number(F.col("latitude")), "longitude": to_number(F.col("longitude"))})
     return numeric.withColumn("geometry", point(F.col("longitude"), F.col("latitude")))
 
