@@ -19,7 +19,7 @@ from scarpline.sources import shared
 
 HEAVY_SHARE = 1 / 256
 SALTS = 64
-HASH_DIGITS = 3
+HASH_DIGITS = 4
 
 
 def heavy_keys(df: DataFrame, keys: list[str], share: float = HEAVY_SHARE) -> DataFrame:
