@@ -298,7 +298,10 @@ def verdict(findings: DataFrame) -> DataFrame:
 
 
 def audit(table: DataFrame, layer: DataFrame, key: str = "ordinal") -> DataFrame:
-    """All findings of a feature table against its point layer."""
+    """All findings of a feature table against its point layer.
+
+    Every check is a pass of its own over few columns, so pass stored tables.
+    """
     parts = [
         structural(table), ids(table), dates(table), coordinates(table), spatial_match(table, layer, key),
         feature_ranges(table), status_consistency(table), duplicates(table), provenance(table),

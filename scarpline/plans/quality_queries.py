@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from scarpline.operators import contracts, dataset_qa, ml_tables
 from scarpline.plans.incident_queries import STRICT_DATE, n
 from scarpline.plans.registry import check_view, query
-from scarpline.plans.spatial_queries import features, points
+from scarpline.plans.spatial_queries import features as extracted, points
 
 LAYERS = dataset_qa.LAYER_COLUMNS
 
@@ -15,6 +15,11 @@ def found(check: str, source: str, rules) -> str:
     return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") t WHERE n > 0"
 
 
+def features(v):
+    """The feature table as the checks receive it: a stored stage output."""
+    return v.staged("features", lambda: extracted(v))
+
+
 def layer(v):
     """Point layer in which some records are shifted and some are absent."""
     shifted = F.col("ordinal") % 13 == 0
@@ -148,33 +153,37 @@ def _(v):
 _FEATURE_COLUMNS = ", ".join(_PRESENT)
 
 
-@query(
-    "duplicate_audit", "Q9", "features",
+_DUPLICATES = (
     "SELECT * FROM ("
     f"SELECT 'duplicates' AS check_name, 'WARNING' AS severity, 'duplicate rows' AS detail, CAST(sum(m - 1) AS BIGINT) AS n FROM (SELECT count(*) AS m FROM features GROUP BY {_FEATURE_COLUMNS}) a"
     " UNION ALL SELECT 'duplicates', 'WARNING', 'duplicate ids', CAST(sum(m - 1) AS BIGINT) FROM (SELECT count(*) AS m FROM features GROUP BY landslide_id) b"
-    " UNION ALL SELECT 'duplicates', 'WARNING', 'duplicate coordinates', CAST(sum(m - 1) AS BIGINT) FROM (SELECT count(*) AS m FROM features GROUP BY latitude, longitude) c) t WHERE n > 0",
+    " UNION ALL SELECT 'duplicates', 'WARNING', 'duplicate coordinates', CAST(sum(m - 1) AS BIGINT) FROM (SELECT count(*) AS m FROM features GROUP BY latitude, longitude) c) t WHERE n > 0"
 )
+
+
+@query("duplicate_audit", "Q9", "features", _DUPLICATES)
 def _(v):
     return dataset_qa.duplicates(features(v))
 
 
-@query(
-    "provenance_audit", "Q10", "features",
+_PROVENANCE = (
     found("provenance", "features", [
         ("WARNING", "no record is marked", f"CASE WHEN {n(chr(39).join(['data_source_type = ', 'SYNTHETIC_DEMO', '']))} = 0 THEN count(*) END"),
         ("WARNING", "records without the mark", n("data_source_type <> ''SYNTHETIC_DEMO''".replace("''", "'"))),
-    ]) + " UNION ALL SELECT 'provenance', 'INFO', 'other value ' || data_source_type, count(*) FROM features WHERE data_source_type <> 'SYNTHETIC_DEMO' GROUP BY data_source_type",
+    ]) + " UNION ALL SELECT 'provenance', 'INFO', 'other value ' || data_source_type, count(*) FROM features WHERE data_source_type <> 'SYNTHETIC_DEMO' GROUP BY data_source_type"
 )
+
+
+@query("provenance_audit", "Q10", "features", _PROVENANCE)
 def _(v):
     return dataset_qa.provenance(features(v))
 
 
-@query(
-    "id_differences", "Q11", "features layer",
-    """SELECT 'table' AS side, landslide_id FROM (SELECT DISTINCT landslide_id FROM features WHERE landslide_id IS NOT NULL EXCEPT SELECT landslide_id FROM layer) a
-UNION ALL SELECT 'layer', landslide_id FROM (SELECT DISTINCT landslide_id FROM layer WHERE landslide_id IS NOT NULL EXCEPT SELECT landslide_id FROM features) b""",
-)
+_ID_DIFFERENCES = """SELECT 'table' AS side, landslide_id FROM (SELECT DISTINCT landslide_id FROM features WHERE landslide_id IS NOT NULL EXCEPT SELECT landslide_id FROM layer) a
+UNION ALL SELECT 'layer', landslide_id FROM (SELECT DISTINCT landslide_id FROM layer WHERE landslide_id IS NOT NULL EXCEPT SELECT landslide_id FROM features) b"""
+
+
+@query("id_differences", "Q11", "features layer", _ID_DIFFERENCES)
 def _(v):
     return dataset_qa.id_differences(features(v), layer(v))
 
@@ -253,7 +262,37 @@ def _(v):
     return dataset_qa.verdict(out)
 
 
-@query("full_audit", "Q1 Q2 Q3 Q4 Q5 Q6 Q7 Q9 Q10 Q11 Q12 Q13 Q14")
+_REAL_RANGES = []
+for _f, (_lo, _hi) in dataset_qa.FEATURE_RANGES.items():
+    if _lo is not None:
+        _REAL_RANGES.append(("ERROR", f"{_f} below {_lo}", n(f"{_f} < {_lo}")))
+    if _hi is not None:
+        _REAL_RANGES.append(("ERROR", f"{_f} above {_hi}", n(f"{_f} > {_hi}")))
+_REAL_YEARS = [r for r in _DATES if "year" not in r[1]] + [
+    ("WARNING", "before year 1900", n(f"year({STRICT_DATE}) < 1900")),
+    ("WARNING", "after year 2030", n(f"year({STRICT_DATE}) > 2030")),
+]
+_WRONG = n("(s = 'COMPLETE' AND k < 4) OR (s = 'PARTIAL' AND k IN (0, 4)) OR (s = 'NO_FEATURES' AND k > 0)")
+_FULL_AUDIT = " UNION ALL ".join(
+    f"SELECT check_name, severity, detail, n FROM ({part}) p{i}"
+    for i, part in enumerate([
+        _sql_structural,
+        found("ids", "features", _IDS),
+        found("dates", "features", _REAL_YEARS),
+        found("coordinates", "features", _COORDS),
+        found("spatial_match", "matched", _MATCH),
+        found("feature_ranges", "features", _REAL_RANGES),
+        found("status_consistency", "features", [("WARNING", f"{c} extracted but missing", n(f"{x}_status = 'EXTRACTED' AND {c} IS NULL")) for x, c in LAYERS.items()]),
+        _DUPLICATES,
+        _PROVENANCE,
+        found("extraction_status", f"(SELECT feature_extraction_status AS s, {_EX} AS k FROM features) f", [("WARNING", "inconsistent records", _WRONG)]),
+        found("rainfall", "features", [("WARNING", "records without the mark", n("rainfall_status <> 'NOT_SPATIALLY_MAPPABLE'")), ("INFO", "values in rainfall_24h", "count(rainfall_24h)")]),
+        f"SELECT 'cross_dataset' AS check_name, 'WARNING' AS severity, 'ids only in ' || side AS detail, count(*) AS n FROM ({_ID_DIFFERENCES}) d GROUP BY side",
+    ])
+)
+
+
+@query("full_audit", "Q1 Q2 Q3 Q4 Q5 Q6 Q7 Q9 Q10 Q11 Q12 Q13 Q14", "matched features layer", _FULL_AUDIT)
 def _(v):
     return dataset_qa.audit(features(v), layer(v))
 

@@ -33,19 +33,25 @@ class Inputs:
 
     def __call__(self, name: str) -> DataFrame:
         if name in STAGED_VIEWS:
-            key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-            if key not in _STAGED:
-                raw = views.view(self.spark, self.sf_dir, name)
-                tasks = self.spark.sparkContext.defaultParallelism
-                if raw.rdd.getNumPartitions() < tasks:  # a small single file would keep all scans in one task
-                    raw = raw.repartition(tasks)
-                _STAGED[key] = shared.store(raw, name)
-            return _STAGED[key]
+            return self.staged(name, lambda: self._spread(views.view(self.spark, self.sf_dir, name)))
         if name in views.VIEWS:
             return views.view(self.spark, self.sf_dir, name)
         return views.table(self.spark, self.sf_dir, name)
 
 
+    def staged(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A stage table that later stages read: written once per session."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STAGED:
+            _STAGED[key] = shared.store(build(), name)
+        return _STAGED[key]
+
+    def _spread(self, df: DataFrame) -> DataFrame:
+        """A small single file would keep every later scan in one task."""
+        tasks = self.spark.sparkContext.defaultParallelism
+        return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 @dataclass(frozen=True)
 class Query:
     name: str
