@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from scarpline.functions.text import to_number
-from scarpline.operators.dataset_qa import DEMO_MARK, UNMAPPABLE, column_names, names_with_fragments
+from scarpline.operators.dataset_qa import DEMO_MARK, UNMAPPABLE, column_names
 
 # The contract.
 FEATURE_ORDER = (

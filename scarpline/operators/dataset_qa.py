@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from scarpline.functions.text import count_true, is_missing, outside, to_iso_date, to_number
+from scarpline.functions.text import count_true, outside, to_iso_date, to_number
 from scarpline.operators.spatial import LAYER_COLUMNS
 
 # Columns, ranges and name fragments of the checks.
@@ -32,7 +32,6 @@ DEMO_MARK = "SYNTHETIC_DEMO"
 UNMAPPABLE = "NOT_SPATIALLY_MAPPABLE"
 YEARS = (1900, 2030)
 SHOWN_MISMATCHES = 5
-_RANKS = {"ERROR": 3, "WARNING": 2, "INFO": 1}
 
 
 def run_rules(df: DataFrame, check: str, rules: list[tuple[str, str, Column]]) -> DataFrame:

@@ -6,8 +6,6 @@ keep the variants that differ on purpose.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scarpline.functions.geo import rounded_key

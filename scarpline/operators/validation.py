@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from scarpline.functions.text import count_true, is_bad_number, is_missing, outside, strip, to_iso_date, to_number
+from scarpline.functions.text import count_true, is_missing, outside, strip, to_iso_date, to_number
 from scarpline.operators.skew import add_totals
 
 # The field groups of an incident record.

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F, types as T
 
 from scarpline.operators import cleaning, spatial, validation
-from scarpline.plans.incident_queries import LAT, LON
 from scarpline.plans.registry import check_view, query
 from scarpline.plans.spatial_queries import points
 from scarpline.sources import catalog, geojson, incidents, rasters, relational, shared

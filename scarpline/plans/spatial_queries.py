@@ -195,7 +195,6 @@ def _(v):
 
 
 _STEP_Y = 0.005 * 111000.0
-_STEP_X = _STEP_Y * 0.8853936258154159
 
 
 def _diff(w: str, along: str, step: str) -> str:

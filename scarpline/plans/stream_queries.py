@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from scarpline.operators import pixels
 from scarpline.plans.pixel_queries import r6, rounded
 from scarpline.plans.registry import query
 from scarpline.plans.report_queries import stamp, stamped
