@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scarpline.llm import common, hash_tree, pii, syncmers, url_lm
+from scarpline.llm import byte_bpe, common, hash_tree, pii, simhash_grid, syncmers, url_lm
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,13 +23,24 @@ def op5_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lm.judge(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.digests(common.table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op9_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.shard_rows(common.table(spark, sf_dir, "documents"))
 
 
+def op10_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_grid.classes(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_personal_data, op4_syncmer_fingerprints, op5_url_verdicts, op9_hash_tree_shards)
+    for f in (
+        op3_personal_data, op4_syncmer_fingerprints, op5_url_verdicts, op7_byte_bpe, op9_hash_tree_shards, op10_simhash_classes,
+    )
 }
 
 SQL: dict[str, str] = {}
