@@ -7,7 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scarpline.llm import byte_bpe, common, hash_tree, pii, simhash_grid, syncmers, url_lm
+from scarpline.llm import byte_bpe, common, hash_tree, pairwise_quality, pii, simhash_grid, syncmers, tiling, url_lm
+
+
+def op1_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairwise_quality.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +32,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(common.table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op8_benchmark_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.overlaps(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op9_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.shard_rows(common.table(spark, sf_dir, "documents"))
 
@@ -39,7 +47,8 @@ def op10_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op3_personal_data, op4_syncmer_fingerprints, op5_url_verdicts, op7_byte_bpe, op9_hash_tree_shards, op10_simhash_classes,
+        op1_pairwise_quality, op3_personal_data, op4_syncmer_fingerprints, op5_url_verdicts, op7_byte_bpe,
+        op8_benchmark_tiles, op9_hash_tree_shards, op10_simhash_classes,
     )
 }
 
