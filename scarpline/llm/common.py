@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,19 +29,32 @@ def id_remainder(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder, which outlives executors.
+def _shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which outlives executors.
 
-    The session's ``spark.checkpoint.dir`` names it. Only where that is unset
-    a folder below the warehouse is used.
+    ``spark.checkpoint.dir`` names it. Only where that is unset a folder below
+    the warehouse is used.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(root or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise a small intermediate by a checkpoint in the shared folder."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Materialise a large intermediate as a compressed table in the shared folder."""
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_rows(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Each Arrow batch with its texts as UTF-8 bytes (NULL: empty)."""
     for batch in batches:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scarpline.llm import byte_bpe, common, hash_tree, pairwise_quality, pii, simhash_grid, syncmers, tiling, url_lm
+from scarpline.llm import byte_bpe, common, hash_tree, pairwise_quality, pii, simhash_grid, suffix_tree_lm, syncmers, tiling, url_lm
 
 
 def op1_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lm.judge(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score(common.table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.digests(common.table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -47,8 +51,8 @@ def op10_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_pairwise_quality, op3_personal_data, op4_syncmer_fingerprints, op5_url_verdicts, op7_byte_bpe,
-        op8_benchmark_tiles, op9_hash_tree_shards, op10_simhash_classes,
+        op1_pairwise_quality, op3_personal_data, op4_syncmer_fingerprints, op5_url_verdicts, op6_suffix_tree_scores,
+        op7_byte_bpe, op8_benchmark_tiles, op9_hash_tree_shards, op10_simhash_classes,
     )
 }
 
