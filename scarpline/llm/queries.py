@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scarpline.llm import byte_bpe, common, hash_tree, pairwise_quality, pii, simhash_grid, suffix_tree_lm, syncmers, tiling, url_lm
+from scarpline.llm import byte_bpe, common, hash_tree, pairwise_quality, pii, simhash_grid, suffix_dedup, suffix_tree_lm, syncmers, tiling, url_lm
 
 
 def op1_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise_quality.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(common.table(spark, sf_dir, "documents"))
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(common.table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_pairwise_quality, op3_personal_data, op4_syncmer_fingerprints, op5_url_verdicts, op6_suffix_tree_scores,
+        op1_pairwise_quality, op2_suffix_array_dedup, op3_personal_data, op4_syncmer_fingerprints, op5_url_verdicts, op6_suffix_tree_scores,
         op7_byte_bpe, op8_benchmark_tiles, op9_hash_tree_shards, op10_simhash_classes,
     )
 }
