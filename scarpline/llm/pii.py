@@ -33,6 +33,8 @@ class Kind:
     hint: str | None = None  # a text without it has no match
 
 
+_BEFORE, _AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+
 # Fixed values of the contract: kinds and their order.
 BASE = ("email", "ip", "card", "phone")
 KINDS = (
@@ -40,8 +42,8 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)", 0.6, "ip|address|host|server"),
     Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,}+", 0.2, "card|visa|credit|payment"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, "phone|tel|call|fax", "+"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.2, "iban|bank|account|konto"),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, "ssn|social|security"),
+    Kind("iban", _BEFORE + "[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}" + _AFTER, 0.2, "iban|bank|account|konto"),
+    Kind("ssn", _BEFORE + "[0-9]{3}-[0-9]{2}-[0-9]{4}" + _AFTER, 0.3, "ssn|social|security"),
 )
 NAMES = [k.name for k in KINDS]
 
@@ -62,9 +64,8 @@ def luhn(digits: Column) -> Column:
 
 
 def mod97(iban: Column) -> Column:
-    """Whether an IBAN (blanks ignored) leaves remainder one."""
-    plain = F.regexp_replace(iban, " ", "")
-    moved = F.concat(F.substring(plain, 5, 100), F.substring(plain, 1, 4))
+    """Whether an IBAN leaves remainder one."""
+    moved = F.concat(F.substring(iban, 5, 100), F.substring(iban, 1, 4))
     chars = F.filter(F.split(moved, ""), lambda c: c != "")
 
     def add(rest: Column, c: Column) -> Column:

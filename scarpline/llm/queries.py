@@ -60,4 +60,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {}
+# The spans in SQL: base patterns as the contract writes them, positions from the pieces between matches.
+_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b",
+    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+}
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1),
+  lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse({_DIGITS}), i, 1) AS INT)
+    ELSE CAST(substr(reverse({_DIGITS}), i, 1) AS INT) * 2 - 9 * CAST(CAST(substr(reverse({_DIGITS}), i, 1) AS INT) > 4 AS INT) END)) % 10 = 0"""
+_MOD97 = """list_reduce(list_prepend(0, list_transform(string_split(substr(m, 5) || substr(m, 1, 4), ''), lambda c: CASE WHEN c BETWEEN 'A' AND 'Z' THEN ascii(c) - 55 + 1000 ELSE ascii(c) - 48 END)),
+  lambda a, v: CASE WHEN v >= 1000 THEN (a * 100 + v - 1000) % 97 ELSE (a * 10 + v) % 97 END) = 1"""
+_KEPT = {
+    "email": "TRUE",
+    "ip": "len(list_filter(string_split(m, '.'), lambda x: coalesce(try_cast(x AS HUGEINT) > 255, TRUE))) = 0",
+    "card": f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}",
+    "phone": f"length({_DIGITS}) BETWEEN 10 AND 15",
+    "iban": _MOD97,
+    "ssn": "regexp_matches(near, '(^|[^a-z])(?:ssn|social|security)')",
+}
+_NEAR = f"lower(substr(text, greatest(start - {pii.NEAR}, 0) + 1, least(start, {pii.NEAR})) || ' ' || substr(text, stop + 1, {pii.NEAR}))"
+
+
+def _kind_sql(rank: int, kind: str) -> str:
+    return f"""SELECT row_no, {rank} AS rank, '{kind}' AS kind, start, stop FROM (SELECT *, {_NEAR} AS near FROM (
+  SELECT row_no, text, m, start, start + length(m) AS stop FROM (
+    SELECT row_no, text, found[i] AS m,
+      CAST(list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+    FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (
+      SELECT row_no, text, regexp_extract_all(text, '{_PATTERNS[kind]}') AS found, string_split_regex(text, '{_PATTERNS[kind]}') AS pieces FROM d
+      WHERE regexp_matches(text, '{_PATTERNS[kind]}'))))))
+WHERE {_KEPT[kind]}"""
+
+
+_BASE_KINDS = ", ".join(f"'{k}'" for k in pii.BASE)
+_COUNTS = ", ".join(f"count(kind) FILTER (WHERE kind = '{k}') AS n_{k}" for k in pii.BASE)
+_ONE = "kind || ':' || start || ':' || stop, ',' ORDER BY start, rank"
+
+SQL: dict[str, str] = {
+    "op3_personal_data": f"""WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({" UNION ALL ".join(_kind_sql(r, k) for r, k in enumerate(pii.NAMES))})
+SELECT any_value(d.doc_id) AS doc_id, {_COUNTS},
+  sha256(coalesce(string_agg({_ONE}) FILTER (WHERE kind IN ({_BASE_KINDS})), '')) AS base_sha256,
+  coalesce(string_agg({_ONE}), '') AS spans
+FROM d LEFT JOIN s USING (row_no) GROUP BY row_no""",
+}

@@ -5,8 +5,7 @@ the rules accept and one from URLs that they reject. The longest context (two
 characters, one, none) that was seen ``min_context`` times gives the estimate;
 each order is smoothed by the next shorter one. A URL is accepted when its
 log-likelihood difference per character reaches a threshold calibrated on the
-rule-judged URLs: the point between both class means, in units of their
-deviations.
+rule-judged URLs: the middle of both class means.
 
 Characters are folded to ``SYMBOLS`` classes, so the ratio table has exactly
 ``SYMBOLS ** 3`` entries whatever the number of URLs.
@@ -138,11 +137,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", p
     rows = rows.withColumn("_ratios", ratios)
     total = F.aggregate("grams", F.lit(0.0), lambda acc, g: acc + F.element_at("_ratios", (g + 1).cast("int")))
     scored = rows.withColumn("score", F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(0.0))
-    by_class = scored.filter(F.col("_by_rule").isNotNull()).groupBy().agg(
-        *[f(F.when(F.col("_by_rule") == v, F.col("score"))).alias(n + v) for v in ("allow", "block") for n, f in (("m_", F.avg), ("s_", F.stddev_pop))]
-    )
-    spread = F.col("s_allow") + F.col("s_block")
-    between = F.when(spread > 0, (F.col("m_allow") * F.col("s_block") + F.col("m_block") * F.col("s_allow")) / spread)
-    threshold = by_class.select(F.coalesce(between, (F.col("m_allow") + F.col("m_block")) / 2, F.lit(0.0))).scalar()
+    mean = lambda v: F.avg(F.when(F.col("_by_rule") == v, F.col("score")))
+    middle = scored.filter(F.col("_by_rule").isNotNull()).agg(((mean("allow") + mean("block")) / 2).alias("t"))
+    threshold = middle.select(F.coalesce("t", F.lit(0.0))).scalar()
     by_model = F.when(F.col("score") >= threshold, "allow").otherwise("block")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("_by_rule", by_model).alias("verdict"), "score")
