@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from scarpline.functions.text import strip
+
 # Ranks and cut points.
 RANKS = {"LOW": 1, "MEDIUM": 2, "HIGH": 3}
 SCORE_CUTS = ((40.0, "LOW"), (70.0, "MEDIUM"))
@@ -42,7 +44,7 @@ def probability_level(p: Column) -> Column:
 
 def normal_level(level: Column) -> Column:
     """Trim, upper-case and read MODERATE as MEDIUM; NULL when invalid."""
-    text = F.upper(F.trim(level.cast("string")))
+    text = F.upper(strip(level.cast("string")))
     text = F.when(text == "MODERATE", "MEDIUM").otherwise(text)
     return F.when(text.isin(*RANKS), text)
 

@@ -74,14 +74,14 @@ def exact_duplicate_count(df: DataFrame, columns=INCIDENT_COLUMNS) -> DataFrame:
 def flag_duplicate_ids(df: DataFrame, base: DataFrame | None = None, ordinal: str = "ordinal") -> DataFrame:
     """Add ``duplicate_id``: every member of a repeated non-blank id."""
     filled = F.count_if(~is_missing(F.col("landslide_id"))).alias("_members")
-    counted = add_totals(df, ["landslide_id"], [filled], base, row_id=[ordinal])
+    counted = add_totals(df, ["landslide_id"], [filled], base, worth=F.col("_members") > 1)
     return counted.withColumn("duplicate_id", F.coalesce(F.col("_members") > 1, F.lit(False))).drop("_members")
 
 
 def flag_same_place_and_date(df: DataFrame, base: DataFrame | None = None, ordinal: str = "ordinal") -> DataFrame:
     """Add ``spatial_duplicate``: all members of a shared (date, lat, lon)."""
     keys = ["date", "latitude", "longitude"]
-    counted = add_totals(df, keys, [F.count(F.lit(1)).alias("_same")], base, row_id=[ordinal])
+    counted = add_totals(df, keys, [F.count(F.lit(1)).alias("_same")], base, worth=F.col("_same") > 1)
     return counted.withColumn("spatial_duplicate", F.coalesce(F.col("_same") > 1, F.lit(False))).drop("_same")
 
 

@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from scarpline.functions.text import count_true, outside, to_iso_date, to_number
+from scarpline.functions.text import count_true, outside, strip, to_iso_date, to_number
 from scarpline.operators.spatial import LAYER_COLUMNS
 
 # Columns, ranges and name fragments of the checks.
@@ -34,16 +34,25 @@ YEARS = (1900, 2030)
 SHOWN_MISMATCHES = 5
 
 
-def run_rules(df: DataFrame, check: str, rules: list[tuple[str, str, Column]]) -> DataFrame:
-    """Evaluate (severity, detail, aggregate) rules in one pass."""
-    totals = df.agg(*[agg.alias(f"r{i}") for i, (_, _, agg) in enumerate(rules)])
+Rules = list[tuple[str, str, Column]]
+
+
+def run_rules(df: DataFrame, check: str, rules: Rules) -> DataFrame:
+    """Findings with n > 0 of (severity, detail, aggregate) rules; one pass over the data."""
+    return run_checks(df, {check: rules})
+
+
+def run_checks(df: DataFrame, checks: dict[str, Rules]) -> DataFrame:
+    """Findings of several checks of one table in a single aggregate."""
+    flat = [(check, *rule) for check, rules in checks.items() for rule in rules]
+    totals = df.agg(*[agg.alias(f"r{i}") for i, (*_, agg) in enumerate(flat)])
     rows = F.array(
         *[
             F.struct(
                 F.lit(check).alias("check_name"), F.lit(sev).alias("severity"), F.lit(detail).alias("detail"),
                 F.col(f"r{i}").cast("bigint").alias("n"),
             )
-            for i, (sev, detail, _) in enumerate(rules)
+            for i, (check, sev, detail, _) in enumerate(flat)
         ]
     )
     return totals.select(F.explode(rows).alias("f")).select("f.*").filter("n > 0")
@@ -57,6 +66,12 @@ def _schema_findings(df: DataFrame, check: str, rows: list[tuple[str, str, int]]
 
 def structural(df: DataFrame, expected=EXPECTED_COLUMNS, ignore=("ordinal", "geometry")) -> DataFrame:
     """Empty table, missing or repeated column names, empty columns and rows."""
+    data, found = _column_findings(df, expected, ignore)
+    return found.unionByName(run_rules(df.select(*data), "structural", _structural_rules(data)))
+
+
+def _column_findings(df: DataFrame, expected, ignore) -> tuple[list[str], DataFrame]:
+    """The columns that can be checked, and findings about the column list."""
     names = [c for c in df.columns if c not in ignore]
     repeated = sorted({c for c in names if names.count(c) > 1})
     missing = [c for c in expected if c not in names]
@@ -64,14 +79,17 @@ def structural(df: DataFrame, expected=EXPECTED_COLUMNS, ignore=("ordinal", "geo
         df, "structural",
         [("WARNING", "missing column " + c, 1) for c in missing] + [("ERROR", "repeated column " + c, 1) for c in repeated],
     )
-    data = [c for c in names if c not in repeated]
+    return [c for c in names if c not in repeated], found
+
+
+def _structural_rules(data: list[str]) -> Rules:
     all_null = reduce(lambda a, b: a & b, [F.col(c).isNull() for c in data])
     rules = [("ERROR", "empty dataset", (F.count(F.lit(1)) == 0).cast("bigint"))]
     rules += [
         ("WARNING", "empty column " + c, ((F.count(c) == 0) & (F.count(F.lit(1)) > 0)).cast("bigint")) for c in data
     ]
     rules.append(("WARNING", "empty rows", count_true(all_null)))
-    return found.unionByName(run_rules(df.select(*data), "structural", rules))
+    return rules
 
 
 def ids(df: DataFrame) -> DataFrame:
@@ -92,20 +110,25 @@ def duplicated_ids(df: DataFrame) -> DataFrame:
 
 
 def dates(df: DataFrame, years=YEARS) -> DataFrame:
-    staged = df.select("date", to_iso_date(F.col("date")).alias("d"))
-    d, year = F.col("d"), F.year("d")
-    return run_rules(
-        staged, "dates",
-        [
-            ("WARNING", "missing date", count_true(F.col("date").isNull())),
-            ("ERROR", "invalid date", count_true(F.col("date").isNotNull() & d.isNull())),
-            ("WARNING", f"before year {years[0]}", count_true(year < years[0])),
-            ("WARNING", f"after year {years[1]}", count_true(year > years[1])),
-        ],
-    )
+    return run_rules(df, "dates", _date_rules(years))
+
+
+def _date_rules(years=YEARS) -> Rules:
+    d = to_iso_date(F.col("date"))
+    year = F.year(d)
+    return [
+        ("WARNING", "missing date", count_true(F.col("date").isNull())),
+        ("ERROR", "invalid date", count_true(F.col("date").isNotNull() & d.isNull())),
+        ("WARNING", f"before year {years[0]}", count_true(year < years[0])),
+        ("WARNING", f"after year {years[1]}", count_true(year > years[1])),
+    ]
 
 
 def coordinates(df: DataFrame) -> DataFrame:
+    return run_rules(df, "coordinates", _coordinate_rules())
+
+
+def _coordinate_rules() -> Rules:
     rules = []
     for field, (low, high) in {"latitude": (-90, 90), "longitude": (-180, 180)}.items():
         c, number = F.col(field), to_number(F.col(field))
@@ -114,7 +137,7 @@ def coordinates(df: DataFrame) -> DataFrame:
             ("WARNING", f"missing {field}", count_true(c.isNull())),
             ("ERROR", f"{field} out of range", count_true(outside(number, low, high))),
         ]
-    return run_rules(df, "coordinates", rules)
+    return rules
 
 
 def layer_match(table: DataFrame, layer: DataFrame, key: str = "ordinal", tolerance: float = 1e-10) -> DataFrame:
@@ -155,6 +178,10 @@ def first_mismatches(table: DataFrame, layer: DataFrame, key: str = "ordinal", s
 
 
 def feature_ranges(df: DataFrame, ranges=FEATURE_RANGES) -> DataFrame:
+    return run_rules(df, "feature_ranges", _range_rules(ranges))
+
+
+def _range_rules(ranges=FEATURE_RANGES) -> Rules:
     rules = []
     for field, (low, high) in ranges.items():
         c, number = F.col(field), to_number(F.col(field))
@@ -164,19 +191,22 @@ def feature_ranges(df: DataFrame, ranges=FEATURE_RANGES) -> DataFrame:
             rules.append(("ERROR", f"{field} below {low}", count_true(number < low)))
         if high is not None:
             rules.append(("ERROR", f"{field} above {high}", count_true(number > high)))
-    return run_rules(df, "feature_ranges", rules)
+    return rules
 
 
 def status_consistency(df: DataFrame, layers=LAYER_COLUMNS) -> DataFrame:
     """EXTRACTED without a value; a value under a failed status is allowed."""
-    rules = [
+    return run_rules(df, "status_consistency", _status_rules(layers))
+
+
+def _status_rules(layers=LAYER_COLUMNS) -> Rules:
+    return [
         (
             "WARNING", f"{value} extracted but missing",
-            count_true((F.upper(F.trim(F.col(f"{name}_status"))) == "EXTRACTED") & F.col(value).isNull()),
+            count_true((F.upper(strip(F.col(f"{name}_status"))) == "EXTRACTED") & F.col(value).isNull()),
         )
         for name, value in layers.items()
     ]
-    return run_rules(df, "status_consistency", rules)
 
 
 def missing_statistics(df: DataFrame, fields=IMPORTANT) -> DataFrame:
@@ -204,23 +234,25 @@ def duplicates(df: DataFrame, ignore=("ordinal", "geometry")) -> DataFrame:
 
 
 def provenance(df: DataFrame, mark: str = DEMO_MARK) -> DataFrame:
-    marked = count_true(F.col("data_source_type") == mark)
-    rows = F.count(F.lit(1))
-    found = run_rules(
-        df, "provenance",
-        [
-            ("WARNING", "no record is marked", F.when(marked == 0, rows)),
-            ("WARNING", "records without the mark", F.when(marked > 0, rows - marked)),
-            *[("INFO", f"missing {c}", count_true(F.col(c).isNull())) for c in ("source", "source_url", "description")],
-        ],
-    )
+    return run_rules(df, "provenance", _provenance_rules(mark)).unionByName(_other_marks(df, mark))
+
+
+def _provenance_rules(mark: str = DEMO_MARK) -> Rules:
+    marked, rows = count_true(F.col("data_source_type") == mark), F.count(F.lit(1))
+    return [
+        ("WARNING", "no record is marked", F.when(marked == 0, rows)),
+        ("WARNING", "records without the mark", F.when(marked > 0, rows - marked)),
+        *[("INFO", f"missing {c}", count_true(F.col(c).isNull())) for c in ("source", "source_url", "description")],
+    ]
+
+
+def _other_marks(df: DataFrame, mark: str = DEMO_MARK) -> DataFrame:
     other = F.coalesce("data_source_type", F.lit("(missing)"))
     values = df.filter(other != mark).groupBy(other.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    listed = values.select(
+    return values.select(
         F.lit("provenance").alias("check_name"), F.lit("INFO").alias("severity"),
         F.concat(F.lit("other value "), F.col("v")).alias("detail"), "n",
     )
-    return found.unionByName(listed)
 
 
 def id_differences(table: DataFrame, layer: DataFrame) -> DataFrame:
@@ -235,8 +267,12 @@ def id_differences(table: DataFrame, layer: DataFrame) -> DataFrame:
 
 
 def extraction_consistency(df: DataFrame, layers=LAYER_COLUMNS) -> DataFrame:
-    status = F.upper(F.trim("feature_extraction_status"))
-    extracted = F.size(F.filter(F.array(*[F.col(f"{x}_status") for x in layers]), lambda s: F.upper(F.trim(s)) == "EXTRACTED"))
+    return run_rules(df, "extraction_status", _extraction_rules(layers))
+
+
+def _extraction_rules(layers=LAYER_COLUMNS) -> Rules:
+    status = F.upper(strip(F.col("feature_extraction_status")))
+    extracted = F.size(F.filter(F.array(*[F.col(f"{x}_status") for x in layers]), lambda s: F.upper(strip(s)) == "EXTRACTED"))
     whole = len(layers)
     wrong = (
         ((status == "COMPLETE") & (extracted < whole))
@@ -244,22 +280,20 @@ def extraction_consistency(df: DataFrame, layers=LAYER_COLUMNS) -> DataFrame:
         | ((status == "NO_FEATURES") & (extracted > 0))
     )
     unexpected = F.count_distinct(F.when(~status.isin(*EXTRACTION_STATUSES), status))
-    return run_rules(
-        df, "extraction_status",
-        [("WARNING", "unexpected status values", unexpected), ("WARNING", "inconsistent records", count_true(wrong))],
-    )
+    return [("WARNING", "unexpected status values", unexpected), ("WARNING", "inconsistent records", count_true(wrong))]
 
 
 def rainfall(df: DataFrame, mark: str = UNMAPPABLE) -> DataFrame:
+    return run_rules(df, "rainfall", _rainfall_rules(mark))
+
+
+def _rainfall_rules(mark: str = UNMAPPABLE) -> Rules:
     marked, rows = count_true(F.col("rainfall_status") == mark), F.count(F.lit(1))
-    return run_rules(
-        df, "rainfall",
-        [
-            ("WARNING", "no record is marked", F.when(marked == 0, rows)),
-            ("WARNING", "records without the mark", F.when(marked > 0, rows - marked)),
-            *[("INFO", f"values in {c}", F.count(c)) for c in ("rainfall_24h", "rainfall_3d", "rainfall_7d")],
-        ],
-    )
+    return [
+        ("WARNING", "no record is marked", F.when(marked == 0, rows)),
+        ("WARNING", "records without the mark", F.when(marked > 0, rows - marked)),
+        *[("INFO", f"values in {c}", F.count(c)) for c in ("rainfall_24h", "rainfall_3d", "rainfall_7d")],
+    ]
 
 
 def names_with_fragments(names: DataFrame, fragments, column: str = "column_name") -> DataFrame:
@@ -299,13 +333,16 @@ def verdict(findings: DataFrame) -> DataFrame:
 def audit(table: DataFrame, layer: DataFrame, key: str = "ordinal") -> DataFrame:
     """All findings of a feature table against its point layer.
 
-    Every check is a pass of its own over few columns, so pass stored tables.
+    All row checks are one aggregate over the table; only the checks that
+    group or join read it again.
     """
-    parts = [
-        structural(table), ids(table), dates(table), coordinates(table), spatial_match(table, layer, key),
-        feature_ranges(table), status_consistency(table), duplicates(table), provenance(table),
-        extraction_consistency(table), rainfall(table),
-    ]
+    data, columns = _column_findings(table, EXPECTED_COLUMNS, ("ordinal", "geometry"))
+    row_checks = {
+        "structural": _structural_rules(data), "dates": _date_rules(), "coordinates": _coordinate_rules(),
+        "feature_ranges": _range_rules(), "status_consistency": _status_rules(), "provenance": _provenance_rules(),
+        "extraction_status": _extraction_rules(), "rainfall": _rainfall_rules(),
+    }
+    parts = [columns, run_checks(table, row_checks), _other_marks(table), ids(table), spatial_match(table, layer, key), duplicates(table)]
     differences = id_differences(table, layer).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
     parts.append(
         differences.select(

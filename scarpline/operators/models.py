@@ -55,7 +55,7 @@ def balanced_weights(df: DataFrame, label: str = TARGET) -> DataFrame:
     totals = counts.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_k"))
     per_class = counts.join(F.broadcast(totals), how="inner")
     weights = per_class.select(label, (F.col("_all").cast("double") / (F.col("_k") * F.col("_n")).cast("double")).alias("weight"))
-    return df.join(F.broadcast(weights), label)
+    return df.join(weights, label)
 
 
 def _assembler(output: str = "features") -> VectorAssembler:

@@ -46,22 +46,16 @@ def band_statistics(bands: DataFrame) -> DataFrame:
     return stats.withColumn("std", F.when(F.col("std") < MIN_STD, 1.0).otherwise(F.col("std")))
 
 
-def batch_band_statistics(bands: DataFrame, batch: Column, max_batches: int | None = None) -> DataFrame:
-    """Mean of batch means and mean of batch deviations per band.
-
-    ``max_batches`` stops after that many batches, as a fitting cap would.
-    """
-    rows = bands.withColumn("_batch", batch)
-    if max_batches is not None:
-        rows = rows.filter(F.col("_batch") < max_batches)
-    each = rows.groupBy("_batch", "band").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+def batch_band_statistics(bands: DataFrame, batch: Column) -> DataFrame:
+    """Mean of batch means and mean of batch deviations per band."""
+    each = bands.withColumn("_batch", batch).groupBy("_batch", "band").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
     stats = each.groupBy("band").agg(F.avg("m").alias("mean"), F.avg("s").alias("std"))
     return stats.withColumn("std", F.when(F.col("std") < MIN_STD, 1.0).otherwise(F.col("std")))
 
 
 def normalise_bands(bands: DataFrame, statistics: DataFrame) -> DataFrame:
-    """(x - mean) / std; there are at most a few bands, so they are broadcast."""
-    joined = bands.join(F.broadcast(statistics), "band")
+    """(x - mean) / std."""
+    joined = bands.join(statistics, "band")
     return joined.withColumn("value", (F.col("value") - F.col("mean")) / F.col("std")).select(*bands.columns)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from scarpline.functions.text import count_true, to_number
+from scarpline.functions.text import count_true, strip, to_number
 from scarpline.operators.dataset_qa import run_rules
 from scarpline.operators.skew import hash_rank
 
@@ -40,16 +40,17 @@ def labelled_check(df: DataFrame) -> DataFrame:
 
 
 def raise_on_findings(findings: DataFrame) -> None:
-    """Turn findings into an exception; runs the check (findings are few)."""
-    rows = findings.filter("severity = 'ERROR'").limit(20).collect()
-    if rows:
-        raise ValueError("; ".join(f"{r['detail']}: {r['n']}" for r in rows))
+    """Turn findings into an exception; the message names every error."""
+    found = findings.filter("severity = 'ERROR'").select(F.concat_ws(": ", "detail", F.col("n").cast("string")).alias("m"))
+    message = found.agg(F.array_join(F.array_sort(F.collect_list("m")), "; ")).first()[0]
+    if message:
+        raise ValueError(message)
 
 
 def normalise_labels(df: DataFrame, keep=()) -> DataFrame:
     """Fixed column order, numbers typed, label trimmed and upper-cased."""
     numbers = [to_number(F.col(c)).alias(c) for c in FEATURES]
-    return df.select(*keep, *numbers, F.upper(F.trim(F.col(TARGET).cast("string"))).alias(TARGET))
+    return df.select(*keep, *numbers, F.upper(strip(F.col(TARGET).cast("string"))).alias(TARGET))
 
 
 def range_check(df: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ DEFAULT_PAGE = 50
 ANONYMOUS = "citizen-anon"
 DEFAULT_SEVERITY = "MEDIUM"
 VALUE_CHARS = 380
+BUCKET_SPAN = 100_000  # values of the update number in a bucket of within_budget
 BUDGET_CHARS = 2200
 ELLIPSIS = "…"
 PRIORITY_ORDER = {"high": 1, "medium": 2, "low": 3}
@@ -108,7 +109,7 @@ def apply_status_updates(reports: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def rejected_updates(updates: DataFrame) -> DataFrame:
-    message = F.concat(F.lit("Invalid status '"), F.col("status"), F.lit("'. Allowed: " + ", ".join(STATUSES)))
+    message = F.concat(F.lit("Invalid status '"), F.coalesce("status", F.lit("")), F.lit("'. Allowed: " + ", ".join(STATUSES)))
     return updates.filter(~F.coalesce(valid_status(), F.lit(False))).select("update_id", "report_id", message.alias("reason"))
 
 
@@ -211,22 +212,30 @@ def latest_facts(updates: DataFrame, order: str = "update_id") -> DataFrame:
     """
     keys = ["owner", "category", "fact_key"]
     kept = updates.filter(~is_missing(F.col("value"))).withColumn("value", shorten(F.col("value")))
-    now = add_totals(kept, keys, [F.max_by("value", order).alias("_now")], row_id=[order])
+    now = add_totals(kept, keys, [F.max_by("value", order).alias("_now")], null_keys=True)
     other = F.when(F.col("value") != F.col("_now"), F.col(order))
-    since = add_totals(now, keys, [F.max(other).alias("_other")], row_id=[order])
+    since = add_totals(now, keys, [F.max(other).alias("_other")], null_keys=True)
     run = F.when(F.col("_other").isNull() | (F.col(order) > F.col("_other")), F.col(order))
     return since.groupBy(*keys).agg(F.any_value("_now").alias("value"), F.min(run).alias("updated"))
 
 
-def within_budget(facts: DataFrame, budget: int = BUDGET_CHARS) -> DataFrame:
+def within_budget(facts: DataFrame, budget: int = BUDGET_CHARS, span: int = BUCKET_SPAN) -> DataFrame:
     """Newest facts of each owner whose running size fits the budget.
 
-    A fact takes at least three characters (category, key, value), so no owner
-    can keep more than budget / 3 of them: the rank filter trims every map task
-    to that bound before the shuffle, and the running sum sees no more.
+    Facts are cut into buckets of ``span`` values of ``updated``. Bucket sums
+    are a partial aggregate; their running sums tell which buckets begin
+    within the budget, and only rows of those are ordered, each bucket alone.
+    A NULL category, key or value has no length.
     """
-    size = F.length("category") + F.length("fact_key") + F.length("value")
-    newest = Window.partitionBy("owner").orderBy(F.desc("updated"), "category", "fact_key")
-    top = facts.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= budget // 3)
-    total = F.sum(size).over(newest.rowsBetween(Window.unboundedPreceding, 0))
-    return top.withColumn("running_chars", total).filter(F.col("running_chars") <= budget).drop("_rn")
+    length = lambda c: F.coalesce(F.length(c), F.lit(0))
+    rows = facts.withColumn("_size", length("category") + length("fact_key") + length("value"))
+    rows = rows.withColumn("_bucket", F.coalesce(F.floor(F.col("updated") / span), F.lit(-1)))
+    newer = Window.partitionBy("owner").orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("owner", "_bucket").agg(F.sum("_size").alias("_sum"))
+    begins = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(newer), F.lit(0))).filter(F.col("_before") <= budget)
+    begins = begins.select(F.col("owner").alias("_owner"), F.col("_bucket").alias("_b"), "_before")
+    met = rows.join(begins, F.col("owner").eqNullSafe(F.col("_owner")) & (F.col("_bucket") == F.col("_b")))
+    inside = Window.partitionBy("owner", "_bucket").orderBy(F.desc("updated"), "category", "fact_key")
+    running = F.col("_before") + F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    kept = met.withColumn("running_chars", running).filter(F.col("running_chars") <= budget)
+    return kept.select(*facts.columns, "running_chars")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from scarpline.functions.geo import rounded_key
 from scarpline.functions.levels import choose, highest, normal_level
 from scarpline.functions.rounding import round_exact
+from scarpline.functions.text import strip
 from scarpline.operators.skew import skew_join
 
 # Texts and tables that results must carry verbatim.
@@ -156,7 +157,7 @@ def explanation(df: DataFrame) -> DataFrame:
 
 def alert(df: DataFrame, level: str = "overall_risk", style: str = "basic", reroute: str | None = None) -> DataFrame:
     """Add ``alert_required``, ``alert_level`` and ``message``."""
-    risk = F.upper(F.trim(F.col(level)))
+    risk = F.upper(strip(F.col(level)))
     message = lookup(risk, ALERT_MESSAGES[style])
     if reroute is not None:
         message = F.concat(message, F.when(F.col(reroute), REROUTE_SUFFIX).otherwise(""))

@@ -1,8 +1,11 @@
 """Helpers that keep joins and rankings even when one key holds most rows.
 
-``skew_join``   salts only the heavy keys of the large side. A key is heavy
-                when it holds more than ``share`` of all rows, so there are at
-                most ``1 / share`` heavy keys: that list is what is broadcast.
+A key is heavy when it has more rows than one task should get: ``TASK_ROWS``,
+or the rows of all keys divided by ``MAX_HEAVY`` where that is more, so there
+are never more than ``MAX_HEAVY`` heavy keys. That list is what is broadcast.
+
+``skew_join``   cuts each heavy key of the large side into as many salts as its
+                count asks for.
 ``add_totals``  per-key aggregates attached to every row, built on it: partial
                 aggregation first, then a join, never a window over the key.
 ``hash_rank``   exact rank within a label in a reproducible hash order.
@@ -17,52 +20,49 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scarpline.sources import shared
 
-HEAVY_SHARE = 1 / 256
-SALTS = 64
+TASK_ROWS = 1_000_000
+MAX_HEAVY = 50_000
 HASH_DIGITS = 4
 
 
-def heavy_keys(df: DataFrame, keys: list[str], share: float = HEAVY_SHARE) -> DataFrame:
-    """Keys with more than ``share`` of the rows: at most ``1 / share`` of them."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+def _same(keys: list[str], left: str = "", right: str = "_h_", nulls: bool = True) -> Column:
+    equal = [F.col(f"{left}{k}").eqNullSafe(F.col(f"{right}{k}")) if nulls else F.col(f"{left}{k}") == F.col(f"{right}{k}") for k in keys]
+    return reduce(lambda a, b: a & b, equal)
+
+
+def _heavy(counts: DataFrame, task_rows: int) -> DataFrame:
+    """Rows of ``counts`` (with ``_n``) that are heavy, and their number of salts."""
     total = counts.agg(F.sum("_n").alias("_total"))
-    return counts.filter(F.col("_n") > total.scalar() * F.lit(share)).select(*keys)
+    limit = F.greatest(F.lit(task_rows), F.ceil(total.scalar() / F.lit(MAX_HEAVY)))
+    return counts.withColumn("_salts", F.ceil(F.col("_n") / limit)).filter(F.col("_salts") > 1)
 
 
-def _spread(columns: list[str], salts: int) -> Column:
-    """A salt from the row's content: a re-run task gives every row the same."""
-    return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.lit(salts)).cast("int")
+def heavy_keys(df: DataFrame, keys: list[str], task_rows: int = TASK_ROWS) -> DataFrame:
+    """(keys, _n, _salts) of the keys with more rows than one task should get."""
+    return _heavy(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), task_rows)
 
 
 def skew_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: list[str],
-    how: str = "left",
-    share: float = HEAVY_SHARE,
-    salts: int = SALTS,
-    row_id: list[str] | None = None,
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", row_id: list[str] | None = None, task_rows: int = TASK_ROWS
 ) -> DataFrame:
     """Equi-join whose left side may hold a few very frequent keys.
 
-    Rows of heavy keys get a random-looking salt taken from their content and
-    the matching right rows are repeated once per salt. Other keys carry salt 0
-    on both sides, so nothing is repeated for them. ``row_id`` names columns
+    Rows of a heavy key get a salt taken from their content, so a re-run task
+    gives every row the same, and the matching right rows are repeated once
+    per salt. Other keys carry salt 0 on both sides. ``row_id`` names columns
     that tell rows apart; by default all columns feed the salt.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"join type {how!r} would repeat the salted side")
-    heavy = heavy_keys(left, keys, share).withColumnsRenamed({k: f"_h_{k}" for k in keys})
-    heavy = F.broadcast(heavy.withColumn("_heavy", F.lit(True)))
+    heavy = heavy_keys(left, keys, task_rows).select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_salts")
 
     def tag(df: DataFrame) -> DataFrame:
-        same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(heavy[f"_h_{k}"]) for k in keys])
-        return df.join(heavy, same, "left").drop(*[f"_h_{k}" for k in keys])
+        met = df.join(F.broadcast(heavy), _same(keys), "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+        return met.drop(*[f"_h_{k}" for k in keys])
 
-    salt_of_row = _spread(row_id or left.columns, salts)
-    salted_left = tag(left).withColumn("_salt", F.when(F.col("_heavy"), salt_of_row).otherwise(F.lit(0))).drop("_heavy")
-    copies = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = tag(right).withColumn("_salt", F.explode(copies)).drop("_heavy")
+    content = F.xxhash64(*[F.col(f"`{c}`") for c in row_id or left.columns])
+    salted_left = tag(left).withColumn("_salt", F.pmod(content, "_salts")).drop("_salts")
+    salted_right = tag(right).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1))).drop("_salts")
     return salted_left.join(salted_right, keys + ["_salt"], how).drop("_salt")
 
 
@@ -71,34 +71,33 @@ def add_totals(
     keys: list[str],
     aggs: list[Column],
     base: DataFrame | None = None,
-    share: float = HEAVY_SHARE,
-    row_id: list[str] | None = None,
+    null_keys: bool = False,
+    task_rows: int = TASK_ROWS,
+    worth: Column | None = None,
 ) -> DataFrame:
-    """Attach per-key aggregates to every row; rows with a NULL key get NULLs.
-
-    The totals are a partial aggregate. Totals of heavy keys (at most
-    ``1 / share`` rows) reach their rows by broadcast, and those rows are then
-    spread by a salt that matches nothing, so the shuffle join only meets keys
-    that are small enough for one task. ``base`` may name a cheaper frame with
-    the same rows to aggregate, ``row_id`` the columns that tell rows apart.
+    """Attach per-key aggregates to every row.
+
+    The totals are a partial aggregate. Rows of heavy keys meet their totals by
+    broadcast and are never shuffled; all others join by a shuffle that no
+    single key overfills. ``base`` may name a cheaper frame with the same rows
+    to aggregate. Rows with a NULL key get NULL totals unless ``null_keys``
+    counts NULL as a key. ``worth`` keeps only totals for which it holds; the
+    rows of other keys get NULLs.
     """
     rows = df if base is None else base
-    totals = rows.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("_n"))
-    names = [c for c in totals.columns if c not in keys and c != "_n"]
-    all_rows = totals.agg(F.sum("_n").alias("_total"))
-    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    heavy = totals.filter(F.col("_n") > all_rows.scalar() * F.lit(share)).select(
-        *[F.col(k).alias(f"_h_{k}") for k in keys],
-        *[F.when(known, F.col(n)).alias(f"_h_{n}") for n in names],
-        F.lit(True).alias("_heavy"),
-    )
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys])
-    spread = _spread(row_id or df.columns, SALTS) + 1
-    tagged = df.join(F.broadcast(heavy), same, "left").withColumn("_salt", F.when(F.col("_heavy"), spread).otherwise(F.lit(0)))
-    tagged = tagged.drop(*[f"_h_{k}" for k in keys], "_heavy")
-    light = totals.select(*keys, *[F.col(n).alias(f"_l_{n}") for n in names], F.lit(0).alias("_salt"))
-    joined = tagged.join(light, keys + ["_salt"], "left")
-    return joined.select(*df.columns, *[F.coalesce(f"_h_{n}", f"_l_{n}").alias(n) for n in names])
+    counts = rows.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("_n"))
+    names = [c for c in counts.columns if c not in keys and c != "_n"]
+    if not null_keys:
+        known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+        counts = counts.withColumns({n: F.when(known, F.col(n)) for n in names})
+    heavy = _heavy(counts, task_rows).select(*[F.col(k).alias(f"_h_{k}") for k in keys], *[F.col(n).alias(f"_t_{n}") for n in names])
+    totals = counts if worth is None else counts.filter(worth)
+    totals = totals.select(*[F.col(k).alias(f"_h_{k}") for k in keys], *[F.col(n).alias(f"_t_{n}") for n in names])
+    columns = [*df.columns, *[F.col(f"_t_{n}").alias(n) for n in names]]
+    told = df.join(F.broadcast(heavy), _same(keys)).select(*columns)
+    light = df.join(F.broadcast(heavy.select(*[f"_h_{k}" for k in keys])), _same(keys), "left_anti")
+    met = light.join(totals, _same(keys, nulls=null_keys), "left").select(*columns)
+    return met.unionByName(told)
 
 
 def hash_rank(

@@ -24,7 +24,6 @@ DEMO_GRID = Grid(min_x=77.0322, max_y=31.3165, pixel=(89.3639 - 77.0322) / 50, w
 LAYER_COLUMNS = {"ndvi": "ndvi", "elevation": "elevation_m", "slope": "slope_deg", "aspect": "aspect_deg"}
 NOT_ATTEMPTED = ("NO_DATA_SOURCE", "NOT_SPATIALLY_MAPPABLE")
 TARGET_CRS = "EPSG:4326"
-BROADCAST_CELLS = 1_000_000
 
 
 # --- point layer -----------------------------------------------------------
@@ -81,28 +80,23 @@ def coordinate_order_check(layer: DataFrame, crs: str = TARGET_CRS) -> DataFrame
 
 # --- raster sampling -------------------------------------------------------
 
-def sample_layers(
-    points: DataFrame, cells: DataFrame, grid: Grid, layers=LAYER_COLUMNS, available=None, broadcast_cells: int = BROADCAST_CELLS
-) -> DataFrame:
+def sample_layers(points: DataFrame, cells: DataFrame, grid: Grid, layers=LAYER_COLUMNS, available=None) -> DataFrame:
     """Value and status of the cell under every point, for all layers at once.
 
     Layers sharing a grid are pivoted to one row per cell, so a point is joined
-    once, not once per layer. The cell table is broadcast only while the grid
-    size is below ``broadcast_cells``; larger rasters use the skew-aware
-    shuffle join because points cluster in few cells.
+    once, not once per layer. Points cluster in few cells, so the join is the
+    skew-aware one; the optimiser broadcasts the cells where they are small. A
+    cell that is given more than once counts with its smallest value.
     """
     present = [name for name in layers if available is None or name in available]
     wide = (
         cells.groupBy(F.col("row").alias("_r"), F.col("col").alias("_c"))
         .pivot("layer", present)
-        .agg(F.first("value"))
+        .agg(F.min("value"))
         .select("_r", "_c", *[F.col(name).alias(f"_{name}") for name in present])
     )
     keyed = points.withColumns({"_r": grid.row_of(F.col("latitude")), "_c": grid.col_of(F.col("longitude"))})
-    if grid.cells <= broadcast_cells:
-        joined = keyed.join(F.broadcast(wide), ["_r", "_c"], "left")
-    else:
-        joined = skew_join(keyed, wide, ["_r", "_c"], "left", row_id=["longitude", "latitude"])
+    joined = skew_join(keyed, wide, ["_r", "_c"], "left")
     inside = grid.contains(F.col("_r"), F.col("_c"))
     out = {}
     for name, column in layers.items():

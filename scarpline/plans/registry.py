@@ -8,7 +8,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scarpline.sources import shared, views
+from scarpline.sources import views
 
 FAMILIES = (
     "incident_queries", "spatial_queries", "quality_queries", "feature_queries", "model_queries",
@@ -16,42 +16,18 @@ FAMILIES = (
 )
 
 
-# Views written once per session: the raw tables several operators re-read.
-STAGED_VIEWS = {"incidents"}
-_STAGED: dict[tuple[str, str, str], DataFrame] = {}
-
-
 class Inputs:
-    """Views and base tables of one data folder, by name.
-
-    The raw incident table is staged as parquet, as a real one would be, so
-    that operators scan stored columns and not the expressions of the view.
-    """
+    """Views and base tables of one data folder, by name."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
     def __call__(self, name: str) -> DataFrame:
-        if name in STAGED_VIEWS:
-            return self.staged(name, lambda: self._spread(views.view(self.spark, self.sf_dir, name)))
         if name in views.VIEWS:
             return views.view(self.spark, self.sf_dir, name)
         return views.table(self.spark, self.sf_dir, name)
 
 
-    def staged(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """A stage table that later stages read: written once per session."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-        if key not in _STAGED:
-            _STAGED[key] = shared.store(build(), name)
-        return _STAGED[key]
-
-    def _spread(self, df: DataFrame) -> DataFrame:
-        """A small single file would keep every later scan in one task."""
-        tasks = self.spark.sparkContext.defaultParallelism
-        return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
-
-
 @dataclass(frozen=True)
 class Query:
     name: str

@@ -106,16 +106,6 @@ def _(v):
     return monitors.exception_counts(v("access_log"))
 
 
-@query(
-    "stale_result_rates", "X6", "",
-    _CHAIN.format(key="event_type || '|' || user_id", src="events", gap=86400000000) + f""", m AS (SELECT split_part(k, '|', 1) AS event_type, count(*) AS misses FROM ch GROUP BY 1), a AS (SELECT event_type, count(*) AS requests FROM events GROUP BY 1)
-SELECT a.event_type, requests, requests - misses AS hits, misses, {r6('CAST(requests - misses AS DOUBLE) / CAST(requests AS DOUBLE)', 'hit_rate')} FROM a JOIN m ON a.event_type = m.event_type""",
-    recursive=True,
-)
-def _(v):
-    return rounded(spacing.hit_rates(v("events"), "user_id", "event_type", ttl_s=86400.0), "hit_rate")
-
-
 @query(
     "streaming_alerts", "X7", "reports",
     f"""SELECT report_id, {stamp('created_at', 'ts')}, 'SAFETY_ALERT' AS type, CASE r WHEN 'HIGH' THEN 'CRITICAL' ELSE 'WARNING' END AS level, r AS risk,

@@ -2,29 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
-_LOCAL_ROOTS: dict[str, str] = {}
 
 
 def folder(spark: SparkSession, purpose: str) -> str:
     """A new path below the shared folder of the cluster.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only
-    where that is unset (local runs and tests) a temporary one is used.
+    The folder is the one the session names in ``spark.checkpoint.dir``, else
+    the checkpoint folder set on the context, else the warehouse; executors
+    share each of them.
     """
-    root = spark.conf.get(SETTING, None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {SETTING} to a folder that all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _LOCAL_ROOTS:
-            _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="scarpline-")
-        root = _LOCAL_ROOTS[app]
+    chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+    root = spark.conf.get(SETTING, None) or (chosen.get() if chosen.isDefined() else spark.conf.get("spark.sql.warehouse.dir"))
     return f"{root.rstrip('/')}/scarpline/{purpose}-{uuid.uuid4().hex}"
 
 

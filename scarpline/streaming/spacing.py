@@ -2,38 +2,38 @@
 
 The first event of a key is kept; a later one is kept when it comes at least
 ``gap`` seconds after the last kept one. This is the cooldown of repeated
-alerts, and also a cache entry that lives ``gap`` seconds after being set:
-kept events are the misses.
+alerts.
 
-The rule is sequential along a key. Keys with few instants are solved in one
-pass over partitions sorted by key and time, with one number of state and no
-group in memory. A key with many instants is cut into time blocks instead:
+The rule is sequential along a key, so a key is cut into time blocks:
 
-1. per (key, block): for every instant that could open the block's chain, the
-   last kept instant on leaving the block;
-2. per key over its blocks: which instant does open each block;
-3. per (key, block): replay with the known opening instant.
+1. per (key, block): the last kept instant on leaving the block, as a step
+   function of the first instant that the block may keep;
+2. per key over its blocks: the first instant each block may keep;
+3. per (key, block): replay from that instant.
 
-Those groups hold the distinct instants of one key in one block, and step 2
-only those of the first ``gap`` seconds of each block, so no task receives a
-whole busy key. All times are integer microseconds.
+Steps 1 and 3 walk partitions sorted by key, block and time with the instants
+of one block in memory; step 2 receives only the steps of the functions. All
+times are integer microseconds. NULL keys are a key of their own, events
+without a time are not events.
 """
 
 from __future__ import annotations
 
+import sys
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from scarpline.operators.skew import add_totals
+# The functions below travel to the workers by value: these need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 GAP_S = 300.0
 BLOCK_S = 3600.0
-BUSY_KEY = 200_000  # distinct instants above which a key is cut into blocks
 _EVER = -(1 << 62)
 
 
@@ -41,104 +41,101 @@ def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def chain(times: list[int], free: int, gap: int, low: int = 0, high: int | None = None) -> list[int]:
+def chain(times: list[int], free: int, gap: int) -> list[int]:
     """Times kept from a sorted stretch when nothing before ``free`` may be kept."""
-    end = len(times) if high is None else high
-    kept, i = [], bisect_left(times, free, low, end)
-    while i < end:
+    kept, i = [], bisect_left(times, free)
+    while i < len(times):
         kept.append(times[i])
-        i = bisect_left(times, times[i] + gap, i, end)
+        i = bisect_left(times, times[i] + gap, i)
     return kept
 
 
-def exits(times: np.ndarray, gap: int) -> np.ndarray:
-    """For every start, the last time its chain keeps, by pointer doubling."""
-    n = len(times)
-    nxt = np.searchsorted(times, times + gap, side="left")
-    nxt = np.where(nxt >= n, np.arange(n), nxt)
-    while not np.array_equal(nxt[nxt], nxt):
-        nxt = nxt[nxt]
-    return times[nxt]
+def steps(times: list[int], reach: int, gap: int) -> list[tuple[int, int]]:
+    """(latest first instant, last kept instant), one for each different last instant.
 
-
-def keep_spaced(
-    events: DataFrame, key: str, gap_s: float = GAP_S, block_s: float = BLOCK_S, ts: str = "ts", busy: int = BUSY_KEY
-) -> DataFrame:
+    Only first instants before ``reach`` and the one after can occur.
+    """
+    n, last = len(times), [0] * len(times)
+    after = np.searchsorted(np.array(times, dtype=np.int64), np.array(times, dtype=np.int64) + gap).tolist()
+    for i in range(n - 1, -1, -1):
+        last[i] = times[i] if after[i] == n else last[after[i]]
+    count = min(n, bisect_left(times, reach) + 1)
+    return [(times[i], last[i]) for i in range(count) if i + 1 == count or last[i + 1] != last[i]]
+
+
+def _stretches(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Consecutive rows with the same keys, over the borders of batches."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        changed = np.zeros(len(pdf), dtype=bool)
+        for k in keys:
+            v = pdf[k].to_numpy()
+            changed[1:] |= v[1:] != v[:-1]
+        cuts = [0, *np.flatnonzero(changed).tolist(), len(pdf)]
+        for low, high in zip(cuts, cuts[1:]):
+            part = pdf.iloc[low:high]
+            if held and any(held[0][k].iloc[0] != part[k].iloc[0] for k in keys):
+                yield tuple(held[0][k].iloc[0] for k in keys), pd.concat(held)
+                held = []
+            held.append(part)
+    if held:
+        yield tuple(held[0][k].iloc[0] for k in keys), pd.concat(held)
+
+
+def _collected(rows: Iterator[tuple], columns: list[str], size: int = 20_000) -> Iterator[pd.DataFrame]:
+    out: list[tuple] = []
+    for row in rows:
+        out.append(row)
+        if len(out) >= size:
+            yield pd.DataFrame(out, columns=columns)
+            out = []
+    if out:
+        yield pd.DataFrame(out, columns=columns)
+
+
+def _walk(df: DataFrame, keys: list[str], then: str, rows: Callable, schema: str, dealt: list[str]) -> DataFrame:
+    """Run ``rows(key values, stretch)`` over each stretch of a sorted partition."""
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _collected((row for key, part in _stretches(batches, keys) for row in rows(key, part)), columns)
+
+    return df.repartition(*dealt).sortWithinPartitions(*keys, then).mapInPandas(run, schema)
+
+
+def keep_spaced(events: DataFrame, key: str, gap_s: float = GAP_S, block_s: float = BLOCK_S, ts: str = "ts") -> DataFrame:
     """(k, at_us) for each kept instant."""
     if block_s < gap_s:
         raise ValueError("a block must be at least as long as the gap")
     gap, block_us = int(gap_s * 1e6), int(block_s * 1e6)
-    instants = events.select(F.col(key).cast("string").alias("k"), micros(ts).alias("at_us")).distinct()
-    counted = add_totals(instants, ["k"], [F.count(F.lit(1)).alias("instants")], row_id=["at_us"])
-    calm = counted.filter(F.col("instants") <= busy).select("k", "at_us")
-    crowded = counted.filter(F.col("instants") > busy)
-    return _calm_keys(calm, gap).unionByName(_busy_keys(crowded, gap, block_us))
-
-
-def _calm_keys(instants: DataFrame, gap: int) -> DataFrame:
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key, free = None, _EVER
-        for pdf in batches:
-            keys, times = pdf["k"].to_numpy(), pdf["at_us"].to_list()
-            starts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(times)]
-            out_keys, out_times = [], []
-            for low, high in zip(starts, starts[1:]):
-                if low == high:
-                    continue
-                if keys[low] != last_key:
-                    last_key, free = keys[low], _EVER
-                kept = chain(times, free, gap, low, high)
-                if kept:
-                    free = kept[-1] + gap
-                    out_keys += [last_key] * len(kept)
-                    out_times += kept
-            yield pd.DataFrame({"k": out_keys, "at_us": out_times})
-
-    placed = instants.repartition("k").sortWithinPartitions("k", "at_us")
-    return placed.mapInPandas(walk, "k string, at_us bigint")
-
-
-def _busy_keys(counted: DataFrame, gap: int, block_us: int) -> DataFrame:
-    instants = counted.select("k", "at_us", F.floor(F.col("at_us") / F.lit(block_us)).cast("bigint").alias("block"))
-
-    def openings(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["at_us"].to_numpy())
-        reach = int(pdf["block"].iloc[0]) * block_us + gap
-        count = min(len(t), int(np.searchsorted(t, reach, side="left")) + 1)
-        return pd.DataFrame({"k": pdf["k"].iloc[0], "block": pdf["block"].iloc[0], "opening": t[:count], "leaving": exits(t, gap)[:count]})
-
-    def connect(pdf: pd.DataFrame) -> pd.DataFrame:
-        blocks, opened, free = [], [], _EVER
-        for block, rows in pdf.sort_values(["block", "opening"]).groupby("block", sort=True):
+    text = F.col(key).cast("string")
+    marked = F.when(text.isNull(), "").otherwise(F.concat(F.lit("="), text)).alias("m")
+    instants = events.select(marked, micros(ts).alias("at_us")).filter("at_us IS NOT NULL").distinct()
+    instants = instants.withColumn("block", F.floor(F.col("at_us") / F.lit(block_us)).cast("bigint"))
+
+    def leave(at: tuple, part: pd.DataFrame) -> Iterator[tuple]:
+        for opening, leaving in steps(part["at_us"].to_list(), int(at[1]) * block_us + gap, gap):
+            yield at[0], at[1], opening, leaving
+
+    def connect(at: tuple, part: pd.DataFrame) -> Iterator[tuple]:
+        free = _EVER
+        for block, rows in part.groupby("block", sort=True):
             i = int(np.searchsorted(rows["opening"].to_numpy(), free, side="left"))
             if i < len(rows):
-                blocks.append(block)
-                opened.append(int(rows["opening"].iloc[i]))
+                yield at[0], block, free
                 free = int(rows["leaving"].iloc[i]) + gap
-        return pd.DataFrame({"k": pdf["k"].iloc[0], "block": blocks, "opened": opened})
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = sorted(pdf["at_us"].to_list())
-        return pd.DataFrame({"k": pdf["k"].iloc[0], "at_us": chain(times, int(pdf["opened"].iloc[0]), gap)})
 
-    candidates = instants.groupBy("k", "block").applyInPandas(openings, "k string, block bigint, opening bigint, leaving bigint")
-    opened = candidates.groupBy("k").applyInPandas(connect, "k string, block bigint, opened bigint")
-    known = instants.join(opened, ["k", "block"])
-    return known.groupBy("k", "block").applyInPandas(replay, "k string, at_us bigint")
+    def replay(at: tuple, part: pd.DataFrame) -> Iterator[tuple]:
+        for kept in chain(part["at_us"].to_list(), int(part["free"].iloc[0]), gap):
+            yield at[0], kept
 
-
-def hit_rates(events: DataFrame, key: str, by: str, ttl_s: float = GAP_S, ts: str = "ts") -> DataFrame:
-    """Hits and misses per kind of an expiring result keyed by (kind, key).
-
-    Every request asks for its key; a miss stores the result for ``ttl_s``.
-    """
-    keyed = events.withColumn("_key", F.concat_ws("|", F.col(by), F.col(key).cast("string")))
-    misses = keep_spaced(keyed, "_key", ttl_s, max(BLOCK_S, 12 * ttl_s), ts)
-    missed = misses.groupBy(F.substring_index("k", "|", 1).alias(by)).agg(F.count(F.lit(1)).alias("misses"))
-    asked = events.groupBy(by).agg(F.count(F.lit(1)).alias("requests"))
-    both = asked.join(missed, by, "left").withColumn("misses", F.coalesce("misses", F.lit(0)))
-    hits = F.col("requests") - F.col("misses")
-    return both.select(by, "requests", hits.alias("hits"), "misses", (hits.cast("double") / F.col("requests").cast("double")).alias("hit_rate"))
+    left = _walk(instants, ["m", "block"], "at_us", leave, "m string, block bigint, opening bigint, leaving bigint", ["m", "block"])
+    opened = _walk(left, ["m"], "block", connect, "m string, block bigint, free bigint", ["m"])
+    known = instants.join(opened, ["m", "block"])
+    kept = _walk(known, ["m", "block"], "at_us", replay, "m string, at_us bigint", ["m", "block"])
+    return kept.select(F.when(F.col("m") != "", F.expr("substring(m, 2)")).alias("k"), "at_us")
 
 
 def keep_spaced_stream(events: DataFrame, key: str, gap_s: float = GAP_S, lateness: str = "10 minutes", ts: str = "ts") -> DataFrame:

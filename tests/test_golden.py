@@ -99,8 +99,10 @@ def test_raster_golden_points(spark):
     spots = [(14, 33), (11, 28), (4, 4), (35, 45), (60, 2)]
     points = spark.createDataFrame([(i, *at(r, c)) for i, (r, c) in enumerate(spots)], "ordinal int, latitude double, longitude double")
     expected = [(-0.38, 1620, 6, 150), (-0.42, 3580, 19, 100), (-0.34, 660, 8, 80), (0.25, 2250, 22.5, 315), (None,) * 4]
-    for limit in (spatial.BROADCAST_CELLS, 0):  # broadcast and shuffle plans agree
-        out = spatial.sample_layers(points, cells, g, broadcast_cells=limit).orderBy("ordinal").collect()
+    for limit in ("10m", "-1"):  # broadcast and shuffle plans agree
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        out = spatial.sample_layers(points, cells, g).orderBy("ordinal").collect()
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         assert [(r["ndvi"], r["elevation_m"], r["slope_deg"], r["aspect_deg"]) for r in out] == expected
         assert [r["ndvi_status"] for r in out] == ["EXTRACTED"] * 4 + ["OUTSIDE_RASTER"]
 

@@ -22,18 +22,22 @@ def table(spark, rows):
 
 
 def test_heavy_keys_are_few(table):
-    heavy = [r["k"] for r in skew.heavy_keys(table, ["k"]).collect()]
+    heavy = {r["k"]: (r["_n"], r["_salts"]) for r in skew.heavy_keys(table, ["k"], task_rows=500).collect()}
     assert set(heavy) == {"hot", None}
+    assert all(n / 500 <= salts < n / 500 + 1 for n, salts in heavy.values())
+    assert skew.heavy_keys(table, ["k"]).count() == 0  # at the usual task size
 
 
-def test_add_totals(table, rows):
+@pytest.mark.parametrize("task_rows", [500, skew.TASK_ROWS])
+@pytest.mark.parametrize("null_keys", [False, True])
+def test_add_totals(table, rows, task_rows, null_keys):
     counts, sums = Counter(r[1] for r in rows), defaultdict(int)
     for _, k, x in rows:
         sums[k] += x
-    out = skew.add_totals(table, ["k"], [F.count(F.lit(1)).alias("n"), F.sum("x").alias("s")], row_id=["id"]).collect()
+    out = skew.add_totals(table, ["k"], [F.count(F.lit(1)).alias("n"), F.sum("x").alias("s")], task_rows=task_rows, null_keys=null_keys).collect()
     assert len(out) == len(rows)
     for r in out:
-        expected = (None, None) if r["k"] is None else (counts[r["k"]], sums[r["k"]])
+        expected = (None, None) if r["k"] is None and not null_keys else (counts[r["k"]], sums[r["k"]])
         assert (r["n"], r["s"]) == expected
 
 
@@ -44,7 +48,7 @@ def test_skew_join(spark, table, rows, how):
     matches = defaultdict(list)
     for k, y in right:
         matches[k].append(y)
-    out = skew.skew_join(table, small, ["k"], how, row_id=["id"]).collect()
+    out = skew.skew_join(table, small, ["k"], how, row_id=["id"], task_rows=300).collect()
     if how in ("left", "inner"):
         expected = [(i, y) for i, k, _ in rows for y in (matches.get(k) or ([None] if how == "left" else []))]
         assert sorted((r["id"], r["y"] or 0) for r in out) == sorted((i, y or 0) for i, y in expected)
@@ -58,10 +62,19 @@ def test_skew_join_refuses_right_joins(table):
         skew.skew_join(table, table, ["k"], "right")
 
 
-def test_heavy_rows_are_spread(table):
-    """The salted join leaves no task with the whole hot key."""
-    tagged = skew.add_totals(table, ["k"], [F.count(F.lit(1)).alias("n")], row_id=["id"])
-    assert tagged.filter("k = 'hot'").count() > HOT * 0.8
+def test_totals_worth_knowing(table):
+    out = skew.add_totals(table, ["k"], [F.count(F.lit(1)).alias("n")], worth=F.col("n") > 12)
+    counts = {r["k"]: r["n"] for r in out.select("k", "n").distinct().collect()}
+    assert counts["hot"] > 2000 and all(n is None or n > 12 for n in counts.values())
+
+
+def test_one_coordinate_is_spread(spark):
+    """Points on one place, a third of all, get many salts and are still joined once."""
+    points = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("cell"))
+    cells = spark.range(3000).select(F.col("id").alias("cell"), (F.col("id") * 2).alias("value"))
+    out = skew.skew_join(points, cells, ["cell"], "left", task_rows=50)
+    assert out.count() == 3000 and out.filter("value = cell * 2").count() == 3000
+    assert skew.heavy_keys(points, ["cell"], 50).first()["_salts"] >= 20
 
 
 def test_hash_rank(table, rows):
@@ -117,3 +130,24 @@ def test_facts_budget_with_hot_owner(spark):
     df = spark.createDataFrame(updates, "update_id long, owner long, category string, fact_key string, value string")
     out = reports.within_budget(reports.latest_facts(df)).collect()
     assert {(r["owner"], r["fact_key"], r["updated"]) for r in out} == expected
+
+
+def test_many_small_facts_fit_the_budget(spark):
+    """2000 facts of one character fit a budget of 2200; NULL text has no length."""
+    rows = [(i, 1, "", "", "v") for i in range(2000)]
+    facts = spark.createDataFrame(rows, "updated long, owner long, category string, fact_key string, value string")
+    assert reports.within_budget(facts).count() == 2000
+    assert reports.within_budget(facts, span=7).count() == 2000
+    blank = facts.withColumn("category", F.lit(None).cast("string"))
+    assert reports.within_budget(blank).count() == 2000
+    longer = facts.withColumn("value", F.lit("abc"))
+    assert reports.within_budget(longer, span=100).count() == 733
+    updates = spark.createDataFrame([(1, 1, None, "k", "a"), (2, 1, None, "k", "b"), (3, None, "", "", "c")], "update_id long, owner long, category string, fact_key string, value string")
+    assert {(r["owner"], r["value"]) for r in reports.latest_facts(updates).collect()} == {(1, "b"), (None, "c")}
+    assert reports.within_budget(reports.latest_facts(updates)).count() == 2
+
+
+def test_rejected_updates_name_a_missing_status(spark):
+    updates = spark.createDataFrame([(1, "r", None), (2, "r", "odd")], "update_id long, report_id string, status string")
+    reasons = {r["update_id"]: r["reason"] for r in reports.rejected_updates(updates).collect()}
+    assert reasons[1].startswith("Invalid status ''") and reasons[2].startswith("Invalid status 'odd'")

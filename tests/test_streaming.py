@@ -29,12 +29,18 @@ def log():
 
 def test_keep_spaced_in_blocks(spark, log):
     df = spark.createDataFrame(log, "k string, s double").withColumn("ts", F.timestamp_seconds("s"))
-    for busy in (0, 100, spacing.BUSY_KEY):  # all keys cut, only the hot one, none
-        out = spacing.keep_spaced(df, "k", gap_s=300.0, block_s=1200.0, busy=busy).collect()
+    for block in (300.0, 1200.0, 86400.0):
+        out = spacing.keep_spaced(df, "k", gap_s=300.0, block_s=block).collect()
         assert len(out) == len(set(out))
         assert {(r["k"], r["at_us"] / 1e6) for r in out} == brute(log, 300.0)
 
 
+def test_null_and_empty_keys_are_kept(spark):
+    df = spark.createDataFrame([(None, 0), (None, 100), (None, 400), ("", 0), ("", 1), ("x", None)], "k string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    out = {(r["k"], r["at_us"] // 1_000_000) for r in spacing.keep_spaced(df, "k", gap_s=300.0).collect()}
+    assert out == {(None, 0), (None, 400), ("", 0)}
+
+
 def parts(spark, df, order, n, purpose):
     """Write df as n files in time order, so that a stream reads n batches."""
     path = shared.folder(spark, purpose)
