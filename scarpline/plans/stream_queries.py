@@ -5,15 +5,21 @@ from pyspark.sql import functions as F
 from scarpline.plans.pixel_queries import r6, rounded
 from scarpline.plans.registry import query
 from scarpline.plans.report_queries import stamp, stamped
+from scarpline.sources import shared
 from scarpline.streaming import monitors, runner, spacing
 
 
 def _events(v):
     """The events table as a stream with an event-time column."""
-    stream = runner.read_table_stream(v.spark, v.sf_dir, "events.parquet", v("events").schema)
+    stream = runner.read_table_stream(v.spark, v.sf_dir, "events.parquet", v("events").schema, max_files=1)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _path(v, purpose):
+    """Where a registered stream keeps its rows and progress: each call reads its source from the start."""
+    return shared.folder(v.spark, purpose)
+
+
 def _access(events):
     """Access-log columns of the events, as in the view of that name."""
     kind, number = F.col("event_type"), F.col("event_id")
@@ -29,10 +35,10 @@ def _access(events):
 
 @query("streaming_drift", "X1", "psi recent", f"SELECT p.band, {r6('psi', 'psi')}, {r6('avg(value)', 'mean')}, {r6('stddev_pop(value)', 'std')} FROM psi p JOIN recent r ON p.band = r.band GROUP BY p.band, psi")
 def _(v):
-    stream = runner.read_table_stream(v.spark, v.sf_dir, "embeddings.parquet", v("embeddings").schema)
+    stream = runner.read_table_stream(v.spark, v.sf_dir, "embeddings.parquet", v("embeddings").schema, max_files=1)
     values = stream.select(F.col("vec_id").alias("sample_id"), F.posexplode("embedding").alias("pos", "x"))
     bands = values.select("sample_id", (F.col("pos") % 14).cast("int").alias("band"), "pos", (F.col("x").cast("double") * 8.0).alias("value"))
-    return rounded(monitors.drift_report(monitors.drift_state(bands)), "psi", "mean", "std")
+    return rounded(monitors.drift_report(monitors.drift_state(bands, _path(v, "drift"))), "psi", "mean", "std")
 
 
 _CHAIN = """ev AS (SELECT DISTINCT {key} AS k, epoch_us(ts) AS us FROM {src}),
@@ -45,7 +51,7 @@ ch AS (SELECT k, min(us) AS us FROM ev GROUP BY k UNION ALL SELECT e.k, min(e.us
     recursive=True,
 )
 def _(v):
-    kept = runner.run_append(spacing.keep_spaced_stream(_events(v), "event_type"), "cooldown")
+    kept = runner.run_append(spacing.keep_spaced_stream(_events(v), "event_type"), _path(v, "cooldown"))
     return kept.groupBy(F.col("k").alias("alert_key")).agg(
         F.count(F.lit(1)).alias("emitted"), F.min("at_us").alias("first_us"), F.max("at_us").alias("last_us")
     )
@@ -75,7 +81,7 @@ def _(v):
 
 @query("recent_event_buffer_stream", "X3", "", _RECENT)
 def _(v):
-    state = monitors.recent_events_stream(_events(v))
+    state = monitors.recent_events_stream(_events(v), _path(v, "event-buffer"))
     return stamped(state.select("event_id", "user_id", "event_type", "ts"), "ts")
 
 
@@ -84,7 +90,7 @@ def _(v):
     f"""SELECT {stamp('w', 'window_start')}, user_id, n AS requests, n - 3 AS rejected FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS w, user_id, count(*) AS n FROM events GROUP BY 1, 2) t WHERE n > 3""",
 )
 def _(v):
-    out = monitors.rate_violations_stream(_access(_events(v)), limit=3, minutes=1440)
+    out = monitors.rate_violations_stream(_access(_events(v)), _path(v, "request-rates"), limit=3, minutes=1440)
     return stamped(out, "window_start")
 
 
@@ -97,7 +103,7 @@ _LE = ", ".join(f"count(*) FILTER (WHERE duration_s <= CAST({b} AS DOUBLE)) AS l
 FROM access_log GROUP BY time_bucket(INTERVAL 1 DAY, ts), method, endpoint, status""",
 )
 def _(v):
-    out = monitors.request_metrics_stream(_access(_events(v)))
+    out = monitors.request_metrics_stream(_access(_events(v)), _path(v, "request-metrics"))
     return stamped(rounded(out, "duration_sum"), "window_start")
 
 
@@ -118,4 +124,4 @@ def _(v):
         F.concat(F.lit("LSR-2024-"), F.lpad(F.col("event_id").cast("string"), 6, "0")).alias("report_id"), "ts",
         (((F.col("event_id") * 61) % 101).cast("double") / F.lit(100.0)).alias("probability"),
     )
-    return stamped(monitors.alerts_stream(readings), "ts")
+    return stamped(monitors.alerts_stream(readings, _path(v, "alerts")), "ts")

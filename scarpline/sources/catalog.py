@@ -33,19 +33,11 @@ def with_dataset_id(df: DataFrame) -> DataFrame:
     return df.withColumn("dataset_id", dataset_id(F.col("path")))
 
 
-def file_inventory(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
-    """Every file below ``root``: id, type by suffix and size; no content read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/")
-    relative = F.regexp_replace(F.col("path"), r"^.*" + _literal(base) + "/", "")
-    listed = files.select(relative.alias("path"), F.col("length").alias("size_bytes"))
+def file_inventory(listed: DataFrame, prefix: str = "") -> DataFrame:
+    """Id, type by suffix and size of every file of a listing (path, size_bytes)."""
     return listed.select(dataset_id(F.col("path"), prefix).alias("dataset_id"), "path", kind_of(F.col("path")).alias("kind"), "size_bytes")
 
 
-def _literal(text: str) -> str:
-    return "".join(ch if ch.isalnum() or ch in "/_-" else "\\" + ch for ch in text)
-
-
 def join_sidecars(datasets: DataFrame, sidecars: DataFrame, default_module: str = "M2-A") -> DataFrame:
     """Module, purpose and status from the sidecar with the same stem."""
     keyed = with_dataset_id(datasets).withColumn("stem", stem(F.col("path")))

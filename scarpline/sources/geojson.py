@@ -33,6 +33,15 @@ def write_points(df: DataFrame, properties: list[str], path: str) -> None:
     point_features(df, properties).write.mode("overwrite").text(path)
 
 
+def write_collections(df: DataFrame, properties: list[str], document: Column, path: str) -> None:
+    """FeatureCollection documents, one file each; ``document`` must bound their size."""
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), F.col("geometry"))
+    grouped = df.groupBy(document.alias("_document")).agg(F.collect_list(feature).alias("features"))
+    whole = F.struct(F.lit("FeatureCollection").alias("type"), F.col("features"))
+    texts = grouped.select(F.to_json(whole, {"ignoreNullFields": "false"}).alias("value"))
+    texts.write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
 def read_points(spark: SparkSession, path: str, properties: T.StructType, collection: bool = False) -> DataFrame:
     """Properties plus ``x``, ``y`` and ``geometry_type``.
 

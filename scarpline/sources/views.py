@@ -94,11 +94,12 @@ SELECT o_orderkey AS trip_id, CAST(j + 1 AS INT) AS ordinal, concat('Route ', CA
 FROM {orders} CROSS JOIN range(3) AS t(j)
 """
 
+# Trips and zones fill tiles of one size, so their density does not grow with the tables.
 VIEWS["waypoints"] = """
 SELECT o_orderkey AS trip_id, CAST(j + 1 AS INT) AS ordinal,
-  CAST(1120000 + (o_orderkey * 7919 + j * 311) % 40000 AS DOUBLE) / CAST(100000 AS DOUBLE) AS latitude,
-  CAST(7640000 + (o_orderkey * 6007 + j * 173) % 50000 AS DOUBLE) / CAST(100000 AS DOUBLE) AS longitude
-FROM {orders} CROSS JOIN range(4) AS t(j)
+  CAST(1120000 + 40000 * (tile % 40) + (o_orderkey * 7919 + j * 311) % 40000 AS DOUBLE) / CAST(100000 AS DOUBLE) AS latitude,
+  CAST(7640000 + 50000 * (CAST((tile - tile % 40) / 40 AS BIGINT) % 150) + (o_orderkey * 6007 + j * 173) % 50000 AS DOUBLE) / CAST(100000 AS DOUBLE) AS longitude
+FROM (SELECT o_orderkey, CAST((o_orderkey - o_orderkey % 60000) / 60000 AS BIGINT) AS tile FROM {orders}) o CROSS JOIN range(4) AS t(j)
 """
 
 VIEWS["image_flags"] = """
@@ -107,7 +108,7 @@ SELECT o_orderkey AS trip_id, o_orderkey % 11 = 0 AS landslide, o_orderkey % 5 =
 
 VIEWS["signals"] = """
 SELECT o_orderkey AS trip_id,
-  CASE o_orderkey % 7 WHEN 0 THEN ' low ' WHEN 1 THEN 'Medium' WHEN 2 THEN 'HIGH' WHEN 3 THEN 'moderate' WHEN 4 THEN 'EXTREME' WHEN 5 THEN 'LOW' END AS ml_risk,
+  CASE o_orderkey % 7 WHEN 0 THEN concat(chr(9), 'low', chr(10)) WHEN 1 THEN 'Medium' WHEN 2 THEN 'HIGH' WHEN 3 THEN 'moderate' WHEN 4 THEN 'EXTREME' WHEN 5 THEN 'LOW' END AS ml_risk,
   CASE o_orderkey % 3 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' ELSE 'HIGH' END AS route_risk,
   CASE (o_orderkey % 25 - o_orderkey % 5) / 5 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS image_risk,
   CASE WHEN o_orderkey % 2 = 0 THEN NULL WHEN o_orderkey % 9 = 1 THEN 'high' WHEN o_orderkey % 9 = 3 THEN ' LOW' ELSE 'Medium' END AS level_text,
@@ -151,14 +152,15 @@ FROM {events}
 VIEWS["alerts"] = """
 SELECT event_id AS id, concat('ALT-', CAST(event_id AS STRING)) AS alert_id,
   CASE event_id % 4 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MODERATE' WHEN 2 THEN 'HIGH' ELSE 'CRITICAL' END AS severity, ts AS issued_at, event_id % 3 <> 0 AS is_active
-FROM {events} WHERE event_type = 'error'
+FROM {events}
 """
 
 VIEWS["risk_zones"] = """
 SELECT s_suppkey AS id, concat('ZONE-', CAST(s_suppkey AS STRING)) AS zone_id,
-  CAST(1120000 + (s_suppkey * 3571) % 40000 AS DOUBLE) / CAST(100000 AS DOUBLE) AS latitude, CAST(7640000 + (s_suppkey * 4217) % 50000 AS DOUBLE) / CAST(100000 AS DOUBLE) AS longitude,
+  CAST(1120000 + 40000 * (tile % 40) + (s_suppkey * 3571) % 40000 AS DOUBLE) / CAST(100000 AS DOUBLE) AS latitude,
+  CAST(7640000 + 50000 * (CAST((tile - tile % 40) / 40 AS BIGINT) % 150) + (s_suppkey * 4217) % 50000 AS DOUBLE) / CAST(100000 AS DOUBLE) AS longitude,
   CAST(500 + (s_suppkey * 271) % 2001 AS DOUBLE) AS radius_meters, CAST((s_suppkey * 61) % 101 AS DOUBLE) / CAST(100 AS DOUBLE) AS risk_probability
-FROM {supplier}
+FROM (SELECT s_suppkey, CAST((s_suppkey - s_suppkey % 100) / 100 AS BIGINT) AS tile FROM {supplier}) s
 """
 
 VIEWS["zone_polygons"] = """
@@ -190,21 +192,21 @@ FROM {part}
 """
 
 VIEWS["sidecars"] = """
-SELECT concat(CASE p_partkey % 3 WHEN 0 THEN 'm2a/' WHEN 1 THEN 'm2b/' ELSE 'gis/' END, replace(p_name, ' ', '/'), '_', CAST(p_partkey AS STRING)) AS stem,
+SELECT concat(CASE WHEN p_partkey % 2 = 1 THEN 'unlisted/' WHEN p_partkey % 3 = 0 THEN 'm2a/' WHEN p_partkey % 3 = 1 THEN 'm2b/' ELSE 'gis/' END, replace(p_name, ' ', '/'), '_', CAST(p_partkey AS STRING)) AS stem,
   CASE WHEN p_partkey % 4 = 0 THEN 'M2-A' END AS module, lower(p_type) AS purpose,
   CASE WHEN p_partkey % 8 < 4 THEN 'SYNTHETIC_DEMO_DATA' ELSE 'VERIFIED' END AS status
-FROM {part} WHERE p_partkey % 2 = 0
+FROM {part}
 """
 
 # Column names as a hand-over might list them, one list per order.
 VIEWS["column_lists"] = """
 SELECT o_orderkey AS dataset_id, CAST(j + 1 AS INT) AS position,
-  CASE WHEN o_orderkey % 13 = 0 AND j = 3 THEN 'risk_score' WHEN o_orderkey % 17 = 0 AND j = 4 THEN 'scaled_elevation'
+  CASE WHEN o_orderkey % 11 = 0 AND j = 7 THEN 'note' WHEN o_orderkey % 13 = 0 AND j = 3 THEN 'risk_score' WHEN o_orderkey % 17 = 0 AND j = 4 THEN 'scaled_elevation'
        WHEN o_orderkey % 19 = 0 AND j = 5 THEN 'test_split' WHEN o_orderkey % 7 = 0 AND j = 1 THEN 'longitude' WHEN o_orderkey % 7 = 0 AND j = 2 THEN 'latitude'
        WHEN o_orderkey % 29 = 0 AND j = 6 THEN 'rainfall_24h' WHEN o_orderkey % 37 = 0 AND j = 6 THEN 'class'
        ELSE CASE j WHEN 0 THEN 'landslide_id' WHEN 1 THEN 'latitude' WHEN 2 THEN 'longitude' WHEN 3 THEN 'ndvi' WHEN 4 THEN 'elevation_m'
               WHEN 5 THEN 'slope_deg' WHEN 6 THEN 'aspect_deg' ELSE 'data_source_type' END END AS column_name
-FROM {orders} CROSS JOIN range(8) AS t(j) WHERE NOT (o_orderkey % 11 = 0 AND j = 7)
+FROM {orders} CROSS JOIN range(8) AS t(j)
 """
 
 VIEWS["pixels"] = """
@@ -241,7 +243,7 @@ VIEWS["work_changes"] = """
 SELECT o_orderkey AS id, CASE WHEN o_orderkey % 12 = 3 THEN concat('Renamed ', CAST(o_orderkey AS STRING)) END AS title,
   CASE WHEN o_orderkey % 12 = 6 THEN 'high' END AS priority, CASE WHEN o_orderkey % 12 = 9 THEN '2025-01-01' END AS due_date,
   o_orderkey % 15 = 0 AS complete, o_orderkey % 21 = 0 AS deleted
-FROM {orders} WHERE o_orderkey % 3 = 0
+FROM {orders}
 """
 
 VIEWS["status_updates"] = """

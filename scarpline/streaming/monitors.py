@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scarpline.functions.levels import probability_level
 from scarpline.operators import drift, risk_rules
@@ -18,25 +18,14 @@ DURATION_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0,
 # --- drift over the newest samples ---------------------------------------------------
 
 
-def _summary_schema(bins: int) -> T.StructType:
-    counts = [T.StructField(f"b{i}", T.LongType()) for i in range(1, bins + 1)]
-    moments = [T.StructField("n", T.LongType()), T.StructField("mean", T.DoubleType()), T.StructField("std", T.DoubleType())]
-    return T.StructType([T.StructField("sample_id", T.LongType()), T.StructField("band", T.IntegerType()), *counts, *moments])
+def drift_state(bands: DataFrame, path: str, window: int = drift.WINDOW, bins: int = drift.BINS) -> DataFrame:
+    """Bin counts and moments of the newest samples of a stream.
 
-
-def drift_state(bands: DataFrame, window: int = drift.WINDOW, bins: int = drift.BINS) -> DataFrame:
-    """Bin counts and moments of the newest samples, folded over the stream.
-
-    State holds one row per (sample, band) of at most ``window`` samples, not
-    the samples' values, so it stays small whatever the image size.
+    The stream keeps one row per (sample, band), not the samples' values; the
+    report reads the newest ``window`` samples from the table it writes.
     """
-    schema = _summary_schema(bins)
-
-    def step(before: DataFrame, batch: DataFrame) -> DataFrame:
-        fresh = drift.summarise(batch, ["sample_id", "band"], bins).select(*schema.names)
-        return drift.last_samples(before.unionByName(fresh), window)
-
-    return runner.run_state(bands, "drift-state", schema, step)
+    summaries = drift.summarise(bands, ["sample_id", "band"], bins)
+    return drift.last_samples(runner.run_update(summaries, path, ["sample_id", "band"]), window)
 
 
 def drift_report(state: DataFrame, bins: int = drift.BINS) -> DataFrame:
@@ -59,14 +48,10 @@ def recent_events(events: DataFrame, keep: int = BUFFER) -> DataFrame:
     return events.withColumn("recency", F.row_number().over(newest)).filter(F.col("recency") <= keep)
 
 
-def recent_events_stream(events: DataFrame, keep: int = BUFFER) -> DataFrame:
-    """Stream form: the buffer of every holder as a state table."""
+def recent_events_stream(events: DataFrame, path: str, keep: int = BUFFER) -> DataFrame:
+    """Stream form: events are appended to a table, the buffer is read from it."""
     kept = events.select("event_id", "ts", "user_id", "event_type")
-
-    def step(before: DataFrame, batch: DataFrame) -> DataFrame:
-        return recent_events(before.unionByName(batch), keep).drop("recency")
-
-    return runner.run_state(kept, "event-buffer", kept.schema, step)
+    return recent_events(runner.run_append(kept, path), keep).drop("recency")
 
 
 # --- rates and request metrics -----------------------------------------------------------
@@ -86,9 +71,9 @@ def rate_violations(rates: DataFrame, limit: int = RATE_LIMIT) -> DataFrame:
     return rates.filter(F.col("requests") > limit).withColumn("rejected", F.col("requests") - limit)
 
 
-def rate_violations_stream(requests: DataFrame, limit: int = RATE_LIMIT, minutes: int = 1, lateness: str = "10 minutes") -> DataFrame:
+def rate_violations_stream(requests: DataFrame, path: str, limit: int = RATE_LIMIT, minutes: int = 1, lateness: str = "10 minutes") -> DataFrame:
     rates = request_rates(requests.withWatermark("ts", lateness), minutes)
-    return rate_violations(runner.run_update(rates, "request-rates", ["window_start", "user_id"]), limit)
+    return rate_violations(runner.run_update(rates, path, ["window_start", "user_id"]), limit)
 
 
 def request_metrics(requests: DataFrame, width: str = "1 day") -> DataFrame:
@@ -100,9 +85,9 @@ def request_metrics(requests: DataFrame, width: str = "1 day") -> DataFrame:
     return grouped.select(_window_start(), *[c for c in grouped.columns if c != "window"])
 
 
-def request_metrics_stream(requests: DataFrame, width: str = "1 day", lateness: str = "1 hour") -> DataFrame:
+def request_metrics_stream(requests: DataFrame, path: str, width: str = "1 day", lateness: str = "1 hour") -> DataFrame:
     metrics = request_metrics(requests.withWatermark("ts", lateness), width)
-    return runner.run_update(metrics, "request-metrics", ["window_start", "method", "endpoint", "status"])
+    return runner.run_update(metrics, path, ["window_start", "method", "endpoint", "status"])
 
 
 def exception_counts(requests: DataFrame) -> DataFrame:
@@ -121,7 +106,7 @@ def alerts_from_readings(readings: DataFrame) -> DataFrame:
     return risk_rules.notification(risk_rules.alert(rated), keep=["report_id", "ts"]).filter("display")
 
 
-def alerts_stream(readings: DataFrame, lateness: str = "10 minutes") -> DataFrame:
+def alerts_stream(readings: DataFrame, path: str, lateness: str = "10 minutes") -> DataFrame:
     """Append-only alerts; a report repeated within the lateness alerts once."""
     unique = readings.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["report_id"])
-    return runner.run_append(alerts_from_readings(unique), "alerts")
+    return runner.run_append(alerts_from_readings(unique), path)

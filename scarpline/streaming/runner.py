@@ -1,17 +1,15 @@
-"""Running a stream to completion into tables of the shared folder.
+"""Running a stream into tables at paths that the caller names.
 
-Every sink is a file table, never the driver's memory. ``available_now`` runs
-serve backfills and tests; for a live stream pass another trigger.
+The output and the progress of a query live at the caller's path, so a stream
+that was stopped goes on from there when it is started again with the same
+path. Every sink is a file table, never the driver's memory. ``available_now``
+runs serve backfills and tests; for a live stream pass another trigger.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from scarpline.sources import shared
-
 
 def read_table_stream(
     spark: SparkSession, folder: str, name: str, schema: T.StructType, max_files: int | None = None
@@ -23,73 +21,35 @@ def read_table_stream(
     return reader.parquet(folder)
 
 
-def run_append(stream: DataFrame, purpose: str, trigger: dict | None = None) -> DataFrame:
+def run_append(stream: DataFrame, path: str, trigger: dict | None = None) -> DataFrame:
     """Run an append-mode query into parquet and return the written table."""
-    path = shared.folder(stream.sparkSession, purpose)
     query = (
         stream.writeStream.outputMode("append").format("parquet")
-        .option("path", path).option("checkpointLocation", f"{path}-progress")
+        .option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress")
         .trigger(**(trigger or {"availableNow": True})).start()
     )
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def run_update(stream: DataFrame, purpose: str, keys: list[str], trigger: dict | None = None) -> DataFrame:
-    """Run an update-mode aggregate and return the latest row of each key.
+def run_update(stream: DataFrame, path: str, keys: list[str], trigger: dict | None = None) -> DataFrame:
+    """Run an update-mode aggregate, held in the engine's own state, and return the latest row of each key.
 
-    Each micro-batch overwrites its own folder, so a repeated batch after a
-    failure changes nothing. The reader takes the newest batch per key with a
-    partial aggregate.
-    """
-    path = shared.folder(stream.sparkSession, purpose)
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    _run_batches(stream, save, "update", f"{path}-progress", trigger)
-    written = stream.sparkSession.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(path)
-    values = [c for c in stream.columns if c not in keys]
-    newest = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
-    return newest.select(*keys, "v.*")
-
-
-def run_state(
-    stream: DataFrame,
-    purpose: str,
-    state_schema: T.StructType,
-    step: Callable[[DataFrame, DataFrame], DataFrame],
-    trigger: dict | None = None,
-) -> DataFrame:
-    """Fold micro-batches into a state table: state' = step(state, batch).
-
-    The state of each batch is a folder of its own and is derived from the
-    folder of the batch before, so a replayed batch gives the same state and a
-    lost executor only re-reads files.
+    Each micro-batch writes the changed keys to its own folder and overwrites
+    it when repeated after a failure. The reader takes the newest batch per key
+    with a partial aggregate.
     """
     spark = stream.sparkSession
-    path = shared.folder(spark, purpose)
-    last = {"id": -1}
-
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        before = (
-            session.read.schema(state_schema).parquet(f"{path}/state-{batch_id - 1}")
-            if batch_id > 0
-            else session.createDataFrame([], state_schema)
-        )
-        step(before, batch).write.mode("overwrite").parquet(f"{path}/state-{batch_id}")
-        last["id"] = batch_id
-
-    _run_batches(stream, fold, "append", f"{path}-progress", trigger)
-    if last["id"] < 0:
-        return spark.createDataFrame([], state_schema)
-    return spark.read.schema(state_schema).parquet(f"{path}/state-{last['id']}")
 
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
 
-def _run_batches(stream: DataFrame, save, mode: str, progress: str, trigger: dict | None) -> None:
     query = (
-        stream.writeStream.outputMode(mode).foreachBatch(save)
-        .option("checkpointLocation", progress).trigger(**(trigger or {"availableNow": True})).start()
+        stream.writeStream.outputMode("update").foreachBatch(save)
+        .option("checkpointLocation", f"{path}/progress").trigger(**(trigger or {"availableNow": True})).start()
     )
     query.awaitTermination()
+    written = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{path}/rows")
+    values = [c for c in stream.columns if c not in keys]
+    newest = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    return newest.select(*keys, "v.*")

@@ -56,7 +56,7 @@ def test_cooldown_stream_over_batches(spark, log):
     df = spark.createDataFrame(log, "k string, s double").withColumn("ts", F.timestamp_seconds("s")).select("k", "ts")
     path = parts(spark, df, "ts", 5, "log")
     stream = runner.read_table_stream(spark, path, "part", df.schema, max_files=1)
-    out = runner.run_append(spacing.keep_spaced_stream(stream, "k", 300.0), "spaced").collect()
+    out = runner.run_append(spacing.keep_spaced_stream(stream, "k", 300.0), shared.folder(spark, "spaced")).collect()
     assert {(r["k"], r["at_us"] / 1e6) for r in out} == brute(log, 300.0)
 
 
@@ -66,7 +66,7 @@ def test_event_buffer_over_batches(spark):
     )
     path = parts(spark, df, "ts", 4, "events")
     stream = runner.read_table_stream(spark, path, "part", df.schema, max_files=1)
-    streamed = {(r["user_id"], r["event_id"]) for r in monitors.recent_events_stream(stream).collect()}
+    streamed = {(r["user_id"], r["event_id"]) for r in monitors.recent_events_stream(stream, shared.folder(spark, "buffer")).collect()}
     batch = {(r["user_id"], r["event_id"]) for r in monitors.recent_events(df).collect()}
     assert streamed == batch
 
@@ -78,7 +78,7 @@ def test_drift_over_batches(spark):
     )
     path = parts(spark, df, "sample_id", 4, "bands")
     stream = runner.read_table_stream(spark, path, "part", df.schema, max_files=1)
-    streamed = {r["band"]: r for r in monitors.drift_report(monitors.drift_state(stream)).collect()}
+    streamed = {r["band"]: r for r in monitors.drift_report(monitors.drift_state(stream, shared.folder(spark, "drift"))).collect()}
     for r in drift.band_report(df, drift.baseline(spark, [0.0] * 2, [1.0] * 2)).collect():
         s = streamed[r["band"]]
         assert (s["psi"], s["mean"], s["std"]) == (pytest.approx(r["psi"]), pytest.approx(r["mean"]), pytest.approx(r["std"]))
@@ -88,6 +88,25 @@ def test_rate_violations_over_batches(spark):
     df = spark.range(900).select(F.timestamp_seconds(F.col("id")).alias("ts"), F.when(F.col("id") % 5 < 4, 1).otherwise(2).cast("long").alias("user_id"))
     path = parts(spark, df, "ts", 3, "requests")
     stream = runner.read_table_stream(spark, path, "part", df.schema, max_files=1)
-    streamed = {(r["window_start"], r["user_id"], r["rejected"]) for r in monitors.rate_violations_stream(stream, limit=40).collect()}
+    streamed = {(r["window_start"], r["user_id"], r["rejected"]) for r in monitors.rate_violations_stream(stream, shared.folder(spark, "rates"), limit=40).collect()}
     batch = {(r["window_start"], r["user_id"], r["rejected"]) for r in monitors.rate_violations(monitors.request_rates(df), 40).collect()}
     assert streamed == batch and len(batch) == 15
+
+
+def test_a_stopped_stream_goes_on(spark, log):
+    """Two of five batches, a stop, then the rest with the same path: the batch answer."""
+    df = spark.createDataFrame(log, "k string, s double").withColumn("ts", F.timestamp_seconds("s")).select("k", "ts")
+    path, target = parts(spark, df, "ts", 5, "restart"), shared.folder(spark, "restarted")
+
+    def stream():
+        return spacing.keep_spaced_stream(runner.read_table_stream(spark, path, "part", df.schema, max_files=1), "k", 300.0)
+
+    query = (
+        stream().writeStream.outputMode("append").format("parquet").option("path", f"{target}/rows")
+        .option("checkpointLocation", f"{target}/progress").trigger(processingTime="0 seconds").start()
+    )
+    while query.lastProgress is None or query.lastProgress["batchId"] < 1:
+        query.awaitTermination(0.2)
+    query.stop()
+    out = runner.run_append(stream(), target).collect()
+    assert {(r["k"], r["at_us"] / 1e6) for r in out} == brute(log, 300.0) and len(out) == len(set(out))
