@@ -275,3 +275,9 @@ def test_gates_raise(spark):
     for call in (ml_tables.require_columns, preparation.labelled_check, preparation.training_gate, risk_rules.environment_fields, risk_rules.notification):
         with pytest.raises(ValueError):
             call(df)
+
+
+def test_rounding_of_large_values(spark):
+    rows = [(1e300,), (float(2**60),), (-1e17,), (0.545,), (2.5,), (float("inf"),)]
+    out = [r[0] for r in spark.createDataFrame(rows, "x double").select(round_exact(F.col("x"), 2)).collect()]
+    assert out == [round(x, 2) if abs(x) < 1e308 else x for (x,) in rows]
