@@ -218,11 +218,14 @@ def _links(ids: np.ndarray, leader: np.ndarray) -> pa.RecordBatch:
 def near_links(docs: DataFrame, k: int, similarity: float, recall: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Links (a, b) among ids whose groups are the near-duplicate groups.
 
-    Within a cell each row links to the first leader near enough and leaders
+    The similarity is estimated from the share of differing bits. A link may
+    lie half a standard error below it, so that few pairs at the similarity
+    are missed. Within a cell each row links to the first leader near enough and leaders
     go on to the next level: first inside the input batches, then over all.
     """
     width, number = cell_plan(docs.count(), similarity, recall)
-    far = math.floor(64 * WORDS * bit_share(similarity))
+    differ = bit_share(similarity)
+    far = math.floor(64 * WORDS * differ + math.sqrt(64 * WORDS * differ * (1 - differ)) / 2)
     draw = np.random.default_rng(SEED)
     chosen = np.stack([np.sort(draw.choice(64 * WORDS, width, replace=False)) for _ in range(number)])
 
