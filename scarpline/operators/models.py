@@ -125,7 +125,7 @@ def train_boosted(
 
     def fit(name: str) -> GBTClassificationModel:
         target = prepared.select("features", (F.col(TARGET) == name).cast("double").alias("label"))
-        return GBTClassifier(maxIter=maxIter, maxDepth=maxDepth, stepSize=stepSize, seed=seed).fit(target)
+        return GBTClassifier(maxIter=maxIter, maxDepth=maxDepth, stepSize=stepSize, seed=seed, checkpointInterval=-1).fit(target)
 
     with ThreadPoolExecutor(len(ordered)) as pool:
         return BoostedModel(ordered, tuple(pool.map(fit, ordered)))
