@@ -20,7 +20,7 @@ without a time are not events.
 from __future__ import annotations
 
 import sys
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -63,25 +63,24 @@ def steps(times: list[int], reach: int, gap: int) -> list[tuple[int, int]]:
     return [(times[i], last[i]) for i in range(count) if i + 1 == count or last[i + 1] != last[i]]
 
 
-def _stretches(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Consecutive rows with the same keys, over the borders of batches."""
-    held: list[pd.DataFrame] = []
+def _stretches(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:
+    """Columns of consecutive rows with the same keys, over the borders of batches."""
+    held: dict[str, np.ndarray] | None = None
     for pdf in batches:
         if not len(pdf):
             continue
-        changed = np.zeros(len(pdf), dtype=bool)
+        columns = {c: pdf[c].to_numpy() for c in pdf.columns}
+        if held is not None:
+            columns = {c: np.concatenate([held[c], v]) for c, v in columns.items()}
+        changed = np.zeros(len(columns[keys[0]]), dtype=bool)
         for k in keys:
-            v = pdf[k].to_numpy()
-            changed[1:] |= v[1:] != v[:-1]
-        cuts = [0, *np.flatnonzero(changed).tolist(), len(pdf)]
+            changed[1:] |= columns[k][1:] != columns[k][:-1]
+        cuts = [0, *np.flatnonzero(changed).tolist()]
         for low, high in zip(cuts, cuts[1:]):
-            part = pdf.iloc[low:high]
-            if held and any(held[0][k].iloc[0] != part[k].iloc[0] for k in keys):
-                yield tuple(held[0][k].iloc[0] for k in keys), pd.concat(held)
-                held = []
-            held.append(part)
-    if held:
-        yield tuple(held[0][k].iloc[0] for k in keys), pd.concat(held)
+            yield tuple(columns[k][low] for k in keys), {c: v[low:high] for c, v in columns.items()}
+        held = {c: v[cuts[-1] :] for c, v in columns.items()}
+    if held is not None:
+        yield tuple(held[k][0] for k in keys), held
 
 
 def _collected(rows: Iterator[tuple], columns: list[str], size: int = 20_000) -> Iterator[pd.DataFrame]:
@@ -95,14 +94,14 @@ def _collected(rows: Iterator[tuple], columns: list[str], size: int = 20_000) ->
         yield pd.DataFrame(out, columns=columns)
 
 
-def _walk(df: DataFrame, keys: list[str], then: str, rows: Callable, schema: str, dealt: list[str]) -> DataFrame:
+def _walk(df: DataFrame, keys: list[str], then: list[str], rows: Callable, schema: str, dealt: list[str]) -> DataFrame:
     """Run ``rows(key values, stretch)`` over each stretch of a sorted partition."""
     columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _collected((row for key, part in _stretches(batches, keys) for row in rows(key, part)), columns)
 
-    return df.repartition(*dealt).sortWithinPartitions(*keys, then).mapInPandas(run, schema)
+    return df.repartition(*dealt).sortWithinPartitions(*keys, *then).mapInPandas(run, schema)
 
 
 def keep_spaced(events: DataFrame, key: str, gap_s: float = GAP_S, block_s: float = BLOCK_S, ts: str = "ts") -> DataFrame:
@@ -115,26 +114,29 @@ def keep_spaced(events: DataFrame, key: str, gap_s: float = GAP_S, block_s: floa
     instants = events.select(marked, micros(ts).alias("at_us")).filter("at_us IS NOT NULL").distinct()
     instants = instants.withColumn("block", F.floor(F.col("at_us") / F.lit(block_us)).cast("bigint"))
 
-    def leave(at: tuple, part: pd.DataFrame) -> Iterator[tuple]:
-        for opening, leaving in steps(part["at_us"].to_list(), int(at[1]) * block_us + gap, gap):
+    def leave(at: tuple, part: dict[str, np.ndarray]) -> Iterator[tuple]:
+        for opening, leaving in steps(part["at_us"].tolist(), int(at[1]) * block_us + gap, gap):
             yield at[0], at[1], opening, leaving
 
-    def connect(at: tuple, part: pd.DataFrame) -> Iterator[tuple]:
-        free = _EVER
-        for block, rows in part.groupby("block", sort=True):
-            i = int(np.searchsorted(rows["opening"].to_numpy(), free, side="left"))
-            if i < len(rows):
-                yield at[0], block, free
-                free = int(rows["leaving"].iloc[i]) + gap
-
-    def replay(at: tuple, part: pd.DataFrame) -> Iterator[tuple]:
-        for kept in chain(part["at_us"].to_list(), int(part["free"].iloc[0]), gap):
+    def connect(at: tuple, part: dict[str, np.ndarray]) -> Iterator[tuple]:
+        block, opening, leaving = (part[c].tolist() for c in ("block", "opening", "leaving"))
+        free, low = _EVER, 0
+        while low < len(block):
+            high = bisect_right(block, block[low], low)
+            i = bisect_left(opening, free, low, high)
+            if i < high:
+                yield at[0], block[low], free
+                free = leaving[i] + gap
+            low = high
+
+    def replay(at: tuple, part: dict[str, np.ndarray]) -> Iterator[tuple]:
+        for kept in chain(part["at_us"].tolist(), int(part["free"][0]), gap):
             yield at[0], kept
 
-    left = _walk(instants, ["m", "block"], "at_us", leave, "m string, block bigint, opening bigint, leaving bigint", ["m", "block"])
-    opened = _walk(left, ["m"], "block", connect, "m string, block bigint, free bigint", ["m"])
+    left = _walk(instants, ["m", "block"], ["at_us"], leave, "m string, block bigint, opening bigint, leaving bigint", ["m", "block"])
+    opened = _walk(left, ["m"], ["block", "opening"], connect, "m string, block bigint, free bigint", ["m"])
     known = instants.join(opened, ["m", "block"])
-    kept = _walk(known, ["m", "block"], "at_us", replay, "m string, at_us bigint", ["m", "block"])
+    kept = _walk(known, ["m", "block"], ["at_us"], replay, "m string, at_us bigint", ["m", "block"])
     return kept.select(F.when(F.col("m") != "", F.expr("substring(m, 2)")).alias("k"), "at_us")
 
 
