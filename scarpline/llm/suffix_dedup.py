@@ -199,15 +199,12 @@ _ROW = "key bigint, h bigint, r bigint, doc bigint, start bigint, n bigint, kind
 _NAMES = ["key", "h", "r", "doc", "start", "n", "kind"]
 
 
-def _judged(h: np.ndarray, r: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the occurrences by (h, r, doc, start); per occurrence: later than an equal region; anchor has several regions."""
-    order = np.lexsort((start, doc, r, h))
-    h, r, several = h[order], r[order], several[order]
+def _judged(h: np.ndarray, r: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of occurrences in order of (h, r, doc, start): later than an equal region; the anchor has several regions."""
     new_h, new_r = _first_of(h), _first_of(h, r)
     group = np.cumsum(new_h) - 1
-    kinds = np.bincount(group, weights=new_r)
-    told = np.bincount(group, weights=several)
-    return order, ~new_r, (kinds[group] > 1) | (told[group] > 0)
+    several = (np.bincount(group, weights=new_r) > 1) | (np.bincount(group, weights=told) > 0)
+    return ~new_r, several[group]
 
 
 def _spread(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -231,8 +228,9 @@ def occurrences(rows: DataFrame) -> DataFrame:
         stops = first + n + LENGTH - 1
         r = np.array([digest(joined[a:b]) for a, b in zip(first.tolist(), stops.tolist(), strict=True)], np.uint64).view(np.int64)
         h, start = h.view(np.int64), first - (ends - sizes)[text_no]
-        order, later, several = _judged(h, r, doc, start, n, np.zeros(len(h), bool))
+        order = np.lexsort((start, doc, r, h))
         h, r, doc, start, n = h[order], r[order], doc[order], start[order], n[order]
+        later, several = _judged(h, r, np.zeros(len(h), bool))
         kind = np.where(later, REPEAT, np.where(~several, ALONE, np.where(_first_of(h), SEVERAL, REGION)))
         key = np.where(kind >= REGION, _spread(doc, start), h)
         for at in range(0, len(h), 50_000):
@@ -257,26 +255,30 @@ def occurrences(rows: DataFrame) -> DataFrame:
 
 
 def repeats_and_regions(found: DataFrame) -> DataFrame:
-    """Regions that repeat an earlier one, and regions whose bytes must be compared."""
+    """Regions that repeat an earlier one, and regions whose bytes must be compared.
+
+    Occurrences come sorted by anchor, region and place. From one batch to the
+    next only the last region of the last anchor is held, however often an
+    anchor occurs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        h, r, doc, start, n, kind = (table[c].to_numpy() for c in _NAMES[1:])
-        own = kind < REGION
-        out = [(h[~own], doc[~own], start[~own], n[~own], kind[~own])]
-        h, r, doc, start, n, kind = (c[own] for c in (h, r, doc, start, n, kind))
-        order, later, several = _judged(h, r, doc, start, n, kind == SEVERAL)
-        state = np.where(later, REPEAT, np.where(several, REGION, ALONE))
-        told = state != ALONE
-        out.append((h[order][told], doc[order][told], start[order][told], n[order][told], state[told]))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-        for at in range(0, len(columns[0]), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000].astype(np.int64)) for c in columns], names=["h", "doc", "start", "n", "kind"])
-
-    return found.repartition("key").mapInArrow(run, "h bigint, doc bigint, start bigint, n bigint, kind bigint")
+        rest = np.empty((7, 0), np.int64)  # the held row; its last field: 1 where it was handed on
+        for batch in batches:
+            rows = np.stack([*[batch.column(c).to_numpy() for c in _NAMES[1:]], np.zeros(batch.num_rows, np.int64)])
+            settled = rows[5] >= REGION
+            own = np.concatenate([rest, rows[:, ~settled]], axis=1)
+            later, several = _judged(own[0], own[1], own[5] == SEVERAL)
+            own[5] = np.where(later, REPEAT, np.where(several, REGION, ALONE))
+            if own.shape[1]:
+                at = np.flatnonzero(~later)[-1:]
+                rest = own[:, at]
+                rest[5], rest[6] = np.where(several[at], SEVERAL, ALONE), several[at]
+            out = np.concatenate([rows[:, settled], own[:, (own[5] != ALONE) & (own[6] == 0)]], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(out[k]) for k in (0, 2, 3, 4, 5)], names=["h", "doc", "start", "n", "kind"])
+
+    dealt = found.repartition("key").sortWithinPartitions("h", "r", "doc", "start")
+    return dealt.mapInArrow(run, "h bigint, doc bigint, start bigint, n bigint, kind bigint")
 
 
 # Shards
@@ -356,23 +358,22 @@ def compare_regions(regions_: DataFrame) -> DataFrame:
 
 
 def merge_shards(windows: DataFrame) -> DataFrame:
-    """Of windows kept by several shards, those whose digest an earlier window has."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), schema=_WINDOWS)
-        digest, doc, start = (table[c].to_numpy() for c in ("digest", "doc", "start"))
-        if not len(digest):
-            return
-        order = np.lexsort((start, doc, digest))
-        digest, doc, start = digest[order], doc[order], start[order]
-        repeat = np.searchsorted(digest, digest, "left") < np.arange(len(digest))
-        if repeat.any():
-            yield _out(*_runs(doc[repeat], start[repeat]))
+    """Of windows kept by several shards, those whose digest an earlier window has.
 
-    return windows.select("digest", "doc", "start").repartition("digest").mapInArrow(run, _OUT)
+    Windows come sorted by digest; only the last digest is held between batches.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.empty(0, np.int64)
+        for batch in batches:
+            digest, doc, start = (batch.column(c).to_numpy() for c in ("digest", "doc", "start"))
+            repeat = (np.searchsorted(digest, digest, "left") < np.arange(len(digest))) | np.isin(digest, last)
+            if repeat.any():
+                yield _out(*_runs(doc[repeat], start[repeat]))
+            last = digest[-1:] if len(digest) else last
 
-_WINDOWS = pa.schema([("digest", pa.int64()), ("doc", pa.int64()), ("start", pa.int64())])
+    dealt = windows.select("digest", "doc", "start").repartition("digest").sortWithinPartitions("digest", "doc", "start")
+    return dealt.mapInArrow(run, _OUT)
 
 
 def _cut_regions(asked: DataFrame, texts: DataFrame) -> DataFrame:

@@ -110,6 +110,20 @@ def test_removal_is_exact(spark, monkeypatch, limit):
     assert any(v[1] for v in expected.values())
 
 
+def test_removal_is_exact_across_batches(spark, monkeypatch):
+    """Groups of one anchor or digest that run over many small batches."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_REGIONS", 3)
+    rows = passages(12)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "3")
+    try:
+        got = suffix_dedup.digests(table(spark, rows).repartition(30)).collect()
+    finally:
+        spark.conf.set(size, before)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == removed_by_force(rows)
+
+
 def test_removal_from_awkward_rows(spark):
     got = suffix_dedup.digests(table(spark, AWKWARD)).collect()
     assert len(got) == len(AWKWARD)
