@@ -58,31 +58,47 @@ def likeness(a: Column, b: Column) -> Column:
     return common_ / F.size(union)
 
 
+def _longs(values: list[int | None]) -> str:
+    return "array(" + ", ".join("CAST(NULL AS BIGINT)" if v is None else f"{v}L" for v in values) + ")"
+
+
+def range_number(doc_id: Column, cuts: list[int], block: int = 128) -> Column:
+    """How many cut points reach the id. Two steps, so a row is compared with few of many cut points."""
+    falling = sorted(set(cuts), reverse=True)
+    blocks = [falling[k : k + block] for k in range(0, len(falling), block)] or [[]]
+
+    def reach(points: Column) -> Column:
+        return F.size(F.filter(points, lambda p: p >= doc_id))
+
+    at = F.greatest(reach(F.expr(_longs([b[0] for b in blocks if b])).cast("array<bigint>")), F.lit(1))
+    inside = F.element_at(F.expr("array(" + ", ".join(map(_longs, blocks)) + ")").cast("array<array<bigint>>"), at)
+    return (at - 1) * block + reach(inside)
+
+
 def _with_next(docs: DataFrame, rows_a_range: int, max_ranges: int) -> DataFrame:
     """Each row with the text and sketch of the next one by descending id.
 
     Ids are cut into ranges of about ``rows_a_range`` rows (at most
-    ``max_ranges`` cut points and range heads reach the driver). The head of
-    each range is also sent to the range before it, as a closing row, so the
-    successor is always found inside one range.
+    ``max_ranges`` cut points and range heads reach the driver; beyond them
+    ranges grow and their sort spills). The head of each range is also sent to
+    the range before it, as a closing row, so the successor is always found
+    inside one range.
     """
     n = docs.count()
     steps = max(1, min(max_ranges, -(-n // rows_a_range)))
     shares = [k / steps for k in range(1, steps)]
-    cuts = docs.select(F.percentile_approx("doc_id", shares, 100 * max_ranges)).first()[0] if shares else None
-    bounds = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
+    cuts = docs.select(F.percentile_approx("doc_id", shares, max(10_000, 20 * steps))).first()[0] if shares else None
     # range 0 holds the largest ids, NULL ids come last
-    below = F.size(F.filter(bounds, lambda b: b >= F.col("doc_id")))
-    placed = docs.withColumn("_range", F.when(F.col("doc_id").isNull(), F.lit(steps)).otherwise(below))
+    place = F.when(F.col("doc_id").isNull(), F.lit(steps)).otherwise(range_number(F.col("doc_id"), cuts or []))
+    placed = docs.withColumn("_range", place)
     heads = placed.groupBy("_range").agg(F.max("doc_id").alias("head")).orderBy("_range").collect()
-    before = {row["_range"]: heads[k - 1]["_range"] for k, row in enumerate(heads)}  # the first one closes the last
-    if heads:
-        known = F.create_map(*[F.lit(x) for row in heads for x in (row["_range"], before[row["_range"]])])
-        firsts = F.create_map(*[F.lit(x) for row in heads for x in (row["_range"], row["head"])])
-        is_head = F.col("doc_id").eqNullSafe(F.element_at(firsts, F.col("_range")))
-        closing = F.struct(F.element_at(known, F.col("_range")).alias("_range"), F.lit(True).alias("_closing"))
-    else:
-        is_head, closing = F.lit(False), F.struct(F.lit(0).alias("_range"), F.lit(True).alias("_closing"))
+    before: list[int | None] = [None] * (steps + 1)
+    firsts: list[int | None] = [None] * (steps + 1)
+    for k, row in enumerate(heads):  # the first one closes the last
+        before[row["_range"]], firsts[row["_range"]] = heads[k - 1]["_range"], row["head"]
+    of_range = lambda values: F.element_at(F.expr(_longs(values)), F.col("_range") + 1)
+    is_head = F.col("doc_id").eqNullSafe(of_range(firsts))
+    closing = F.struct(of_range(before).cast("int").alias("_range"), F.lit(True).alias("_closing"))
     own = F.struct(F.col("_range").alias("_range"), F.lit(False).alias("_closing"))
     copies = placed.withColumn("_at", F.explode(F.when(is_head, F.array(own, closing)).otherwise(F.array(own))))
     copies = copies.withColumn("_range", F.col("_at._range")).withColumn("_closing", F.col("_at._closing")).drop("_at")
@@ -92,7 +108,7 @@ def _with_next(docs: DataFrame, rows_a_range: int, max_ranges: int) -> DataFrame
 
 
 def fingerprints(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows_a_range: int = 1500, max_ranges: int = 512
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows_a_range: int = 1500, max_ranges: int = 16_384
 ) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness.
 

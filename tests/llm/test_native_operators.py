@@ -115,6 +115,15 @@ def test_next_and_edited_texts(spark):
     assert max(r.near_next for r in long_ones) < 0.1
 
 
+def test_range_number_counts_the_cut_points(spark):
+    cuts = [-5, 0, 0, *range(10, 900, 7)]
+    ids = [-9, -5, -4, 0, 9, 10, 11, 500, 891, 899, 900, 2**62]
+    rows = spark.createDataFrame([(i,) for i in ids], "doc_id bigint")
+    for given, block in ((cuts, 128), (cuts, 4), (cuts[:1], 4), ([], 4)):
+        got = rows.select("doc_id", syncmers.range_number(F.col("doc_id"), given, block).alias("n")).collect()
+        assert {r.doc_id: r.n for r in got} == {i: sum(c >= i for c in set(given)) for i in ids}
+
+
 def test_anchors_do_not_depend_on_their_surroundings(spark):
     rnd = random.Random(3)
     words = ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(30)]
