@@ -257,7 +257,7 @@ def occurrences(rows: DataFrame) -> DataFrame:
 def repeats_and_regions(found: DataFrame) -> DataFrame:
     """Regions that repeat an earlier one, and regions whose bytes must be compared.
 
-    Occurrences come sorted by anchor, region and place. From one batch to the
+    Open occurrences come sorted by anchor, region and place. From one batch to the
     next only the last region of the last anchor is held, however often an
     anchor occurs.
     """
@@ -277,7 +277,9 @@ def repeats_and_regions(found: DataFrame) -> DataFrame:
             out = np.concatenate([rows[:, settled], own[:, (own[5] != ALONE) & (own[6] == 0)]], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(out[k]) for k in (0, 2, 3, 4, 5)], names=["h", "doc", "start", "n", "kind"])
 
-    dealt = found.repartition("key").sortWithinPartitions("h", "r", "doc", "start")
+    # settled rows come first and by place, which also stores them small
+    h, r = (F.when(F.col("kind") < REGION, F.col(c)) for c in ("h", "r"))
+    dealt = found.repartition("key").sortWithinPartitions(h, r, "doc", "start")
     return dealt.mapInArrow(run, "h bigint, doc bigint, start bigint, n bigint, kind bigint")
 
 
