@@ -11,12 +11,12 @@ distance r differ in at most r groups, so they agree in some choice of
 pairs of a cell pass the Manhattan bound and then the exact Hamming distance.
 No link is lost, and equal fingerprints are collapsed before.
 
-Similarity search (``near_groups``): near-duplicates at similarity 0.8 differ
-in about 15 % of the bits, too far for exhaustive cells, so wide fingerprints
-(256 bits) are used with segments of one bit and many cells of randomly chosen
-segments; the expected recall is a parameter. Inside a cell, rows are compared
-with the leaders of the cell only, first inside each input task, so a group of
-copies never meets pair by pair.
+Similarity search (``near_links``): near-duplicates at similarity 0.8 differ in
+about 15 % of the bits, too far for exhaustive grid cells, and cells of sampled
+bits need hundreds of copies of a row for a high recall. Candidates are rows
+that share a band of ``BAND_ROWS`` minima of their shingle sets (the chance of a
+band is similarity ** BAND_ROWS; the expected recall is a parameter), and each
+one is verified on the whole sets before it becomes a link.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -37,7 +36,7 @@ SEED = 42
 BLOCK = 100_000  # shingles hashed at a time
 GROUPS, GROUP_BITS = 8, 8
 LOW_BITS = 0x5555555555555555
-WORDS = 4  # 64-bit words of a wide fingerprint
+BAND_ROWS = 6  # minima of a band
 
 
 # Fingerprints
@@ -152,145 +151,130 @@ def classes(docs: DataFrame, k: int = 4, radius: int = 4, doc_id: str = "doc_id"
     return found.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Similarity search
+# Near-duplicates by similarity
 
 
-def cell_plan(rows: int, similarity: float, recall: float) -> tuple[int, int]:
-    """(segments of a cell, number of cells) for an expected recall at the similarity.
+def band_count(similarity: float, recall: float) -> int:
+    """Bands of BAND_ROWS minima for an expected recall at exactly the similarity."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**BAND_ROWS))
 
-    A cell has two segments more than the rows have binary digits, so cells of
-    unrelated rows stay near empty at any size.
-    """
-    differ = bit_share(similarity)
-    width = max(12, math.ceil(math.log2(max(rows, 2))) + 2)
-    return width, math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** width))
 
+def shingle_set(text: bytes, k: int) -> np.ndarray:
+    """Sorted distinct hashes of the k-word shingles; fewer words are one shingle, no words none."""
+    found = list(_shingle_hashes(text, k))
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
 
-def bit_share(similarity: float) -> float:
-    """Expected share of differing bits at a Jaccard similarity of shingle sets."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
+def band_keys(shingles: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """One key for each band of minima of a shingle set; none for the empty set."""
+    if not len(shingles):
+        return np.empty(0, np.int64)
+    least = np.full(len(factors), 2**64 - 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(shingles), 2048):
+            part = shingles[at : at + 2048, None] * factors + shifts
+            np.minimum(least, part.min(axis=0), out=least)
+        key = np.arange(len(factors) // BAND_ROWS, dtype=np.uint64)
+        for column in least.reshape(-1, BAND_ROWS).T:
+            key = _mixed(key ^ column, 1)
+    return key.view(np.int64)
 
-def _leaders(cell: np.ndarray, ids: np.ndarray, fps: np.ndarray, far: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows sorted by (cell, id): (rows that lead, rows that follow, the leader row of each)."""
-    starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-    ends = np.r_[starts[1:], len(cell)]
-    lead = np.ones(len(cell), dtype=bool)
-    follow, to = [], []
-    for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-        open_ = np.arange(s, e)
-        while len(open_) > 1:
-            first, rest = open_[0], open_[1:]
-            apart = np.bitwise_count(fps[rest] ^ fps[first]).sum(axis=1)
-            near = apart <= far
-            if near.any():
-                follow.append(rest[near])
-                to.append(np.full(int(near.sum()), first))
-                lead[rest[near]] = False
-            open_ = rest[~near]
-    if not follow:
-        return np.flatnonzero(lead), np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.flatnonzero(lead), np.concatenate(follow), np.concatenate(to)
 
+def _signed_rows(rows: DataFrame, k: int, bands: int) -> DataFrame:
+    """(id, digest, n, keys): digest and size of the shingle set, band keys. ``rows``: id, text."""
+    draw = np.random.default_rng(SEED)
+    factors, shifts = (draw.integers(0, 2**64, bands * BAND_ROWS, dtype=np.uint64) for _ in range(2))
+    factors |= np.uint64(1)
 
-def _sorted_rows(cell: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, cell))
-    return cell[order], ids[order], fps[order]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                (batch, texts), = common.text_rows([whole.slice(at, 500)])
+                digests, sizes, keys = [], [], []
+                for text in texts:
+                    own = shingle_set(text, k)
+                    digests.append(xxhash.xxh3_128_digest(own.tobytes()))
+                    sizes.append(len(own))
+                    keys.append(band_keys(own, factors, shifts))
+                arrays = [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "digest", "n", "keys"])
 
+    return rows.mapInArrow(run, "id bigint, digest binary, n bigint, keys array<bigint>")
 
-_ROW = "cell bigint, id bigint, leader bigint, fp binary"
 
+def _sets(rows: DataFrame, k: int) -> DataFrame:
+    """(id, shingles): the packed shingle set. ``rows``: id, text."""
 
-def _rows(cell: np.ndarray, ids: np.ndarray, fps: np.ndarray | None, leader: np.ndarray | None) -> pa.RecordBatch:
-    n = len(ids)
-    packed = pa.nulls(n, pa.binary()) if fps is None else pa.array([f.tobytes() for f in fps], pa.binary())
-    leaders = pa.nulls(n, pa.int64()) if leader is None else pa.array(leader)
-    return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(ids), leaders, packed], names=["cell", "id", "leader", "fp"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                (batch, texts), = common.text_rows([whole.slice(at, 500)])
+                packed = pa.array([shingle_set(t, k).tobytes() for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["id", "shingles"])
 
+    return rows.mapInArrow(run, "id bigint, shingles binary")
 
-def _links(ids: np.ndarray, leader: np.ndarray) -> pa.RecordBatch:
-    pairs = np.unique(np.stack([ids, leader], axis=1), axis=0)
-    with np.errstate(over="ignore"):
-        spread = pairs[:, 0] * np.int64(0x5851F42D4C957F2D)
-    return _rows(spread, pairs[:, 0], None, pairs[:, 1])
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets reach the similarity. ``sets``: id, shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                one, two = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                near.append(both / max(len(one) + len(two) - both, 1) >= similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    one, two = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_links(docs: DataFrame, k: int, similarity: float, recall: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Links (a, b) among ids whose groups are the near-duplicate groups.
+    """Links (a, b) among ids: their components are those of all pairs at the similarity.
 
-    The similarity is estimated from the share of differing bits. A link may
-    lie half a standard error below it, so that few pairs at the similarity
-    are missed. Within a cell each row links to the first leader near enough and leaders
-    go on to the next level: first inside the input batches, then over all.
+    Equal shingle sets are collapsed to the smallest id. Every pair of the
+    others that shares a band is a candidate, and every link but those of
+    equal sets is verified on the whole sets. Candidates that verified links
+    already connect need no verification: first each row meets the leader it
+    shares most bands with, then rows of different components meet.
     """
-    width, number = cell_plan(docs.count(), similarity, recall)
-    differ = bit_share(similarity)
-    far = math.floor(64 * WORDS * differ + math.sqrt(64 * WORDS * differ * (1 - differ)) / 2)
-    draw = np.random.default_rng(SEED)
-    chosen = np.stack([np.sort(draw.choice(64 * WORDS, width, replace=False)) for _ in range(number)])
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.uint64(1) << np.arange(width, dtype=np.uint64)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                (batch, texts), = common.text_rows([whole.slice(at, 2000)])
-                ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                fps = np.stack([fingerprint(t, k, WORDS) for t in texts])
-                bits = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(len(ids), 8 * WORDS), axis=1)
-                key = np.stack([bits[:, c].astype(np.uint64) @ weights for c in chosen], axis=1)
-                key = _mixed(key + (np.arange(number, dtype=np.uint64) << np.uint64(width)), 1).view(np.int64)
-                cell, row_ids, row_fps = _sorted_rows(key.ravel(), np.repeat(ids, number), np.repeat(fps, number, axis=0))
-                lead, follow, to = _leaders(cell, row_ids, row_fps, far)
-                if len(follow):
-                    yield _links(row_ids[follow], row_ids[to])
-                for b in range(0, len(lead), 20_000):
-                    part = lead[b : b + 20_000]
-                    yield _rows(cell[part], row_ids[part], row_fps[part], None)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in _and_end(batches):
-            if batch is not None:
-                table = pa.Table.from_batches([batch])
-                known = table.filter(pa.compute.is_valid(table["leader"]))
-                if known.num_rows:
-                    yield from known.select(["id", "leader"]).rename_columns(["a", "b"]).to_batches()
-                table = table.filter(pa.compute.is_null(table["leader"]))
-                cell, ids = (table[c].to_numpy().astype(np.int64) for c in ("cell", "id"))
-                fps = np.frombuffer(b"".join(table["fp"].to_pylist()), dtype=np.uint64).reshape(-1, WORDS)
-                if rest is not None:
-                    cell, ids, fps = np.r_[rest[0], cell], np.r_[rest[1], ids], np.concatenate([rest[2], fps])
-                if not len(cell):
-                    continue
-            else:
-                if rest is None:
-                    return
-                cell, ids, fps = rest
-            # the last cell may go on in the next batch: keep only its leaders
-            lead, follow, to = _leaders(cell, ids, fps, far)
-            if len(follow):
-                pairs = np.unique(np.stack([ids[follow], ids[to]], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
-            last = lead[cell[lead] == cell[-1]]
-            rest = cell[last], ids[last], fps[last]
-
-    rows = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    placed = rows.mapInArrow(spread, _ROW)
-    return placed.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(meet, "a bigint, b bigint").distinct()
-
-
-def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
+    rows = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    signed = common.stored(_signed_rows(rows, k, band_count(similarity, recall)))
+    of_set = signed.groupBy("digest", "n").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
+    of_set = common.stored(of_set)
+    equal = signed.select("digest", F.col("id").alias("b")).join(of_set.select("digest", F.col("id").alias("a")), "digest").filter("a <> b").select("a", "b").distinct()
+    cells_ = of_set.select("id", "n", F.explode("keys").alias("key"))
+    shared = cells_.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead <> last").select("key", "lead")
+    met = common.stored(cells_.join(shared, "key"))
+    asked = met.select("id").distinct()
+    sets = common.stored(_sets(rows.join(asked, "id", "left_semi"), k))
+
+    times = met.filter("id <> lead").groupBy("id", "lead").agg(F.count(F.lit(1)).alias("m"))
+    led = times.groupBy(F.col("id").alias("b")).agg(F.max_by("lead", F.struct("m", -F.col("lead"))).alias("a"))
+    links = common.cut(equal.unionByName(verified(led.select("a", "b"), sets, similarity)))
+
+    known = common.components(links).withColumnRenamed("component", "part")
+    parts = met.select("key", "id", "n").join(known, "id", "left").select("key", "id", "n", F.coalesce("part", "id").alias("part"))
+    parts = common.stored(parts)
+    held = parts.select("key", "part").distinct()
+    apart = held.withColumnRenamed("part", "part_a").join(held.withColumnRenamed("part", "part_b"), "key").filter("part_a < part_b")
+    one, two = (parts.select("key", F.col("part").alias(f"part_{c}"), F.col("id").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
+    pairs = apart.join(one, ["key", "part_a"]).join(two, ["key", "part_b"])
+    pairs = pairs.filter(F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= similarity).select("a", "b").distinct()
+    return links.unionByName(verified(pairs, sets, similarity))
 
 
 def drop_near_duplicates(
-    docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: float = 0.95, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: float = 0.9999, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Keep the row with the smallest id of every near-duplicate group.
 
-    Rows with a NULL id are kept; of rows that repeat an id one is kept only
-    if all are alike in id (they are one group); columns pass unchanged.
+    Groups are the components of the pairs with that Jaccard similarity of
+    shingle sets. Rows with a NULL id are kept; of rows that repeat an id one
+    is kept only if all are alike in id (they are one group); columns pass
+    unchanged.
     """
     groups = common.components(near_links(docs, k, similarity, recall, doc_id, text))
     gone = groups.filter("id <> component").select(F.col("id").alias(doc_id))

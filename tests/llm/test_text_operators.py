@@ -321,6 +321,53 @@ def test_one_row_of_each_near_duplicate_group_stays(spark):
     assert left == set(range(40))
 
 
+def near_groups_by_force(rows, k=5, similarity=0.8):
+    def shingles(text):
+        words = (text or "").encode().lower().split()
+        return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+    sets = {d: shingles(t) for d, t in rows}
+    return groups_by_force(sorted(sets), lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) / max(len(sets[a] | sets[b]), 1) >= similarity)
+
+
+def chained(seed, chains, steps, words_a_text=200, words_a_step=17):
+    """Copies of copies: each exchanges a further stretch, so that only neighbours are near; ids in mixed order."""
+    rnd = random.Random(seed)
+    fresh = lambda n: ["".join(rnd.choice("abcdefghijkl") for _ in range(6)) for _ in range(n)]
+    texts = []
+    for _ in range(chains):
+        words = fresh(words_a_text)
+        for step in range(steps):
+            texts.append(" ".join(words))
+            at = step * words_a_step
+            words = words[:at] + fresh(words_a_step) + words[at + words_a_step :]
+    return list(zip(rnd.sample(range(10_000), len(texts)), texts, strict=True))
+
+
+@pytest.mark.parametrize("parts", [1, 3, 17])
+def test_chained_copies_are_one_group(spark, parts):
+    rows = chained(61, 12, 8)
+    expected = near_groups_by_force(rows)
+    assert len(set(expected.values())) == 12
+    left = {r.doc_id for r in simhash_grid.drop_near_duplicates(table(spark, rows).repartition(parts)).collect()}
+    assert left == set(expected.values())
+
+
+def test_near_duplicates_are_verified(spark):
+    """Pairs on both sides of the similarity, most of them close to it."""
+    rnd = random.Random(62)
+    fresh = lambda n: ["".join(rnd.choice("abcdefghijkl") for _ in range(6)) for _ in range(n)]
+    rows = []
+    for i in range(200):
+        words = fresh(204)
+        n = 10 + i % 20  # exchanged at the end: similarity (200 - n) / (200 + n), 0.8 at n = 22
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: 204 - n] + fresh(n)))]
+    expected = near_groups_by_force(rows)
+    left = {r.doc_id for r in simhash_grid.drop_near_duplicates(table(spark, rows)).collect()}
+    assert left == set(expected.values())
+    assert 200 < len(left) < 400
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     got = simhash_grid.classes(table(spark, AWKWARD)).collect()
     assert len(got) == len(AWKWARD)
