@@ -1,7 +1,9 @@
 """Removal of repeated passages by suffix arrays.
 
 A byte is removed when a string of ``LENGTH`` bytes that covers it also starts
-earlier (smaller document id, or same document and earlier start).
+earlier: in a row of smaller document id, in an earlier row of the same id, or
+before it in the same row. Every row has a stored number, so rows that share an
+id, or have none, are told apart.
 
 1. Anchors. Every ``LENGTH``-byte window has an anchor: its ``K``-byte
    substring of smallest hash. Equal windows have equal anchors at the same
@@ -195,63 +197,63 @@ def _first_of(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-_ROW = "key bigint, h bigint, r bigint, doc bigint, start bigint, n bigint, kind bigint"
-_NAMES = ["key", "h", "r", "doc", "start", "n", "kind"]
+_ROW = "key bigint, h bigint, r bigint, doc bigint, row bigint, start bigint, n bigint, kind bigint"
+_NAMES = ["key", "h", "r", "doc", "row", "start", "n", "kind"]
 
 
 def _judged(h: np.ndarray, r: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of occurrences in order of (h, r, doc, start): later than an equal region; the anchor has several regions."""
+    """Of occurrences in order of (h, r, doc, row, start): later than an equal region; the anchor has several regions."""
     new_h, new_r = _first_of(h), _first_of(h, r)
     group = np.cumsum(new_h) - 1
     several = (np.bincount(group, weights=new_r) > 1) | (np.bincount(group, weights=told) > 0)
     return ~new_r, several[group]
 
 
-def _spread(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+def _spread(row: np.ndarray, start: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (doc * np.int64(0x5851F42D4C957F2D) + start) * np.int64(0x5851F42D4C957F2D)
+        return (row * np.int64(0x5851F42D4C957F2D) + start) * np.int64(0x5851F42D4C957F2D)
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """Regions of all texts, combined within each input task. ``rows``: doc, text."""
+    """Regions of all texts, combined within each input task. ``rows``: doc, row, text."""
 
-    def chunk(docs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        joined = b"".join(t for _, t in docs)
-        sizes = np.array([len(t) for _, t in docs], np.int64)
+    def chunk(docs: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        joined = b"".join(t for *_, t in docs)
+        sizes = np.array([len(t) for *_, t in docs], np.int64)
         ends = np.cumsum(sizes)
         h, first, n = regions(np.frombuffer(joined, np.uint8), ends)
         if not len(h):
             return
         text_no = np.searchsorted(ends, first, "right")
-        doc = np.array([d for d, _ in docs], np.int64)[text_no]
+        doc, row = (np.array([d[c] for d in docs], np.int64)[text_no] for c in (0, 1))
         digest = xxhash.xxh3_64_intdigest
         stops = first + n + LENGTH - 1
         r = np.array([digest(joined[a:b]) for a, b in zip(first.tolist(), stops.tolist(), strict=True)], np.uint64).view(np.int64)
         h, start = h.view(np.int64), first - (ends - sizes)[text_no]
-        order = np.lexsort((start, doc, r, h))
-        h, r, doc, start, n = h[order], r[order], doc[order], start[order], n[order]
+        order = np.lexsort((start, row, doc, r, h))
+        h, r, doc, row, start, n = (c[order] for c in (h, r, doc, row, start, n))
         later, several = _judged(h, r, np.zeros(len(h), bool))
         kind = np.where(later, REPEAT, np.where(~several, ALONE, np.where(_first_of(h), SEVERAL, REGION)))
-        key = np.where(kind >= REGION, _spread(doc, start), h)
+        key = np.where(kind >= REGION, _spread(row, start), h)
         for at in range(0, len(h), 50_000):
             part = slice(at, at + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(c[part]) for c in (key, h, r, doc, start, n, kind)], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(c[part]) for c in (key, h, r, doc, row, start, n, kind)], names=_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 (batch, texts), = common.text_rows([whole.slice(at, 500)])
-                for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+                for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
                     if len(text) >= LENGTH:
-                        held.append((doc, text))
+                        held.append((doc, row, text))
                         size += len(text)
                     if size >= CHUNK:
                         yield from chunk(held)
                         held, size = [], 0
         yield from chunk(held)
 
-    return rows.select("doc", "text").mapInArrow(run, _ROW)
+    return rows.select("doc", "row", "text").mapInArrow(run, _ROW)
 
 
 def repeats_and_regions(found: DataFrame) -> DataFrame:
@@ -263,31 +265,31 @@ def repeats_and_regions(found: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.empty((7, 0), np.int64)  # the held row; its last field: 1 where it was handed on
+        rest = np.empty((8, 0), np.int64)  # the held row; its last field: 1 where it was handed on
         for batch in batches:
             rows = np.stack([*[batch.column(c).to_numpy() for c in _NAMES[1:]], np.zeros(batch.num_rows, np.int64)])
-            settled = rows[5] >= REGION
+            settled = rows[6] >= REGION
             own = np.concatenate([rest, rows[:, ~settled]], axis=1)
-            later, several = _judged(own[0], own[1], own[5] == SEVERAL)
-            own[5] = np.where(later, REPEAT, np.where(several, REGION, ALONE))
+            later, several = _judged(own[0], own[1], own[6] == SEVERAL)
+            own[6] = np.where(later, REPEAT, np.where(several, REGION, ALONE))
             if own.shape[1]:
                 at = np.flatnonzero(~later)[-1:]
                 rest = own[:, at]
-                rest[5], rest[6] = np.where(several[at], SEVERAL, ALONE), several[at]
-            out = np.concatenate([rows[:, settled], own[:, (own[5] != ALONE) & (own[6] == 0)]], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(out[k]) for k in (0, 2, 3, 4, 5)], names=["h", "doc", "start", "n", "kind"])
+                rest[6], rest[7] = np.where(several[at], SEVERAL, ALONE), several[at]
+            out = np.concatenate([rows[:, settled], own[:, (own[6] != ALONE) & (own[7] == 0)]], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(out[k]) for k in (0, 2, 3, 4, 5, 6)], names=["h", "doc", "row", "start", "n", "kind"])
 
     # settled rows come first and by place, which also stores them small
     h, r = (F.when(F.col("kind") < REGION, F.col(c)) for c in ("h", "r"))
-    dealt = found.repartition("key").sortWithinPartitions(h, r, "doc", "start")
-    return dealt.mapInArrow(run, "h bigint, doc bigint, start bigint, n bigint, kind bigint")
+    dealt = found.repartition("key").sortWithinPartitions(h, r, "doc", "row", "start")
+    return dealt.mapInArrow(run, "h bigint, doc bigint, row bigint, start bigint, n bigint, kind bigint")
 
 
 # Shards
 
 
-def shard_windows(parts: list[bytes], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, window, place in the joined regions, repeats an earlier one) of all windows of some regions."""
+def shard_windows(parts: list[bytes], doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, row, window, place in the joined regions, repeats an earlier one) of all windows of some regions."""
     text = np.frombuffer(b"".join(parts), np.uint8)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     begin = np.cumsum(sizes) - sizes
@@ -299,63 +301,64 @@ def shard_windows(parts: list[bytes], doc: np.ndarray, start: np.ndarray) -> tup
     group = np.cumsum(lcp < LENGTH)
     kept = valid[sa]
     place, group = sa[kept], group[kept]
-    d, w = doc[region[place]], start[region[place]] + offset[place]
-    order = np.lexsort((w, d, group))
-    return d[order], w[order], place[order], ~_first_of(group[order])
-
-
-def _runs(doc: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows as (doc, first, number) of consecutive ones."""
-    order = np.lexsort((window, doc))
-    doc, window = doc[order], window[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (window[1:] != window[:-1] + 1)
+    of = region[place]
+    d, o, w = doc[of], row[of], start[of] + offset[place]
+    order = np.lexsort((w, o, d, group))
+    return d[order], o[order], w[order], place[order], ~_first_of(group[order])
+
+
+def _runs(row: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows as (row, first, number) of consecutive ones."""
+    order = np.lexsort((window, row))
+    row, window = row[order], window[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (window[1:] != window[:-1] + 1)
     at = np.flatnonzero(new)
-    return doc[at], window[at], np.diff(np.r_[at, len(doc)])
+    return row[at], window[at], np.diff(np.r_[at, len(row)])
 
 
-_OUT = "doc bigint, start bigint, n bigint, digest bigint"
+_OUT = "row bigint, start bigint, n bigint, doc bigint, digest bigint"
 
 
-def _out(doc: np.ndarray, start: np.ndarray, n: np.ndarray, digest: np.ndarray | None = None) -> pa.RecordBatch:
-    digests = pa.nulls(len(doc), pa.int64()) if digest is None else pa.array(digest)
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(n), digests], names=["doc", "start", "n", "digest"])
+def _out(row: np.ndarray, start: np.ndarray, n: np.ndarray, doc: np.ndarray | None = None, digest: np.ndarray | None = None) -> pa.RecordBatch:
+    others = [pa.nulls(len(row), pa.int64()) if c is None else pa.array(c) for c in (doc, digest)]
+    return pa.RecordBatch.from_arrays([pa.array(row), pa.array(start), pa.array(n), *others], names=["row", "start", "n", "doc", "digest"])
 
 
 def compare_regions(regions_: DataFrame) -> DataFrame:
     """Windows that repeat an earlier one of their shard; of split anchors also the others, with a digest.
 
-    ``regions_``: h, salt, split, doc, start, bytes. Shards are whole (h, salt)
+    ``regions_``: h, salt, split, doc, row, start, bytes. Shards are whole (h, salt)
     groups, a few at a time.
     """
 
-    def shard(parts: list[bytes], doc: list[int], start: list[int], split: list[bool]) -> Iterator[pa.RecordBatch]:
-        d, w, place, repeat = shard_windows(parts, np.array(doc, np.int64), np.array(start, np.int64))
+    def shard(parts: list[bytes], doc: list[int], row: list[int], start: list[int], split: list[bool]) -> Iterator[pa.RecordBatch]:
+        d, o, w, place, repeat = shard_windows(parts, *(np.array(c, np.int64) for c in (doc, row, start)))
         if repeat.any():
-            yield _out(*_runs(d[repeat], w[repeat]))
+            yield _out(*_runs(o[repeat], w[repeat]))
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         open_ = ~repeat & np.repeat(np.array(split, bool), sizes)[place]
         if open_.any():
             joined = b"".join(parts)
             digest = np.array([xxhash.xxh3_64_intdigest(joined[p : p + LENGTH]) for p in place[open_].tolist()], np.uint64)
-            yield _out(d[open_], w[open_], np.ones(int(open_.sum()), np.int64), digest.view(np.int64))
+            yield _out(o[open_], w[open_], np.ones(int(open_.sum()), np.int64), d[open_], digest.view(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], []]
+        held: list[list] = [[], [], [], [], []]
         size, last = 0, None
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(6)]
-            for h, salt, split, doc, start, part in zip(*columns, strict=True):
+            columns = [batch.column(k).to_pylist() for k in range(7)]
+            for h, salt, split, doc, row, start, part in zip(*columns, strict=True):
                 if size >= CHUNK // 2 and (h, salt) != last:
                     yield from shard(*held)
-                    held, size = [[], [], [], []], 0
-                for values, x in zip(held, (part, doc, start, split), strict=True):
+                    held, size = [[], [], [], [], []], 0
+                for values, x in zip(held, (part, doc, row, start, split), strict=True):
                     values.append(x)
                 size, last = size + len(part), (h, salt)
         if held[0]:
             yield from shard(*held)
 
-    dealt = regions_.select("h", "salt", "split", "doc", "start", "bytes").repartition("h", "salt").sortWithinPartitions("h", "salt")
+    dealt = regions_.select("h", "salt", "split", "doc", "row", "start", "bytes").repartition("h", "salt").sortWithinPartitions("h", "salt")
     return dealt.mapInArrow(run, _OUT)
 
 
@@ -368,13 +371,13 @@ def merge_shards(windows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.empty(0, np.int64)
         for batch in batches:
-            digest, doc, start = (batch.column(c).to_numpy() for c in ("digest", "doc", "start"))
+            digest, row, start = (batch.column(c).to_numpy() for c in ("digest", "row", "start"))
             repeat = (np.searchsorted(digest, digest, "left") < np.arange(len(digest))) | np.isin(digest, last)
             if repeat.any():
-                yield _out(*_runs(doc[repeat], start[repeat]))
+                yield _out(*_runs(row[repeat], start[repeat]))
             last = digest[-1:] if len(digest) else last
 
-    dealt = windows.select("digest", "doc", "start").repartition("digest").sortWithinPartitions("digest", "doc", "start")
+    dealt = windows.select("digest", "doc", "row", "start").repartition("digest").sortWithinPartitions("digest", "doc", "row", "start")
     return dealt.mapInArrow(run, _OUT)
 
 
@@ -382,43 +385,45 @@ def _cut_regions(asked: DataFrame, texts: DataFrame) -> DataFrame:
     """The bytes of the regions asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "salt", "split", "doc", "start", "bytes"]
+        names = ["h", "salt", "split", "doc", "row", "start", "bytes"]
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 (batch, text_list), = common.text_rows([whole.slice(at, 200)])
                 out: list[list] = [[] for _ in names]
-                for doc, asked_, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), text_list, strict=True):
+                columns = [batch.column(c).to_pylist() for c in ("doc", "row", "asked")]
+                for doc, row_no, asked_, text in zip(*columns, text_list, strict=True):
                     for a in asked_:
-                        row = (a["h"], a["salt"], a["split"], doc, a["start"], text[a["start"] : a["start"] + a["n"] + LENGTH - 1])
+                        row = (a["h"], a["salt"], a["split"], doc, row_no, a["start"], text[a["start"] : a["start"] + a["n"] + LENGTH - 1])
                         for values, x in zip(out, row, strict=True):
                             values.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=names)
 
     counts = asked.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > SHARD_REGIONS)
     shards = F.ceil(F.col("m") / SHARD_REGIONS)
-    salt = F.coalesce(F.pmod(F.xxhash64("doc", "start"), shards), F.lit(0))
-    dealt = asked.join(counts, "h", "left").select("doc", F.struct("h", salt.alias("salt"), F.col("m").isNotNull().alias("split"), "start", "n").alias("a"))
-    by_doc = dealt.groupBy("doc").agg(F.collect_list("a").alias("asked"))
-    met = texts.join(by_doc, "doc").select("doc", "text", "asked")
-    return met.mapInArrow(run, "h bigint, salt bigint, split boolean, doc bigint, start bigint, bytes binary")
+    salt = F.coalesce(F.pmod(F.xxhash64("row", "start"), shards), F.lit(0))
+    dealt = asked.join(counts, "h", "left").select("row", F.struct("h", salt.alias("salt"), F.col("m").isNotNull().alias("split"), "start", "n").alias("a"))
+    by_row = dealt.groupBy("row").agg(F.collect_list("a").alias("asked"))
+    met = texts.join(by_row, "row").select("doc", "row", "text", "asked")
+    return met.mapInArrow(run, "h bigint, salt bigint, split boolean, doc bigint, row bigint, start bigint, bytes binary")
 
 
-def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, start, n): runs of windows that also start earlier; a NULL id counts as the largest."""
-    texts = _texts(docs, doc_id, text)
+def repeated_windows(texts: DataFrame) -> DataFrame:
+    """(row, start, n): runs of windows that also start earlier. ``texts``: doc, row, text."""
     judged = common.stored(repeats_and_regions(occurrences(texts)))
-    asked = judged.filter(F.col("kind") == REGION).select("h", "doc", "start", "n")
+    asked = judged.filter(F.col("kind") == REGION).select("h", "doc", "row", "start", "n")
     compared = common.stored(compare_regions(_cut_regions(asked, texts)))
     merged = merge_shards(compared.filter("digest IS NOT NULL"))
     parts = (judged.filter(F.col("kind") == REPEAT), compared.filter("digest IS NULL"), merged)
-    out = [p.select("doc", "start", "n") for p in parts]
+    out = [p.select("row", "start", "n") for p in parts]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    largest = F.lit(2**63 - 1)
-    return docs.select(F.coalesce(F.col(doc_id).cast("bigint"), largest).alias("doc"), F.col(text).alias("text"))
+def numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, doc, row, text) with a stored row number; ``doc`` is the id to order by, a NULL id counts as the largest."""
+    own = F.col(doc_id).cast("bigint")
+    rows = docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(2**63 - 1)).alias("doc"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    return common.stored(rows)
 
 
 def covered(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -436,13 +441,13 @@ def covered(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept): removed byte spans and the bytes left of every row.
 
-    NULL text is empty; texts under LENGTH bytes are never cut. Rows that share
-    an id count as one document read side by side: of equal strings the
-    smaller start is the earlier, at equal starts none is. No rows give no
-    rows. Other columns are not read.
+    NULL text is empty; texts under LENGTH bytes are never cut. Of rows that
+    share an id, or have none, those that come first are the earlier ones. No
+    rows give no rows. Other columns are not read.
     """
-    runs = repeated_windows(docs, doc_id, text).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    met = _texts(docs, doc_id, text).join(runs, "doc", "left").select("doc", "text", "runs")
+    texts = numbered(docs, doc_id, text)
+    runs = repeated_windows(texts).groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    met = texts.join(runs, "row", "left").select("doc_id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -457,9 +462,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 sizes = pa.array([len(t) for t in texts], pa.int64())
                 removed = pa.array([len(t) - len(k) for t, k in zip(texts, kept, strict=True)], pa.int64())
-                ids = pa.array([None if d == 2**63 - 1 else d for d in batch.column(0).to_pylist()], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [ids, sizes, removed, pa.array(spans, kind), pa.array(kept, pa.binary())],
+                    [batch.column(0), sizes, removed, pa.array(spans, kind), pa.array(kept, pa.binary())],
                     names=["doc_id", "n_bytes", "n_removed", "spans", "kept"],
                 )
 

@@ -131,6 +131,22 @@ def test_removal_from_awkward_rows(spark):
     assert suffix_dedup.digests(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("limit", [4096, 3])
+def test_rows_that_share_an_id_keep_one_copy(spark, monkeypatch, limit):
+    """Every passage stays once, also among rows of one id and rows without an id; the largest id is no NULL."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_REGIONS", limit)
+    texts = [t + " " + u for t, u in zip(prose(71, 12), prose(72, 12), strict=True)]
+    top = 2**63 - 1
+    rows = [(d, t) for t in texts[:3] for d in (7, 7, None, None)] + [(None, t) for t in texts[3:8]] + [(8, t) for t in texts[5:10]] * 2
+    rows += [(None, texts[10][:150] + texts[11]), (None, texts[11]), (top, texts[10])]
+    got = suffix_dedup.remove_repeats(table(spark, rows).coalesce(1)).collect()
+    order = sorted(range(len(rows)), key=lambda k: (top if rows[k][0] is None else rows[k][0], k))
+    force = removed_by_force([(n, rows[k][1]) for n, k in enumerate(order)])
+    expected = sorted((str(rows[k][0]), *force[n]) for n, k in enumerate(order))
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got) == expected
+    assert any(r.doc_id == 7 and r.n_removed == 0 for r in got)
+
+
 # Language model
 
 
