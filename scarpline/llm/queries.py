@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scarpline.llm import byte_bpe, common, hash_tree, pairwise_quality, pii, simhash_grid, suffix_dedup, suffix_tree_lm, syncmers, tiling, url_lm
+from scarpline.llm import (
+    byte_bpe, common, hash_tree, pairwise_quality, pii, pivot_index, simhash_grid, suffix_dedup, suffix_tree_lm, syncmers, tiling, url_lm,
+)
 
 
 def op1_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,11 +54,16 @@ def op10_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_grid.classes(common.table(spark, sf_dir, "documents"))
 
 
+def op13_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.classes(common.table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pairwise_quality, op2_suffix_array_dedup, op3_personal_data, op4_syncmer_fingerprints, op5_url_verdicts, op6_suffix_tree_scores,
         op7_byte_bpe, op8_benchmark_tiles, op9_hash_tree_shards, op10_simhash_classes,
+        op13_pivot_permutations,
     )
 }
 
