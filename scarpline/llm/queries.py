@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from scarpline.llm import (
-    byte_bpe, common, cube_divergence, hash_tree, pairwise_quality, pii, pivot_index, simhash_grid, suffix_dedup, suffix_tree_lm, syncmers, tiling, url_lm,
+    block_trie, byte_bpe, common, cube_divergence, hash_tree, pairwise_quality, pii, pivot_index, simhash_grid, suffix_dedup, suffix_tree_lm, syncmers, tiling, url_lm,
 )
 
 
@@ -54,6 +54,10 @@ def op10_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_grid.classes(common.table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_trie.trie(common.table(spark, sf_dir, "conversations"))
+
+
 def op12_cube_divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube_divergence.audit(common.table(spark, sf_dir, "documents"))
 
@@ -67,7 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_pairwise_quality, op2_suffix_array_dedup, op3_personal_data, op4_syncmer_fingerprints, op5_url_verdicts, op6_suffix_tree_scores,
         op7_byte_bpe, op8_benchmark_tiles, op9_hash_tree_shards, op10_simhash_classes,
-        op12_cube_divergences, op13_pivot_permutations,
+        op11_conversation_trie, op12_cube_divergences, op13_pivot_permutations,
     )
 }
 
@@ -119,5 +123,6 @@ SELECT any_value(d.doc_id) AS doc_id, {_COUNTS},
   sha256(coalesce(string_agg({_ONE}) FILTER (WHERE kind IN ({_BASE_KINDS})), '')) AS base_sha256,
   coalesce(string_agg({_ONE}), '') AS spans
 FROM d LEFT JOIN s USING (row_no) GROUP BY row_no""",
+    "op11_conversation_trie": block_trie.SQL,
     "op12_cube_divergences": cube_divergence.SQL,
 }
