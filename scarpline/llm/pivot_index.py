@@ -33,6 +33,7 @@ SAMPLE = 2_000  # rows that the pivots are chosen from
 PIVOTS, PREFIX, SHARED = 256, 6, 3
 APART = 0.5  # largest cosine of two pivots
 BLOCK = 1_024  # rows of one side of a comparison
+SHORT = 16  # balls of a list whose pairs are compared together with those of other lists
 SLACK = 1e-6  # radians within which bounds are not trusted
 
 
@@ -113,8 +114,8 @@ def _indexed(rows: DataFrame, pivots: np.ndarray, kind: str) -> DataFrame:
 # Runs of equal keys in sorted partitions
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Stretches of rows with equal keys, over the borders of batches."""
+def _stretches(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of rows with equal keys, over the borders of batches, and where the runs begin and end."""
     held: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
@@ -125,20 +126,21 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
         for k in keys:
             values = rows.column(k).to_numpy()
             changed[1:] |= values[1:] != values[:-1]
-        cuts = [0, *np.flatnonzero(changed).tolist()]
-        for low, high in zip(cuts, cuts[1:]):
-            yield rows.slice(low, high - low)
+        cuts = np.concatenate([[0], np.flatnonzero(changed)])
+        if len(cuts) > 1:
+            yield rows.slice(0, cuts[-1]).combine_chunks(), cuts
         held = rows.slice(cuts[-1])
     if held is not None:
-        yield held
+        yield held.combine_chunks(), np.array([0, held.num_rows])
 
 
 def _per_run(rows: DataFrame, keys: list[str], judge, schema: str) -> DataFrame:
     """``judge(run)`` gives record batches for every run of equal keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _runs(batches, keys):
-            yield from judge(part.combine_chunks())
+        for rows, cuts in _stretches(batches, keys):
+            for low, high in zip(cuts, cuts[1:]):
+                yield from judge(rows.slice(low, high - low))
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
@@ -225,9 +227,9 @@ def _spanning(link: np.ndarray) -> np.ndarray:
 
 
 def _smaller_shared(near: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Bit words of the pivots of each row that are smaller than the largest chosen one and not chosen."""
+    """Bit words of the pivots of each row that are smaller than the largest one chosen for it and not chosen."""
     words = np.zeros((len(near), PIVOTS // 64), dtype=np.uint64)
-    counts = (near < chosen[-1]) & ~np.isin(near, chosen)
+    counts = (near < chosen[:, -1:]) & (near[:, :, None] != chosen[:, None, :]).all(axis=2)
     at = np.nonzero(counts)
     np.bitwise_or.at(words, (at[0], near[at] // 64), np.uint64(1) << (near[at] % 64).astype(np.uint64))
     return words
@@ -245,46 +247,68 @@ def _met(balls: DataFrame, threshold: float, kind: str) -> DataFrame:
     dealt = dealt.select("ball", "list", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     full = dealt.join(balls.select("ball", "near", "centre", "radius", "weight"), "ball")
 
-    def judge(run: pa.Table) -> Iterator[pa.RecordBatch]:
-        own, low, high = run.column("own").to_numpy(), int(run.column("low")[0].as_py()), int(run.column("high")[0].as_py())
-        one, two = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        if run.num_rows < 2 or not len(one) or not len(two):
-            return
-        key = int(run.column("list")[0].as_py())
-        chosen = np.array([key // PIVOTS**e % PIVOTS for e in range(SHARED)])
-        ids, weight, radius = (run.column(c).to_numpy() for c in ("ball", "weight", "radius"))
-        unit = _unit(_unpacked(run.column("centre").combine_chunks(), kind))
-        words = _smaller_shared(np.stack(run.column("near").to_numpy()), chosen)
-        cosine = unit[one] @ unit[two].T
-        first = np.zeros(cosine.shape, dtype=bool)
-        for w in words.T:
-            first |= (w[one][:, None] & w[two][None, :]) != 0
-        ours = ~first & ((ids[one][:, None] < ids[two][None, :]) if low == high else True)
-        reach = radius[one][:, None] + radius[two][None, :]
+    def told(*found: tuple[int, np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        what = np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int32)
+        columns = [np.concatenate([f[i] for f in found]).astype(np.int64) for i in (1, 2, 3)]
+        return pa.RecordBatch.from_arrays([pa.array(what), *map(pa.array, columns)], names=["what", "a", "b", "n"])
+
+    def judged(cosine: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs link wholly, and which need a closer look."""
         angle = _angle(cosine)
-        plain = reach == 0
-        linked = ours & np.where(plain, cosine >= threshold, angle + reach <= theta - SLACK)
-        open_ = ours & ~plain & ~linked & (angle - reach <= theta + SLACK)
-        count = np.zeros(run.num_rows, dtype=np.int64)
-        np.add.at(count, one, linked @ weight[two])
-        np.add.at(count, two, linked.T @ weight[one])
-        whole = np.zeros((run.num_rows, run.num_rows), dtype=bool)
-        whole[np.ix_(one, two)] |= linked
-        label = _spanning(whole | whole.T)
-        told, joined = np.flatnonzero(count), np.flatnonzero(label != np.arange(len(label)))
-        x, y = np.nonzero(open_)
-        zero = np.zeros
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat([0, 1, 2], [len(told), len(joined), len(x)]).astype(np.int32)),
-                pa.array(np.concatenate([ids[told], ids[joined], ids[one[x]]]).astype(np.int64)),
-                pa.array(np.concatenate([zero(len(told)), ids[label[joined]], ids[two[y]]]).astype(np.int64)),
-                pa.array(np.concatenate([count[told], zero(len(joined) + len(x))]).astype(np.int64)),
-            ],
-            names=["what", "a", "b", "n"],
-        )
-
-    return _per_run(full, ["list", "low", "high"], judge, "what int, a bigint, b bigint, n bigint")
+        linked = np.where(reach == 0, cosine >= threshold, angle + reach <= theta - SLACK)
+        return linked, (reach > 0) & ~linked & (angle - reach <= theta + SLACK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cuts in _stretches(batches, ["list", "low", "high"]):
+            ids, weight, radius, own, low, high, key = (rows.column(c).to_numpy() for c in ("ball", "weight", "radius", "own", "low", "high", "list"))
+            unit = _unit(_unpacked(rows.column("centre").combine_chunks(), kind))
+            chosen = np.stack([key // PIVOTS**e % PIVOTS for e in range(SHARED)], axis=1)
+            words = _smaller_shared(np.stack(rows.column("near").to_numpy()), chosen)
+            sizes = np.diff(cuts)
+            number = np.repeat(np.arange(len(sizes)), sizes)
+            short = ((sizes <= SHORT) & (low[cuts[:-1]] == high[cuts[:-1]]))[number]
+
+            pairs = [np.empty((2, 0), dtype=np.int64)]  # of all short lists of the batch at once
+            for lag in range(1, min(SHORT, len(ids))):
+                at = np.flatnonzero(short[:-lag] & (number[:-lag] == number[lag:]))
+                pairs.append(np.stack([at, at + lag]))
+            x, y = np.concatenate(pairs, axis=1)
+            first = ((words[x] & words[y]) != 0).any(axis=1)
+            x, y = x[~first], y[~first]
+            linked, open_ = judged(np.einsum("ij,ij->i", unit[x], unit[y]), radius[x] + radius[y])
+            a, b = ids[x], ids[y]
+            yield told(
+                (0, a[linked], b[linked] * 0, weight[y][linked]), (0, b[linked], a[linked] * 0, weight[x][linked]),
+                (1, a[linked], b[linked], a[linked] * 0), (2, a[open_], b[open_], a[open_] * 0),
+            )
+            for start, end in zip(cuts[:-1], cuts[1:]):
+                if end - start < 2 or short[start]:
+                    continue
+                span = np.arange(start, end)
+                one, two = span[own[span] == low[start]], span[own[span] == high[start]]
+                if not len(one) or not len(two):
+                    continue
+                first = np.zeros((len(one), len(two)), dtype=bool)
+                for w in words.T:
+                    first |= (w[one][:, None] & w[two][None, :]) != 0
+                ours = ~first & ((ids[one][:, None] < ids[two][None, :]) if low[start] == high[start] else True)
+                linked, open_ = (ours & f for f in judged(unit[one] @ unit[two].T, radius[one][:, None] + radius[two][None, :]))
+                count = np.zeros(len(ids), dtype=np.int64)
+                np.add.at(count, one, linked @ weight[two])
+                np.add.at(count, two, linked.T @ weight[one])
+                some = np.flatnonzero(count)
+                whole = np.zeros((len(span), len(span)), dtype=bool)
+                whole[np.ix_(one - start, two - start)] |= linked
+                label = _spanning(whole | whole.T)
+                joined = np.flatnonzero(label != np.arange(len(label)))
+                x, y = np.nonzero(open_)
+                yield told(
+                    (0, ids[some], some * 0, count[some]), (1, ids[span[joined]], ids[span[label[joined]]], joined * 0),
+                    (2, ids[one[x]], ids[two[y]], x * 0),
+                )
+
+    keys = ["list", "low", "high"]
+    return full.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "what int, a bigint, b bigint, n bigint")
 
 
 def _looked_at(pairs: DataFrame, members: DataFrame, threshold: float, kind: str) -> DataFrame:
