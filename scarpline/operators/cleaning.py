@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from scarpline.functions.text import count_true, is_missing, outside, squash, strip, to_any_date, to_number
 from scarpline.operators.skew import add_totals
 from scarpline.operators.validation import COORDINATE_RANGES, INCIDENT_COLUMNS
+from scarpline.sources import shared
 
 # Free-text fields that are normalised.
 TEXT_FIELDS = ("location", "district", "state", "country", "source", "source_url", "severity", "description")
@@ -60,7 +61,7 @@ def clean_coordinate(df: DataFrame, field: str) -> DataFrame:
 
 
 def clean_columns(df: DataFrame) -> DataFrame:
-    """All row-wise steps; one projection after Catalyst collapses them."""
+    """All row-wise steps, no shuffle."""
     out = standardise_dates(trim_ids(normalise_text(df)))
     return clean_coordinate(clean_coordinate(out, "latitude"), "longitude")
 
@@ -86,8 +87,16 @@ def flag_same_place_and_date(df: DataFrame, base: DataFrame | None = None, ordin
 
 
 def clean(df: DataFrame) -> DataFrame:
-    """Cleaned records with ``data_quality_status`` and the evidence flags."""
-    tidy = clean_columns(df)
+    """Cleaned records with ``data_quality_status`` and the evidence flags.
+
+    The row-wise steps run once and are stored; keys are counted on, and flags
+    joined to, the stored columns.
+    """
+    return flag_records(shared.store(clean_columns(df), "cleaned"))
+
+
+def flag_records(tidy: DataFrame) -> DataFrame:
+    """Evidence flags and status of cleaned columns."""
     out = flag_same_place_and_date(flag_duplicate_ids(tidy), base=tidy)
     review = reduce(
         lambda a, b: a | b,
@@ -109,7 +118,8 @@ def clean_table(df: DataFrame, ordinal: str = "ordinal") -> DataFrame:
 
 def cleaning_counters(df: DataFrame) -> DataFrame:
     """The eleven counters of a cleaning run, one row."""
-    cleaned = clean(df)
+    tidy = shared.store(clean_columns(df), "cleaned")
+    cleaned = flag_records(tidy)
     n = lambda flag: count_true(F.col(flag))
     counters = cleaned.agg(
         F.count(F.lit(1)).alias("total_records"),
@@ -124,5 +134,5 @@ def cleaning_counters(df: DataFrame) -> DataFrame:
         (n("latitude_converted") + n("longitude_converted")).alias("coordinates_converted"),
         F.coalesce(F.sum(F.col("text_changes") + F.col("id_changed")), F.lit(0)).alias("text_fields_normalized"),
     )
-    copies = exact_duplicate_count(clean_columns(df))
+    copies = exact_duplicate_count(tidy)
     return counters.join(F.broadcast(copies), how="inner")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from scarpline.functions.text import count_true, outside, strip, to_iso_date, to_number
 from scarpline.operators.spatial import LAYER_COLUMNS
+from scarpline.sources import shared
 
 # Columns, ranges and name fragments of the checks.
 EXPECTED_COLUMNS = (
@@ -220,17 +221,24 @@ def missing_statistics(df: DataFrame, fields=IMPORTANT) -> DataFrame:
 
 
 def duplicates(df: DataFrame, ignore=("ordinal", "geometry")) -> DataFrame:
-    """Repeated rows, ids and coordinate pairs, counted from the second copy on."""
-    columns = [c for c in df.columns if c not in ignore]
+    """Repeated rows, ids and coordinate pairs, counted from the second copy on.
 
-    def extra(keys: list[str], detail: str, need_all: bool) -> DataFrame:
-        groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"))
-        kept = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]) if need_all else F.lit(True)
-        return run_rules(groups, "duplicates", [("WARNING", detail, F.sum(F.when(kept, F.col("m") - 1)))])
-
-    out = extra(columns, "duplicate rows", False)
-    out = out.unionByName(extra(["landslide_id"], "duplicate ids", False))
-    return out.unionByName(extra(["latitude", "longitude"], "duplicate coordinates", True))
+    Every row gives one key of each kind, so the table is read and grouped
+    once. A row's key is the digest of its JSON text, in which a missing value
+    has no field; coordinates count only where both are present.
+    """
+    plain = lambda f: F.col(f.name) + F.lit(0.0) if f.dataType.typeName() in ("double", "float") else F.col(f.name)  # -0.0 is 0.0
+    columns = [plain(f).alias(f.name) for f in df.schema if f.name not in ignore]
+    place = F.concat_ws("|", F.col("latitude") + F.lit(0.0), F.col("longitude") + F.lit(0.0))
+    keys = [
+        F.sha2(F.to_json(F.struct(*columns)), 256), F.col("landslide_id").cast("string"),
+        F.when(F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), place),
+    ]
+    kinds = F.array(*[F.struct(F.lit(i).alias("kind"), k.alias("key")) for i, k in enumerate(keys)])
+    groups = df.select(F.explode(kinds).alias("k")).groupBy("k.kind", "k.key").agg(F.count(F.lit(1)).alias("m"))
+    extra = lambda i, need_all: F.sum(F.when((F.col("kind") == i) & (F.col("key").isNotNull() | F.lit(not need_all)), F.col("m") - 1))
+    rules = [("duplicate rows", False), ("duplicate ids", False), ("duplicate coordinates", True)]
+    return run_rules(groups, "duplicates", [("WARNING", detail, extra(i, need)) for i, (detail, need) in enumerate(rules)])
 
 
 def provenance(df: DataFrame, mark: str = DEMO_MARK) -> DataFrame:
@@ -333,9 +341,10 @@ def verdict(findings: DataFrame) -> DataFrame:
 def audit(table: DataFrame, layer: DataFrame, key: str = "ordinal") -> DataFrame:
     """All findings of a feature table against its point layer.
 
-    All row checks are one aggregate over the table; only the checks that
-    group or join read it again.
+    Both are stored first. All row checks are one aggregate over the table;
+    only the checks that group or join read it again.
     """
+    table, layer = shared.store(table, "audited"), shared.store(layer, "audited-layer")
     data, columns = _column_findings(table, EXPECTED_COLUMNS, ("ordinal", "geometry"))
     row_checks = {
         "structural": _structural_rules(data), "dates": _date_rules(), "coordinates": _coordinate_rules(),

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scarpline.functions.levels import probability_level
 from scarpline.functions.rounding import round_exact
 from scarpline.functions.text import is_missing
-from scarpline.operators.skew import add_totals, positions
+from scarpline.operators.skew import attach_totals, positions
+from scarpline.sources import shared
 
 # Fixed values.
 STATUSES = ("PENDING", "UNDER_REVIEW", "VERIFIED", "REJECTED", "RESOLVED")
@@ -208,15 +211,21 @@ def latest_facts(updates: DataFrame, order: str = "update_id") -> DataFrame:
     """Newest value per (owner, category, key) and when it last changed.
 
     Blank updates are skipped and an update that repeats the stored value does
-    not count as a change. Both facts come from partial aggregates.
+    not count as a change. The last use of every value is a partial aggregate;
+    what is newest, and what was newest before it, follows from those few rows.
     """
     keys = ["owner", "category", "fact_key"]
     kept = updates.filter(~is_missing(F.col("value"))).withColumn("value", shorten(F.col("value")))
-    now = add_totals(kept, keys, [F.max_by("value", order).alias("_now")], null_keys=True)
-    other = F.when(F.col("value") != F.col("_now"), F.col(order))
-    since = add_totals(now, keys, [F.max(other).alias("_other")], null_keys=True)
+    last = kept.groupBy(*keys, "value").agg(F.max(order).alias("_last"), F.count(F.lit(1)).alias("_rows"))
+    last = shared.store(last, "last-values")
+    now = last.groupBy(*keys).agg(F.max("_last").alias("_newest"), F.max_by("value", "_last").alias("_now"), F.sum("_rows").alias("_n"))
+    now = now.select(*[F.col(k).alias(f"_{k}") for k in keys], "_newest", "_now", "_n")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    other = F.max(F.when(F.col("_last") < F.col("_newest"), F.col("_last"))).alias("_other")
+    facts = last.join(now, same).groupBy(*keys).agg(F.any_value("_now").alias("_now"), F.any_value("_n").alias("_n"), other)
+    told = attach_totals(kept.select(*keys, order), keys, facts, null_keys=True)
     run = F.when(F.col("_other").isNull() | (F.col(order) > F.col("_other")), F.col(order))
-    return since.groupBy(*keys).agg(F.any_value("_now").alias("value"), F.min(run).alias("updated"))
+    return told.groupBy(*keys).agg(F.any_value("_now").alias("value"), F.min(run).alias("updated"))
 
 
 def within_budget(facts: DataFrame, budget: int = BUDGET_CHARS, span: int = BUCKET_SPAN) -> DataFrame:

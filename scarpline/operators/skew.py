@@ -4,10 +4,13 @@ A key is heavy when it has more rows than one task should get: ``TASK_ROWS``,
 or the rows of all keys divided by ``MAX_HEAVY`` where that is more, so there
 are never more than ``MAX_HEAVY`` heavy keys. That list is what is broadcast.
 
+A side is broadcast only after it has been stored and its size is known to be
+at most ``BROADCAST_BYTES``; beyond that heavy keys are salted.
+
 ``skew_join``   cuts each heavy key of the large side into as many salts as its
                 count asks for.
-``add_totals``  per-key aggregates attached to every row, built on it: partial
-                aggregation first, then a join, never a window over the key.
+``add_totals``  per-key aggregates attached to every row: partial aggregation
+                first, then one join, never a window over the key.
 ``hash_rank``   exact rank within a label in a reproducible hash order.
 ``positions``   exact global row number in a sort order.
 """
@@ -22,6 +25,7 @@ from scarpline.sources import shared
 
 TASK_ROWS = 1_000_000
 MAX_HEAVY = 50_000
+BROADCAST_BYTES = 8 << 20  # of compressed files
 HASH_DIGITS = 4
 
 
@@ -42,28 +46,48 @@ def heavy_keys(df: DataFrame, keys: list[str], task_rows: int = TASK_ROWS) -> Da
     return _heavy(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), task_rows)
 
 
+def fits_broadcast(stored: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the files of a stored table are small enough to send it to every executor."""
+    return int(stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
+
+
+def _salted_left(df: DataFrame, heavy: DataFrame, keys: list[str], row_id: list[str] | None) -> DataFrame:
+    """``df`` with ``_salt``: 0 for light keys, for heavy ones taken from the content, so a re-run task gives every row the same."""
+    content = F.xxhash64(*[F.col(f"`{c}`") for c in row_id or df.columns])
+    met = df.join(F.broadcast(heavy), _same(keys), "left").drop(*[f"_h_{k}" for k in keys])
+    return met.withColumn("_salt", F.pmod(content, F.coalesce("_salts", F.lit(1)))).drop("_salts")
+
+
+def _every_salt(salts: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), salts.cast("bigint") - 1))
+
+
 def skew_join(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", row_id: list[str] | None = None, task_rows: int = TASK_ROWS
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    how: str = "left",
+    row_id: list[str] | None = None,
+    task_rows: int = TASK_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Equi-join whose left side may hold a few very frequent keys.
 
-    Rows of a heavy key get a salt taken from their content, so a re-run task
-    gives every row the same, and the matching right rows are repeated once
-    per salt. Other keys carry salt 0 on both sides. ``row_id`` names columns
-    that tell rows apart; by default all columns feed the salt.
+    The right side is stored; where it is small it is broadcast and the left
+    side is read once and not shuffled. Otherwise the left keys are counted,
+    rows of a heavy key get a salt, and the matching right rows are repeated
+    once per salt. ``row_id`` names columns that tell rows apart; by default
+    all columns feed the salt.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"join type {how!r} would repeat the salted side")
-    heavy = heavy_keys(left, keys, task_rows).select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_salts")
-
-    def tag(df: DataFrame) -> DataFrame:
-        met = df.join(F.broadcast(heavy), _same(keys), "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
-        return met.drop(*[f"_h_{k}" for k in keys])
-
-    content = F.xxhash64(*[F.col(f"`{c}`") for c in row_id or left.columns])
-    salted_left = tag(left).withColumn("_salt", F.pmod(content, "_salts")).drop("_salts")
-    salted_right = tag(right).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1))).drop("_salts")
-    return salted_left.join(salted_right, keys + ["_salt"], how).drop("_salt")
+    right = shared.store(right, "join-side")
+    if fits_broadcast(right, broadcast_bytes):
+        return left.join(F.broadcast(right), keys, how)
+    heavy = shared.store(heavy_keys(left, keys, task_rows).select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_salts"), "heavy-keys")
+    salted_right = right.join(F.broadcast(heavy), _same(keys), "left").drop(*[f"_h_{k}" for k in keys])
+    salted_right = salted_right.withColumn("_salt", _every_salt(F.coalesce("_salts", F.lit(1)))).drop("_salts")
+    return _salted_left(left, heavy, keys, row_id).join(salted_right, keys + ["_salt"], how).drop("_salt")
 
 
 def add_totals(
@@ -74,30 +98,51 @@ def add_totals(
     null_keys: bool = False,
     task_rows: int = TASK_ROWS,
     worth: Column | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Attach per-key aggregates to every row.
 
-    The totals are a partial aggregate. Rows of heavy keys meet their totals by
-    broadcast and are never shuffled; all others join by a shuffle that no
-    single key overfills. ``base`` may name a cheaper frame with the same rows
-    to aggregate. Rows with a NULL key get NULL totals unless ``null_keys``
-    counts NULL as a key. ``worth`` keeps only totals for which it holds; the
-    rows of other keys get NULLs.
+    ``base`` may name a cheaper frame with the same rows to aggregate. Rows
+    with a NULL key get NULL totals unless ``null_keys`` counts NULL as a key.
+    ``worth`` keeps only totals for which it holds; the rows of other keys get
+    NULLs.
+    """
+    totals = (df if base is None else base).groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("_n"))
+    return attach_totals(df, keys, totals, null_keys, task_rows, worth, broadcast_bytes)
+
+
+def attach_totals(
+    df: DataFrame,
+    keys: list[str],
+    totals: DataFrame,
+    null_keys: bool = False,
+    task_rows: int = TASK_ROWS,
+    worth: Column | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Join totals, one row per key with its number of rows ``_n``, to every row of ``df``.
+
+    The totals are stored once. Where they are small one broadcast join
+    attaches them and ``df`` is not shuffled. Otherwise one join does, its
+    heavy keys salted and their totals repeated once per salt.
     """
-    rows = df if base is None else base
-    counts = rows.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("_n"))
-    names = [c for c in counts.columns if c not in keys and c != "_n"]
+    names = [c for c in totals.columns if c not in keys and c != "_n"]
+    kept = F.lit(True) if worth is None else F.coalesce(worth, F.lit(False))
     if not null_keys:
-        known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-        counts = counts.withColumns({n: F.when(known, F.col(n)) for n in names})
-    heavy = _heavy(counts, task_rows).select(*[F.col(k).alias(f"_h_{k}") for k in keys], *[F.col(n).alias(f"_t_{n}") for n in names])
-    totals = counts if worth is None else counts.filter(worth)
-    totals = totals.select(*[F.col(k).alias(f"_h_{k}") for k in keys], *[F.col(n).alias(f"_t_{n}") for n in names])
-    columns = [*df.columns, *[F.col(f"_t_{n}").alias(n) for n in names]]
-    told = df.join(F.broadcast(heavy), _same(keys)).select(*columns)
-    light = df.join(F.broadcast(heavy.select(*[f"_h_{k}" for k in keys])), _same(keys), "left_anti")
-    met = light.join(totals, _same(keys, nulls=null_keys), "left").select(*columns)
-    return met.unionByName(told)
+        kept = kept & reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    # totals that are not worth keeping stay only where their rows must be salted
+    told = totals.withColumn("_kept", kept).filter(F.col("_kept") | (F.col("_n") > task_rows))
+    values = [F.when(F.col("_kept"), F.col(n)).alias(f"_t_{n}") for n in names]
+    told = shared.store(told.select(*[F.col(k).alias(f"_h_{k}") for k in keys], *values, "_n"), "totals")
+    columns = [*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_t_{n}").alias(n) for n in names]]
+    if fits_broadcast(told, broadcast_bytes):
+        return df.join(F.broadcast(told), _same(keys), "left").select(*columns)
+    heavy = shared.store(_heavy(told, task_rows).select(*[f"_h_{k}" for k in keys], "_salts"), "heavy-keys")
+    again = heavy.select(*[F.col(f"_h_{k}").alias(f"_k_{k}") for k in keys], "_salts")
+    repeated = told.join(F.broadcast(again), _same(keys, "_h_", "_k_"), "left").withColumn("_salt_t", _every_salt(F.coalesce("_salts", F.lit(1))))
+    repeated = repeated.select(*[f"_h_{k}" for k in keys], *[f"_t_{n}" for n in names], "_salt_t")
+    met = _salted_left(df, heavy, keys, None).join(repeated, _same(keys) & (F.col("_salt") == F.col("_salt_t")), "left")
+    return met.select(*columns)
 
 
 def hash_rank(

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from scarpline.operators import cleaning, validation
 from scarpline.plans.registry import check_view, query
+from scarpline.sources import shared
 
 _MISSING = "({c} IS NULL OR regexp_replace({c}, '^\\s+|\\s+$', '', 'g') = '')"
 
@@ -242,7 +243,7 @@ def _(v):
 
 @query("same_place_and_date", "C9", "cleaned", "SELECT ordinal, date, latitude, longitude, spatial_duplicate FROM cleaned")
 def _(v):
-    tidy = cleaning.clean_columns(v("incidents"))
+    tidy = shared.store(cleaning.clean_columns(v("incidents")).select("ordinal", "date", "latitude", "longitude"), "cleaned")
     return cleaning.flag_same_place_and_date(tidy).select("ordinal", "date", "latitude", "longitude", "spatial_duplicate")
 
 
