@@ -57,6 +57,47 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
+def metres_to_leg(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Great-circle distance of a point to the leg between two places, a straight line of longitude and latitude.
+
+    The nearest place of the leg is found in the plane that touches the earth
+    at the point.
+    """
+    flat = F.cos(F.radians(lat))
+    dx, dy = (lon2 - lon1) * flat, lat2 - lat1
+    along = (lon - lon1) * flat * dx + (lat - lat1) * dy
+    whole = dx * dx + dy * dy
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(whole > 0, along / whole).otherwise(0.0)))
+    nearest = haversine_m(lat, lon, lat1 + t * (lat2 - lat1), lon1 + t * (lon2 - lon1))
+    return F.least(nearest, haversine_m(lat, lon, lat1, lon1), haversine_m(lat, lon, lat2, lon2))
+
+
+def in_rings(lon: Column, lat: Column, rings: Column) -> Column:
+    """Even-odd test against all rings of a polygon: inside the outline and in no hole."""
+    return F.size(F.filter(rings, lambda ring: in_ring(lon, lat, ring))) % 2 == 1
+
+
+def leg_meets_rings(lon1: Column, lat1: Column, lon2: Column, lat2: Column, rings: Column) -> Column:
+    """Whether a leg touches or crosses an edge of any ring."""
+
+    def turn(ax, ay, bx, by, cx, cy) -> Column:
+        return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+
+    def meets(ring: Column, i: Column) -> Column:
+        x3, y3 = ring[i][0], ring[i][1]
+        x4, y4 = ring[i + 1][0], ring[i + 1][1]
+        apart = (
+            (F.greatest(lon1, lon2) < F.least(x3, x4)) | (F.greatest(x3, x4) < F.least(lon1, lon2))
+            | (F.greatest(lat1, lat2) < F.least(y3, y4)) | (F.greatest(y3, y4) < F.least(lat1, lat2))
+        )
+        one = F.signum(turn(x3, y3, x4, y4, lon1, lat1)) * F.signum(turn(x3, y3, x4, y4, lon2, lat2))
+        two = F.signum(turn(lon1, lat1, lon2, lat2, x3, y3)) * F.signum(turn(lon1, lat1, lon2, lat2, x4, y4))
+        return ~apart & (one <= 0) & (two <= 0)
+
+    edges = lambda ring: F.sequence(F.lit(0), F.size(ring) - 2)
+    return F.exists(rings, lambda ring: (F.size(ring) >= 4) & F.exists(edges(ring), lambda i: meets(ring, i)))
+
+
 def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
     """Even-odd test of a point against a closed ``array<array<double>>`` ring."""
     n = F.size(ring)

@@ -11,6 +11,9 @@ from scarpline.functions.geo import (
     Grid,
     haversine_m,
     in_ring,
+    in_rings,
+    leg_meets_rings,
+    metres_to_leg,
     point,
     rounded_key,
     valid_lat,
@@ -24,6 +27,8 @@ DEMO_GRID = Grid(min_x=77.0322, max_y=31.3165, pixel=(89.3639 - 77.0322) / 50, w
 LAYER_COLUMNS = {"ndvi": "ndvi", "elevation": "elevation_m", "slope": "slope_deg", "aspect": "aspect_deg"}
 NOT_ATTEMPTED = ("NO_DATA_SOURCE", "NOT_SPATIALLY_MAPPABLE")
 TARGET_CRS = "EPSG:4326"
+LEG_BLOCK = 10_000  # ordinals of a trip that one window holds
+CELL_SLACK = 1e-9  # degrees by which a leg's rows in a column are widened
 
 
 # --- point layer -----------------------------------------------------------
@@ -302,9 +307,10 @@ def zone_crossings(waypoints: DataFrame, zones: DataFrame, cell_deg: float = 0.0
     return near.filter(distance <= F.col("radius_meters")).select("trip_id", "zone_id").distinct()
 
 
-def crossings_per_trip(waypoints: DataFrame, zones: DataFrame) -> DataFrame:
-    """Number of zones each trip crosses; trips without any are kept."""
-    counts = zone_crossings(waypoints, zones).groupBy("trip_id").agg(F.count(F.lit(1)).alias("zones_crossed"))
+def crossings_per_trip(waypoints: DataFrame, zones: DataFrame, whole_way: bool = False) -> DataFrame:
+    """Number of zones each trip crosses, at its waypoints or on its whole way; trips without any are kept."""
+    met = route_crossings(waypoints, zones) if whole_way else zone_crossings(waypoints, zones)
+    counts = met.groupBy("trip_id").agg(F.count(F.lit(1)).alias("zones_crossed"))
     trips = waypoints.select("trip_id").distinct()
     return trips.join(counts, "trip_id", "left").select("trip_id", F.coalesce("zones_crossed", F.lit(0)).alias("zones_crossed"))
 
@@ -328,6 +334,97 @@ def polygon_hits(waypoints: DataFrame, polygons: DataFrame, cell_deg: float = 0.
     return near.filter(in_ring(F.col("longitude"), F.col("latitude"), ring)).select("trip_id", "zone_id").distinct()
 
 
+def legs(waypoints: DataFrame, block: int = LEG_BLOCK) -> DataFrame:
+    """(trip_id, ordinal, lat1, lon1, lat2, lon2): the way from each waypoint to the next of its trip.
+
+    The last waypoint is a leg without length, so a trip of one waypoint has
+    one. Waypoints without a position are skipped; equal ordinals follow each
+    other by position. A trip is cut into blocks of ordinals, so that one of
+    any length stays spread; the first waypoint of a block ends the last leg of
+    the block before.
+    """
+    order, place = ["ordinal", "latitude", "longitude"], F.struct("latitude", "longitude")
+    known = waypoints.filter("latitude IS NOT NULL AND longitude IS NOT NULL").select("trip_id", *order)
+    known = known.withColumn("_block", F.coalesce(F.floor(F.col("ordinal") / F.lit(block)), F.lit(-(1 << 40))))
+    inside = Window.partitionBy("trip_id", "_block").orderBy(*order)
+    firsts = known.groupBy(F.col("trip_id").alias("_trip"), F.col("_block").alias("_b")).agg(F.min_by(place, F.struct(*order)).alias("_first"))
+    firsts = firsts.withColumn("_after", F.lead("_first").over(Window.partitionBy("_trip").orderBy("_b"))).drop("_first")
+    joined = known.withColumn("_next", F.lead(place).over(inside)).join(firsts, F.col("trip_id").eqNullSafe(F.col("_trip")) & (F.col("_block") == F.col("_b")))
+    end = F.coalesce("_next", "_after", place)
+    return joined.select(
+        "trip_id", "ordinal", F.col("latitude").alias("lat1"), F.col("longitude").alias("lon1"),
+        end["latitude"].alias("lat2"), end["longitude"].alias("lon2"),
+    )
+
+
+def leg_cells(trip_legs: DataFrame, cell_deg: float) -> DataFrame:
+    """Every grid cell that a leg touches, as ``gx``, ``gy``: column by column the rows that it passes there."""
+    west, east = F.least("lon1", "lon2"), F.greatest("lon1", "lon2")
+    columns = trip_legs.withColumn("gx", F.explode(F.sequence(_bucket(west, cell_deg), _bucket(east, cell_deg))))
+    slope = F.when(F.col("lon2") != F.col("lon1"), (F.col("lat2") - F.col("lat1")) / (F.col("lon2") - F.col("lon1")))
+    at = lambda x: F.col("lat1") + slope * (x - F.col("lon1"))
+    left, right = F.greatest(west, F.col("gx") * F.lit(cell_deg)), F.least(east, (F.col("gx") + 1) * F.lit(cell_deg))
+    low = F.coalesce(F.least(at(left), at(right)), F.least("lat1", "lat2")) - F.lit(CELL_SLACK)
+    high = F.coalesce(F.greatest(at(left), at(right)), F.greatest("lat1", "lat2")) + F.lit(CELL_SLACK)
+    return columns.withColumn("gy", F.explode(F.sequence(_bucket(low, cell_deg), _bucket(high, cell_deg))))
+
+
+def _box_cells(boxes: DataFrame, cell_deg: float) -> DataFrame:
+    """Every grid cell of a box (west, south, east, north)."""
+    rows = boxes.withColumn("gy", F.explode(F.sequence(_bucket(F.col("south"), cell_deg), _bucket(F.col("north"), cell_deg))))
+    return rows.withColumn("gx", F.explode(F.sequence(_bucket(F.col("west"), cell_deg), _bucket(F.col("east"), cell_deg))))
+
+
+def _legs_near(trip_legs: DataFrame, boxes: DataFrame, cell_deg: float) -> DataFrame:
+    """(leg, zone columns) whose boxes overlap, once for each cell that both touch."""
+    near = skew_join(leg_cells(trip_legs, cell_deg), _box_cells(boxes, cell_deg), ["gx", "gy"], "inner")
+    overlap = (
+        (F.greatest("lon1", "lon2") >= F.col("west")) & (F.least("lon1", "lon2") <= F.col("east"))
+        & (F.greatest("lat1", "lat2") >= F.col("south")) & (F.least("lat1", "lat2") <= F.col("north"))
+    )
+    return near.filter(overlap)
+
+
+def route_crossings(waypoints: DataFrame, zones: DataFrame, cell_deg: float = 0.05) -> DataFrame:
+    """(trip_id, zone_id) pairs where any part of a trip's way lies within a zone's circle.
+
+    Unlike ``zone_crossings`` this also finds legs that pass through a zone
+    without a waypoint in it. Legs are listed in the grid cells they touch and
+    zones in those of their box; the exact distance from centre to leg decides.
+    Zones without a centre or radius are met by no way.
+    """
+    dlat = F.col("radius_meters") / F.lit(110000.0)
+    dlon = dlat / F.cos(F.radians(F.least(F.abs(F.col("z_lat")) + dlat, F.lit(89.0))))
+    z = zones.select("zone_id", F.col("latitude").alias("z_lat"), F.col("longitude").alias("z_lon"), "radius_meters")
+    z = z.filter("z_lat IS NOT NULL AND z_lon IS NOT NULL AND radius_meters >= 0")
+    z = z.withColumns({"west": F.col("z_lon") - dlon, "east": F.col("z_lon") + dlon, "south": F.col("z_lat") - dlat, "north": F.col("z_lat") + dlat})
+    near = _legs_near(legs(waypoints), z, cell_deg)
+    distance = metres_to_leg(*[F.col(c) for c in ("z_lat", "z_lon", "lat1", "lon1", "lat2", "lon2")])
+    return near.filter(distance <= F.col("radius_meters")).select("trip_id", "zone_id").distinct()
+
+
+def route_polygon_crossings(waypoints: DataFrame, polygons: DataFrame, cell_deg: float = 0.05) -> DataFrame:
+    """(trip_id, zone_id) pairs where a trip's way enters, leaves, touches or stays in a zone polygon.
+
+    ``polygons`` carries ``rings``: the outline and any holes. A way that stays
+    inside a hole does not cross. Only boxes are dealt to grid cells; the rings
+    join the candidates once. Polygons without rings are met by no way.
+    """
+    corners = F.transform("rings", lambda ring: F.struct(
+        F.array_min(F.transform(ring, lambda p: p[0])).alias("w"), F.array_max(F.transform(ring, lambda p: p[0])).alias("e"),
+        F.array_min(F.transform(ring, lambda p: p[1])).alias("s"), F.array_max(F.transform(ring, lambda p: p[1])).alias("n"),
+    ))
+    z = polygons.select("zone_id", "rings").filter("size(rings) > 0")
+    outline = z.withColumn("box", corners).select(
+        "zone_id", F.array_min("box.w").alias("west"), F.array_max("box.e").alias("east"), F.array_min("box.s").alias("south"), F.array_max("box.n").alias("north")
+    )
+    near = _legs_near(legs(waypoints), outline.dropna(), cell_deg).select("trip_id", "lon1", "lat1", "lon2", "lat2", "zone_id").distinct()
+    whole = skew_join(near, z, ["zone_id"], "inner")
+    ends = [F.col(c) for c in ("lon1", "lat1", "lon2", "lat2")]
+    hit = leg_meets_rings(*ends, F.col("rings")) | in_rings(*ends[:2], F.col("rings"))
+    return whole.filter(hit).select("trip_id", "zone_id").distinct()
+
+
 def near_presets(points: DataFrame, presets: DataFrame, tolerance: float = 0.005) -> DataFrame:
     """Points within the tolerance box of a preset, by banded equi-join.
 

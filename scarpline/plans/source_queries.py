@@ -125,7 +125,7 @@ def _(v):
     """SELECT translate(file_name, '/.', '__') AS dataset_id, file_name AS path, 'other' AS kind, size_bytes FROM uploads""",
 )
 def _(v):
-    return catalog.file_inventory(v("uploads").select(F.col("file_name").alias("path"), "size_bytes"))
+    return catalog.describe_files(v("uploads").select(F.col("file_name").alias("path"), "size_bytes"))
 
 
 @query(
@@ -134,7 +134,25 @@ def _(v):
   CASE ordinal % 5 WHEN 0 THEN 'raster' WHEN 1 THEN 'csv' WHEN 2 THEN 'vector' WHEN 3 THEN 'json' ELSE 'other' END AS kind, row_count AS size_bytes FROM datasets""",
 )
 def _(v):
-    return catalog.file_inventory(v("datasets").select("path", F.col("row_count").alias("size_bytes")))
+    return catalog.describe_files(v("datasets").select("path", F.col("row_count").alias("size_bytes")))
+
+
+@query(
+    "written_file_inventory", "S10", "datasets",
+    """SELECT module || '_' || kind AS folder, kind, files FROM (SELECT split_part(path, '/', 1) AS module,
+  CASE ordinal % 5 WHEN 0 THEN 'raster' WHEN 1 THEN 'csv' WHEN 2 THEN 'vector' WHEN 3 THEN 'json' ELSE 'other' END AS kind, count(*) AS n FROM datasets GROUP BY ALL) t
+CROSS JOIN (SELECT CAST(1 AS BIGINT) AS files)""",
+)
+def _(v):
+    """Parts written one folder per module and kind, listed again from the file system."""
+    kind = catalog.kind_of(F.col("path"))
+    parts = v("datasets").select(F.split_part("path", F.lit("/"), F.lit(1)).alias("module"), kind.alias("kind"), "path", "row_count")
+    root = shared.folder(v.spark, "inventory")
+    parts.repartition("module", "kind").write.partitionBy("module", "kind").json(root)
+    piece = lambda key: F.regexp_extract("path", f"{key}=([^/]+)", 1)
+    listed = catalog.list_files(v.spark, root).filter("size_bytes > 0").select(piece("module").alias("module"), piece("kind").alias("kind"))
+    counted = listed.groupBy("module", "kind").agg(F.count(F.lit(1)).alias("files"))
+    return counted.select(F.concat_ws("_", "module", "kind").alias("folder"), "kind", "files")
 
 
 check_view(

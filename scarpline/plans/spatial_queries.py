@@ -266,6 +266,75 @@ def _(v):
     return spatial.polygon_hits(v("waypoints"), polygons)
 
 
+check_view(
+    "way_legs", "waypoints",
+    """SELECT trip_id, ordinal, latitude AS lat1, longitude AS lon1, coalesce(lead(latitude) OVER t, latitude) AS lat2, coalesce(lead(longitude) OVER t, longitude) AS lon2
+FROM waypoints WINDOW t AS (PARTITION BY trip_id ORDER BY ordinal)""",
+)
+_TO = """2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians({lat} - z_lat) / 2), 2)
+  + cos(radians(z_lat)) * cos(radians({lat})) * pow(sin(radians({lon} - z_lon) / 2), 2))))"""
+_NEAREST = f"""least({_TO.format(lat='lat1 + t * (lat2 - lat1)', lon='lon1 + t * (lon2 - lon1)')}, {_TO.format(lat='lat1', lon='lon1')}, {_TO.format(lat='lat2', lon='lon2')})"""
+
+
+@query(
+    "route_zone_crossings", "G18", "way_legs risk_zones",
+    f"""+p AS (SELECT w.*, zone_id, z.latitude AS z_lat, z.longitude AS z_lon, radius_meters, cos(radians(z.latitude)) AS f FROM way_legs w, risk_zones z
+  WHERE greatest(lat1, lat2) >= z.latitude - radius_meters / 110000 AND least(lat1, lat2) <= z.latitude + radius_meters / 110000
+    AND greatest(lon1, lon2) >= z.longitude - 1.1 * radius_meters / 110000 AND least(lon1, lon2) <= z.longitude + 1.1 * radius_meters / 110000),
+q AS (SELECT *, coalesce(greatest(0.0, least(1.0, ((z_lon - lon1) * f * ((lon2 - lon1) * f) + (z_lat - lat1) * (lat2 - lat1))
+  / nullif(((lon2 - lon1) * f) * ((lon2 - lon1) * f) + (lat2 - lat1) * (lat2 - lat1), 0))), 0) AS t FROM p)
+SELECT DISTINCT trip_id, zone_id FROM q WHERE {_NEAREST} <= radius_meters""",
+)
+def _(v):
+    return spatial.route_crossings(v("waypoints"), v("risk_zones"))
+
+
+def _ring_sql(ring: int, corners: list[tuple[str, str]]) -> str:
+    ends = list(zip(corners, corners[1:] + corners[:1]))
+    return " UNION ALL ".join(
+        f"SELECT zone_id, {ring} AS ring, longitude + {a} AS x3, latitude + {b} AS y3, longitude + {c} AS x4, latitude + {d} AS y4 FROM zone_shapes" for (a, b), (c, d) in ends
+    )
+
+
+def _turn(a: str, b: str, c: str) -> str:
+    return f"sign((x{b} - x{a}) * (y{c} - y{a}) - (y{b} - y{a}) * (x{c} - x{a}))"
+
+
+_H = "CAST({} AS DOUBLE)"
+_OUT = [(_H.format(a), _H.format(b)) for a, b in ((-0.0078125, -0.0078125), (0.0078125, -0.0078125), (0, 0.015625))]
+_HOLE = [(_H.format(a), _H.format(b)) for a, b in ((-0.001953125, -0.001953125), (0.001953125, -0.001953125), (0, 0.00390625))]
+
+
+@query(
+    "route_polygon_crossings", "G18", "way_legs zone_shapes",
+    f"""+e AS ({_ring_sql(0, _OUT)} UNION ALL {_ring_sql(1, _HOLE)}),
+l AS (SELECT trip_id, ordinal, lon1 AS x1, lat1 AS y1, lon2 AS x2, lat2 AS y2 FROM way_legs),
+c AS (SELECT l.*, z.zone_id FROM l, zone_shapes z WHERE greatest(x1, x2) >= z.longitude - 0.0078125 AND least(x1, x2) <= z.longitude + 0.0078125
+  AND greatest(y1, y2) >= z.latitude - 0.0078125 AND least(y1, y2) <= z.latitude + 0.015625),
+m AS (SELECT trip_id, zone_id, ordinal, count(*) FILTER (WHERE (y3 > y1) <> (y4 > y1) AND x1 < (x4 - x3) * (y1 - y3) / nullif(y4 - y3, 0) + x3) AS inside,
+  count(*) FILTER (WHERE greatest(x1, x2) >= least(x3, x4) AND greatest(x3, x4) >= least(x1, x2) AND greatest(y1, y2) >= least(y3, y4) AND greatest(y3, y4) >= least(y1, y2)
+    AND {_turn('3', '4', '1')} * {_turn('3', '4', '2')} <= 0 AND {_turn('1', '2', '3')} * {_turn('1', '2', '4')} <= 0) AS met
+  FROM c JOIN e USING (zone_id) GROUP BY ALL)
+SELECT DISTINCT trip_id, zone_id FROM m WHERE inside % 2 = 1 OR met > 0""",
+)
+def _(v):
+    polygons = v("zone_shapes").select("zone_id", geojson.polygon_rings(F.col("polygon")).alias("rings"))
+    return spatial.route_polygon_crossings(v("waypoints"), polygons)
+
+
+@query(
+    "route_zones_per_trip", "G18", "way_legs risk_zones",
+    f"""+p AS (SELECT w.*, zone_id, z.latitude AS z_lat, z.longitude AS z_lon, radius_meters, cos(radians(z.latitude)) AS f FROM way_legs w, risk_zones z
+  WHERE greatest(lat1, lat2) >= z.latitude - radius_meters / 110000 AND least(lat1, lat2) <= z.latitude + radius_meters / 110000),
+q AS (SELECT *, coalesce(greatest(0.0, least(1.0, ((z_lon - lon1) * f * ((lon2 - lon1) * f) + (z_lat - lat1) * (lat2 - lat1))
+  / nullif(((lon2 - lon1) * f) * ((lon2 - lon1) * f) + (lat2 - lat1) * (lat2 - lat1), 0))), 0) AS t FROM p),
+x AS (SELECT DISTINCT trip_id, zone_id FROM q WHERE {_NEAREST} <= radius_meters)
+SELECT t.trip_id, count(x.zone_id) AS zones_crossed FROM (SELECT DISTINCT trip_id FROM waypoints) t LEFT JOIN x ON t.trip_id = x.trip_id GROUP BY t.trip_id""",
+)
+def _(v):
+    return spatial.crossings_per_trip(v("waypoints"), v("risk_zones"), whole_way=True)
+
+
 @query(
     "near_preset_points", "G19", "waypoints risk_zones",
     """SELECT w.trip_id, w.ordinal, z.zone_id AS preset_id FROM waypoints w, risk_zones z

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import urlsplit
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Dataset kinds by file suffix.
@@ -33,7 +36,24 @@ def with_dataset_id(df: DataFrame) -> DataFrame:
     return df.withColumn("dataset_id", dataset_id(F.col("path")))
 
 
-def file_inventory(listed: DataFrame, prefix: str = "") -> DataFrame:
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size_bytes, modified) of every file below a folder, at any depth; paths are relative to it.
+
+    Only names, sizes and times are read. Files without bytes are not listed, and files whose names begin with a dot
+    or an underscore count as hidden and are left out.
+    """
+    base = urlsplit(root).path.rstrip("/")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
+    relative = F.regexp_replace("path", f"^.*?{re.escape(base)}/", "")
+    return found.select(relative.alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
+
+
+def file_inventory(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
+    """Id, type by suffix and size of every file below a folder."""
+    return describe_files(list_files(spark, root), prefix)
+
+
+def describe_files(listed: DataFrame, prefix: str = "") -> DataFrame:
     """Id, type by suffix and size of every file of a listing (path, size_bytes)."""
     return listed.select(dataset_id(F.col("path"), prefix).alias("dataset_id"), "path", kind_of(F.col("path")).alias("kind"), "size_bytes")
 

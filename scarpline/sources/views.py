@@ -172,6 +172,16 @@ SELECT id, zone_id, latitude, longitude,
 FROM risk_zones
 """
 
+# Triangles with a triangular hole.
+VIEWS["zone_shapes"] = """
+SELECT zone_id, latitude, longitude, substr(polygon, 1, length(polygon) - 2) || ', [[' ||
+    CAST(longitude - CAST(0.001953125 AS DOUBLE) AS STRING) || ', ' || CAST(latitude - CAST(0.001953125 AS DOUBLE) AS STRING) || '], [' ||
+    CAST(longitude + CAST(0.001953125 AS DOUBLE) AS STRING) || ', ' || CAST(latitude - CAST(0.001953125 AS DOUBLE) AS STRING) || '], [' ||
+    CAST(longitude AS STRING) || ', ' || CAST(latitude + CAST(0.00390625 AS DOUBLE) AS STRING) || '], [' ||
+    CAST(longitude - CAST(0.001953125 AS DOUBLE) AS STRING) || ', ' || CAST(latitude - CAST(0.001953125 AS DOUBLE) AS STRING) || ']]]}}' AS polygon
+FROM zone_polygons
+"""
+
 VIEWS["uploads"] = """
 SELECT page_id AS upload_id,
   concat('photo_', CAST(page_id AS STRING), CASE page_id % 6 WHEN 0 THEN '.jpg' WHEN 1 THEN '.JPEG' WHEN 2 THEN '.png' WHEN 3 THEN '.webp' WHEN 4 THEN '.gif' ELSE '' END) AS file_name,
