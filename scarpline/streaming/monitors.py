@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scarpline.functions.levels import probability_level
 from scarpline.operators import drift, risk_rules
-from scarpline.streaming import runner
+from scarpline.streaming import buffers, runner
 
 # Limits of the service.
 RATE_LIMIT = 60
@@ -19,21 +19,26 @@ DURATION_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0,
 
 
 def drift_state(bands: DataFrame, path: str, window: int = drift.WINDOW, bins: int = drift.BINS) -> DataFrame:
-    """Bin counts and moments of the newest samples of a stream.
+    """Bin counts and power sums of the newest samples of a stream, one row per (sample, band).
 
-    The stream keeps one row per (sample, band), not the samples' values; the
-    report reads the newest ``window`` samples from the table it writes.
+    Each band holds a ring of at most ``window`` samples, and the newest
+    samples over all bands are among those of the rings. A report is stored
+    after every micro-batch below ``path``/reports.
     """
-    summaries = drift.summarise(bands, ["sample_id", "band"], bins)
-    return drift.last_samples(runner.run_update(summaries, path, ["sample_id", "band"]), window)
+    report = lambda rings: drift_report(drift.last_samples(_of_band(rings), window), bins)
+    rings = buffers.run_rings(buffers.newest_samples(bands, drift.edges(bins), window), path, report)
+    return drift.last_samples(_of_band(rings), window)
+
+
+def _of_band(rings: DataFrame) -> DataFrame:
+    return rings.withColumnRenamed("ring_band", "band")
 
 
 def drift_report(state: DataFrame, bins: int = drift.BINS) -> DataFrame:
     """PSI, mean and deviation per band from merged sample summaries."""
-    n, mean, std = F.col("n"), F.col("mean"), F.col("std")
+    n, mean = F.sum("n"), F.sum("total") / F.nullif(F.sum("n"), F.lit(0))
     merged = state.groupBy("band").agg(
-        *[F.sum(f"b{i}").alias(f"b{i}") for i in range(1, bins + 1)],
-        (F.sum(n * mean) / F.sum(n)).alias("mean"), (F.sum(n * (std * std + mean * mean)) / F.sum(n)).alias("_square"),
+        *[F.sum(f"b{i}").alias(f"b{i}") for i in range(1, bins + 1)], mean.alias("mean"), (F.sum("squares") / F.nullif(n, F.lit(0))).alias("_square")
     )
     variance = F.greatest(F.col("_square") - F.col("mean") * F.col("mean"), F.lit(0.0))
     return merged.select("band", drift.psi_of_counts(bins).alias("psi"), "mean", F.sqrt(variance).alias("std"))
@@ -48,10 +53,11 @@ def recent_events(events: DataFrame, keep: int = BUFFER) -> DataFrame:
     return events.withColumn("recency", F.row_number().over(newest)).filter(F.col("recency") <= keep)
 
 
-def recent_events_stream(events: DataFrame, path: str, keep: int = BUFFER) -> DataFrame:
-    """Stream form: events are appended to a table, the buffer is read from it."""
-    kept = events.select("event_id", "ts", "user_id", "event_type")
-    return recent_events(runner.run_append(kept, path), keep).drop("recency")
+def recent_events_stream(events: DataFrame, path: str, keep: int = BUFFER, idle: str | None = None) -> DataFrame:
+    """Stream form: the state of the stream holds the buffers, at most ``keep`` events per holder."""
+    buffers.run_state(buffers.newest_events(events, keep, idle=idle), path)
+    held = buffers.read_state(events.sparkSession, path, "recent")
+    return held.select("event_id", F.timestamp_micros("at_us").alias("ts"), buffers.unmarked(dict(events.dtypes)["user_id"]).alias("user_id"), "event_type")
 
 
 # --- rates and request metrics -----------------------------------------------------------
