@@ -4,7 +4,10 @@ from pyspark.sql import functions as F
 
 from scarpline.plans.pixel_queries import r6, rounded
 from scarpline.plans.registry import query
+from scarpline.functions.levels import score_level
+from scarpline.operators import risk_rules
 from scarpline.plans.report_queries import stamp, stamped
+from scarpline.plans.risk_queries import IMAGE_A, NORMAL, SCORE, SUMMARY, case, highest
 from scarpline.sources import shared
 from scarpline.streaming import monitors, runner, spacing
 
@@ -125,3 +128,48 @@ def _(v):
         (((F.col("event_id") * 61) % 101).cast("double") / F.lit(100.0)).alias("probability"),
     )
     return stamped(monitors.alerts_stream(readings, _path(v, "alerts")), "ts")
+
+
+def _timed(df, shift_s):
+    """Trips one second apart."""
+    return df.withColumn("ts", F.timestamp_seconds(F.lit(1_600_000_000) + F.col("trip_id") + shift_s))
+
+
+_LEVEL = SCORE.format(c="r.risk")
+
+
+@query(
+    "joined_signal_alerts", "X7 R18", "image_flags signals routes",
+    f"""SELECT trip_id, ml_risk, route_risk, image_risk, overall_risk, {SUMMARY} AS summary, 'SAFETY_ALERT' AS type, {case('overall_risk', risk_rules.ALERT_LEVELS)} AS alert_level,
+  {case('overall_risk', risk_rules.ALERT_MESSAGES['basic'])} AS message, overall_risk IN ('MEDIUM', 'HIGH') AS display, missing
+FROM (SELECT *, {highest('ml_risk', 'route_risk', 'image_risk')} AS overall_risk FROM (
+  SELECT s.trip_id, {NORMAL.format(c='s.ml_risk')} AS ml_risk, CASE WHEN r_gone THEN 'LOW' ELSE {_LEVEL} END AS route_risk, CASE WHEN i_gone THEN 'LOW' ELSE {IMAGE_A} END AS image_risk,
+    array_to_string(list_filter([CASE WHEN r_gone THEN 'route' END, CASE WHEN i_gone THEN 'image' END], lambda x: x IS NOT NULL), ',') AS missing
+  FROM (SELECT *, trip_id % 13 = 0 OR trip_id % 19 = 0 AS r_gone, trip_id % 17 = 0 AS i_gone FROM signals) s
+  JOIN image_flags f ON f.trip_id = s.trip_id JOIN routes r ON r.trip_id = s.trip_id AND r.is_current) a) o""",
+)
+def _(v):
+    """Some route and image signals never come, and some routes come an hour late.
+
+    The signals of whole tables land as files. Marks of trip -1 follow, as
+    from a device that only says that it is alive; they move the watermark past
+    the last trips.
+    """
+    late = F.when(F.col("trip_id") % 19 == 0, 3600).otherwise(60)
+    levels = v("routes").filter("is_current AND trip_id % 13 <> 0").select("trip_id", score_level(F.col("risk")).alias("route_risk"))
+    signals = [_timed(v("signals").select("trip_id", "ml_risk"), 0), _timed(levels, late), _timed(v("image_flags").filter("trip_id % 17 <> 0"), -30)]
+    landed, path = [_path(v, "signals") for _ in signals], _path(v, "joined-alerts")
+
+    def mark(days):
+        for df, folder in zip(signals, landed):
+            after = df.agg(F.max("ts").alias("ts")).select(F.col("ts") + F.expr(f"INTERVAL {days} DAYS"))
+            empty = [F.lit(-1 if f.name == "trip_id" else None).cast(f.dataType).alias(f.name) for f in df.schema if f.name != "ts"]
+            after.select(*empty, F.col(after.columns[0]).alias("ts")).write.mode("append").parquet(folder)
+
+    for df, folder in zip(signals, landed):
+        df.write.parquet(folder)
+    streams = [runner.read_table_stream(v.spark, folder, "part", df.schema) for df, folder in zip(signals, landed)]
+    for days in (1, 2):
+        mark(days)
+        out = monitors.joined_alerts_stream(*streams, path)
+    return out.filter("trip_id >= 0").drop("ts").withColumn("missing", F.array_join("missing", ","))

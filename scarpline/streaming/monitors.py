@@ -116,3 +116,41 @@ def alerts_stream(readings: DataFrame, path: str, lateness: str = "10 minutes")
     """Append-only alerts; a report repeated within the lateness alerts once."""
     unique = readings.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["report_id"])
     return runner.run_append(alerts_from_readings(unique), path)
+
+
+def joined_alerts(models: DataFrame, route_levels: DataFrame, images: DataFrame, apart: str = "10 minutes", lateness: str = "10 minutes") -> DataFrame:
+    """Alerts from model, route and image signals of a trip that arrive on their own streams.
+
+    ``models``: trip_id, ts, ml_risk. ``route_levels``: trip_id, ts, route_risk.
+    ``images``: trip_id, ts and the flags. A route or image signal belongs to a
+    model signal of its trip at most ``apart`` from it. Complete sets alert at
+    once; the others once the watermark shows that nothing can follow, with the
+    absent signals named and counted as LOW. Signals older than the watermark
+    are late and left out. State is bounded by the signals of the interval and
+    the lateness. The same function joins tables.
+    """
+    m = models.withWatermark("ts", lateness)
+    r = route_levels.select(F.col("trip_id").alias("r_trip"), F.col("ts").alias("r_ts"), "route_risk").withWatermark("r_ts", lateness)
+    i = images.select(F.col("trip_id").alias("i_trip"), F.col("ts").alias("i_ts"), *risk_rules.FLAGS).withWatermark("i_ts", lateness)
+    bound = F.expr(f"INTERVAL {apart}")
+    close = lambda other: (F.col(other) >= F.col("ts") - bound) & (F.col(other) <= F.col("ts") + bound)
+    met = m.join(r, (F.col("trip_id") == F.col("r_trip")) & close("r_ts"), "left_outer").select("trip_id", "ts", "ml_risk", "r_trip", "route_risk")
+    met = met.join(i, (F.col("trip_id") == F.col("i_trip")) & close("i_ts"), "left_outer")
+    absent = {"route": F.col("r_trip").isNull(), "image": F.col("i_trip").isNull()}
+    rated = met.withColumns(
+        {
+            "missing": F.array_compact(F.array(*[F.when(gone, F.lit(name)) for name, gone in absent.items()])),
+            "route_risk": F.when(absent["route"], "LOW").otherwise(F.col("route_risk")),
+            "image_risk": F.when(absent["image"], "LOW").otherwise(risk_rules.image_level("A")),
+        }
+    )
+    alerted = risk_rules.alert(risk_rules.explanation(risk_rules.overall_risk(rated)))
+    return alerted.select(
+        "trip_id", "ts", "ml_risk", "route_risk", "image_risk", "overall_risk", "summary",
+        F.lit("SAFETY_ALERT").alias("type"), "alert_level", "message", F.col("alert_required").alias("display"), "missing",
+    )
+
+
+def joined_alerts_stream(models: DataFrame, route_levels: DataFrame, images: DataFrame, path: str, apart: str = "10 minutes", lateness: str = "10 minutes") -> DataFrame:
+    """Stream form. Each of the two joins passes on the watermark one micro-batch later, so incomplete sets follow two micro-batches after it."""
+    return runner.run_append(joined_alerts(models, route_levels, images, apart, lateness), path)

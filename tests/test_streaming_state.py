@@ -98,3 +98,50 @@ def test_summaries_of_a_task_are_trimmed():
     assert out["sample_id"].tolist() == [97, 98, 99] and out["n"].tolist() == [1, 1, 1]
     kept = pd.concat(buffers._newest_of_task(2)(iter([pd.DataFrame({"holder": [1, 1, None, 1], "at_us": [1, 3, 2, 2], "event_id": [1, 2, 3, 4], "event_type": "x"})])))
     assert sorted(kept["event_id"]) == [2, 3, 4]
+
+
+def test_joined_alerts_with_late_and_missing_signals(spark):
+    """Three streams in four micro-batches; complete sets equal the batch join, incomplete ones wait for the watermark."""
+    schema = {"models": "trip_id long, s long, ml_risk string", "routes": "trip_id long, s long, route_risk string", "images": "trip_id long, s long, landslide boolean, flooding boolean, road_damage boolean"}
+    levels = ["LOW", "Medium", "HIGH", "odd"]
+    rows = {
+        "models": [(t, t * 60, levels[t % 4]) for t in range(80)],
+        "routes": [(t, t * 60 + (3000 if t % 7 == 0 else 120), levels[t % 3]) for t in range(80) if t % 5],
+        "images": [(t, t * 60 - 200, t % 11 == 0, t % 4 == 0, None) for t in range(80) if t % 6],
+    }
+    far = {"models": (-1, 10**6, None), "routes": (-1, 10**6, None), "images": (-1, 10**6, None, None, None)}
+    tables, streams, folders = {}, {}, {}
+    for name, data in rows.items():
+        df = spark.createDataFrame([*data, far[name]], schema[name]).withColumn("ts", F.timestamp_seconds(F.col("s") + 1_600_000_000)).drop("s")
+        tables[name] = df
+        folders[name] = parts(spark, df, "ts", 4, f"signals-{name}")
+        streams[name] = runner.read_table_stream(spark, folders[name], "part", df.schema, max_files=1)
+    for name, df in tables.items():  # a second, later mark lets the second join follow
+        df.filter("trip_id = -1").withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY")).coalesce(1).write.mode("append").parquet(folders[name])
+    order = ("models", "routes", "images")
+    batch = monitors.joined_alerts(*[tables[n] for n in order])
+    streamed = monitors.joined_alerts_stream(*[streams[n] for n in order], shared.folder(spark, "joined"))
+    key = lambda df: sorted(str(r.asDict()) for r in df.filter("trip_id >= 0").collect())
+    expected = key(batch)
+    gone = {r["trip_id"] for r in batch.collect()} - {-1} - {r["trip_id"] for r in streamed.collect()}
+    assert gone == set()
+    assert key(streamed) == expected and len(expected) == 80
+    out = {r["trip_id"]: r for r in streamed.filter("trip_id >= 0").collect()}
+    assert out[35]["missing"] == ["route"] and out[30]["missing"] == ["route", "image"] and out[1]["missing"] == []
+    assert out[7]["missing"] == ["route"] and out[3]["overall_risk"] is None  # too far apart; an unreadable level
+
+
+def test_signals_behind_the_watermark_are_late(spark):
+    models = [(1, 0), (2, 50_000), (3, 60_000)]
+    routes = [(9, 100_000), (2, 50_000), (3, 60_000)]  # in this order of arrival: 2 and 3 come after the watermark has passed them
+    m = spark.createDataFrame(models, "trip_id long, s long").select("trip_id", F.timestamp_seconds(F.col("s") + 1_600_000_000).alias("ts"), F.lit("LOW").alias("ml_risk"))
+    image = spark.createDataFrame([(1, 0), (9, 100_000)], "trip_id long, s long").select("trip_id", F.timestamp_seconds(F.col("s") + 1_600_000_000).alias("ts"), *[F.lit(False).alias(f) for f in ("landslide", "flooding", "road_damage")])
+    folders = {}
+    for name, df in (("m", m), ("i", image)):
+        folders[name] = (parts(spark, df, "ts", 1, f"late-{name}"), df.schema)
+    r = spark.createDataFrame([(n, t, s) for n, (t, s) in enumerate(routes)], "n long, trip_id long, s long")
+    r = r.select("n", "trip_id", F.timestamp_seconds(F.col("s") + 1_600_000_000).alias("ts"), F.lit("HIGH").alias("route_risk"))
+    folders["r"] = (parts(spark, r, "n", 3, "late-r"), r.schema)
+    streams = [runner.read_table_stream(spark, folders[k][0], "part", folders[k][1], max_files=1) for k in ("m", "r", "i")]
+    out = monitors.joined_alerts_stream(*streams, shared.folder(spark, "late")).collect()
+    assert {(r["trip_id"], tuple(r["missing"])) for r in out} == {(1, ("route",)), (2, ("route", "image"))}  # 3 still waits
