@@ -133,7 +133,7 @@ def test_joined_alerts_with_late_and_missing_signals(spark):
 
 def test_signals_behind_the_watermark_are_late(spark):
     models = [(1, 0), (2, 50_000), (3, 60_000)]
-    routes = [(9, 100_000), (2, 50_000), (3, 60_000)]  # in this order of arrival: 2 and 3 come after the watermark has passed them
+    routes = [(9, 100_000), (9, 100_001), (2, 50_000), (3, 60_000)]  # in this order of arrival: 2 comes after the watermark has passed it
     m = spark.createDataFrame(models, "trip_id long, s long").select("trip_id", F.timestamp_seconds(F.col("s") + 1_600_000_000).alias("ts"), F.lit("LOW").alias("ml_risk"))
     image = spark.createDataFrame([(1, 0), (9, 100_000)], "trip_id long, s long").select("trip_id", F.timestamp_seconds(F.col("s") + 1_600_000_000).alias("ts"), *[F.lit(False).alias(f) for f in ("landslide", "flooding", "road_damage")])
     folders = {}
@@ -141,7 +141,7 @@ def test_signals_behind_the_watermark_are_late(spark):
         folders[name] = (parts(spark, df, "ts", 1, f"late-{name}"), df.schema)
     r = spark.createDataFrame([(n, t, s) for n, (t, s) in enumerate(routes)], "n long, trip_id long, s long")
     r = r.select("n", "trip_id", F.timestamp_seconds(F.col("s") + 1_600_000_000).alias("ts"), F.lit("HIGH").alias("route_risk"))
-    folders["r"] = (parts(spark, r, "n", 3, "late-r"), r.schema)
+    folders["r"] = (parts(spark, r, "n", 4, "late-r"), r.schema)
     streams = [runner.read_table_stream(spark, folders[k][0], "part", folders[k][1], max_files=1) for k in ("m", "r", "i")]
     out = monitors.joined_alerts_stream(*streams, shared.folder(spark, "late")).collect()
     assert {(r["trip_id"], tuple(r["missing"])) for r in out} == {(1, ("route",)), (2, ("route", "image"))}  # 3 still waits
