@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from scarpline.operators import boosting
 from scarpline.operators.preparation import FEATURES, LABELS, SEED, TARGET
-from scarpline.sources import shared
 
 # Training settings.
 FOREST_TREES = 100
 BOOST_ROUNDS, BOOST_DEPTH, BOOST_RATE = 100, 3, 0.1
 FOLDS = 3
 GRID = {"maxIter": (50, 100), "maxDepth": (2, 3), "stepSize": (0.05, 0.1)}
-FIT_ROWS = 5_000  # bound of the rows that grid fits read
 TOP_FACTORS = 3
 FEATURE_NAMES = {
     "rainfall_mm": "Rainfall", "soil_moisture_pct": "Soil Moisture", "slope_deg": "Slope",
@@ -77,58 +74,14 @@ def train_forest(train: DataFrame, trees: int = FOREST_TREES, seed: int = SEED)
     return Pipeline(stages=stages).fit(balanced_weights(train))
 
 
-@dataclass(frozen=True)
-class BoostedModel:
-    """One binary boosted model per class, scored side by side.
-
-    The library's own one-vs-rest wrapper scores through row-at-a-time Python
-    functions; here each binary model adds its raw score inside the JVM and
-    column expressions turn the scores into probabilities and a label.
-    """
-
-    labels: tuple[str, ...]
-    members: tuple[GBTClassificationModel, ...]
-
-    def save(self, path: str) -> None:
-        """Labels and members below one folder; an earlier model there is replaced."""
-        spark = SparkSession.getActiveSession()
-        spark.createDataFrame(list(enumerate(self.labels)), "place int, label string").coalesce(1).write.mode("overwrite").parquet(f"{path}/labels")
-        for i, member in enumerate(self.members):
-            member.write().overwrite().save(f"{path}/member-{i}")
-
-    @classmethod
-    def load(cls, path: str) -> BoostedModel:
-        rows = SparkSession.getActiveSession().read.parquet(f"{path}/labels").orderBy("place").collect()  # one per class
-        return cls(tuple(r["label"] for r in rows), tuple(GBTClassificationModel.load(f"{path}/member-{r['place']}") for r in rows))
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        out = _assembler().transform(df)
-        for i, member in enumerate(self.members):
-            copy = member.copy().setRawPredictionCol(f"_raw{i}").setProbabilityCol("").setPredictionCol("")
-            out = copy.transform(out)
-        raw = F.array(*[F.exp(vector_to_array(f"_raw{i}")[1]) for i in range(len(self.members))])
-        staged = out.withColumn("_exp", raw)
-        total = F.aggregate("_exp", F.lit(0.0), lambda a, b: a + b)
-        shares = staged.withColumn("class_probability", F.transform("_exp", lambda x: x / total))
-        best = F.array_position("class_probability", F.array_max("class_probability")).cast("int")
-        named = shares.withColumn("predicted", F.element_at(F.array(*[F.lit(x) for x in self.labels]), best))
-        return named.drop("_exp", *[f"_raw{i}" for i in range(len(self.members))])
-
-
 def train_boosted(
-    train: DataFrame, maxIter: int = BOOST_ROUNDS, maxDepth: int = BOOST_DEPTH, stepSize: float = BOOST_RATE, seed: int = SEED,
-    labels=LABELS,
-) -> BoostedModel:
-    """Boosted trees per class in alphabetical order; the classes train side by side."""
+    train: DataFrame, maxIter: int = BOOST_ROUNDS, maxDepth: int = BOOST_DEPTH, stepSize: float = BOOST_RATE, labels=LABELS
+) -> boosting.SoftmaxModel:
+    """Jointly boosted trees of all classes, the classes in alphabetical order."""
+    setting = boosting.Setting(maxDepth, stepSize)
     ordered = tuple(sorted(labels))
-    prepared = _assembler().transform(train)
-
-    def fit(name: str) -> GBTClassificationModel:
-        target = prepared.select("features", (F.col(TARGET) == name).cast("double").alias("label"))
-        return GBTClassifier(maxIter=maxIter, maxDepth=maxDepth, stepSize=stepSize, seed=seed, checkpointInterval=-1).fit(target)
-
-    with ThreadPoolExecutor(len(ordered)) as pool:
-        return BoostedModel(ordered, tuple(pool.map(fit, ordered)))
+    trained = boosting.train(train, list(FEATURES), label_index(F.col(TARGET), labels), ordered, [setting], maxIter)
+    return boosting.model_of(trained, setting, list(FEATURES))
 
 
 def macro_f1(df: DataFrame, actual: str = TARGET, predicted: str = "predicted", labels=LABELS) -> float:
@@ -141,32 +94,47 @@ def macro_f1(df: DataFrame, actual: str = TARGET, predicted: str = "predicted",
     return sum(scores) / len(scores)
 
 
-def grid_search(folded: DataFrame, grid=None, folds: int = FOLDS, parallelism: int = 4, fit_rows: int = FIT_ROWS) -> tuple[BoostedModel, DataFrame]:
-    """Cross-validated boosted-tree grid on the ``fold`` column, refit on the fitting rows.
+def grid_search(folded: DataFrame, grid=None, folds: int = FOLDS) -> tuple[boosting.SoftmaxModel, DataFrame]:
+    """Cross-validated boosted-tree grid on the ``fold`` column.
 
-    Returns the refitted best model and one row per setting with its mean
-    macro F1. The fits see at most ``fit_rows`` rows, those of smallest hash,
-    in one partition; each setting is scored on all rows of its fold.
+    Returns the best model of all rows and one row per setting with its mean
+    macro F1. The models of all depths, rates and left-out folds, and those of
+    all rows, grow over the same passes, and a model of fewer rounds is the
+    beginning of one of more.
+    Rows of a fold are scored once for all settings and counted in one
+    aggregate. Equal scores take the first setting.
     """
-    order = F.xxhash64(*FEATURES, TARGET)
-    fitting = shared.store(folded.orderBy(order, *FEATURES).limit(fit_rows).coalesce(1), "fitting")
     candidates = [{}]
     for name, values in (grid or GRID).items():
         candidates = [{**c, name: x} for c in candidates for x in values]
-
-    def one(task: tuple[int, int]) -> float:
-        setting, fold = candidates[task[0]], task[1]
-        model = train_boosted(fitting.filter(F.col("fold") != fold), **setting)
-        return macro_f1(model.transform(folded.filter(F.col("fold") == fold)))
-
-    tasks = [(i, fold) for i in range(len(candidates)) for fold in range(folds)]
-    with ThreadPoolExecutor(parallelism) as pool:
-        scores = list(pool.map(one, tasks))
-    means = [sum(scores[i * folds : (i + 1) * folds]) / folds for i in range(len(candidates))]
+    ordered = tuple(sorted(LABELS))
+    shapes = list(dict.fromkeys((c["maxDepth"], c["stepSize"]) for c in candidates))
+    settings = [boosting.Setting(d, r, fold) for d, r in shapes for fold in (*range(folds), None)]
+    label = label_index(F.col(TARGET))
+    trained = boosting.train(folded, list(FEATURES), label, ordered, settings, max(c["maxIter"] for c in candidates), F.col("fold"))
+
+    per_fold = []
+    for fold in range(folds):
+        rows = folded.filter(F.col("fold") == fold).select(TARGET, *FEATURES)
+        for i, c in enumerate(candidates):
+            setting = boosting.Setting(c["maxDepth"], c["stepSize"], fold)
+            scored = boosting.model_of(trained, setting, list(FEATURES)).first(c["maxIter"]).transform(rows)
+            rows = scored.withColumnRenamed("predicted", f"p{i}").drop("class_probability")
+        names = F.array(*[F.struct(F.lit(i).alias("candidate"), F.col(f"p{i}").alias("predicted")) for i in range(len(candidates))])
+        per_fold.append(rows.select(F.lit(fold).alias("fold"), TARGET, F.explode(names).alias("c")).select("fold", TARGET, "c.*"))
+    counts = reduce(lambda a, b: a.unionByName(b), per_fold).groupBy("candidate", "fold", TARGET, "predicted").agg(F.count(F.lit(1)).alias("n"))
+    table = {(r["candidate"], r["fold"], r[TARGET], r["predicted"]): r["n"] for r in counts.collect()}  # candidates x folds x classes x classes
+
+    def f1(i: int, fold: int, name: str) -> float:
+        size = sum(table.get((i, fold, name, p), 0) + table.get((i, fold, p, name), 0) for p in LABELS)
+        return 2.0 * table.get((i, fold, name, name), 0) / size if size else 0.0
+
+    means = [sum(f1(i, fold, name) for fold in range(folds) for name in LABELS) / (folds * len(LABELS)) for i in range(len(candidates))]
     rows = [(i, *c.values(), m) for i, (c, m) in enumerate(zip(candidates, means))]
     schema = "candidate int, maxIter int, maxDepth int, stepSize double, macro_f1 double"
     best = candidates[means.index(max(means))]
-    return train_boosted(fitting, **best), folded.sparkSession.createDataFrame(rows, schema)
+    whole = boosting.model_of(trained, boosting.Setting(best["maxDepth"], best["stepSize"]), list(FEATURES)).first(best["maxIter"])
+    return whole, folded.sparkSession.createDataFrame(rows, schema)
 
 
 def save_forest(model: PipelineModel, path: str) -> None:
@@ -180,10 +148,10 @@ def load_forest(path: str) -> PipelineModel:
 # --- scoring ---------------------------------------------------------------------------
 
 
-def score(model: PipelineModel | BoostedModel, df: DataFrame, keep=("env_id",)) -> DataFrame:
+def score(model: PipelineModel | boosting.SoftmaxModel, df: DataFrame, keep=("env_id",)) -> DataFrame:
     """Label, probability per label and confidence of the predicted label."""
     scored = model.transform(df)
-    if isinstance(model, BoostedModel):
+    if isinstance(model, boosting.SoftmaxModel):
         labels, p = model.labels, F.col("class_probability")
     else:
         labels, p = model.stages[-1].getLabels(), vector_to_array("probability")
