@@ -217,6 +217,9 @@ def train(rows: DataFrame, features: list[str], label: Column, labels: tuple[str
             yield pa.RecordBatch.from_arrays(packed, names=["x", "y", "fold", "s"])
 
     chosen = rows.select(*[F.col(c).cast("double") for c in features], label.cast("int").alias("y"), (F.lit(-1) if fold is None else fold).cast("int").alias("fold"))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if chosen.rdd.getNumPartitions() < cores:  # every pass reads these rows, so a small table is spread once
+        chosen = chosen.repartition(cores)
     binned = shared.store(chosen.filter("y IS NOT NULL").mapInArrow(run, "x binary, y int, fold int, s binary"), "boosting")
     data = _Rows(binned, settings, classes, len(features))
     out = Trained(edges, tuple(labels), {s: [] for s in settings})
