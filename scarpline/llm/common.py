@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -62,6 +63,51 @@ def text_rows(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator
         yield batch, [v or b"" for v in values]
 
 
+def stretches(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of rows with equal keys, over the borders of batches, and where the runs begin and end."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([held, rows]) if held is not None else rows
+        changed = np.zeros(rows.num_rows, dtype=bool)
+        for k in keys:
+            values = rows.column(k).to_numpy()
+            changed[1:] |= values[1:] != values[:-1]
+        cuts = np.concatenate([[0], np.flatnonzero(changed)])
+        if len(cuts) > 1:
+            yield rows.slice(0, cuts[-1]).combine_chunks(), cuts
+        held = rows.slice(cuts[-1])
+    if held is not None:
+        yield held.combine_chunks(), np.array([0, held.num_rows])
+
+
+def spanning(link: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric link matrix the smallest row it reaches."""
+    label = np.arange(len(link))
+    while True:
+        low = np.minimum(label, np.where(link, label[None, :], len(link)).min(axis=1))
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def spanning_pairs(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each of ``n`` rows the smallest row it reaches over the pairs (x, y)."""
+    label = np.arange(n)
+    while len(x):
+        low = label.copy()
+        np.minimum.at(low, x, label[y])
+        np.minimum.at(low, y, label[x])
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    return label
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): smallest id reachable, for every id that has an edge.
 

@@ -114,31 +114,11 @@ def _indexed(rows: DataFrame, pivots: np.ndarray, kind: str) -> DataFrame:
 # Runs of equal keys in sorted partitions
 
 
-def _stretches(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole runs of rows with equal keys, over the borders of batches, and where the runs begin and end."""
-    held: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = pa.Table.from_batches([batch])
-        rows = pa.concat_tables([held, rows]) if held is not None else rows
-        changed = np.zeros(rows.num_rows, dtype=bool)
-        for k in keys:
-            values = rows.column(k).to_numpy()
-            changed[1:] |= values[1:] != values[:-1]
-        cuts = np.concatenate([[0], np.flatnonzero(changed)])
-        if len(cuts) > 1:
-            yield rows.slice(0, cuts[-1]).combine_chunks(), cuts
-        held = rows.slice(cuts[-1])
-    if held is not None:
-        yield held.combine_chunks(), np.array([0, held.num_rows])
-
-
 def _per_run(rows: DataFrame, keys: list[str], judge, schema: str) -> DataFrame:
     """``judge(run)`` gives record batches for every run of equal keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, cuts in _stretches(batches, keys):
+        for rows, cuts in common.stretches(batches, keys):
             for low, high in zip(cuts, cuts[1:]):
                 yield from judge(rows.slice(low, high - low))
 
@@ -215,17 +195,6 @@ def _balls(described: DataFrame, limit: float, kind: str) -> DataFrame:
 # Lists
 
 
-def _spanning(link: np.ndarray) -> np.ndarray:
-    """For each row of a symmetric link matrix the smallest row it reaches."""
-    label = np.arange(len(link))
-    while True:
-        low = np.minimum(label, np.where(link, label[None, :], len(link)).min(axis=1))
-        low = low[low]
-        if (low == label).all():
-            return label
-        label = low
-
-
 def _smaller_shared(near: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Bit words of the pivots of each row that are smaller than the largest one chosen for it and not chosen."""
     words = np.zeros((len(near), PIVOTS // 64), dtype=np.uint64)
@@ -259,7 +228,7 @@ def _met(balls: DataFrame, threshold: float, kind: str) -> DataFrame:
         return linked, (reach > 0) & ~linked & (angle - reach <= theta + SLACK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, cuts in _stretches(batches, ["list", "low", "high"]):
+        for rows, cuts in common.stretches(batches, ["list", "low", "high"]):
             ids, weight, radius, own, low, high, key = (rows.column(c).to_numpy() for c in ("ball", "weight", "radius", "own", "low", "high", "list"))
             unit = _unit(_unpacked(rows.column("centre").combine_chunks(), kind))
             chosen = np.stack([key // PIVOTS**e % PIVOTS for e in range(SHARED)], axis=1)
@@ -299,7 +268,7 @@ def _met(balls: DataFrame, threshold: float, kind: str) -> DataFrame:
                 some = np.flatnonzero(count)
                 whole = np.zeros((len(span), len(span)), dtype=bool)
                 whole[np.ix_(one - start, two - start)] |= linked
-                label = _spanning(whole | whole.T)
+                label = common.spanning(whole | whole.T)
                 joined = np.flatnonzero(label != np.arange(len(label)))
                 x, y = np.nonzero(open_)
                 yield told(

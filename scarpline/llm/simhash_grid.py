@@ -4,12 +4,13 @@ A fingerprint is cut into segments and each segment is replaced by its number
 of set bits. The Manhattan distance of two such vectors never exceeds the
 Hamming distance of the fingerprints, so it is a lower bound to search by.
 
-Exact search (``link``): segments of two bits, packed in place. The vectors
+Exact search (``link``, ``spanning_links``): segments of two bits, packed in place. The vectors
 are cut into ``GROUPS`` groups of segments. Two vectors within Manhattan
 distance r differ in at most r groups, so they agree in some choice of
 ``GROUPS - r`` groups: each choice with its counts is a grid cell, and the
 pairs of a cell pass the Manhattan bound and then the exact Hamming distance.
-No link is lost, and equal fingerprints are collapsed before.
+Equal fingerprints are collapsed before. A cell gives edges that span its
+groups, so no two fingerprints that links connect come apart.
 
 Similarity search (``near_links``): near-duplicates at similarity 0.8 differ in
 about 15 % of the bits, too far for exhaustive grid cells, and cells of sampled
@@ -37,6 +38,8 @@ BLOCK = 100_000  # shingles hashed at a time
 GROUPS, GROUP_BITS = 8, 8
 LOW_BITS = 0x5555555555555555
 BAND_ROWS = 6  # minima of a band
+CELL_BLOCK = 1_024  # fingerprints of one side of a comparison
+CELL_SHORT = 16  # fingerprints of a cell whose pairs are compared together with those of other cells
 
 
 # Fingerprints
@@ -120,7 +123,9 @@ def cells(counts: Column, radius: int) -> Column:
 def link(fps: DataFrame, radius: int = 4) -> DataFrame:
     """All pairs (a, b) of different fingerprints at most ``radius`` bits apart.
 
-    ``fps`` has distinct non-null longs ``fp``. Needs radius < GROUPS.
+    ``fps`` has distinct non-null longs ``fp``. Needs radius < GROUPS. Lists
+    every pair, so it is for data without crowded places; groups need only
+    ``spanning_links``.
     """
     placed = fps.select("fp", F.explode(cells(segment_counts(F.col("fp")), radius)).alias("cell"))
     a = placed.select(F.col("fp").alias("a"), "cell")
@@ -131,23 +136,87 @@ def link(fps: DataFrame, radius: int = 4) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
+def _popcount(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x.view(np.uint64)).astype(np.int64)
+
+
+def _near(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
+    """Whether fingerprints are within the radius: first the distance of their bit counts, then the exact one."""
+    low = np.uint64(LOW_BITS)
+
+    def counts(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        one, two = v & low, (v >> np.uint64(1)) & low
+        return one ^ two, one & two
+
+    (a1, a2), (b1, b2) = counts(x), counts(y)
+    odd, even = a1 ^ b1, (a2 ^ b2) & ~(a1 ^ b1)  # segments whose counts differ by one, by two
+    out = _popcount(odd) + 2 * _popcount(even & low) <= radius
+    return out & (_popcount(x ^ y) <= radius)
+
+
+def spanning_links(fps: DataFrame, radius: int = 4) -> DataFrame:
+    """Edges (a, b) that connect exactly what links of at most ``radius`` bits connect.
+
+    ``fps`` has distinct non-null longs ``fp``. Needs radius < GROUPS. Each
+    cell is judged where its rows meet and ties every fingerprint to the
+    smallest that it reaches over links in the cell, so a crowded cell of n fingerprints gives fewer than n rows, not all its
+    pairs. Cells of more than ``CELL_BLOCK`` fingerprints are dealt as pairs
+    of blocks.
+    """
+    placed = fps.select("fp", F.explode(cells(segment_counts(F.col("fp")), radius)).alias("cell"))
+    large = common.stored(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL_BLOCK))
+    parts = F.ceil(F.coalesce("n", F.lit(1)) / CELL_BLOCK)
+    dealt = placed.join(large, "cell", "left").select("cell", "fp", F.pmod(F.xxhash64("fp"), parts).alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("other"))
+    dealt = dealt.select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "fp")
+
+    def told(fp: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+        joined = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_arrays([pa.array(fp[joined]), pa.array(fp[label[joined]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cuts in common.stretches(batches, ["cell", "low", "high"]):
+            fp, own, low, high = (rows.column(c).to_numpy() for c in ("fp", "own", "low", "high"))
+            bits, sizes = fp.view(np.uint64), np.diff(cuts)
+            number = np.repeat(np.arange(len(sizes)), sizes)
+            short = ((sizes <= CELL_SHORT) & (low[cuts[:-1]] == high[cuts[:-1]]))[number]
+            pairs = [np.empty((2, 0), dtype=np.int64)]  # of all short cells of the batch at once
+            for lag in range(1, min(CELL_SHORT, len(fp))):
+                at = np.flatnonzero(short[:-lag] & (number[:-lag] == number[lag:]))
+                pairs.append(np.stack([at, at + lag]))
+            x, y = np.concatenate(pairs, axis=1)
+            near = _near(bits[x], bits[y], radius)
+            yield told(fp, common.spanning_pairs(len(fp), x[near], y[near]))
+            for start, end in zip(cuts[:-1], cuts[1:]):
+                if end - start < 2 or short[start]:
+                    continue
+                part, own_part = bits[start:end], own[start:end]
+                one, two = np.flatnonzero(own_part == low[start]), np.flatnonzero(own_part == high[start])
+                whole = np.zeros((len(part), len(part)), dtype=bool)
+                if len(one) and len(two):
+                    whole[np.ix_(one, two)] |= _near(part[one][:, None], part[two][None, :], radius)
+                yield told(fp[start:end], common.spanning(whole | whole.T))
+
+    keys = ["cell", "low", "high"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def classes(docs: DataFrame, k: int = 4, radius: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row.
 
     The component is the smallest id reachable over links of fingerprints at
     most ``radius`` bits apart, equal ones included. NULL text is empty; texts
-    without words have fingerprint zero and link like any other. A NULL id
-    takes the component of its fingerprint, NULL where that holds no id.
-    Repeated rows repeat, no rows give no rows, other columns are not read.
+    without words have fingerprint zero and link like any other. Fingerprints
+    are the nodes, so a row without an id links others and takes their
+    component, NULL where it reaches no id. Repeated rows repeat, no rows give
+    no rows, other columns are not read.
     """
     found = common.cut(fingerprints(docs, k, doc_id, text))
     named = common.cut(found.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    links = link(named.select("fp"), radius)
-    ends = links.join(named.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a")
-    ends = ends.join(named.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b")
-    ends = ends.filter("na IS NOT NULL AND nb IS NOT NULL").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    reached = common.components(ends)
-    of_fp = named.join(reached, named["node"] == reached["id"], "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    reached = common.components(spanning_links(named.select("fp"), radius))
+    parts = named.join(reached, named["fp"] == reached["id"], "left").select("fp", "node", F.coalesce("component", "fp").alias("part"))
+    parts = common.cut(parts)
+    least = parts.groupBy("part").agg(F.min("node").alias("component_id"))
+    of_fp = parts.join(least, "part").select("fp", "component_id")
     return found.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -243,3 +243,55 @@ def test_awkward_vectors(spark):
     assert found == expected
     assert pivot_index.classes(df.limit(0)).collect() == []
     assert {tuple(r) for r in pivot_index.classes(df.filter("vec_id <= 6")).collect()} == {(i, 0, i, True) for i in range(1, 7)}
+
+
+# SimHash components in crowded cells
+
+
+@pytest.mark.parametrize("block,short,parts", [(1024, 16, 3), (16, 4, 1), (40, 2, 17)])
+def test_spanning_links_connect_what_pairs_connect(spark, monkeypatch, block, short, parts):
+    from scarpline.llm import common, simhash_grid
+
+    monkeypatch.setattr(simhash_grid, "CELL_BLOCK", block)
+    monkeypatch.setattr(simhash_grid, "CELL_SHORT", short)
+    draw = np.random.default_rng(block)
+    centres = draw.integers(0, 2**63, 6)
+    fps = {int(c) ^ sum(1 << int(b) for b in draw.choice(63, int(draw.integers(0, 4)), replace=False)) for c in centres[:3] for _ in range(120)}  # dense groups
+    chain = int(centres[3])
+    for i in range(15):  # each two bits further: far ends are connected, not near
+        fps.add(chain)
+        chain ^= 0b11 << (4 * i)
+    fps |= {int(x) for x in draw.integers(0, 2**63, 100)} | {0, 3, 31}
+    signed = sorted(fps)
+    near = {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if bin(a ^ b).count("1") <= 4}
+    df = spark.createDataFrame([(f,) for f in signed], "fp bigint").repartition(parts)
+    found = {tuple(sorted((r.a, r.b))) for r in simhash_grid.spanning_links(df).collect()}
+    assert len(found) < len(near)
+    part = {f: f for f in signed}
+
+    def top(f):
+        while part[f] != f:
+            f = part[f]
+        return f
+
+    for a, b in near:
+        x, y = sorted((top(a), top(b)))
+        part[y] = x
+    reached = {r["id"]: r["component"] for r in common.components(spark.createDataFrame(list(found), "a bigint, b bigint")).collect()}
+    assert {f: reached.get(f, f) for f in signed} == {f: top(f) for f in signed}
+
+
+def test_rows_without_ids_link_others(spark):
+    """Two texts that are linked only through the fingerprint of a row without an id."""
+    from scarpline.llm import simhash_grid
+
+    fps = [(1, 0b0), (None, 0b1111), (2, 0b11111111), (None, 1 << 40 | 0xFFF << 44)]
+    df = spark.createDataFrame(fps, "doc_id bigint, fp bigint")
+    whole = simhash_grid.fingerprints
+    try:
+        simhash_grid.fingerprints = lambda docs, *_: docs
+        out = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash_grid.classes(df).collect()}
+    finally:
+        simhash_grid.fingerprints = whole
+    assert out[(1, "0" * 16)] == out[(2, "00000000000000ff")] == out[(None, "000000000000000f")] == 1
+    assert [v for k, v in out.items() if k[1].startswith("00fff1")] == [None]
