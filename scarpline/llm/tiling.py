@@ -6,7 +6,8 @@ verified, are the seeds. Seeds on one diagonal form maximal matches; the
 longest match whose words are still unmarked becomes a tile, overlapping
 matches are cut back, and so on down to ``SEED_WORDS`` words. Tiles may come in
 any order, so reordered passages count. A document holds an item when tiles
-cover at least a given share of the item's words.
+cover at least a given share of the item's words. An item of fewer words than a
+seed must occur whole, as one run.
 
 The benchmark is the query set: it is cut into blocks of a bounded number of
 items, each block is broadcast and meets all documents in one pass without a
@@ -30,6 +31,7 @@ from scarpline.llm import common
 SEED_WORDS = 5
 BLOCK_ITEMS = 5_000
 COVERAGE = 0.5
+MANY_PAIRS = 256  # pairs of places from which on items are told apart first
 _BASE = np.uint64(0x100000001B3)
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
@@ -66,11 +68,46 @@ class Items:
         self.at = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.empty(0, np.int64)
         order = np.argsort(self.seeds, kind="stable")
         self.seeds, self.item, self.at = self.seeds[order], self.item[order], self.at[order]
-
-    def matches(self, text: bytes) -> Iterator[tuple[int, int, int]]:
-        """(item number, words covered, tiles) of every item with a seed in the text."""
+        self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.starts = np.r_[0, np.cumsum(self.sizes)]
+        self.short: dict[int, list[int]] = defaultdict(list)  # items without a seed by their first word
+        for i in np.flatnonzero((self.sizes > 0) & (self.sizes < SEED_WORDS)).tolist():
+            self.short[int(self.words[i][0])].append(i)
+        self.first = np.array(sorted(self.short), dtype=np.int64)
+
+    def _short_matches(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        for word in np.intersect1d(ids, self.first).tolist():
+            places = np.flatnonzero(ids == word)
+            for item in self.short[word]:
+                own = self.words[item]
+                there = places[places <= len(ids) - len(own)]
+                if any(np.array_equal(ids[p : p + len(own)], own) for p in there.tolist()):
+                    yield item, len(own), 1
+
+    def _reachable(self, low: np.ndarray, high: np.ndarray, coverage: float) -> np.ndarray:
+        """Whether the seeds met, wherever they stand, cover enough of each item: tiles cannot cover more."""
+        met = np.zeros(len(self.seeds) + 1, dtype=np.int64)
+        np.add.at(met, low, 1)
+        np.add.at(met, high, -1)
+        some = np.flatnonzero(np.cumsum(met[:-1]) > 0)
+        covered = np.zeros(self.starts[-1] + 1, dtype=np.int64)
+        place = self.starts[self.item[some]] + self.at[some]
+        np.add.at(covered, place, 1)
+        np.add.at(covered, place + SEED_WORDS, -1)
+        whole = np.r_[0, np.cumsum(np.cumsum(covered[:-1]) > 0)]
+        return whole[self.starts[1:]] - whole[self.starts[:-1]] >= coverage * self.sizes
+
+    def matches(self, text: bytes, coverage: float = 0.0) -> Iterator[tuple[int, int, int]]:
+        """(item number, words covered, tiles) of every item with a seed in the text.
+
+        Items that cannot reach the coverage may be left out: where seeds and
+        their places in the text are many, these are told apart before pairs of
+        places are listed.
+        """
         own = words(text)
         ids = np.fromiter(map(self.vocabulary.get, own, repeat(-1)), dtype=np.int64, count=len(own))
+        if len(self.first):
+            yield from self._short_matches(ids)
         hashes = _rolling(ids)
         if not len(hashes) or not len(self.seeds):
             return
@@ -79,9 +116,10 @@ class Items:
         low = np.searchsorted(self.seeds, hashes[complete], "left")
         high = np.searchsorted(self.seeds, hashes[complete], "right")
         met = np.flatnonzero(high > low)
+        reachable = self._reachable(low[met], high[met], coverage) if (high - low).sum() > MANY_PAIRS else None
         diagonals: dict[tuple[int, int], list[int]] = defaultdict(list)
         for place, a, b in zip(complete[met].tolist(), low[met].tolist(), high[met].tolist(), strict=True):
-            for k in range(a, b):
+            for k in range(a, b) if reachable is None else (a + np.flatnonzero(reachable[self.item[a:b]])).tolist():
                 item, at = int(self.item[k]), int(self.at[k])
                 if np.array_equal(self.words[item][at : at + SEED_WORDS], ids[place : place + SEED_WORDS]):
                     diagonals[item, place - at].append(place)
@@ -132,41 +170,71 @@ def overlaps(
 ) -> DataFrame:
     """(doc_id, item_id, n_words, n_covered, n_tiles, coverage) of every pair that reaches the coverage.
 
-    NULL texts are empty. Items with fewer than SEED_WORDS words have no seed
-    and match nothing. Rows with a NULL id on either side take part and keep
-    their NULL. A repeated document or item gives one row each. Empty tables
-    give no rows. Other columns are not read.
+    NULL texts are empty; items without words match nothing. Rows with a NULL
+    id on either side take part and keep their NULL. A repeated document or
+    item gives one row each; equal items are compared once. Empty tables give
+    no rows. Other columns are not read.
     """
-    spark = docs.sparkSession
-    queries = benchmark.select(F.col(item_id).cast("bigint").alias("i"), common.whole(item_text).cast("binary").alias("t"))
-    blocks = max(1, -(-queries.count() // block_items))
-    queries = queries.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
+    queries = benchmark.select(F.col(item_id).cast("bigint").alias("item_id"), common.whole(item_text).cast("binary").alias("t"))
+    distinct = _distinct_items(queries)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    schema = "doc_id bigint, item_id bigint, n_words bigint, n_covered bigint, n_tiles bigint, coverage double"
+    schema = "doc_id bigint, q bigint, n_words bigint, n_covered bigint, n_tiles bigint, coverage double"
     out = None
-    for block in range(blocks):
-        held = tuple((r["i"], bytes(r["t"])) for r in queries.filter(F.col("b") == block).collect())  # one block
-        sent = spark.sparkContext.broadcast(held)
+    for sent in _blocks(distinct, block_items):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = _items(sent.value)
             for batch, texts in common.text_rows(batches):
                 found = []
                 for d, t in zip(batch.column(0).to_pylist(), texts, strict=True):
-                    for item, covered, tiles in items.matches(t):
+                    for item, covered, tiles in items.matches(t, coverage):
                         n = len(items.words[item])
                         if covered >= coverage * n:
                             found.append((d, items.ids[item], n, covered, tiles, covered / n))
                 columns = list(zip(*found, strict=True)) or [()] * 6
                 kinds = [pa.int64()] * 5 + [pa.float64()]
                 arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "item_id", "n_words", "n_covered", "n_tiles", "coverage"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "q", "n_words", "n_covered", "n_tiles", "coverage"])
 
         part = rows.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
-    return out
+    members = queries.join(distinct, "t").select("q", "item_id")
+    return out.join(members, "q").select("doc_id", "item_id", "n_words", "n_covered", "n_tiles", "coverage")
+
+
+def _distinct_items(queries: DataFrame) -> DataFrame:
+    """(t, q): a number for every different item text."""
+    return common.stored(queries.select("t").distinct().withColumn("q", F.monotonically_increasing_id()))
+
+
+def _blocks(distinct: DataFrame, block_items: int) -> Iterator:
+    """Broadcasts of (number, text) tuples, about ``block_items`` items each."""
+    blocks = max(1, -(-distinct.count() // block_items))
+    dealt = distinct.withColumn("b", F.pmod(F.xxhash64("t"), F.lit(blocks)))
+    for block in range(blocks):
+        held = tuple((r["q"], bytes(r["t"])) for r in dealt.filter(F.col("b") == block).collect())  # one block
+        yield distinct.sparkSession.sparkContext.broadcast(held)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, doc_id: str = "doc_id") -> DataFrame:
-    """The documents that hold no benchmark item. Rows with a NULL id are kept."""
-    return docs.join(overlaps(docs, benchmark, coverage, doc_id=doc_id).select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_anti")
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_items: int = BLOCK_ITEMS,
+    doc_id: str = "doc_id", text: str = "text", item_text: str = "text",
+) -> DataFrame:
+    """The documents that hold no benchmark item.
+
+    Every row is judged by its own text, whatever its id: rows that repeat an
+    id or have none stay or go each for itself. NULL texts are empty and stay;
+    an empty benchmark removes nothing; columns pass unchanged.
+    """
+    place = docs.columns.index(text)
+    for sent in _blocks(_distinct_items(benchmark.select(common.whole(item_text).cast("binary").alias("t"))), block_items):
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            items = _items(sent.value)
+            for batch in batches:
+                texts = batch.column(place).cast(pa.large_binary()).to_pylist()
+                holds = lambda t: any(covered >= coverage * len(items.words[i]) for i, covered, _ in items.matches(t, coverage))
+                yield batch.filter(pa.array([not holds(t or b"") for t in texts], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
