@@ -3,10 +3,10 @@
 Symbols are the words of the text. A k-mer of ``K`` words is selected when the
 smallest hash among its inner ``S``-word substrings lies at its first or last
 place. Selection depends on the k-mer alone, so an edit elsewhere never moves
-an anchor. The fingerprint is a bottom sketch: the ``SKETCH`` smallest anchor
-values in order, 32 bits each, written as hex. Likeness is the share of common
-anchors among the smallest of the union, an estimate of the Jaccard
-similarity; it is exact while both texts have at most ``SKETCH`` anchors.
+an anchor. ``placed_anchors`` keeps every anchor with its place, for matching
+passages by position. The fingerprint is the set of all anchor values in
+order, 32 bits each, written as hex. Likeness is the Jaccard similarity of the
+whole sets.
 
 A text with fewer than ``K`` words has one anchor, a hash of the whole text.
 """
@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scarpline.llm import common
 
-K, S, SKETCH = 4, 2, 64
+K, S = 4, 2
+SKETCH = None  # smallest anchors kept of a text; None keeps all
 _WIDTH = 8
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -27,8 +28,8 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def anchors(text: Column) -> Column:
-    """The sketch of a text: sorted distinct 32-bit anchor values."""
+def placed_anchors(text: Column) -> Column:
+    """(place, anchor) of every closed syncmer: the number of its first word from 1, and its 32-bit value."""
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
     hashes = F.transform(words, lambda w: F.xxhash64(w))
 
@@ -40,11 +41,22 @@ def anchors(text: Column) -> Column:
         places = F.sequence(F.lit(1), F.size(s) - (K - S))
         at = lambda i: F.element_at(s, i.cast("int"))
         edge = lambda i: F.least(at(i), at(i + (K - S))) <= at(i + 1)
-        return F.transform(F.filter(places, edge), lambda i: F.xxhash64(at(i), at(i + (K - S))).bitwiseAND(F.lit(0xFFFFFFFF)))
+        value = lambda i: F.xxhash64(at(i), at(i + (K - S))).bitwiseAND(F.lit(0xFFFFFFFF))
+        return F.transform(F.filter(places, edge), lambda i: F.struct(i.cast("int").alias("place"), value(i).alias("anchor")))
+
+    none = F.array().cast("array<struct<place:int,anchor:bigint>>")
+    return _let(hashes, lambda h: _let(inner(h), lambda s: F.when(F.size(s) > K - S, selected(s)).otherwise(none)))
+
 
+def anchors(text: Column) -> Column:
+    """The sketch of a text: sorted distinct 32-bit anchor values."""
     alone = F.array(F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)))
-    found = _let(hashes, lambda h: _let(inner(h), lambda s: F.when(F.size(s) > K - S, selected(s)).otherwise(F.array().cast("array<bigint>"))))
-    return _let(found, lambda a: F.when(F.size(a) > 0, F.slice(F.sort_array(F.array_distinct(a)), 1, SKETCH)).otherwise(alone))
+
+    def kept(a: Column) -> Column:
+        whole = F.sort_array(F.array_distinct(F.transform(a, lambda p: p["anchor"])))
+        return whole if SKETCH is None else F.slice(whole, 1, SKETCH)
+
+    return _let(placed_anchors(text), lambda a: F.when(F.size(a) > 0, kept(a)).otherwise(alone))
 
 
 def written(sketch: Column) -> Column:
@@ -52,10 +64,12 @@ def written(sketch: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of common anchors among the smallest of the union of two sketches."""
+    """Share of common anchors in the union, among its smallest where sketches are cut."""
+    both = F.array_intersect(a, b)
+    if SKETCH is None:
+        return F.size(both) / (F.size(a) + F.size(b) - F.size(both))
     union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    common_ = F.size(F.array_intersect(F.array_intersect(a, b), union))
-    return common_ / F.size(union)
+    return F.size(F.array_intersect(both, union)) / F.size(union)
 
 
 def _longs(values: list[int | None]) -> str:
@@ -76,7 +90,7 @@ def range_number(doc_id: Column, cuts: list[int], block: int = 128) -> Column:
 
 
 def _with_next(docs: DataFrame, rows_a_range: int, max_ranges: int) -> DataFrame:
-    """Each row with the text and sketch of the next one by descending id.
+    """Each row with the text of the next one by descending id.
 
     Ids are cut into ranges of about ``rows_a_range`` rows (at most
     ``max_ranges`` cut points and range heads reach the driver; beyond them
@@ -103,8 +117,7 @@ def _with_next(docs: DataFrame, rows_a_range: int, max_ranges: int) -> DataFrame
     copies = placed.withColumn("_at", F.explode(F.when(is_head, F.array(own, closing)).otherwise(F.array(own))))
     copies = copies.withColumn("_range", F.col("_at._range")).withColumn("_closing", F.col("_at._closing")).drop("_at")
     order = Window.partitionBy("_range").orderBy("_closing", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
-    nxt = [F.lead(c).over(order).alias(f"next_{c}") for c in ("text", "sketch")]
-    return copies.select("*", *nxt).filter(~F.col("_closing")).drop("_closing", "_range")
+    return copies.withColumn("next_text", F.lead("text").over(order)).filter(~F.col("_closing")).drop("_closing", "_range")
 
 
 def fingerprints(
@@ -118,14 +131,14 @@ def fingerprints(
     no rows. Other columns are not read.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), common.whole(text).alias("text"))
-    rows = _with_next(rows.withColumn("sketch", anchors(F.col("text"))), rows_a_range, max_ranges)
+    rows = _with_next(rows, rows_a_range, max_ranges)
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     kept = (F.col("n_chars") - third).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), kept), F.substring("next_text", F.lit(1), third))
-    rows = rows.withColumn("edited", edited).drop("next_text", "text")
-    rows = rows.withColumn("edited_sketch", anchors(F.col("edited")))
-    return rows.select(
+    rows = rows.withColumn("edited", edited)
+    sketches = {"sketch": anchors(F.col("text")), "edited_sketch": anchors(F.col("edited")), "next_sketch": anchors(F.col("next_text"))}
+    return rows.withColumns(sketches).select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         written(F.col("sketch")).alias("fingerprint"), written(F.col("edited_sketch")).alias("edited_fingerprint"),
         likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
