@@ -5,7 +5,7 @@ from pyspark.sql import functions as F, types as T
 from scarpline.operators import cleaning, spatial, validation
 from scarpline.plans.registry import check_view, query
 from scarpline.plans.spatial_queries import points
-from scarpline.sources import catalog, geojson, incidents, rasters, relational, shared
+from scarpline.sources import catalog, collections, geojson, incidents, rasters, relational, shared
 from scarpline.sources.views import TABLES
 
 _ALL = ", ".join(validation.INCIDENT_COLUMNS)
@@ -47,6 +47,14 @@ def _(v):
     return geojson.read_points(v.spark, path, T.StructType([*_ORDINAL, T.StructField("landslide_id", T.StringType())]), collection=True)
 
 
+@query("geojson_range_scan", "S4", "points", "SELECT ordinal, landslide_id, longitude AS x, latitude AS y, 'Point' AS geometry_type FROM points")
+def _(v):
+    """Documents of up to 20,000 ordinals, each read by several tasks."""
+    path = shared.folder(v.spark, "ranges-geojson")
+    geojson.write_collections(points(v), ["ordinal", "landslide_id"], F.floor(F.col("ordinal") / 20_000), path)
+    return collections.read_collections(v.spark, path, T.StructType([*_ORDINAL, T.StructField("landslide_id", T.StringType())]), range_bytes=256 << 10)
+
+
 @query(
     "geojson_point_features", "S5", "points",
     """SELECT '{"type":"Feature","properties":{"ordinal":' || ordinal || ',"landslide_id":' || CASE WHEN landslide_id IS NULL THEN 'null' ELSE '"' || landslide_id || '"' END
