@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+FILE_ROWS = 500_000  # edges of a file of a round
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -113,7 +114,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has long columns ``a`` and ``b``. Alternating large-star and
     small-star rounds over joins and partial aggregates; each round is
-    checkpointed, nothing but a row count and a checksum reaches the driver.
+    checkpointed in as many files as its rows ask for, nothing but a row count
+    and a checksum reaches the driver.
     """
     links = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
@@ -121,6 +123,7 @@ def components(edges: DataFrame) -> DataFrame:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     before = state(links)
+    files = max(1, -(-before[0] // FILE_ROWS))  # a round has about as many edges as the first
     while before[0]:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lows = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -128,7 +131,7 @@ def components(edges: DataFrame) -> DataFrame:
         lows = large.groupBy("a").agg(F.min("b").alias("m"))
         met = large.join(lows, "a")
         small = met.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = cut(small.unionByName(lows.select("a", F.col("m").alias("b"))).distinct())
+        links = cut(small.unionByName(lows.select("a", F.col("m").alias("b"))).distinct().coalesce(files))
         after = state(links)
         if after == before:
             break

@@ -17,7 +17,8 @@ about 15 % of the bits, too far for exhaustive grid cells, and cells of sampled
 bits need hundreds of copies of a row for a high recall. Candidates are rows
 that share a band of ``BAND_ROWS`` minima of their shingle sets (the chance of a
 band is similarity ** BAND_ROWS; the expected recall is a parameter), and each
-one is verified on the whole sets before it becomes a link.
+one is verified on the whole sets before it becomes a link. Crowded bands are
+compared in blocks inside tasks, which return edges that span the groups.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ BLOCK = 100_000  # shingles hashed at a time
 GROUPS, GROUP_BITS = 8, 8
 LOW_BITS = 0x5555555555555555
 BAND_ROWS = 6  # minima of a band
+SET_BLOCK = 256  # shingle sets of one side of a comparison
+COLUMNS = 4_096  # shingles counted at a time
 CELL_BLOCK = 1_024  # fingerprints of one side of a comparison
 CELL_SHORT = 16  # fingerprints of a cell whose pairs are compared together with those of other cells
 
@@ -300,14 +303,74 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def shared_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Number of shared elements of every set of ``one`` with every set of ``two``."""
+    every = [*one, *two]
+    owner = np.repeat(np.arange(len(every)), [len(x) for x in every])
+    _, place, times = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+    met = times[place] > 1
+    owner, place = owner[met], place[met]
+    _, place = np.unique(place, return_inverse=True)
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    out = np.zeros((len(one), len(two)), dtype=np.int64)
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):  # a bounded stretch of elements at a time
+        start, end = np.searchsorted(place, [low, low + COLUMNS])
+        held = np.zeros((len(every), COLUMNS), dtype=np.float32)
+        held[owner[start:end], place[start:end] - low] = 1
+        out += (held[: len(one)] @ held[len(one) :].T).astype(np.int64)
+    return out
+
+
+def similar_sets(one: list[np.ndarray], two: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which sets reach the Jaccard similarity."""
+    both = shared_counts(one, two)
+    whole = np.array([len(x) for x in one])[:, None] + np.array([len(x) for x in two])[None, :] - both
+    return both / np.maximum(whole, 1) >= similarity
+
+
+def _links_in_cells(cells_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect exactly what pairs at the similarity within a cell connect. ``cells_``: key, id.
+
+    Sets meet in blocks of at most ``SET_BLOCK`` rows a side; every pair of a
+    cell is compared there on the whole sets, and each block gives at most one
+    edge per row.
+    """
+    sizes = cells_.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    parts = F.ceil(F.col("m") / SET_BLOCK)
+    dealt = cells_.join(sizes, "key").select("key", "id", F.pmod(F.xxhash64("id"), parts).alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("other"))
+    dealt = dealt.select("key", "id", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own")
+    full = dealt.join(sets, "id").select("key", "low", "high", "own", "id", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cuts in common.stretches(batches, ["key", "low", "high"]):
+            ids, own, low, high = (rows.column(c).to_numpy() for c in ("id", "own", "low", "high"))
+            packed = rows.column("shingles").combine_chunks()
+            found: list[tuple[int, int]] = []
+            for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                one, two = (np.flatnonzero(own[start:end] == side[start]) for side in (low, high))
+                if end - start < 2 or not len(one) or not len(two):
+                    continue
+                own_sets = [np.frombuffer(packed[i].as_buffer(), np.uint64) for i in range(start, end)]
+                near = np.zeros((end - start, end - start), dtype=bool)
+                near[np.ix_(one, two)] = similar_sets([own_sets[i] for i in one], [own_sets[i] for i in two], similarity)
+                label = common.spanning(near | near.T)
+                found += [(int(ids[start + label[i]]), int(ids[start + i])) for i in np.flatnonzero(label != np.arange(end - start))]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    keys = ["key", "low", "high"]
+    return full.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def near_links(docs: DataFrame, k: int, similarity: float, recall: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Links (a, b) among ids: their components are those of all pairs at the similarity.
 
-    Equal shingle sets are collapsed to the smallest id. Every pair of the
-    others that shares a band is a candidate, and every link but those of
-    equal sets is verified on the whole sets. Candidates that verified links
-    already connect need no verification: first each row meets the leader it
-    shares most bands with, then rows of different components meet.
+    Equal shingle sets are collapsed to the smallest id. First each row meets
+    the leader it shares most bands with. Bands whose rows these verified links
+    do not connect are then compared whole, every pair on the whole sets, in
+    blocks. Ids must be distinct (an id with two texts would be one node); rows
+    without an id are left out, NULL text is empty, and texts without words
+    are equal to each other.
     """
     rows = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
     signed = common.stored(_signed_rows(rows, k, band_count(similarity, recall)))
@@ -325,14 +388,9 @@ def near_links(docs: DataFrame, k: int, similarity: float, recall: float, doc_id
     links = common.cut(equal.unionByName(verified(led.select("a", "b"), sets, similarity)))
 
     known = common.components(links).withColumnRenamed("component", "part")
-    parts = met.select("key", "id", "n").join(known, "id", "left").select("key", "id", "n", F.coalesce("part", "id").alias("part"))
-    parts = common.stored(parts)
-    held = parts.select("key", "part").distinct()
-    apart = held.withColumnRenamed("part", "part_a").join(held.withColumnRenamed("part", "part_b"), "key").filter("part_a < part_b")
-    one, two = (parts.select("key", F.col("part").alias(f"part_{c}"), F.col("id").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
-    pairs = apart.join(one, ["key", "part_a"]).join(two, ["key", "part_b"])
-    pairs = pairs.filter(F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= similarity).select("a", "b").distinct()
-    return links.unionByName(verified(pairs, sets, similarity))
+    parts = common.stored(met.select("key", "id").join(known, "id", "left").select("key", "id", F.coalesce("part", "id").alias("part")))
+    apart = parts.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least <> most").select("key")
+    return links.unionByName(_links_in_cells(parts.join(apart, "key").select("key", "id"), sets, similarity))
 
 
 def drop_near_duplicates(
@@ -341,10 +399,19 @@ def drop_near_duplicates(
     """Keep the row with the smallest id of every near-duplicate group.
 
     Groups are the components of the pairs with that Jaccard similarity of
-    shingle sets. Rows with a NULL id are kept; of rows that repeat an id one
-    is kept only if all are alike in id (they are one group); columns pass
+    shingle sets. Rows are told apart by a stored number, so of rows that
+    repeat an id each belongs to the group of its own text, and of equal ids
+    in a group one stays. Rows with a NULL id are kept. NULL text is empty;
+    texts without words are one group. No rows give no rows; columns pass
     unchanged.
     """
-    groups = common.components(near_links(docs, k, similarity, recall, doc_id, text))
-    gone = groups.filter("id <> component").select(F.col("id").alias(doc_id))
-    return docs.join(gone, doc_id, "left_anti")
+    number = "_row"
+    while number in docs.columns:
+        number += "_"
+    rows = common.stored(docs.withColumn(number, F.monotonically_increasing_id()))
+    known = rows.filter(F.col(doc_id).isNotNull())
+    groups = common.components(near_links(known, k, similarity, recall, number, text))
+    placed = groups.join(known.select(F.col(number).alias("id"), F.col(doc_id).alias("doc")), "id")
+    first = placed.groupBy("component").agg(F.min(F.struct("doc", "id")).alias("first"))
+    gone = placed.join(first, "component").filter("id <> first.id").select(F.col("id").alias(number))
+    return rows.join(gone, number, "left_anti").drop(number)

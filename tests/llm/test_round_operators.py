@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scarpline.llm import block_trie, cube_divergence, pivot_index, queries
 
@@ -295,3 +296,165 @@ def test_rows_without_ids_link_others(spark):
         simhash_grid.fingerprints = whole
     assert out[(1, "0" * 16)] == out[(2, "00000000000000ff")] == out[(None, "000000000000000f")] == 1
     assert [v for k, v in out.items() if k[1].startswith("00fff1")] == [None]
+
+
+# Near-duplicate groups in crowded bands
+
+
+def shingle_jaccard(a, b, k=5):
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+
+    x, y = shingles(a), shingles(b)
+    return 1.0 if x == y else len(x & y) / max(len(x | y), 1)
+
+
+@pytest.mark.parametrize("block,columns,parts", [(256, 4096, 3), (16, 64, 1), (24, 1000, 17)])
+def test_crowded_bands_equal_brute_force(spark, monkeypatch, block, columns, parts):
+    """A hot group of edited copies most of whose pairs are below the similarity, with chains and repeated ids."""
+    from scarpline.llm import simhash_grid
+
+    monkeypatch.setattr(simhash_grid, "SET_BLOCK", block)
+    monkeypatch.setattr(simhash_grid, "COLUMNS", columns)
+    draw = np.random.default_rng(parts)
+    base = [f"w{i}" for i in draw.integers(0, 500, 150)]
+
+    def edited(n):
+        out = list(base)
+        for at in draw.choice(150, n, replace=False):
+            out[at] = f"x{draw.integers(10**6)}"
+        return " ".join(out)
+
+    texts = [edited(int(draw.integers(1, 7))) for _ in range(90)] + [" ".join(base)]
+    chain = [f"c{i}" for i in range(100)]
+    for i in range(12):
+        chain[i * 8] = f"y{i}"
+        texts.append(" ".join(chain))
+    texts += ["", None, "a b", "A  b", "other text of some six words", " "]
+    rows = [(int(i), t) for i, t in enumerate(texts)] + [(3, "a text of its own under an id that repeats"), (None, texts[0]), (3, texts[3])]
+    order = draw.permutation(len(rows))
+    df = spark.createDataFrame([(*rows[i], 1) for i in order], "doc_id long, text string, _row int").repartition(parts)
+    kept = Counter((r["doc_id"], r["text"], r["_row"]) for r in simhash_grid.drop_near_duplicates(df, similarity=0.8).collect())
+
+    known = [r for r in rows if r[0] is not None]
+    part = list(range(len(known)))
+
+    def top(i):
+        while part[i] != i:
+            i = part[i]
+        return i
+
+    for i in range(len(known)):
+        for j in range(i):
+            if shingle_jaccard(known[i][1] or "", known[j][1] or "") >= 0.8 and top(i) != top(j):
+                part[max(top(i), top(j))] = min(top(i), top(j))
+    groups = {}
+    for i, r in enumerate(known):
+        groups.setdefault(top(i), []).append(r)
+    assert Counter(r[0] for r in kept.elements()) == Counter([min(r[0] for r in g) for g in groups.values()] + [None])
+    for r in kept.elements():
+        assert r[0] is None or any((r[0], r[1]) in g for g in groups.values())
+
+
+def test_shared_counts():
+    from scarpline.llm import simhash_grid
+
+    draw = np.random.default_rng(0)
+    sets = [np.unique(draw.integers(0, 300, int(n)).astype(np.uint64)) for n in (0, 1, 50, 200, 120)]
+    out = simhash_grid.shared_counts(sets, sets[1:])
+    assert out.tolist() == [[len(np.intersect1d(a, b)) for b in sets[1:]] for a in sets]
+
+
+# Benchmark tiles: short items, repeated ids, common seeds
+
+
+def test_short_items_and_repeated_ids(spark):
+    from scarpline.llm import tiling
+
+    docs = [(1, "say one two three here"), (5, "the whole BENCHMARK passage of seven words"), (5, "a clean text"), (None, "one  TWO, three"), (7, "one two"), (8, None), (9, "three")]
+    items = [(10, "one two three"), (11, "the whole benchmark passage of seven words"), (12, "One two three!"), (None, "one two three"), (13, ""), (14, None), (15, "three")]
+    df = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, q int, item_id int")
+    bench = spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, doc_id int")
+    found = Counter((r["doc_id"], r["item_id"], r["n_words"], r["n_covered"]) for r in tiling.overlaps(df, bench, block_items=2).collect())
+    expected = Counter({(d, i, 3, 3): 1 for d in (1, None) for i in (10, 12, None)} | {(5, 11, 7, 7): 1} | {(d, 15, 1, 1): 1 for d in (1, None, 9)})
+    assert found == expected
+    kept = Counter(map(tuple, tiling.decontaminate(df, bench, block_items=2).collect()))
+    assert kept == Counter([(5, "a clean text", 1, 2), (7, "one two", 1, 2), (8, None, 1, 2)])
+    assert tiling.decontaminate(df, bench.limit(0)).count() == len(docs) and tiling.decontaminate(df.limit(0), bench).count() == 0
+
+
+def test_common_seeds_cost_no_pairs():
+    """A text that repeats a phrase which thousands of items begin with; and the same rows as without the early test."""
+    import time
+
+    from scarpline.llm import tiling
+
+    draw = np.random.default_rng(1)
+    phrase = "at the end of the"
+    items = tiling.Items([(i, (phrase + " " + " ".join(f"w{x}" for x in draw.integers(0, 10**6, 15))).encode()) for i in range(5000)] + [(5000, f"{phrase} {phrase} q r s".encode())])
+    text = " ".join([phrase] * 600).encode()
+    start = time.perf_counter()
+    found = list(items.matches(text, 0.5))
+    assert time.perf_counter() - start < 1.5
+    assert [(i, covered) for i, covered, _ in found if covered >= 0.5 * len(items.words[i])] == [(5000, 10)]
+
+
+def test_early_test_changes_nothing(monkeypatch):
+    from scarpline.llm import tiling
+
+    draw = np.random.default_rng(2)
+    items = tiling.Items([(i, " ".join(f"v{x}" for x in draw.integers(0, 4, int(draw.integers(1, 30)))).encode()) for i in range(60)])
+    for _ in range(40):
+        text = " ".join(f"v{x}" for x in draw.integers(0, 5, int(draw.integers(0, 200)))).encode()
+        out = []
+        for many in (0, 10**9):
+            monkeypatch.setattr(tiling, "MANY_PAIRS", many)
+            out.append(sorted(m for m in items.matches(text, 0.6) if m[1] >= 0.6 * len(items.words[m[0]])))
+        assert out[0] == out[1]
+
+
+# Syncmer fingerprints of whole texts
+
+
+def plain_anchors(text):
+    """(place, anchor) by the definition: the smallest inner pair of words lies at an edge of the four."""
+    import struct
+
+    import xxhash
+
+    pair = lambda a, b: signed(xxhash.xxh64_intdigest(struct.pack("<q", b), signed(xxhash.xxh64_intdigest(struct.pack("<q", a), 42)) & (2**64 - 1)))
+
+    def signed(x):
+        return x - 2**64 if x >= 2**63 else x
+
+    h = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.split(r"[ \t-\r]+", text) if w]
+    inner = [pair(a, b) for a, b in zip(h, h[1:])]
+    out = []
+    for i in range(len(inner) - 2):
+        three = inner[i : i + 3]
+        if min(three[0], three[2]) <= three[1]:
+            out.append((i + 1, pair(three[0], three[2]) & 0xFFFFFFFF))
+    return out
+
+
+def test_all_anchors_and_exact_likeness(spark):
+    from scarpline.llm import syncmers
+
+    draw = np.random.default_rng(3)
+    word = lambda n: " ".join(f"w{x}" for x in draw.integers(0, 3000, n))
+    rows = [(5, word(20_000)), (4, word(300)), (3, "one two three"), (2, None), (1, word(90) + "\t é\n" + word(30)), (0, word(90))]
+    rows[1] = (4, rows[0][1][: len(rows[0][1]) // 2])
+    out = {r["doc_id"]: r for r in syncmers.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), rows_a_range=2).collect()}
+    sets = {}
+    for d, text in rows:
+        found = {a for _, a in plain_anchors(text or "")}
+        ours = [int(out[d]["fingerprint"][i : i + 8], 16) for i in range(0, len(out[d]["fingerprint"]), 8)]
+        assert ours == sorted(found) if found else len(ours) == 1
+        sets[d] = set(ours)
+    for d, nxt in zip((5, 4, 3, 2, 1, 0), (4, 3, 2, 1, 0, 5)):
+        assert out[d]["near_next"] == pytest.approx(len(sets[d] & sets[nxt]) / len(sets[d] | sets[nxt]))
+    assert 0.4 < out[5]["near_next"] < 0.6 and len(sets[5]) > 9000
+    df = spark.createDataFrame([(rows[0][1],)], "text string")
+    placed = df.select(syncmers.placed_anchors(F.col("text")).alias("p")).first()["p"]
+    assert [(p["place"], p["anchor"]) for p in placed] == plain_anchors(rows[0][1])
