@@ -408,7 +408,7 @@ def drop_near_duplicates(
     number = "_row"
     while number in docs.columns:
         number += "_"
-    rows = common.stored(docs.withColumn(number, F.monotonically_increasing_id()))
+    rows = common.stored(docs.withColumn(number, F.monotonically_increasing_id()), "zstd")
     known = rows.filter(F.col(doc_id).isNotNull())
     groups = common.components(near_links(known, k, similarity, recall, number, text))
     placed = groups.join(known.select(F.col(number).alias("id"), F.col(doc_id).alias("doc")), "id")
