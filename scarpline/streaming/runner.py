@@ -14,11 +14,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 def read_table_stream(
     spark: SparkSession, folder: str, name: str, schema: T.StructType, max_files: int | None = None
 ) -> DataFrame:
-    """A parquet table as a stream; ``max_files`` bounds each micro-batch."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*")
+    """A parquet table as a stream: one file, a folder of part files, or several files whose names begin with ``name``.
+
+    ``max_files`` bounds each micro-batch.
+    """
+    reader = spark.readStream.schema(schema)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(folder)
+    return reader.parquet(f"{folder}/{name}*")
 
 
 def run_append(stream: DataFrame, path: str, trigger: dict | None = None) -> DataFrame:

@@ -71,6 +71,18 @@ def test_event_buffer_over_batches(spark):
     assert streamed == batch
 
 
+def test_tables_of_one_file_and_of_part_files_are_streams(spark, tmp_path):
+    df = spark.range(90).select("id", (F.col("id") % 7).alias("k"))
+    df.repartition(3).write.parquet(str(tmp_path / "parts" / "t.parquet"))
+    df.limit(1).write.parquet(str(tmp_path / "parts" / "other.parquet"))
+    (tmp_path / "single").mkdir()
+    df.toPandas().to_parquet(tmp_path / "single" / "t.parquet")
+    for kind in ("parts", "single"):
+        stream = runner.read_table_stream(spark, str(tmp_path / kind), "t.parquet", df.schema, max_files=1)
+        out = runner.run_append(stream, shared.folder(spark, "tables"))
+        assert sorted(map(tuple, out.collect())) == [(i, i % 7) for i in range(90)]
+
+
 def test_drift_over_batches(spark):
     df = spark.range(300 * 8).select(
         F.floor(F.col("id") / 8).alias("sample_id"), (F.col("id") % 2).cast("int").alias("band"), (F.col("id") % 8).cast("int").alias("pos"),
