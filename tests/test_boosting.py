@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scarpline.operators import boosting
+from scarpline.sources import shared
 
 FEATURES = ["a", "b", "c"]
 
@@ -84,6 +85,30 @@ def test_fewer_rounds_are_the_beginning(data, spark, tmp_path):
     assert all(abs(sum(r["class_probability"]) - 1) < 1e-9 and r["predicted"] in "uvw" for r in scored) and len(scored) == 1503
 
 
+def test_rows_are_stored_in_blocks(data, monkeypatch):
+    stored = []
+
+    def store(df, purpose):
+        stored.append(shared.store(df, purpose))
+        return stored[-1]
+
+    monkeypatch.setattr(boosting, "shared", type("Spy", (), {"store": staticmethod(store)}))
+    boosting.train(data, FEATURES, F.col("y"), ("u", "v", "w"), [boosting.Setting(2, 0.3)], 1)
+    assert stored[0].count() <= data.rdd.getNumPartitions() + data.sparkSession.sparkContext.defaultParallelism
+
+
+def test_leaves_equal_a_walk_of_each_row():
+    draw = np.random.default_rng(5)
+    x = draw.integers(0, boosting.BINS, (200, 4)).astype(np.uint8)
+    tree = boosting.Tree(draw.integers(0, 4, 7), draw.choice([3, 10, 20, 255], 7), np.zeros(8))
+    for depth in range(4):
+        for row, place in zip(x, tree.leaves(x, depth), strict=True):
+            at = 0
+            for _ in range(depth):
+                at = 2 * at + 1 + int(row[tree.feature[at]] > tree.cut[at])
+            assert place == at - (2**depth - 1)
+
+
 def test_nothing_to_split():
     feature, cut, one, two = boosting.best_splits(np.zeros((2, 3, boosting.BINS, 2)))
     assert cut.tolist() == [255, 255] and not one.any() and not two.any()
