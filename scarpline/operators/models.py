@@ -15,6 +15,7 @@ from scarpline.operators.preparation import FEATURES, LABELS, SEED, TARGET
 
 # Training settings.
 FOREST_TREES = 100
+TASK_ROWS = 250_000  # training rows of a task of a forest, each held with its weight in every tree
 BOOST_ROUNDS, BOOST_DEPTH, BOOST_RATE = 100, 3, 0.1
 FOLDS = 3
 GRID = {"maxIter": (50, 100), "maxDepth": (2, 3), "stepSize": (0.05, 0.1)}
@@ -54,7 +55,7 @@ def balanced_weights(df: DataFrame, label: str = TARGET) -> DataFrame:
     totals = counts.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_k"))
     per_class = counts.join(F.broadcast(totals), how="inner")
     weights = per_class.select(label, (F.col("_all").cast("double") / (F.col("_k") * F.col("_n")).cast("double")).alias("weight"))
-    return df.join(weights, label)
+    return df.join(F.broadcast(weights), label)
 
 
 def _assembler(output: str = "features") -> VectorAssembler:
@@ -71,7 +72,8 @@ def train_forest(train: DataFrame, trees: int = FOREST_TREES, seed: int = SEED)
         RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, seed=seed, weightCol="weight"),
         IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels),
     ]
-    return Pipeline(stages=stages).fit(balanced_weights(train))
+    tasks = max(train.sparkSession.sparkContext.defaultParallelism, -(-train.count() // TASK_ROWS))
+    return Pipeline(stages=stages).fit(balanced_weights(train.select(TARGET, *FEATURES)).repartition(tasks))
 
 
 def train_boosted(

@@ -49,3 +49,31 @@ def test_report_handles_absent_classes(spark):
     df = spark.createDataFrame([("LOW", "LOW"), ("LOW", "MEDIUM")], "actual string, predicted string")
     out = {r["row"]: r for r in models.report(df).collect()}
     assert (out["LOW"]["precision"], out["LOW"]["recall"], out["HIGH"]["f1"], out["accuracy"]["f1"]) == (1.0, 0.5, 0.0, 0.5)
+
+
+def test_weights_join_keeps_the_rows_of_a_label_apart(spark, rows):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        weighted = models.balanced_weights(rows)
+        plan = weighted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastHashJoin" in plan
+    assert weighted.count() == rows.count()
+
+
+def test_forest_rows_are_dealt_by_their_number(rows, monkeypatch):
+    seen = []
+
+    class Spy:
+        def __init__(self, stages):
+            pass
+
+        def fit(self, df):
+            seen.append(df.rdd.getNumPartitions())
+
+    monkeypatch.setattr(models, "Pipeline", Spy)
+    monkeypatch.setattr(models, "TASK_ROWS", 20, raising=False)
+    models.train_forest(rows)
+    assert seen == [-(-rows.count() // 20)]
