@@ -128,10 +128,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 whole = f.size()
                 data = f.read_at(length, start)
                 found, open_ = features(data, state, depth, length)
-                while open_ is not None and start + len(data) < whole:  # the last feature goes on in later ranges
-                    data += f.read_at(min(more, whole - start - len(data)), start + len(data))
-                    more *= 2
-                    found, open_ = features(data, state, depth, length)
+                tail, at = data[open_:] if open_ is not None else b"", start + len(data)
+                while open_ is not None and at < whole:  # the last feature goes on in later ranges
+                    tail += f.read_at(min(more, whole - at), at)
+                    at, more = min(at + more, whole), more * 2
+                    last, open_ = features(tail, OUT, FEATURE_DEPTH, 1)
+                    found += last
             yield pa.RecordBatch.from_arrays([pa.array([t.decode("utf-8", "replace") for t in found], pa.string())], names=["value"])
 
 
@@ -141,10 +143,12 @@ def feature_texts(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
     starts = F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(range_bytes).cast("bigint"))
     ranges = files.filter("length > 0").select("path", "length", F.explode(starts).alias("start"))
     ranges = ranges.select("path", "start", F.least("length", F.col("start") + range_bytes).alias("end"))
-    spread = ranges.repartition("path", "start")
-    told = spread.mapInPandas(_summaries, "path string, start bigint, end bigint, s0 int, d0 bigint, s1 int, d1 bigint, s2 int, d2 bigint")
+    number, total = files.agg(F.coalesce(F.sum(F.ceil(F.col("length") / range_bytes)), F.lit(0)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    # a given number of tasks is kept, while rows of three numbers dealt by key would be put together into one task
+    tasks = max(1, min(int(number), max(spark.sparkContext.defaultParallelism, -(-int(total) // RANGE_BYTES))))
+    told = ranges.repartition(tasks).mapInPandas(_summaries, "path string, start bigint, end bigint, s0 int, d0 bigint, s1 int, d1 bigint, s2 int, d2 bigint")
     known = told.groupBy("path").applyInPandas(_chained, "path string, start bigint, end bigint, state int, depth bigint")
-    return known.repartition("path", "start").select("path", "start", "end", "state", "depth").mapInArrow(_cut, "value string")
+    return known.repartition(tasks).select("path", "start", "end", "state", "depth").mapInArrow(_cut, "value string")
 
 
 def read_collections(spark: SparkSession, path: str, properties: T.StructType, range_bytes: int = RANGE_BYTES) -> DataFrame:

@@ -52,3 +52,12 @@ def test_reads_equal_the_line_form(spark, tmp_path):
     for size in (500, 1 << 20):
         out = collections.read_collections(spark, str(tmp_path), properties, size).collect()
         assert {tuple(r) for r in out} == expected and len(out) == 341
+
+
+def test_ranges_are_dealt_over_many_tasks(spark, tmp_path):
+    text, rows = document(random.Random(3), 400)
+    (tmp_path / "one.geojson").write_text(text)
+    cores = spark.sparkContext.defaultParallelism
+    out = collections.feature_texts(spark, str(tmp_path), len(text) // (2 * cores))
+    assert out.rdd.getNumPartitions() >= cores
+    assert sorted(json.loads(r["value"])["properties"]["id"] for r in out.collect() if '"Feature"' in r["value"]) == list(range(400))
