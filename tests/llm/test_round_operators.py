@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scarpline.llm import block_trie, cube_divergence, pivot_index, queries
+from scarpline.llm import block_trie, cube_divergence, pivot_index, queries, suffix_tree_lm
 
 # Conversation trie
 
@@ -458,3 +458,20 @@ def test_all_anchors_and_exact_likeness(spark):
     df = spark.createDataFrame([(rows[0][1],)], "text string")
     placed = df.select(syncmers.placed_anchors(F.col("text")).alias("p")).first()["p"]
     assert [(p["place"], p["anchor"]) for p in placed] == plain_anchors(rows[0][1])
+
+
+def test_trees_of_more_states_keep_every_context(spark, monkeypatch):
+    from itertools import product
+
+    tokens = ["".join(w).encode() for w in product(["ba", "tion", "kel", "mo", "zu"], repeat=4)] + ["é".encode(), b"new"]
+    words = spark.createDataFrame([(t, i % 3, 1 + i % 3) for i, t in enumerate(tokens)], "token binary, c bigint, n bigint")
+    of_class = suffix_tree_lm.class_totals(words)
+    got = []
+    for states in (40_000, 3):
+        monkeypatch.setattr(suffix_tree_lm, "STATES", states)
+        tree = suffix_tree_lm.grow(suffix_tree_lm.count_grams(words.filter("c > 0")))
+        got.append({bytes(r["token"]): r["s"] for r in suffix_tree_lm.spelled(words, tree, [], of_class).collect()})
+        if states == 40_000:
+            assert sum(len(c[0]) for c in tree.contexts[1:]) > 3
+    assert got[0].keys() == got[1].keys() == set(tokens)
+    assert all(abs(got[0][t] - got[1][t]) < 1e-9 for t in tokens)
