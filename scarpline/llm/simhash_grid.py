@@ -13,12 +13,15 @@ Equal fingerprints are collapsed before. A cell gives edges that span its
 groups, so no two fingerprints that links connect come apart.
 
 Similarity search (``near_links``): near-duplicates at similarity 0.8 differ in
-about 15 % of the bits, too far for exhaustive grid cells, and cells of sampled
-bits need hundreds of copies of a row for a high recall. Candidates are rows
-that share a band of ``BAND_ROWS`` minima of their shingle sets (the chance of a
-band is similarity ** BAND_ROWS; the expected recall is a parameter), and each
-one is verified on the whole sets before it becomes a link. Crowded bands are
-compared in blocks inside tasks, which return edges that span the groups.
+about 15 % of the bits, too far for cells that lose nothing. Fingerprints of
+shingle sets are as wide as their grid asks for: a grid table is
+``table_segments`` two-bit segments of its own, a cell their counts, and there
+are as many tables as an expected recall (a parameter) needs. Rows of a cell
+pass the Manhattan bound of ``REACH_WORDS`` words of counts, then the exact
+Hamming distance, and are then verified on the whole shingle sets. Each row is
+verified with one neighbour first; rows with several neighbours meet a second
+time in the grid, where only pairs that these links leave apart are looked for,
+and are compared in blocks, which return edges that span the groups.
 """
 
 from __future__ import annotations
@@ -38,7 +41,14 @@ SEED = 42
 BLOCK = 100_000  # shingles hashed at a time
 GROUPS, GROUP_BITS = 8, 8
 LOW_BITS = 0x5555555555555555
-BAND_ROWS = 6  # minima of a band
+TABLE_SEGMENTS = 6  # segments of a table of the similarity search, at least
+CROWD = 40_000  # unrelated rows that share a cell of a table with a row, on average and at most
+TINY = 16  # sets of fewer shingles get further tables
+TIES, TINY_TIES = 1.05, 1.24  # how far the share of differing bits exceeds the angle, as even votes count as 0
+SPREAD = 4.5  # standard deviations that a distance may exceed its expectation
+REACH_WORDS, EARLY_WORDS = 4, 2  # words compared, and those first compared alone
+NEAR_BLOCK = 65_536  # fingerprints of one side of a cell of the similarity search
+TILE = 512  # fingerprints of one side of a comparison inside a cell
 SET_BLOCK = 256  # shingle sets of one side of a comparison
 COLUMNS = 4_096  # shingles counted at a time
 CELL_BLOCK = 1_024  # fingerprints of one side of a comparison
@@ -143,8 +153,8 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(np.uint64)).astype(np.int64)
 
 
-def _near(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
-    """Whether fingerprints are within the radius: first the distance of their bit counts, then the exact one."""
+def _count_distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Manhattan distance of the bit counts of two-bit segments."""
     low = np.uint64(LOW_BITS)
 
     def counts(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +163,12 @@ def _near(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
 
     (a1, a2), (b1, b2) = counts(x), counts(y)
     odd, even = a1 ^ b1, (a2 ^ b2) & ~(a1 ^ b1)  # segments whose counts differ by one, by two
-    out = _popcount(odd) + 2 * _popcount(even & low) <= radius
+    return _popcount(odd) + 2 * _popcount(even & low)
+
+
+def _near(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
+    """Whether fingerprints are within the radius: first the distance of their bit counts, then the exact one."""
+    out = _count_distance(x, y) <= radius
     return out & (_popcount(x ^ y) <= radius)
 
 
@@ -226,9 +241,27 @@ def classes(docs: DataFrame, k: int = 4, radius: int = 4, doc_id: str = "doc_id"
 # Near-duplicates by similarity
 
 
-def band_count(similarity: float, recall: float) -> int:
-    """Bands of BAND_ROWS minima for an expected recall at exactly the similarity."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**BAND_ROWS))
+def differing(similarity: float, ties: float) -> float:
+    """Largest expected share of differing bits of two sets at the similarity: equal sizes, widened by ``ties``."""
+    return ties * math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def table_segments(rows: int) -> int:
+    """Segments of a table; unrelated counts of a segment agree in 3 of 8 cases."""
+    return max(TABLE_SEGMENTS, math.ceil(math.log(max(rows, 1) / CROWD) / math.log(8 / 3)))
+
+
+def word_count(similarity: float, recall: float, segments: int, ties: float) -> int:
+    """Fingerprint words whose tables have the expected recall at exactly the similarity."""
+    p = differing(similarity, ties)
+    agree = ((1 - p) ** 2 + p * p / 2) ** segments  # a segment: no bit differs, or both do and change places
+    return max(REACH_WORDS, math.ceil(math.log(1 - recall) / math.log(1 - agree) / (32 // segments)))
+
+
+def reach(similarity: float, words: int) -> int:
+    """Bits that fingerprints of ``words`` words at the similarity may differ in."""
+    n, p = 64 * words, differing(similarity, TINY_TIES)
+    return math.ceil(n * p + SPREAD * math.sqrt(n * p * (1 - p)))
 
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
@@ -237,70 +270,163 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
 
 
-def band_keys(shingles: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
-    """One key for each band of minima of a shingle set; none for the empty set."""
-    if not len(shingles):
-        return np.empty(0, np.int64)
-    least = np.full(len(factors), 2**64 - 1, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(shingles), 2048):
-            part = shingles[at : at + 2048, None] * factors + shifts
-            np.minimum(least, part.min(axis=0), out=least)
-        key = np.arange(len(factors) // BAND_ROWS, dtype=np.uint64)
-        for column in least.reshape(-1, BAND_ROWS).T:
-            key = _mixed(key ^ column, 1)
-    return key.view(np.int64)
+def set_fingerprint(shingles: np.ndarray, words: int) -> np.ndarray:
+    """``words`` words of a set's fingerprint; a bit is set where over half the shingle hashes set it."""
+    counts = np.zeros(64 * words, dtype=np.int64)
+    for at in range(0, len(shingles), 255):  # counts of a stretch fit a byte, eight are added at once
+        with np.errstate(over="ignore"):
+            z = shingles[at : at + 255, None] + np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            z ^= z >> np.uint64(31)
+        bits = np.unpackbits(z.view(np.uint8), axis=1, bitorder="little")
+        counts += bits.view(np.uint64).sum(axis=0, dtype=np.uint64).view(np.uint8)
+    return np.packbits(2 * counts > len(shingles), bitorder="little").view(np.uint64)
 
 
-def _signed_rows(rows: DataFrame, k: int, bands: int) -> DataFrame:
-    """(id, digest, n, keys): digest and size of the shingle set, band keys. ``rows``: id, text."""
-    draw = np.random.default_rng(SEED)
-    factors, shifts = (draw.integers(0, 2**64, bands * BAND_ROWS, dtype=np.uint64) for _ in range(2))
-    factors |= np.uint64(1)
+def _signed_rows(rows: DataFrame, k: int, words: int, tiny_words: int) -> DataFrame:
+    """(id, digest, n, fp): digest, size and fingerprint of the shingle set. ``rows``: id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 (batch, texts), = common.text_rows([whole.slice(at, 500)])
-                digests, sizes, keys = [], [], []
+                digests, sizes, fps = [], [], []
                 for text in texts:
                     own = shingle_set(text, k)
                     digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                     sizes.append(len(own))
-                    keys.append(band_keys(own, factors, shifts))
-                arrays = [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "digest", "n", "keys"])
+                    fps.append(set_fingerprint(own, tiny_words if len(own) < TINY else words).view(np.int64))
+                arrays = [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "digest", "n", "fp"])
 
-    return rows.mapInArrow(run, "id bigint, digest binary, n bigint, keys array<bigint>")
+    return rows.mapInArrow(run, "id bigint, digest binary, n bigint, fp array<bigint>")
 
 
-def _sets(rows: DataFrame, k: int) -> DataFrame:
-    """(id, shingles): the packed shingle set. ``rows``: id, text."""
+def table_cells(fp: Column, segments: int) -> Column:
+    """The cells of a wide fingerprint: the counts of ``segments`` segments, one cell for each such stretch of a word."""
+    masks = [F.lit(_signed(((1 << 2 * segments) - 1) << 2 * segments * t)) for t in range(32 // segments)]
+    return F.flatten(F.transform(fp, lambda w, i: F.array(*[F.xxhash64(i, F.lit(t), segment_counts(w).bitwiseAND(m)) for t, m in enumerate(masks)])))
+
+
+def _met_in_cells(fps: DataFrame, segments: int, others: list[str]) -> DataFrame:
+    """Rows of each cell together, sorted by ``others``: (key, side, id, others, words). ``fps``: id, fp, others.
+
+    Cells of more than ``NEAR_BLOCK`` rows are dealt as pairs of blocks: side 0
+    meets side 1; side 2 is both. Their number is bounded by the cells of a table.
+    """
+    words = [F.col("fp")[i].alias(f"w{i}") for i in range(REACH_WORDS)]
+    placed = fps.select("id", *(c for c in others if c != "id"), *words, F.explode(table_cells(F.col("fp"), segments)).alias("cell"))
+    sizes = fps.select(F.explode(table_cells(F.col("fp"), segments)).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
+    large = common.stored(sizes.filter(F.col("m") > NEAR_BLOCK))
+    parts = F.ceil(F.coalesce("m", F.lit(1)) / NEAR_BLOCK)
+    own, other = F.col("own"), F.col("other")
+    dealt = placed.join(F.broadcast(large), "cell", "left").withColumn("own", F.pmod(F.xxhash64("id"), parts))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    key = F.when(F.col("m").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.least(own, other), F.greatest(own, other)))
+    side = F.when(own == other, 2).when(own < other, 0).otherwise(1)
+    keep = ["id", *(c for c in others if c != "id"), *(f"w{i}" for i in range(REACH_WORDS))]
+    return dealt.select(key.alias("key"), side.alias("side"), *keep).repartition("key").sortWithinPartitions("key", *others)
+
+
+def near_pairs(words: list[np.ndarray], x: np.ndarray, y: np.ndarray, early: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j), in order, of different rows ``x[i]``, ``y[j]`` within the radius.
+
+    Few words alone tell most rows apart; of the others first the distance of
+    the segment counts, which is never more, and then the exact one is taken.
+    """
+    i, j = np.nonzero(np.bitwise_count(words[0][x][:, None] ^ words[0][y][None, :]) <= early)
+    for w in words[1:EARLY_WORDS]:
+        near = np.bitwise_count(w[x[i]] ^ w[y[j]]) <= early
+        i, j = i[near], j[near]
+    near = x[i] != y[j]
+    i, j = i[near], j[near]
+    for distance in (_count_distance, lambda a, b: _popcount(a ^ b)):
+        near = sum((distance(w[x[i]], w[y[j]]) for w in words), np.zeros(len(i), np.int64)) <= radius
+        i, j = i[near], j[near]
+    return i, j
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                (batch, texts), = common.text_rows([whole.slice(at, 500)])
-                packed = pa.array([shingle_set(t, k).tobytes() for t in texts], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["id", "shingles"])
 
-    return rows.mapInArrow(run, "id bigint, shingles binary")
+def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.flatnonzero(side != 1), np.flatnonzero(side != 0)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach the similarity. ``sets``: id, shingles."""
+def neighbours(fps: DataFrame, segments: int, early: int, radius: int) -> DataFrame:
+    """(id, lead, several) of every row with a neighbour: another row of a cell within the radius.
+
+    The lead is the smallest neighbour in most tables; ``several``: there is
+    another one. A row is compared until it has two in a cell, so a
+    crowd of near rows is not compared pair by pair.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                one, two = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                near.append(both / max(len(one) + len(two) - both, 1) >= similarity)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+        for rows, cuts in common.stretches(batches, ["key"]):
+            ids, side = rows.column("id").to_numpy(), rows.column("side").to_numpy()
+            words = [rows.column(f"w{i}").to_numpy().view(np.uint64) for i in range(REACH_WORDS)]
+            out = [np.empty((3, 0), dtype=np.int64)]
+            for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if end - start < 2:
+                    continue
+                one, two = _sides(side[start:end])
+                for x, y in [(one, two)] if len(one) == len(two) == end - start else [(one, two), (two, one)]:
+                    x, y = x + start, y + start
+                    for at in range(0, len(x), TILE):
+                        part = x[at : at + TILE]
+                        first, times = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+                        for other in range(0, len(y), TILE):
+                            still = np.flatnonzero(times < 2)
+                            if not len(still):
+                                break
+                            columns = y[other : other + TILE]
+                            i, j = near_pairs(words, part[still], columns, early, radius)
+                            got, place, n = np.unique(i, return_index=True, return_counts=True)
+                            fresh = times[still[got]] == 0
+                            first[still[got[fresh]]] = columns[j[place[fresh]]]
+                            times[still[got]] += n
+                        met = times > 0
+                        out.append(np.stack([ids[part[met]], ids[first[met]], (times[met] > 1).astype(np.int64)]))
+            a, b, several = np.concatenate(out, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(several)], names=["id", "lead", "several"])
+
+    found = _met_in_cells(fps, segments, ["id"]).mapInArrow(run, "id bigint, lead bigint, several bigint")
+    found = found.groupBy("id", "lead").agg(F.count(F.lit(1)).alias("m"), F.max("several").alias("several"))
+    lead = F.max_by("lead", F.struct("m", -F.col("lead"))).alias("lead")
+    return found.groupBy("id").agg(lead, ((F.max("several") > 0) | (F.count(F.lit(1)) > 1)).alias("several"))
+
+
+def _apart(fps: DataFrame, segments: int, early: int, radius: int) -> DataFrame:
+    """Blocks to compare, (key, side, id): rows with a neighbour in another part, by their pair of blocks. ``fps``: id, fp, part, block."""
 
-    one, two = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cuts in common.stretches(batches, ["key"]):
+            ids, side, parts, blocks = (rows.column(c).to_numpy() for c in ("id", "side", "part", "block"))
+            words = [rows.column(f"w{i}").to_numpy().view(np.uint64) for i in range(REACH_WORDS)]
+            out = [np.empty((4, 0), dtype=np.int64)]
+            for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if parts[start] == parts[end - 1]:  # sorted by part
+                    continue
+                one, two = (v + start for v in _sides(side[start:end]))
+                both = len(one) == len(two) == end - start
+                for at in range(0, len(one), TILE):
+                    x = one[at : at + TILE]
+                    for other in range(at if both else 0, len(two), TILE):
+                        y = two[other : other + TILE]
+                        if parts[x[0]] == parts[x[-1]] == parts[y[0]] == parts[y[-1]]:
+                            continue
+                        i, j = near_pairs(words, x, y, early, radius)
+                        i, j = x[i], y[j]
+                        differ = parts[i] != parts[j]
+                        i, j = i[differ], j[differ]
+                        low, high = np.minimum(blocks[i], blocks[j]), np.maximum(blocks[i], blocks[j])
+                        met = np.stack([np.tile(low, 2), np.tile(high, 2), np.concatenate([i, j])])
+                        low, high, i = np.unique(met, axis=1) if met.size else met
+                        own = np.where(low == high, 2, np.where(blocks[i] == low, 0, 1))
+                        out += [np.stack([low, high, own, ids[i]])] if len(i) else []
+            low, high, own, i = np.concatenate(out, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (low, high, own, i)], names=["low", "high", "side", "id"])
+
+    met = _met_in_cells(fps, segments, ["part", "id", "block"]).mapInArrow(run, "low bigint, high bigint, side bigint, id bigint")
+    return met.distinct().select(F.xxhash64("low", "high").alias("key"), "side", "id")
 
 
 def shared_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
@@ -329,68 +455,73 @@ def similar_sets(one: list[np.ndarray], two: list[np.ndarray], similarity: float
     return both / np.maximum(whole, 1) >= similarity
 
 
-def _links_in_cells(cells_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) that connect exactly what pairs at the similarity within a cell connect. ``cells_``: key, id.
+def _links_in_groups(groups: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect exactly what pairs at the similarity between the sides of a group connect.
 
-    Sets meet in blocks of at most ``SET_BLOCK`` rows a side; every pair of a
-    cell is compared there on the whole sets, and each block gives at most one
-    edge per row.
+    ``groups``: key, side, id, with few rows to a side; ``texts``: id, text.
+    Every such pair is compared on the whole shingle sets; a group gives at most
+    one edge per row.
     """
-    sizes = cells_.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-    parts = F.ceil(F.col("m") / SET_BLOCK)
-    dealt = cells_.join(sizes, "key").select("key", "id", F.pmod(F.xxhash64("id"), parts).alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("other"))
-    dealt = dealt.select("key", "id", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own")
-    full = dealt.join(sets, "id").select("key", "low", "high", "own", "id", "shingles")
+    full = groups.join(texts, "id").select("key", "side", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, cuts in common.stretches(batches, ["key", "low", "high"]):
-            ids, own, low, high = (rows.column(c).to_numpy() for c in ("id", "own", "low", "high"))
-            packed = rows.column("shingles").combine_chunks()
+        for rows, cuts in common.stretches(batches, ["key"]):
+            ids, side = rows.column("id").to_numpy(), rows.column("side").to_numpy()
+            packed = rows.column("text").combine_chunks().cast(pa.large_binary())
             found: list[tuple[int, int]] = []
             for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                one, two = (np.flatnonzero(own[start:end] == side[start]) for side in (low, high))
+                one, two = _sides(side[start:end])
                 if end - start < 2 or not len(one) or not len(two):
                     continue
-                own_sets = [np.frombuffer(packed[i].as_buffer(), np.uint64) for i in range(start, end)]
+                sets = [shingle_set(packed[i].as_py() or b"", k) for i in range(start, end)]
                 near = np.zeros((end - start, end - start), dtype=bool)
-                near[np.ix_(one, two)] = similar_sets([own_sets[i] for i in one], [own_sets[i] for i in two], similarity)
+                near[np.ix_(one, two)] = similar_sets([sets[i] for i in one], [sets[i] for i in two], similarity)
                 label = common.spanning(near | near.T)
                 found += [(int(ids[start + label[i]]), int(ids[start + i])) for i in np.flatnonzero(label != np.arange(end - start))]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
-    keys = ["key", "low", "high"]
-    return full.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint").distinct()
+    return full.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _blocks(rows: DataFrame, of: str) -> DataFrame:
+    """The rows with their block: at most about ``SET_BLOCK`` rows with the same ``of``. ``rows``: id, of."""
+    sizes = rows.groupBy(of).agg(F.ceil(F.count(F.lit(1)) / SET_BLOCK).alias("_parts"))
+    return rows.join(sizes, of).withColumn("block", F.xxhash64(of, F.pmod(F.xxhash64("id"), F.col("_parts")))).drop("_parts")
 
 
 def near_links(docs: DataFrame, k: int, similarity: float, recall: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Links (a, b) among ids: their components are those of all pairs at the similarity.
 
-    Equal shingle sets are collapsed to the smallest id. First each row meets
-    the leader it shares most bands with. Bands whose rows these verified links
-    do not connect are then compared whole, every pair on the whole sets, in
-    blocks. Ids must be distinct (an id with two texts would be one node); rows
-    without an id are left out, NULL text is empty, and texts without words
-    are equal to each other.
+    Equal shingle sets are collapsed to the smallest id. Candidates are
+    neighbours in the grid; ``recall`` is the expected share found of pairs at
+    exactly the similarity. Each row is verified with its lead, which settles
+    rows without another neighbour. Of the others, those with a neighbour
+    in another part so far are compared, every pair on the whole sets, in
+    blocks of rows with the same lead. Ids must be distinct (an id with two
+    texts would be one node); rows without an id are left out, NULL text is
+    empty, and texts without words are equal to each other.
     """
     rows = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    signed = common.stored(_signed_rows(rows, k, band_count(similarity, recall)))
-    of_set = signed.groupBy("digest", "n").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
-    of_set = common.stored(of_set)
-    equal = signed.select("digest", F.col("id").alias("b")).join(of_set.select("digest", F.col("id").alias("a")), "digest").filter("a <> b").select("a", "b").distinct()
-    cells_ = of_set.select("id", "n", F.explode("keys").alias("key"))
-    shared = cells_.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead <> last").select("key", "lead")
-    met = common.stored(cells_.join(shared, "key"))
-    asked = met.select("id").distinct()
-    sets = common.stored(_sets(rows.join(asked, "id", "left_semi"), k))
-
-    times = met.filter("id <> lead").groupBy("id", "lead").agg(F.count(F.lit(1)).alias("m"))
-    led = times.groupBy(F.col("id").alias("b")).agg(F.max_by("lead", F.struct("m", -F.col("lead"))).alias("a"))
-    links = common.cut(equal.unionByName(verified(led.select("a", "b"), sets, similarity)))
-
-    known = common.components(links).withColumnRenamed("component", "part")
-    parts = common.stored(met.select("key", "id").join(known, "id", "left").select("key", "id", F.coalesce("part", "id").alias("part")))
-    apart = parts.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least <> most").select("key")
-    return links.unionByName(_links_in_cells(parts.join(apart, "key").select("key", "id"), sets, similarity))
+    segments = table_segments(rows.count())
+    width, tiny = (word_count(similarity, recall, segments, ties) for ties in (TIES, TINY_TIES))
+    bounds = segments, reach(similarity, 1), reach(similarity, REACH_WORDS)
+    signed = common.stored(_signed_rows(rows, k, width, tiny))
+    of_set = common.stored(signed.groupBy("digest", "n").agg(F.min("id").alias("id"), F.first("fp").alias("fp")))
+    equal = signed.select("digest", "n", F.col("id").alias("b")).join(of_set.select("digest", "n", F.col("id").alias("a")), ["digest", "n"]).filter("a <> b").select("a", "b")
+
+    led = common.stored(neighbours(of_set.select("id", "fp"), *bounds))
+    texts = common.stored(rows.join(led.select("id"), "id", "left_semi"), "zstd")
+    pairs = led.select(F.greatest("id", "lead").alias("id"), F.least("id", "lead").alias("lead")).distinct()
+    pairs = _blocks(pairs, "lead")
+    stars = pairs.select(F.col("block").alias("key"), F.lit(1).alias("side"), "id")
+    stars = stars.unionByName(pairs.select(F.col("block").alias("key"), F.lit(0).alias("side"), F.col("lead").alias("id")).distinct())
+    verified = common.cut(_links_in_groups(stars, texts, k, similarity))
+
+    part = common.components(verified).withColumnRenamed("component", "part")
+    open_ = _blocks(led.filter("several").select("id", F.least("id", "lead").alias("lead")), "lead")
+    open_ = common.stored(open_.join(part, "id", "left").select("id", "block", F.coalesce("part", "id").alias("part")))
+    groups = common.stored(_apart(of_set.select("id", "fp").join(open_, "id"), *bounds))
+    return equal.unionByName(verified).unionByName(_links_in_groups(groups, texts, k, similarity))
 
 
 def drop_near_duplicates(

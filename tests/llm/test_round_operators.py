@@ -357,6 +357,71 @@ def test_crowded_bands_equal_brute_force(spark, monkeypatch, block, columns, par
         assert r[0] is None or any((r[0], r[1]) in g for g in groups.values())
 
 
+def test_set_fingerprints():
+    from scarpline.llm import simhash_grid
+
+    draw = np.random.default_rng(5)
+    for n in (0, 1, 4, 255, 256, 700):
+        shingles = np.unique(draw.integers(0, 2**64, n, dtype=np.uint64))
+        alone = np.concatenate([simhash_grid.set_fingerprint(shingles[i : i + 1], 3) for i in range(n)] or [np.empty(0, np.uint64)]).reshape(n, 3)
+        expected = [sum(1 << b for b in range(64) if 2 * sum(int(v) >> b & 1 for v in alone[:, w]) > n) for w in range(3)]
+        assert simhash_grid.set_fingerprint(shingles, 3).tolist() == expected
+        assert len({*alone.ravel().tolist()}) == 3 * n
+
+
+@pytest.mark.parametrize("block,tile,segments", [(65_536, 512, 6), (20, 8, 6), (65_536, 16, 7)])
+def test_near_duplicates_meet_in_the_grid_of_segment_counts(spark, monkeypatch, block, tile, segments):
+    """Neighbours are the rows with equal counts in a table and within the radius; a lead is one, the flag tells of a second."""
+    from scarpline.llm import simhash_grid
+
+    monkeypatch.setattr(simhash_grid, "NEAR_BLOCK", block)
+    monkeypatch.setattr(simhash_grid, "TILE", tile)
+    draw = np.random.default_rng(segments)
+    sets = []
+    for size in [1] * 40 + [2] * 20 + [7] * 4 + [60]:  # rows alone, pairs, groups
+        base = draw.integers(0, 2**64, 90, dtype=np.uint64)
+        for _ in range(size):
+            own = base.copy()
+            own[draw.choice(90, int(draw.integers(0, 12)) if size > 1 else 0, replace=False)] = 0
+            sets.append(np.unique(np.concatenate([own[own > 0], draw.integers(0, 2**64, 3, dtype=np.uint64)])))
+    words = simhash_grid.word_count(0.8, 0.9999, segments, simhash_grid.TIES)
+    early, radius = simhash_grid.reach(0.8, 1), simhash_grid.reach(0.8, simhash_grid.REACH_WORDS)
+    fps = [[int(w) for w in simhash_grid.set_fingerprint(s, words)] for s in sets]
+    counts = [tuple((w >> at & 3).bit_count() for w in fp for at in range(0, 64, 2)) for fp in fps]
+    starts = [32 * w + segments * t for w in range(words) for t in range(32 // segments)]
+    n_words = simhash_grid.REACH_WORDS
+
+    def near(a, b):
+        apart = [(x ^ y).bit_count() for x, y in zip(fps[a][:n_words], fps[b][:n_words], strict=True)]
+        met = any(counts[a][s : s + segments] == counts[b][s : s + segments] for s in starts)
+        return a != b and met and sum(apart) <= radius and max(apart[: simhash_grid.EARLY_WORDS]) <= early
+
+    expected = {a: [b for b in range(len(sets)) if near(a, b)] for a in range(len(sets))}
+    df = spark.createDataFrame([(i, np.array(fp, np.uint64).view(np.int64).tolist()) for i, fp in enumerate(fps)], "id bigint, fp array<bigint>")
+    got = {r["id"]: (r["lead"], r["several"]) for r in simhash_grid.neighbours(df, segments, early, radius).collect()}
+    assert set(got) == {a for a, b in expected.items() if b}
+    assert all(lead in expected[a] and several == (len(expected[a]) > 1) for a, (lead, several) in got.items())
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            assert both / (len(sets[a]) + len(sets[b]) - both) < 0.8 or b in expected[a]
+
+
+def test_small_sets_at_the_similarity_are_found(spark):
+    """Pairs of four and five, and of nine shingles, where even votes make more bits differ."""
+    from scarpline.llm import simhash_grid
+
+    rows = []
+    for i in range(150):
+        words = [f"{i}x{j}" for j in range(13)]
+        rows += [(4 * i, " ".join(words[:9])), (4 * i + 1, " ".join(words[:8])), (4 * i + 2, " ".join([*words[:9], "a", *words[9:12], f"b{i}"])), (4 * i + 3, " ".join([*words[:9], "a", *words[9:12], "c"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    by_force = {d for d, _ in rows if d % 4 in (0, 2)}
+    assert shingle_jaccard(rows[0][1], rows[1][1]) == 0.8 <= shingle_jaccard(rows[2][1], rows[3][1])
+    assert shingle_jaccard(rows[0][1], rows[2][1]) < 0.8
+    assert {r["doc_id"] for r in simhash_grid.drop_near_duplicates(df).collect()} == by_force
+
+
 def test_shared_counts():
     from scarpline.llm import simhash_grid
 
