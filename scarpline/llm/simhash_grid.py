@@ -20,8 +20,11 @@ are as many tables as an expected recall (a parameter) needs. Rows of a cell
 pass the Manhattan bound of ``REACH_WORDS`` words of counts, then the exact
 Hamming distance, and are then verified on the whole shingle sets. Each row is
 verified with one neighbour first; rows with several neighbours meet a second
-time in the grid, where only pairs that these links leave apart are looked for,
-and are compared in blocks, which return edges that span the groups.
+time in the grid, where only pairs that these links leave apart are looked for.
+There a cell tells of each part its nearest neighbour and one part that it
+reaches, so a crowd gives rows in proportion to its size. The nearest are
+verified, and what they leave apart is compared in blocks, which return edges
+that span the groups.
 """
 
 from __future__ import annotations
@@ -51,6 +54,10 @@ REACH_WORDS, EARLY_WORDS = 4, 2  # words compared, and those first compared alon
 NEAR_BLOCK = 65_536  # fingerprints of one side of a cell of the similarity search
 TILE = 512  # fingerprints of one side of a comparison inside a cell
 SET_BLOCK = 256  # shingle sets of one side of a comparison
+GROUP_SHINGLES = 1_000_000  # shingles of one side of a group
+ROW_SHINGLES = 50  # shingles that a row counts as besides its own
+LINKS = 500_000  # pairs of parts of a cell held at a time
+CELL_BITS, BLOCK_BITS = 25, 18  # of a key: the cell and the two blocks that meet
 COLUMNS = 4_096  # shingles counted at a time
 CELL_BLOCK = 1_024  # fingerprints of one side of a comparison
 CELL_SHORT = 16  # fingerprints of a cell whose pairs are compared together with those of other cells
@@ -305,9 +312,18 @@ def _signed_rows(rows: DataFrame, k: int, words: int, tiny_words: int) -> DataFr
 
 
 def table_cells(fp: Column, segments: int) -> Column:
-    """The cells of a wide fingerprint: the counts of ``segments`` segments, one cell for each such stretch of a word."""
-    masks = [F.lit(_signed(((1 << 2 * segments) - 1) << 2 * segments * t)) for t in range(32 // segments)]
-    return F.flatten(F.transform(fp, lambda w, i: F.array(*[F.xxhash64(i, F.lit(t), segment_counts(w).bitwiseAND(m)) for t, m in enumerate(masks)])))
+    """The cells of a wide fingerprint: the counts of ``segments`` segments, one cell for each such stretch of a word.
+
+    A cell is the number of its table and the counts below it: few bytes, as each row is shuffled with each of its cells.
+    """
+    bits, tables = 2 * segments, 32 // segments
+
+    def of_word(w: Column, i: Column) -> Column:
+        counts = segment_counts(w)
+        own = [F.shiftrightunsigned(counts, bits * t).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")) for t in range(tables)]
+        return F.array(*[F.shiftleft(i.cast("bigint") * tables + t, bits) + c for t, c in enumerate(own)])
+
+    return F.flatten(F.transform(fp, of_word))
 
 
 def _met_in_cells(fps: DataFrame, segments: int, others: list[str]) -> DataFrame:
@@ -324,12 +340,16 @@ def _met_in_cells(fps: DataFrame, segments: int, others: list[str]) -> DataFrame
     own, other = F.col("own"), F.col("other")
     dealt = placed.join(F.broadcast(large), "cell", "left").withColumn("own", F.pmod(F.xxhash64("id"), parts))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
-    key = F.when(F.col("m").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.least(own, other), F.greatest(own, other)))
+    key = F.col("cell") + F.shiftleft(F.least(own, other), CELL_BITS) + F.shiftleft(F.greatest(own, other), CELL_BITS + BLOCK_BITS)
     side = F.when(own == other, 2).when(own < other, 0).otherwise(1)
     keep = ["id", *(c for c in others if c != "id"), *(f"w{i}" for i in range(REACH_WORDS))]
     return dealt.select(key.alias("key"), side.alias("side"), *keep).repartition("key").sortWithinPartitions("key", *others)
 
 
+def _distance(words: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return sum((_popcount(w[x] ^ w[y]) for w in words), np.zeros(len(x), np.int64))
+
+
 def near_pairs(words: list[np.ndarray], x: np.ndarray, y: np.ndarray, early: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j), in order, of different rows ``x[i]``, ``y[j]`` within the radius.
 
@@ -355,7 +375,7 @@ def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def neighbours(fps: DataFrame, segments: int, early: int, radius: int) -> DataFrame:
     """(id, lead, several) of every row with a neighbour: another row of a cell within the radius.
 
-    The lead is the smallest neighbour in most tables; ``several``: there is
+    The lead is the nearest neighbour in most tables; ``several``: there is
     another one. A row is compared until it has two in a cell, so a
     crowd of near rows is not compared pair by pair.
     """
@@ -374,15 +394,20 @@ def neighbours(fps: DataFrame, segments: int, early: int, radius: int) -> DataFr
                     for at in range(0, len(x), TILE):
                         part = x[at : at + TILE]
                         first, times = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+                        least = np.full(len(part), 64 * REACH_WORDS + 1)
                         for other in range(0, len(y), TILE):
                             still = np.flatnonzero(times < 2)
                             if not len(still):
                                 break
                             columns = y[other : other + TILE]
                             i, j = near_pairs(words, part[still], columns, early, radius)
-                            got, place, n = np.unique(i, return_index=True, return_counts=True)
-                            fresh = times[still[got]] == 0
-                            first[still[got[fresh]]] = columns[j[place[fresh]]]
+                            bits = _distance(words, part[still[i]], columns[j])
+                            order = np.lexsort((j, bits, i))
+                            got, place, n = np.unique(i[order], return_index=True, return_counts=True)
+                            place = order[place]
+                            nearer = bits[place] < least[still[got]]
+                            first[still[got[nearer]]] = columns[j[place[nearer]]]
+                            least[still[got[nearer]]] = bits[place[nearer]]
                             times[still[got]] += n
                         met = times > 0
                         out.append(np.stack([ids[part[met]], ids[first[met]], (times[met] > 1).astype(np.int64)]))
@@ -395,19 +420,45 @@ def neighbours(fps: DataFrame, segments: int, early: int, radius: int) -> DataFr
     return found.groupBy("id").agg(lead, ((F.max("several") > 0) | (F.count(F.lit(1)) > 1)).alias("several"))
 
 
-def _apart(fps: DataFrame, segments: int, early: int, radius: int) -> DataFrame:
-    """Blocks to compare, (key, side, id): rows with a neighbour in another part, by their pair of blocks. ``fps``: id, fp, part, block."""
+def _met_before(words: list[np.ndarray], i: np.ndarray, j: np.ndarray, key: int, segments: int) -> np.ndarray:
+    """Whether rows that share the cell of ``key`` share one of an earlier table of the words at hand."""
+    bits, tables, low = 2 * segments, 32 // segments, np.uint64(LOW_BITS)
+    table = (key & ((1 << CELL_BITS) - 1)) >> bits
+    left = np.arange(len(i))
+    for t in range(min(table, tables * len(words))):
+        a, b = (words[t // tables][v[left]] >> np.uint64(bits * (t % tables)) for v in (i, j))
+        (a1, a2), (b1, b2) = ((v & low, v >> np.uint64(1) & low) for v in (a, b))
+        apart = ((a1 ^ a2) ^ (b1 ^ b2)) | ((a1 & a2) ^ (b1 & b2))
+        left = left[apart & np.uint64((1 << bits) - 1) != 0]
+    out = np.ones(len(i), dtype=bool)
+    out[left] = False
+    return out
+
+
+def across(fps: DataFrame, segments: int, early: int, radius: int) -> DataFrame:
+    """(part, id, nearest, bits, reached): parts with a neighbour in another part, once a cell. ``fps``: id, fp, part.
+
+    A pair of neighbours counts in one cell that they share, with few
+    exceptions. ``id`` and ``nearest`` are the nearest such pair of the part in
+    the cell, ``bits`` its distance, and ``reached`` the first part of the cell
+    that such pairs reach: these edges connect what all those pairs connect.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, cuts in common.stretches(batches, ["key"]):
-            ids, side, parts, blocks = (rows.column(c).to_numpy() for c in ("id", "side", "part", "block"))
+            keys, ids, side, parts = (rows.column(c).to_numpy() for c in ("key", "id", "side", "part"))
             words = [rows.column(f"w{i}").to_numpy().view(np.uint64) for i in range(REACH_WORDS)]
-            out = [np.empty((4, 0), dtype=np.int64)]
+            out = [np.empty((5, 0), dtype=np.int64)]
             for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if parts[start] == parts[end - 1]:  # sorted by part
                     continue
+                size = end - start
                 one, two = (v + start for v in _sides(side[start:end]))
-                both = len(one) == len(two) == end - start
+                both = len(one) == len(two) == size
+                own, number = np.unique(parts[start:end], return_inverse=True)
+                far = np.int64(64 * REACH_WORDS + 1) * size * size
+                nearest, label = np.full(len(own), far), np.arange(len(own))  # distance and places of a pair as one number
+                held = [np.empty((2, 0), dtype=np.int64)]
                 for at in range(0, len(one), TILE):
                     x = one[at : at + TILE]
                     for other in range(at if both else 0, len(two), TILE):
@@ -418,16 +469,23 @@ def _apart(fps: DataFrame, segments: int, early: int, radius: int) -> DataFrame:
                         i, j = x[i], y[j]
                         differ = parts[i] != parts[j]
                         i, j = i[differ], j[differ]
-                        low, high = np.minimum(blocks[i], blocks[j]), np.maximum(blocks[i], blocks[j])
-                        met = np.stack([np.tile(low, 2), np.tile(high, 2), np.concatenate([i, j])])
-                        low, high, i = np.unique(met, axis=1) if met.size else met
-                        own = np.where(low == high, 2, np.where(blocks[i] == low, 0, 1))
-                        out += [np.stack([low, high, own, ids[i]])] if len(i) else []
-            low, high, own, i = np.concatenate(out, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (low, high, own, i)], names=["low", "high", "side", "id"])
-
-    met = _met_in_cells(fps, segments, ["part", "id", "block"]).mapInArrow(run, "low bigint, high bigint, side bigint, id bigint")
-    return met.distinct().select(F.xxhash64("low", "high").alias("key"), "side", "id")
+                        fresh = ~_met_before(words, i, j, int(keys[start]), segments)
+                        i, j = i[fresh], j[fresh]
+                        bits = _distance(words, i, j) * size * size
+                        i, j = i - start, j - start
+                        np.minimum.at(nearest, number[i], bits + i * size + j)
+                        np.minimum.at(nearest, number[j], bits + j * size + i)
+                        held.append(np.stack([number[i], number[j]]))
+                        if sum(h.shape[1] for h in held) > LINKS:
+                            label = common.spanning_pairs(len(own), *np.concatenate([*held, [np.arange(len(own)), label]], axis=1))
+                            held = held[:1]
+                label = common.spanning_pairs(len(own), *np.concatenate([*held, [np.arange(len(own)), label]], axis=1))
+                met = np.flatnonzero(nearest < far)
+                pair, i = nearest[met] % (size * size), ids[start:end]
+                out.append(np.stack([own[met], i[pair // size], i[pair % size], nearest[met] // (size * size), own[label[met]]]))
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in np.concatenate(out, axis=1)], names=["part", "id", "nearest", "bits", "reached"])
+
+    return _met_in_cells(fps, segments, ["part", "id"]).mapInArrow(run, "part bigint, id bigint, nearest bigint, bits bigint, reached bigint")
 
 
 def shared_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
@@ -457,37 +515,96 @@ def similar_sets(one: list[np.ndarray], two: list[np.ndarray], similarity: float
 
 
 def _links_in_groups(groups: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Edges (a, b) that connect exactly what pairs at the similarity between the sides of a group connect.
+    """Edges (a, b) that connect the parts that pairs at the similarity between the sides of a group connect.
 
-    ``groups``: key, side, id, with few rows to a side; ``texts``: id, text.
-    Every such pair is compared on the whole shingle sets; a group gives at most
-    one edge per row.
+    ``groups``: key, side, id, part, with few shingles to a side; ``texts``: id,
+    text. Every such pair that the fingerprints leave and that is still apart is
+    compared on the whole shingle sets; a group gives fewer edges than parts.
     """
-    full = groups.join(texts, "id").select("key", "side", "id", "text")
+    full = groups.join(texts, "id").select("key", "side", "id", "part", "text")
+    early, radius = reach(similarity, 1), reach(similarity, REACH_WORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, cuts in common.stretches(batches, ["key"]):
-            ids, side = rows.column("id").to_numpy(), rows.column("side").to_numpy()
+            ids, side, part = (rows.column(c).to_numpy() for c in ("id", "side", "part"))
             packed = rows.column("text").combine_chunks().cast(pa.large_binary())
-            found: list[tuple[int, int]] = []
+            found = [np.empty((2, 0), dtype=np.int64)]
             for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 one, two = _sides(side[start:end])
-                if end - start < 2 or not len(one) or not len(two):
+                own, shown, label = np.unique(part[start:end], return_index=True, return_inverse=True)
+                if len(own) < 2 or not len(one) or not len(two):
                     continue
                 sets = [shingle_set(packed[i].as_py() or b"", k) for i in range(start, end)]
-                near = np.zeros((end - start, end - start), dtype=bool)
-                near[np.ix_(one, two)] = similar_sets([sets[i] for i in one], [sets[i] for i in two], similarity)
-                label = common.spanning(near | near.T)
-                found += [(int(ids[start + label[i]]), int(ids[start + i])) for i in np.flatnonzero(label != np.arange(end - start))]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+                words = list(np.stack([set_fingerprint(s, REACH_WORDS) for s in sets], axis=1))
+                both = len(one) == len(two) == end - start
+                for at in range(0, len(one), SET_BLOCK):
+                    for other in range(at if both else 0, len(two), SET_BLOCK):
+                        x, y = one[at : at + SET_BLOCK], two[other : other + SET_BLOCK]
+                        i, j = near_pairs(words, x, y, early, radius)
+                        i, j = x[i], y[j]
+                        apart = label[i] != label[j]
+                        x, y = np.unique(i[apart]), np.unique(j[apart])
+                        if not len(x):
+                            continue
+                        i, j = np.nonzero(similar_sets([sets[v] for v in x], [sets[v] for v in y], similarity))
+                        joined = common.spanning_pairs(len(own), label[x[i]], label[y[j]])
+                        told = np.flatnonzero(joined != np.arange(len(own)))
+                        found.append(np.stack([ids[start + shown[joined[told]]], ids[start + shown[told]]]))
+                        label = joined[label]
+            a, b = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return full.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _blocks(rows: DataFrame, of: str) -> DataFrame:
-    """The rows with their block: at most about ``SET_BLOCK`` rows with the same ``of``. ``rows``: id, of."""
-    sizes = rows.groupBy(of).agg(F.ceil(F.count(F.lit(1)) / SET_BLOCK).alias("_parts"))
-    return rows.join(sizes, of).withColumn("block", F.xxhash64(of, F.pmod(F.xxhash64("id"), F.col("_parts")))).drop("_parts")
+def _stars(pairs: DataFrame) -> DataFrame:
+    """Groups (key, side, id, part) of rows and their lead: at most about ``SET_BLOCK`` rows each. ``pairs``: id, lead."""
+    pairs = pairs.select(F.greatest("id", "lead").alias("id"), F.least("id", "lead").alias("lead")).distinct()
+    sizes = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / SET_BLOCK).alias("_parts"))
+    placed = pairs.join(sizes, "lead").select("id", "lead", F.xxhash64("lead", F.pmod(F.xxhash64("id"), F.col("_parts"))).alias("key"))
+    leads = placed.select("key", F.lit(0).alias("side"), F.col("lead").alias("id")).distinct()
+    return placed.select("key", F.lit(1).alias("side"), "id").unionByName(leads).withColumn("part", F.col("id"))
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """Groups (key, side, id, part) in which all rows of a crowd in different parts meet. ``rows``: id, part, crowd, n (shingles).
+
+    Rows of a crowd of one part are left out. A crowd of up to ``GROUP_SHINGLES``
+    is one group, so each of its rows comes once. Larger ones are dealt as
+    pairs of blocks; a part that fills blocks has its own, which do not meet
+    each other.
+    """
+    weight = F.sum(F.col("n") + ROW_SHINGLES).alias("weight")
+    parts = rows.groupBy("crowd", "part").agg(weight)
+    several = parts.groupBy("crowd").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.sum("weight").alias("whole")).filter("low < high")
+    large = (F.col("weight") > GROUP_SHINGLES) & (F.col("whole") > GROUP_SHINGLES)
+    owned = parts.join(several, "crowd").withColumn("pool", ~large).withColumn("owner", F.xxhash64("crowd", F.when(large, F.col("part"))))
+    sizes = owned.groupBy("owner").agg(F.ceil(F.sum("weight") / GROUP_SHINGLES).alias("blocks"))
+    owned = owned.join(sizes, "owner").select("crowd", "part", "owner", "pool", "blocks")
+    placed = rows.join(owned, ["crowd", "part"]).withColumn("block", F.xxhash64("owner", F.pmod(F.xxhash64("id"), F.col("blocks"))))
+    placed = common.stored(placed.select("id", "part", "crowd", "owner", "pool", "block"))
+    blocks = placed.select("crowd", "owner", "pool", "block").distinct()
+    others = blocks.select("crowd", F.col("owner").alias("owner2"), F.col("block").alias("block2"))
+    pairs = blocks.join(others, "crowd").filter("block <= block2 and (owner <> owner2 or pool)").withColumn("key", F.xxhash64("block", "block2"))
+    sides = F.when(F.col("block") == F.col("block2"), F.array(F.struct(F.lit(2).alias("side"), F.col("block"))))
+    sides = sides.otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("block")), F.struct(F.lit(1).alias("side"), F.col("block2").alias("block"))))
+    return pairs.select("key", F.explode(sides).alias("s")).select("key", "s.side", "s.block").join(placed, "block").select("key", "side", "id", "part")
+
+
+def _picked(rows: DataFrame, number: str, ids: DataFrame, among: bool) -> DataFrame:
+    """The rows whose ``number`` is (or is not) among ``ids`` (id).
+
+    The ids go to the rows as one bit each, in words of 64, so the rows, which
+    hold the texts, are not shuffled. Numbers that follow each other take 16
+    bytes for 64 rows at most.
+    """
+    chunk, mask = f"{number}chunk", f"{number}mask"
+    place = lambda c: F.col(c).bitwiseAND(F.lit(63)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place("id"))
+    masks = ids.groupBy(F.shiftright("id", 6).alias(chunk)).agg(F.bit_or(bit).alias(mask))
+    found = rows.withColumn(chunk, F.shiftright(number, 6)).join(F.broadcast(masks), chunk, "left")
+    hit = F.coalesce(F.getbit(mask, place(number)) == 1, F.lit(False))
+    return found.filter(hit if among else ~hit).select(*(f"`{c}`" for c in rows.columns))
 
 
 def near_links(docs: DataFrame, k: int, similarity: float, recall: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -496,9 +613,11 @@ def near_links(docs: DataFrame, k: int, similarity: float, recall: float, doc_id
     Equal shingle sets are collapsed to the smallest id. Candidates are
     neighbours in the grid; ``recall`` is the expected share found of pairs at
     exactly the similarity. Each row is verified with its lead, which settles
-    rows without another neighbour. Of the others, those with a neighbour
-    in another part so far are compared, every pair on the whole sets, in
-    blocks of rows with the same lead. Ids must be distinct (an id with two
+    rows without another neighbour. Of the others, each part so far with a
+    neighbour in another one is verified with the nearest; parts that reach
+    each other over neighbours are a crowd, and its pairs that are still in
+    different parts are compared on the whole sets, in
+    blocks. Ids must be distinct (an id with two
     texts would be one node); rows without an id are left out, NULL text is
     empty, and texts without words are equal to each other.
     """
@@ -511,18 +630,24 @@ def near_links(docs: DataFrame, k: int, similarity: float, recall: float, doc_id
     equal = signed.select("digest", "n", F.col("id").alias("b")).join(of_set.select("digest", "n", F.col("id").alias("a")), ["digest", "n"]).filter("a <> b").select("a", "b")
 
     led = common.stored(neighbours(of_set.select("id", "fp"), *bounds))
-    texts = common.stored(rows.join(led.select("id"), "id", "left_semi"), "zstd")
-    pairs = led.select(F.greatest("id", "lead").alias("id"), F.least("id", "lead").alias("lead")).distinct()
-    pairs = _blocks(pairs, "lead")
-    stars = pairs.select(F.col("block").alias("key"), F.lit(1).alias("side"), "id")
-    stars = stars.unionByName(pairs.select(F.col("block").alias("key"), F.lit(0).alias("side"), F.col("lead").alias("id")).distinct())
-    verified = common.cut(_links_in_groups(stars, texts, k, similarity))
-
-    part = common.components(verified).withColumnRenamed("component", "part")
-    open_ = _blocks(led.filter("several").select("id", F.least("id", "lead").alias("lead")), "lead")
-    open_ = common.stored(open_.join(part, "id", "left").select("id", "block", F.coalesce("part", "id").alias("part")))
-    groups = common.stored(_apart(of_set.select("id", "fp").join(open_, "id"), *bounds))
-    return equal.unionByName(verified).unionByName(_links_in_groups(groups, texts, k, similarity))
+    texts = common.stored(_picked(rows, "id", led.select("id"), True), "zstd")
+    first = common.cut(_links_in_groups(_stars(led), texts, k, similarity))
+
+    part = common.components(first).withColumnRenamed("component", "part")
+    open_ = led.filter("several").select("id").join(part, "id", "left").select("id", F.coalesce("part", "id").alias("part"))
+    open_ = common.stored(open_.join(of_set.select("id", "n", "fp"), "id"))
+    met = common.stored(across(open_.select("id", "fp", "part"), *bounds))
+    leads = met.groupBy("part").agg(F.min(F.struct("bits", "id", F.col("nearest").alias("lead"))).alias("p")).select("p.id", "p.lead")
+    stars = common.stored(_stars(leads))
+    second = common.cut(_links_in_groups(stars, _picked(texts, "id", stars.select("id"), True), k, similarity))
+
+    links = first.unionByName(second)
+    part = common.components(links).withColumnRenamed("component", "now")
+    crowds = common.components(met.select(F.col("part").alias("a"), F.col("reached").alias("b")))
+    crowds = open_.select("id", "n", "part").join(crowds.select(F.col("id").alias("part"), F.col("component").alias("crowd")), "part")
+    crowds = common.stored(crowds.join(part, "id", "left").select("id", "n", "crowd", F.coalesce("now", "id").alias("part")))
+    groups = common.stored(_apart(crowds))
+    return equal.unionByName(links).unionByName(_links_in_groups(groups, _picked(texts, "id", groups.select("id"), True), k, similarity))
 
 
 def drop_near_duplicates(
@@ -538,12 +663,12 @@ def drop_near_duplicates(
     unchanged.
     """
     number = "_row"
-    while number in docs.columns:
+    while any(c.lower().startswith(number) for c in docs.columns):
         number += "_"
     rows = common.stored(docs.withColumn(number, F.monotonically_increasing_id()), "zstd")
     known = rows.filter(F.col(doc_id).isNotNull())
     groups = common.components(near_links(known, k, similarity, recall, number, text))
     placed = groups.join(known.select(F.col(number).alias("id"), F.col(doc_id).alias("doc")), "id")
     first = placed.groupBy("component").agg(F.min(F.struct("doc", "id")).alias("first"))
-    gone = placed.join(first, "component").filter("id <> first.id").select(F.col("id").alias(number))
-    return rows.join(gone, number, "left_anti").drop(number)
+    gone = common.cut(placed.join(first, "component").filter("id <> first.id").select("id"))
+    return _picked(rows, number, gone, False).drop(number)

@@ -407,6 +407,93 @@ def test_near_duplicates_meet_in_the_grid_of_segment_counts(spark, monkeypatch,
             assert both / (len(sets[a]) + len(sets[b]) - both) < 0.8 or b in expected[a]
 
 
+def test_pairs_of_blocks_equal_brute_force(spark, monkeypatch):
+    """The same groups where a crowd fills many blocks, and parts have blocks of their own."""
+    from scarpline.llm import simhash_grid
+
+    monkeypatch.setattr(simhash_grid, "GROUP_SHINGLES", 1500)
+    monkeypatch.setattr(simhash_grid, "neighbours", lambda fps, *_: fps.select("id", F.col("id").alias("lead"), F.lit(True).alias("several")))  # none is linked before
+    test_crowded_bands_equal_brute_force(spark, monkeypatch, 16, 64, 3)
+
+
+@pytest.mark.parametrize("block,tile,links", [(65_536, 512, 500_000), (40, 8, 10)])
+def test_a_crowd_gives_rows_in_proportion(spark, monkeypatch, block, tile, links):
+    """Parts that neighbours connect stay connected; rows made grow with a crowd, not with its square."""
+    from scarpline.llm import common, simhash_grid
+
+    monkeypatch.setattr(simhash_grid, "NEAR_BLOCK", block)
+    monkeypatch.setattr(simhash_grid, "TILE", tile)
+    monkeypatch.setattr(simhash_grid, "LINKS", links)
+    segments, early, radius = 6, simhash_grid.reach(0.8, 1), simhash_grid.reach(0.8, simhash_grid.REACH_WORDS)
+    made = []
+    for n in (100, 400):
+        draw = np.random.default_rng(n)
+        centres = draw.integers(0, 2**64, (3, 13), dtype=np.uint64)
+        fps = []
+        for i in range(n):
+            fp = centres[0 if i % 10 else 1 + i % 3 % 2].copy()
+            for b in draw.choice(13 * 64, 60, replace=False):
+                fp[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+            fps.append(fp)
+        parts = [i if i % 3 else 0 for i in range(n)]
+        counts = [tuple((int(w) >> at & 3).bit_count() for w in fp for at in range(0, 64, 2)) for fp in fps]
+        starts = [32 * w + segments * t for w in range(13) for t in range(32 // segments)]
+        near = {}
+        for a in range(n):
+            for b in range(a):
+                apart = [(int(x) ^ int(y)).bit_count() for x, y in zip(fps[a][:4], fps[b][:4], strict=True)]
+                if parts[a] != parts[b] and sum(apart) <= radius and max(apart[:2]) <= early and any(counts[a][s : s + segments] == counts[b][s : s + segments] for s in starts):
+                    near[a, b] = near[b, a] = sum(apart)
+        df = spark.createDataFrame([(i, fp.view(np.int64).tolist(), parts[i]) for i, fp in enumerate(fps)], "id bigint, fp array<bigint>, part bigint")
+        got = simhash_grid.across(df, segments, early, radius).collect()
+        for r in got:
+            assert near[r["id"], r["nearest"]] == r["bits"] and parts[r["id"]] == r["part"] != parts[r["nearest"]]
+
+        def parts_of(edges):
+            x, y = np.array(edges, dtype=np.int64).reshape(-1, 2).T
+            return common.spanning_pairs(n, x, y).tolist()
+
+        assert parts_of([(r["part"], r["reached"]) for r in got]) == parts_of([(parts[a], parts[b]) for a, b in near])
+        made.append(len(got))
+    if block > 400:
+        assert made[1] < 8 * made[0]  # 4 times the rows, 16 times the pairs
+
+
+def test_a_row_of_a_crowd_comes_to_its_group_once(spark):
+    from scarpline.llm import simhash_grid
+
+    rows = [(i, i, 1, 100) for i in range(3000)] + [(3000 + i, 3000, 2, 100) for i in range(50)]
+    df = spark.createDataFrame(rows, "id bigint, part bigint, crowd bigint, n bigint")
+    got = Counter(r["id"] for r in simhash_grid._apart(df).collect())
+    assert got == Counter(range(3000))  # rows of one part need no comparison
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    """The rows that are kept are told by bits sent to them, whatever the size from which joins are not broadcast."""
+    from scarpline.llm import simhash_grid
+
+    rows = [(i, f"a text of some words {i // 2 if i % 5 else i} and of {i // 2} more") for i in range(200)] + [(None, "x"), (-5, "y z"), (2**62, "y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = simhash_grid.drop_near_duplicates(df)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in plan.splitlines() if "hashpartitioning(_row" in line]
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    first = {}
+    for d, t in rows:
+        if d is not None:
+            first[t] = min(d, first.get(t, d))
+    assert {r["doc_id"] for r in got} == {*first.values(), None} and len(got) == len(first) + 1
+    ids = spark.createDataFrame([(v,) for v in (0, 63, 64, -1, 2**62, -(2**63))], "id bigint")
+    every = spark.createDataFrame([(v,) for v in (0, 1, 62, 63, 64, 65, -1, -2, 2**62, 2**62 + 1, -(2**63))], "a bigint")
+    assert {r["a"] for r in simhash_grid._picked(every, "a", ids, True).collect()} == {0, 63, 64, -1, 2**62, -(2**63)}
+    assert {r["a"] for r in simhash_grid._picked(every, "a", ids, False).collect()} == {1, 62, 65, -2, 2**62 + 1}
+
+
 def test_small_sets_at_the_similarity_are_found(spark):
     """Pairs of four and five, and of nine shingles, where even votes make more bits differ."""
     from scarpline.llm import simhash_grid
