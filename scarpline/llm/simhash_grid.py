@@ -14,14 +14,16 @@ groups, so no two fingerprints that links connect come apart.
 
 Similarity search (``near_links``): near-duplicates at similarity 0.8 differ in
 about 15 % of the bits, too far for cells that lose nothing. Fingerprints of
-shingle sets are as wide as their grid asks for: a grid table is
-``table_segments`` two-bit segments of its own, a cell their counts, and there
-are as many tables as an expected recall (a parameter) needs. Rows of a cell
-pass the Manhattan bound of ``REACH_WORDS`` words of counts, then the exact
-Hamming distance, and are then verified on the whole shingle sets. Each row is
-verified with one neighbour first; rows with several neighbours meet a second
-time in the grid, where only pairs that these links leave apart are looked for.
-There a cell tells of each part its nearest neighbour and one part that it
+shingle sets are as wide as their grid asks for. All rows meet in a coarse grid
+first: a cell is the counts of few segments, so few tables have the expected
+recall (a parameter) and a row is shuffled few times. A large cell is cut inside
+its task by counts of further segments, of the ``REACH_WORDS`` words that a row
+brings along. Rows that are left together pass the Manhattan bound of the counts
+of these words, then the exact Hamming distance, and are then verified on the
+whole shingle sets. Each row is verified with one neighbour first; rows with
+several neighbours meet a second time, in a grid of tables of
+``table_segments`` segments, where only pairs that these links leave apart are
+looked for. There a cell tells of each part its nearest neighbour and one part that it
 reaches, so a crowd gives rows in proportion to its size. The nearest are
 verified, and what they leave apart is compared in blocks, which return edges
 that span the groups.
@@ -39,6 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scarpline.llm import common
+from scarpline.operators import skew
 
 SEED = 42
 BLOCK = 100_000  # shingles hashed at a time
@@ -51,7 +54,10 @@ TIES, TINY_TIES = 1.05, 1.24  # how far the share of differing bits exceeds the
 TINY_TABLE_TIES = 1.32  # the same for agreeing segments: of four and five shingles 0.66 agree
 SPREAD = 4.5  # standard deviations that a distance may exceed its expectation
 REACH_WORDS, EARLY_WORDS = 4, 2  # words compared, and those first compared alone
-NEAR_BLOCK = 65_536  # fingerprints of one side of a cell of the similarity search
+NEAR_BLOCK = 524_288  # fingerprints of one side of a cell of the similarity search
+COARSER = 2  # segments that a cell of the coarse grid has less than a table
+OWN_SEGMENTS, CELL_TABLES = 3, 4  # segments by which a coarse cell is cut, and times it is
+CUT_ROWS = 2_048  # rows of a coarse cell that are compared without a cut
 TILE = 512  # fingerprints of one side of a comparison inside a cell
 SET_BLOCK = 256  # shingle sets of one side of a comparison
 GROUP_SHINGLES = 1_000_000  # shingles of one side of a group
@@ -259,11 +265,40 @@ def table_segments(rows: int) -> int:
     return max(TABLE_SEGMENTS, math.ceil(math.log(max(rows, 1) / CROWD) / math.log(8 / 3)))
 
 
-def word_count(similarity: float, recall: float, segments: int, ties: float) -> int:
-    """Fingerprint words whose tables have the expected recall at exactly the similarity."""
+def agreeing(similarity: float, ties: float) -> float:
+    """Share of two-bit segments with equal counts: no bit differs, or both do and change places."""
     p = differing(similarity, ties)
-    agree = ((1 - p) ** 2 + p * p / 2) ** segments  # a segment: no bit differs, or both do and change places
-    return max(REACH_WORDS, math.ceil(math.log(1 - recall) / math.log(1 - agree) / (32 // segments)))
+    return (1 - p) ** 2 + p * p / 2
+
+
+def own_segments(similarity: float, recall: float) -> int:
+    """Segments by which coarse cells are cut: fewer than ``OWN_SEGMENTS`` where the words at hand would not do for the recall."""
+    agree = agreeing(similarity, TINY_TABLE_TIES)
+    return next(n for n in range(OWN_SEGMENTS, -1, -1) if not n or (1 - agree**n) ** (REACH_WORDS * (32 // n)) <= (1 - recall) / 10)
+
+
+def coarse_words(similarity: float, recall: float, segments: int, ties: float) -> int:
+    """Words, besides those at hand, whose coarse cells have the expected recall at exactly the similarity.
+
+    Cells take turns with ``REACH_WORDS * (32 // own) // CELL_TABLES`` sets of
+    cuts, so cells with the same cuts fail together where these do.
+    """
+    agree, own, shared = agreeing(similarity, ties), own_segments(similarity, recall), segments - COARSER
+    turns = REACH_WORDS * (32 // own) // CELL_TABLES if own else 1
+    uncut = (1 - agree**own) ** CELL_TABLES if own else 0.0
+    words, missed = 0, 1.0
+    while missed > 1 - recall:
+        words += 1
+        cells = words * (32 // shared)
+        uses = [cells // turns + (t < cells % turns) for t in range(turns)]
+        missed = math.prod(uncut + (1 - uncut) * (1 - agree**shared) ** n for n in uses)
+    return words
+
+
+def word_count(similarity: float, recall: float, segments: int, ties: float) -> int:
+    """Fingerprint words whose tables, and whose coarse cells, have the expected recall at exactly the similarity."""
+    tables = math.log(1 - recall) / math.log(1 - agreeing(similarity, ties) ** segments)
+    return max(REACH_WORDS + coarse_words(similarity, recall, segments, ties), math.ceil(tables / (32 // segments)))
 
 
 def reach(similarity: float, words: int) -> int:
@@ -326,15 +361,15 @@ def table_cells(fp: Column, segments: int) -> Column:
     return F.flatten(F.transform(fp, of_word))
 
 
-def _met_in_cells(fps: DataFrame, segments: int, others: list[str]) -> DataFrame:
+def _met_in_cells(fps: DataFrame, cells: Column, others: list[str]) -> DataFrame:
     """Rows of each cell together, sorted by ``others``: (key, side, id, others, words). ``fps``: id, fp, others.
 
     Cells of more than ``NEAR_BLOCK`` rows are dealt as pairs of blocks: side 0
     meets side 1; side 2 is both. Their number is bounded by the cells of a table.
     """
     words = [F.col("fp")[i].alias(f"w{i}") for i in range(REACH_WORDS)]
-    placed = fps.select("id", *(c for c in others if c != "id"), *words, F.explode(table_cells(F.col("fp"), segments)).alias("cell"))
-    sizes = fps.select(F.explode(table_cells(F.col("fp"), segments)).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
+    placed = fps.select("id", *(c for c in others if c != "id"), *words, F.explode(cells).alias("cell"))
+    sizes = fps.select(F.explode(cells).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
     large = common.stored(sizes.filter(F.col("m") > NEAR_BLOCK))
     parts = F.ceil(F.coalesce("m", F.lit(1)) / NEAR_BLOCK)
     own, other = F.col("own"), F.col("other")
@@ -372,25 +407,48 @@ def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(side != 1), np.flatnonzero(side != 0)
 
 
-def neighbours(fps: DataFrame, segments: int, early: int, radius: int) -> DataFrame:
-    """(id, lead, several) of every row with a neighbour: another row of a cell within the radius.
+def _cut_cell(words: list[np.ndarray], start: int, end: int, number: int, own: int) -> Iterator[np.ndarray]:
+    """The places of a coarse cell, if many: those with equal counts in one of ``CELL_TABLES`` tables of ``own`` segments.
 
-    The lead is the nearest neighbour in most tables; ``several``: there is
+    Cells of different ``number`` take turns with the tables of the words at hand.
+    """
+    places = np.arange(start, end)
+    if len(places) <= CUT_ROWS or not own:
+        yield places
+        return
+    low, of_word = np.uint64(LOW_BITS), 32 // own
+    for t in range(number * CELL_TABLES, (number + 1) * CELL_TABLES):
+        word, at = divmod(t % (len(words) * of_word // CELL_TABLES * CELL_TABLES), of_word)
+        w = words[word][start:end] >> np.uint64(2 * own * at)
+        one, two = w & low, (w >> np.uint64(1)) & low
+        counts = ((one ^ two) | (one & two) << np.uint64(1)) & np.uint64((1 << 2 * own) - 1)
+        order = np.argsort(counts, kind="stable")
+        yield from np.split(places[order], np.flatnonzero(np.diff(counts[order])) + 1)
+
+
+def neighbours(fps: DataFrame, segments: int, early: int, radius: int, own: int = OWN_SEGMENTS, coarse: Column | None = None) -> DataFrame:
+    """(id, lead, several) of every row with a neighbour: another row of a coarse cell within the radius.
+
+    The lead is the nearest neighbour in most cells; ``several``: there is
     another one. A row is compared until it has two in a cell, so a
-    crowd of near rows is not compared pair by pair.
+    crowd of near rows is not compared pair by pair. Coarse cells are the
+    counts of ``segments - COARSER`` segments of ``coarse`` words after those
+    that a row brings along (all of them, if not given); ``own``: of ``_cut_cell``.
     """
+    shared = segments - COARSER
+    beyond = F.slice("fp", REACH_WORDS + 1, F.size("fp") - REACH_WORDS if coarse is None else coarse)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, cuts in common.stretches(batches, ["key"]):
-            ids, side = rows.column("id").to_numpy(), rows.column("side").to_numpy()
+            keys, ids, side = (rows.column(c).to_numpy() for c in ("key", "id", "side"))
             words = [rows.column(f"w{i}").to_numpy().view(np.uint64) for i in range(REACH_WORDS)]
             out = [np.empty((3, 0), dtype=np.int64)]
-            for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if end - start < 2:
+            cells = zip(cuts[:-1].tolist(), cuts[1:].tolist(), ((keys[cuts[:-1]] & ((1 << CELL_BITS) - 1)) >> 2 * shared).tolist())
+            for places in (p for start, end, number in cells if end - start > 1 for p in _cut_cell(words, start, end, number, own)):
+                if len(places) < 2:
                     continue
-                one, two = _sides(side[start:end])
-                for x, y in [(one, two)] if len(one) == len(two) == end - start else [(one, two), (two, one)]:
-                    x, y = x + start, y + start
+                one, two = (places[v] for v in _sides(side[places]))
+                for x, y in [(one, two)] if len(one) == len(two) == len(places) else [(one, two), (two, one)]:
                     for at in range(0, len(x), TILE):
                         part = x[at : at + TILE]
                         first, times = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
@@ -414,7 +472,7 @@ def neighbours(fps: DataFrame, segments: int, early: int, radius: int) -> DataFr
             a, b, several = np.concatenate(out, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(several)], names=["id", "lead", "several"])
 
-    found = _met_in_cells(fps, segments, ["id"]).mapInArrow(run, "id bigint, lead bigint, several bigint")
+    found = _met_in_cells(fps, table_cells(beyond, shared), ["id"]).mapInArrow(run, "id bigint, lead bigint, several bigint")
     found = found.groupBy("id", "lead").agg(F.count(F.lit(1)).alias("m"), F.max("several").alias("several"))
     lead = F.max_by("lead", F.struct("m", -F.col("lead"))).alias("lead")
     return found.groupBy("id").agg(lead, ((F.max("several") > 0) | (F.count(F.lit(1)) > 1)).alias("several"))
@@ -485,7 +543,7 @@ def across(fps: DataFrame, segments: int, early: int, radius: int) -> DataFrame:
                 out.append(np.stack([own[met], i[pair // size], i[pair % size], nearest[met] // (size * size), own[label[met]]]))
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in np.concatenate(out, axis=1)], names=["part", "id", "nearest", "bits", "reached"])
 
-    return _met_in_cells(fps, segments, ["part", "id"]).mapInArrow(run, "part bigint, id bigint, nearest bigint, bits bigint, reached bigint")
+    return _met_in_cells(fps, table_cells(F.col("fp"), segments), ["part", "id"]).mapInArrow(run, "part bigint, id bigint, nearest bigint, bits bigint, reached bigint")
 
 
 def shared_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
@@ -517,10 +575,12 @@ def similar_sets(one: list[np.ndarray], two: list[np.ndarray], similarity: float
 def _links_in_groups(groups: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
     """Edges (a, b) that connect the parts that pairs at the similarity between the sides of a group connect.
 
-    ``groups``: key, side, id, part, with few shingles to a side; ``texts``: id,
-    text. Every such pair that the fingerprints leave and that is still apart is
+    ``groups``, stored: key, side, id, part, with few shingles to a side; ``texts``: id,
+    text. Few groups are broadcast, so that texts are shuffled once, by key. Every such pair that the fingerprints leave and that is still apart is
     compared on the whole shingle sets; a group gives fewer edges than parts.
     """
+    if skew.fits_broadcast(groups):
+        groups = F.broadcast(groups)
     full = groups.join(texts, "id").select("key", "side", "id", "part", "text")
     early, radius = reach(similarity, 1), reach(similarity, REACH_WORDS)
 
@@ -626,16 +686,19 @@ def near_links(docs: DataFrame, k: int, similarity: float, recall: float, doc_id
     width, tiny = (word_count(similarity, recall, segments, ties) for ties in (TIES, TINY_TABLE_TIES))
     bounds = segments, reach(similarity, 1), reach(similarity, REACH_WORDS)
     signed = common.stored(_signed_rows(rows, k, width, tiny))
-    of_set = common.stored(signed.groupBy("digest", "n").agg(F.min("id").alias("id"), F.first("fp").alias("fp")))
-    equal = signed.select("digest", "n", F.col("id").alias("b")).join(of_set.select("digest", "n", F.col("id").alias("a")), ["digest", "n"]).filter("a <> b").select("a", "b")
+    least = common.stored(signed.groupBy("digest", "n").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("m")))
+    equal = signed.select("digest", "n", F.col("id").alias("b")).join(least.filter("m > 1"), ["digest", "n"]).filter("a <> b").select("a", "b")
+    of_set = _picked(signed, "id", least.select(F.col("a").alias("id")), True)
 
-    led = common.stored(neighbours(of_set.select("id", "fp"), *bounds))
+    wide, small = (coarse_words(similarity, recall, segments, ties) for ties in (TIES, TINY_TABLE_TIES))
+    coarse = F.when(F.col("n") < TINY, small).otherwise(wide)
+    led = common.stored(neighbours(of_set.select("id", "n", "fp"), *bounds, own_segments(similarity, recall), coarse))
     texts = common.stored(_picked(rows, "id", led.select("id"), True), "zstd")
-    first = common.cut(_links_in_groups(_stars(led), texts, k, similarity))
+    first = common.cut(_links_in_groups(common.stored(_stars(led)), texts, k, similarity))
 
     part = common.components(first).withColumnRenamed("component", "part")
     open_ = led.filter("several").select("id").join(part, "id", "left").select("id", F.coalesce("part", "id").alias("part"))
-    open_ = common.stored(open_.join(of_set.select("id", "n", "fp"), "id"))
+    open_ = common.stored(open_.join(_picked(signed, "id", led.filter("several").select("id"), True).select("id", "n", "fp"), "id"))
     met = common.stored(across(open_.select("id", "fp", "part"), *bounds))
     leads = met.groupBy("part").agg(F.min(F.struct("bits", "id", F.col("nearest").alias("lead"))).alias("p")).select("p.id", "p.lead")
     stars = common.stored(_stars(leads))

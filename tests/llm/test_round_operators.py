@@ -407,6 +407,45 @@ def test_near_duplicates_meet_in_the_grid_of_segment_counts(spark, monkeypatch,
             assert both / (len(sets[a]) + len(sets[b]) - both) < 0.8 or b in expected[a]
 
 
+@pytest.mark.parametrize("cut", [1, 2_048])
+def test_coarse_cells_find_pairs_with_few_copies(spark, monkeypatch, cut):
+    """Pairs at the similarity are found, whether their cells are cut or not; a row is shuffled 40 times (65 with a cell a table)."""
+    from scarpline.llm import simhash_grid
+
+    monkeypatch.setattr(simhash_grid, "CUT_ROWS", cut, raising=False)
+    shuffled, met_in_cells = [], simhash_grid._met_in_cells
+
+    def counted(*args):
+        out = met_in_cells(*args)
+        shuffled.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash_grid, "_met_in_cells", counted)
+    draw = np.random.default_rng(cut)
+    words, pairs = simhash_grid.word_count(0.8, 0.9999, 6, simhash_grid.TIES), 1500
+    one = draw.integers(0, 2, (pairs, 64 * words), dtype=np.uint8)
+    two = one ^ (draw.random(one.shape) < simhash_grid.differing(0.8, simhash_grid.TIES))
+    fps = np.packbits(np.concatenate([one, two]), axis=1, bitorder="little").view(np.int64).tolist()
+    df = spark.createDataFrame(list(enumerate(fps)), "id bigint, fp array<bigint>")
+    bounds = 6, simhash_grid.reach(0.8, 1), simhash_grid.reach(0.8, simhash_grid.REACH_WORDS)
+    extra = [F.lit(5)] if hasattr(simhash_grid, "coarse_words") else []
+    if extra:
+        assert simhash_grid.coarse_words(0.8, 0.9999, 6, simhash_grid.TIES) == 5
+        extra = [simhash_grid.own_segments(0.8, 0.9999), *extra]
+    leads = {r["id"]: r["lead"] for r in simhash_grid.neighbours(df, *bounds, *extra).collect()}
+    assert sum(leads.get(i) != (i + pairs) % (2 * pairs) for i in range(2 * pairs)) <= 4
+    assert shuffled == [40 * 2 * pairs]
+
+
+def test_cut_cells_and_shuffled_groups_equal_brute_force(spark, monkeypatch):
+    """The same groups where cells are cut and groups are too many to be sent to the texts."""
+    from scarpline.llm import simhash_grid
+
+    monkeypatch.setattr(simhash_grid, "CUT_ROWS", 4)
+    monkeypatch.setattr(simhash_grid.skew, "fits_broadcast", lambda *_: False)
+    test_crowded_bands_equal_brute_force(spark, monkeypatch, 65_536, 16, 3)
+
+
 def test_pairs_of_blocks_equal_brute_force(spark, monkeypatch):
     """The same groups where a crowd fills many blocks, and parts have blocks of their own."""
     from scarpline.llm import simhash_grid
