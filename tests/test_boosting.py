@@ -97,6 +97,36 @@ def test_rows_are_stored_in_blocks(data, monkeypatch):
     assert stored[0].count() <= data.rdd.getNumPartitions() + data.sparkSession.sparkContext.defaultParallelism
 
 
+def test_scores_are_stored_once_and_small(data, monkeypatch, tmp_path):
+    kept = []
+    monkeypatch.setattr(boosting, "REFRESH", 1)
+    monkeypatch.setattr(shared, "folder", lambda spark, purpose: kept.append(str(tmp_path / f"with space {len(kept)}")) or kept[-1])
+    spark = data.sparkSession
+    before = {k: spark.conf.get(k) for k in boosting.READING}
+    settings = [boosting.Setting(2, 0.3), boosting.Setting(3, 0.1)]
+    boosting.train(data, FEATURES, F.col("y"), ("u", "v", "w"), settings, 2)
+    assert len(kept) == 3 and [p.name for p in tmp_path.iterdir()] == ["with space 2"]  # only the newest scores stay
+    sizes = spark.read.parquet(kept[-1]).select(F.sum(F.octet_length("s")), F.sum(F.octet_length("y"))).first()
+    assert sizes[0] == sizes[1] * len(settings) * 2  # two differences of three classes
+    assert {k: spark.conf.get(k) for k in boosting.READING} == before
+
+
+@pytest.mark.parametrize("depth,features", [(3, 5), (3, 8), (4, 3)])
+def test_all_trees_at_once_equal_one_by_one(depth, features):
+    draw = np.random.default_rng(6)
+    x = draw.integers(0, boosting.BINS, (features, 5000)).astype(np.uint8)
+    rounds = []
+    for i in range(boosting.Walk.ROUNDS + 2):
+        sizes = [1, 2, depth if i else 3]
+        rounds.append([boosting.Tree(draw.integers(0, features, 2**d - 1), draw.choice([0, 3, 10, 20, 31, 255], 2**d - 1), draw.normal(size=2**d)) for d in sizes])
+    ours, theirs = np.ones((3, 5000)), np.ones((3, 5000))
+    boosting.Walk(rounds, features).add(ours, x, boosting.pair_bins(x))
+    for grown in rounds:
+        for k, t in enumerate(grown):
+            theirs[k] += t.value[t.leaves(x.T)]
+    assert (ours == theirs).all()
+
+
 def test_leaves_equal_a_walk_of_each_row():
     draw = np.random.default_rng(5)
     x = draw.integers(0, boosting.BINS, (200, 4)).astype(np.uint8)
