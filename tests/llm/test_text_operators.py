@@ -179,6 +179,77 @@ def test_tree_is_a_distribution(spark):
     assert (10**states).sum(axis=1) == pytest.approx(1.0)
 
 
+def word_tree_by_force(texts, tokens):
+    """log10 probability of the symbols of a text, every context tested against the next shorter one."""
+    lm = suffix_tree_lm
+    number = {t: k for k, t in enumerate(tokens)}
+    symbols = lambda t: [lm.OPENING, *(number.get(w, lm.SYMBOLS + lm.word_class(w)) for w in t.encode().lower().split()), lm.TEXT_END]
+    met, root = {}, Counter()
+    for t in texts:
+        s = symbols(t)
+        root.update(s[1:])
+        for i in range(1, len(s)):
+            for d in range(1, min(i, lm.WORD_DEPTH) + 1):
+                met.setdefault(tuple(s[i - d : i]), Counter())[s[i]] += 1
+    total, width = sum(root.values()), lm.TEXT_END + 1
+
+    def retained(context):
+        own = met.get(context, Counter())
+        seen, up = sum(own.values()), met[context[1:]] if len(context) > 1 else None
+        if seen < lm.MIN_COUNT:
+            return False
+        before = (lambda s: up[s] / sum(up.values())) if up else (lambda s: (root[s] + 0.5) / (total + 0.5 * width))
+        return sum(n * math.log(n / seen / before(s)) for s, n in own.items()) > lm.GAIN * len(own) * math.log(seen)
+
+    known = {c for c in met if retained(c)}
+
+    def p(context, s):
+        if not context:
+            return (root[s] + 0.5) / (total + 0.5 * width)
+        up = p(context[1:], s)
+        return (met[context][s] + lm.WORD_PRIOR * up) / (sum(met[context].values()) + lm.WORD_PRIOR) if context in known else up
+
+    def score(t):
+        s = symbols(t)
+        return sum(math.log10(p(tuple(s[max(0, i - lm.WORD_DEPTH) : i]), s[i])) for i in range(1, len(s)))
+
+    return score, known
+
+
+@pytest.mark.parametrize("entries,positions", [(4_000_000, 4_000_000), (0, 50)])
+def test_word_contexts_of_all_lengths_count(spark, monkeypatch, entries, positions):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    few, many = words[:6], words[200:206]
+    follow = {pair: rnd.choice(words) for pair in [(a, b) for a in few for b in many] + [(b, a) for a in few for b in many]}
+    texts = []
+    for _ in range(600):
+        t = [rnd.choice(words)]
+        for _ in range(rnd.randint(0, 12)):
+            a, b = rnd.choice(few), rnd.choice(many)
+            kind = rnd.random()  # a word that follows from the two before it, or from the first and third
+            t += [a, b, follow[a, b]] if kind < 0.5 else [a, "w210", b, follow[b, a]] if kind < 0.9 else [rnd.choice(words), "é" * rnd.randint(1, 3)]
+        texts.append(" ".join(t))
+    texts += ["", None, "w1 w200"]
+    learn = [i % 5 != 1 for i in range(len(texts))]
+    counts = Counter(w for t, own in zip(texts, learn) if own for w in (t or "").encode().split())
+    monkeypatch.setattr(suffix_tree_lm, "ENTRIES", entries)
+    monkeypatch.setattr(suffix_tree_lm, "POSITIONS", positions)
+    tokens = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:250]]
+    own = suffix_tree_lm.WordSymbols(tokens)
+    rows = [(i, g, bytearray(own.of((t or "").encode().split()).tobytes())) for i, (t, g) in enumerate(zip(texts, learn))]
+    sequences = spark.createDataFrame(rows, "row bigint, learn boolean, symbols binary").repartition(3)
+    pairs = suffix_tree_lm.count_pairs(sequences)
+    states = suffix_tree_lm.word_states(pairs)
+    longer = suffix_tree_lm.grow_words(sequences, pairs, states)
+    scored = suffix_tree_lm.word_scores(sequences, states, longer).groupBy("row").agg(F.sum("tree").alias("tree")).collect()
+    score, known = word_tree_by_force([t or "" for t, g in zip(texts, learn) if g], tokens)
+    assert {len(c) for c in known} >= {1, 2, 3}  # contexts of every length are retained
+    assert len(scored) == len(texts)
+    for r in scored:
+        assert r["tree"] == pytest.approx(score(texts[r["row"]] or ""))
+
+
 def test_language_model_of_awkward_rows(spark):
     assert suffix_tree_lm.score(table(spark, AWKWARD)).count() == len(AWKWARD)
     assert suffix_tree_lm.score(table(spark, [])).count() == 0
